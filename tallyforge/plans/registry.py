@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from . import selection  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
+
+FLAGSHIP = "agg14_agg15_method_report"
