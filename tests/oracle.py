@@ -21,10 +21,8 @@ def rows(df):
 
 def norm(df):
     for c in df.columns:
-        if pd.api.types.is_float_dtype(df[c]) and df[c].notna().all() and (df[c] % 1 == 0).all() and False:
-            df[c] = df[c].astype(int)
-        if len(df) and isinstance(df[c].iloc[0], (list, tuple)) or (len(df) and type(df[c].iloc[0]).__name__ == "ndarray"):
-            df[c] = df[c].map(lambda x: None if x is None else list(x))
+        if len(df) and type(df[c].iloc[0]).__name__ in ("ndarray", "list"):
+            df[c] = df[c].map(lambda x: None if x is None else [y.item() if hasattr(y, "item") else y for y in x])
     return df
 
 
