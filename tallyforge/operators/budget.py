@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .clusters import QUESTION
+from .clusters import question
 
 
 def comb_share(a: Column, n: Column, k: Column) -> Column:
@@ -30,8 +30,8 @@ def pass_at_k(cand: DataFrame, ks: list[int]) -> DataFrame:
 
 def best_at_k(cand: DataFrame, ks: list[int], score: str = "rm") -> DataFrame:
     """Chance that the best-scored of k random candidates is right: sum over right ones, at rank r, of C(n-r-1, k-1) / C(n, k)."""
-    w = QUESTION.orderBy(F.desc_nulls_last(score), "candidate_index")
-    c = cand.select("question_uid", "label", (F.row_number().over(w) - 1).alias("r"), F.count("*").over(QUESTION).alias("n"))
+    w = question().orderBy(F.desc_nulls_last(score), "candidate_index")
+    c = cand.select("question_uid", "label", (F.row_number().over(w) - 1).alias("r"), F.count("*").over(question()).alias("n"))
     c = _with_k(c, ks).where("n >= k")
     # C(n-r-1, k-1) / C(n, k) = C(n-r-1, k-1) / C(n-1, k-1) * k / n
     part = F.when(F.col("k") == 1, F.lit(1.0)).otherwise(comb_share(F.col("n") - F.col("r") - 1, F.col("n") - 1, F.greatest(F.col("k") - 1, F.lit(1)))) * F.col("k") / F.col("n")

@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-QUESTION = Window.partitionBy("question_uid")
-BEST = QUESTION.orderBy(F.desc_nulls_last("rm"), "candidate_index")
+
+def question() -> WindowSpec:
+    return Window.partitionBy("question_uid")
+
+
+def best_first() -> WindowSpec:
+    """The best candidate of a question is the first of the highest score."""
+    return question().orderBy(F.desc_nulls_last("rm"), "candidate_index")
 
 
 def cluster_key() -> Column:
@@ -20,7 +26,7 @@ def cluster_key() -> Column:
 
 def raw_choice(cand: DataFrame) -> DataFrame:
     """The first candidate of the highest score in each question."""
-    return cand.withColumn("r", F.row_number().over(BEST)).where("r = 1").drop("r")
+    return cand.withColumn("r", F.row_number().over(best_first())).where("r = 1").drop("r")
 
 
 def with_robust_z(df: DataFrame, x: str = "rm", out: str = "z", keys: tuple[str, ...] = ("question_uid",)) -> DataFrame:
@@ -55,7 +61,7 @@ def cluster_features(cand: DataFrame) -> DataFrame:
     """log1p(n), n/N, log1p(unique), max, mean, log-mean-exp and deviation of robust z, and whether it holds the raw choice."""
     z = with_robust_z(cand).withColumn("cluster", cluster_key())
     own = Window.partitionBy("question_uid", "cluster")
-    z = z.withColumns({"top": F.max("z").over(own), "place": F.row_number().over(BEST), "total": F.count("*").over(QUESTION)})
+    z = z.withColumns({"top": F.max("z").over(own), "place": F.row_number().over(best_first()), "total": F.count("*").over(question())})
     return z.groupBy("question_uid", "cluster").agg(
         F.min("candidate_index").alias("first_index"), F.log1p(F.count("*")).alias("log_size"), (F.count("*") / F.first("total")).alias("share"),
         F.log1p(F.count_distinct(canonical_solution())).alias("log_unique"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"),

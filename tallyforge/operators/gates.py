@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import BEST, QUESTION
+from .clusters import best_first, question
 from .select import FEATURES
 
 
@@ -18,8 +18,8 @@ def switch_features(cand: DataFrame, seeds: list[str], alphas: list[str], beta:
     mean = sum(ds[1:], ds[0]) / k
     c = c.withColumn("md", mean)
     c = c.withColumn("sd", F.sqrt(sum((d - F.col("md")) ** 2 for d in ds) / k)).withColumn("blend", F.round(F.col("rm") + beta * F.col("md"), 9))
-    order = {"r": BEST, "p": QUESTION.orderBy(F.desc("blend"), "candidate_index")}
-    order |= {f"t{i}": QUESTION.orderBy(F.desc(F.round(F.col("rm") + beta * ds[i], 9)), "candidate_index") for i in range(k)}
+    order = {"r": best_first(), "p": question().orderBy(F.desc("blend"), "candidate_index")}
+    order |= {f"t{i}": question().orderBy(F.desc(F.round(F.col("rm") + beta * ds[i], 9)), "candidate_index") for i in range(k)}
     c = c.withColumns({n: F.row_number().over(w) for n, w in order.items()})
 
     def at(place: str, n: int, x: Column | str) -> Column:
@@ -60,7 +60,7 @@ def reliability_features(clus: DataFrame) -> DataFrame:
     """clus: question_uid, cluster, n, rm_max, learned (z scores rm_z, learned_z, hybrid), is_raw, is_proposal and a margin for each
     model (m0, m1, …) -> 15 features of the proposed switch."""
     models = sorted(c for c in clus.columns if c.startswith("m") and c[1:].isdigit())
-    c = clus.withColumn("share", F.col("n") / F.sum("n").over(QUESTION))
+    c = clus.withColumn("share", F.col("n") / F.sum("n").over(question()))
 
     def of(flag: str, x: str) -> Column:
         return F.max(F.when(F.col(flag), F.col(x)))
@@ -87,6 +87,8 @@ def reliability_features(clus: DataFrame) -> DataFrame:
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, c: float = 0.25, steps: int = 60) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weighted logistic regression with an L2 penalty of 1 / (2 c) on all but the intercept, by Newton steps, on standardised
     columns. Of one class only: a constant probability with half a count added."""
+    if not len(x):  # nothing to learn from: even odds
+        return np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), np.ones(x.shape[1])
     mean, sd = x.mean(0), x.std(0)
     sd = np.where(sd > 0, sd, 1.0)
     if len(np.unique(y)) < 2:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import metrics
-from .clusters import BEST, cluster_features, cluster_key, clusters
+from .clusters import best_first, cluster_features, cluster_key, clusters
 from .select import FEATURES, fused_scores
 
 #: Cluster pairs that the ranker is fitted on, at most; eight weights need no more.
@@ -70,7 +70,7 @@ def grid(cand: DataFrame, models: dict[float, list[list[float]]], betas: list[fl
     best = f.groupBy("reg", "beta", "threshold", "question_uid").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("best"), F.max(F.when(F.col("has_raw") == 1, F.col("cluster"))).alias("raw"), F.bool_or(keep).alias("keep"))
     chosen = best.select("reg", "beta", "threshold", "question_uid", F.when(F.col("keep"), F.col("raw")).otherwise(F.col("best")).alias("cluster"))
     own = Window.partitionBy("question_uid", "cluster").orderBy(F.desc_nulls_last("rm"), "candidate_index")
-    c = cand.withColumn("cluster", cluster_key()).withColumns({"r": F.row_number().over(own), "all_r": F.row_number().over(BEST)})
+    c = cand.withColumn("cluster", cluster_key()).withColumns({"r": F.row_number().over(own), "all_r": F.row_number().over(best_first())})
     reps = c.where("r = 1").select("question_uid", "cluster", F.col("candidate_index").alias("new_i"), F.col("label").alias("new_right"))
     raw = c.where("all_r = 1").select("question_uid", F.col("candidate_index").alias("raw_i"), F.col("label").alias("raw_right"))
     o = chosen.join(reps, ["question_uid", "cluster"]).join(raw, "question_uid")

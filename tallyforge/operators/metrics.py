@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clusters import BEST, QUESTION
+from .clusters import best_first, question
 
 
 def div(a: Column, b: Column) -> Column:
@@ -25,8 +25,8 @@ def pair_counts(df: DataFrame, score: str = "score", keys: tuple[str, ...] = ("q
 
 def question_outcomes(df: DataFrame, score: str = "score") -> DataFrame:
     """For each question whether the raw and the new choice are right, whether they differ, and the pair shares."""
-    new = QUESTION.orderBy(F.desc_nulls_last(score), "candidate_index")
-    c = df.withColumns({"a": F.row_number().over(BEST), "b": F.row_number().over(new)})
+    new = question().orderBy(F.desc_nulls_last(score), "candidate_index")
+    c = df.withColumns({"a": F.row_number().over(best_first()), "b": F.row_number().over(new)})
     top = c.groupBy("question_uid").agg(
         F.max(F.when(F.col("a") == 1, F.col("label"))).alias("raw_right"), F.max(F.when(F.col("b") == 1, F.col("label"))).alias("new_right"),
         F.max(((F.col("a") == 1) & (F.col("b") != 1)).cast("int")).alias("switched"), F.count("*").alias("n"), F.sum("label").alias("c"),
@@ -53,7 +53,7 @@ def composition(df: DataFrame) -> DataFrame:
 
 def tie_diagnostics(df: DataFrame) -> DataFrame:
     """Share of questions with a tied top score, top-1 if the first of them is taken and if any of them is right."""
-    q = df.withColumns({"r": F.rank().over(QUESTION.orderBy(F.desc("rm"))), "k": F.row_number().over(BEST)}).groupBy("question_uid").agg(
+    q = df.withColumns({"r": F.rank().over(question().orderBy(F.desc("rm"))), "k": F.row_number().over(best_first())}).groupBy("question_uid").agg(
         F.count_if(F.expr("r = 1")).alias("tied"), F.max(F.when(F.col("k") == 1, F.col("label"))).alias("first"), F.max(F.when(F.col("r") == 1, F.col("label"))).alias("any"),
         F.avg(F.when(F.col("r") == 1, F.col("label"))).alias("expected"), F.count_distinct("rm").alias("kinds"),
     )
@@ -79,7 +79,7 @@ def macro(per_dataset: DataFrame, columns: list[str]) -> DataFrame:
 
 def gate_audit(df: DataFrame) -> DataFrame:
     """df: label, rm, ungated and gated scores. What the gate did with the switches that the ungated score proposes."""
-    w = {x: F.row_number().over(QUESTION.orderBy(F.desc(x), "candidate_index")) for x in ("rm", "ungated", "gated")}
+    w = {x: F.row_number().over(question().orderBy(F.desc(x), "candidate_index")) for x in ("rm", "ungated", "gated")}
     c = df.withColumns({f"r_{k}": v for k, v in w.items()})
     pick = [F.max(F.when(F.col(f"r_{k}") == 1, F.col(x))).alias(f"{k}_{y}") for k in w for x, y in (("candidate_index", "i"), ("label", "ok"))]
     q = c.groupBy("question_uid").agg(*pick)

@@ -110,14 +110,14 @@ def exact_subsets(cand: DataFrame, k: int, tau: float = 4.0, largest: int = 16)
         rows = rows.sort_values("candidate_index")
         n = len(rows)
         if not k <= n <= largest:
-            return pd.DataFrame({"question_uid": [], "raw": [], "majority": [], "weighted": []})
+            return rows[["question_uid"]].head(0).assign(raw=0.0, majority=0.0, weighted=0.0)
         a, s, y = rows["answer"].tolist(), rows["rm"].tolist(), rows["label"].tolist()
         total, hit = 0, dict.fromkeys(("raw", "majority", "weighted"), 0)
         for idx in combinations(range(n), k):
             total += 1
             for rule in hit:
                 hit[rule] += int(pick(idx, a, s, y, rule) == 1)
-        return pd.DataFrame([{"question_uid": rows["question_uid"].iloc[0]} | {r: h / total for r, h in hit.items()}])
+        return rows[["question_uid"]].head(1).assign(**{r: h / total for r, h in hit.items()})
 
     kind = cand.schema["question_uid"].dataType.simpleString()
     return cand.select("question_uid", "candidate_index", "answer", "rm", "label").groupBy("question_uid").applyInPandas(run, f"question_uid {kind}, raw double, majority double, weighted double")

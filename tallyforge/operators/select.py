@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clusters import BEST, QUESTION, cluster_features, cluster_key, clusters, raw_choice, with_z
+from .clusters import best_first, question, cluster_features, cluster_key, clusters, raw_choice, with_z
 
 
 def representative(cand: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def representative(cand: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def first_cluster(clus: DataFrame, *order) -> DataFrame:
-    return clus.withColumn("r", F.row_number().over(QUESTION.orderBy(*order))).where("r = 1").drop("r")
+    return clus.withColumn("r", F.row_number().over(question().orderBy(*order))).where("r = 1").drop("r")
 
 
 def majority_unique(cand: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def majority_count(cand: DataFrame) -> DataFrame:
 def majority_none_on_tie(cand: DataFrame) -> DataFrame:
     """Each question's majority if one cluster alone is largest; else no choice, and whether any tied cluster has a right one."""
     own = cand.withColumn("cluster", cluster_key()).groupBy("question_uid", "cluster").agg(F.count("*").alias("n"), F.max("label").alias("any_right"), F.max_by("label", F.struct("rm", -F.col("candidate_index"))).alias("best_label"))
-    tied = own.withColumn("r", F.rank().over(QUESTION.orderBy(F.desc("n")))).where("r = 1")
+    tied = own.withColumn("r", F.rank().over(question().orderBy(F.desc("n")))).where("r = 1")
     return tied.groupBy("question_uid").agg((F.count("*") > 1).alias("tie"), F.count("*").alias("k"), F.max("any_right").alias("any_right"), F.max("best_label").alias("best_label")).select(
         "question_uid", "tie", F.when(F.col("tie"), 0).otherwise(F.col("best_label")).alias("correct"), F.when(F.col("tie"), F.col("any_right")).otherwise(F.col("best_label")).alias("optimistic_correct")
     )
@@ -69,13 +69,13 @@ def weighted_vote_tied(cand: DataFrame, tau: float = 4.0) -> DataFrame:
 def confidence_vote(cand: DataFrame, confidence: Column, temperature: float) -> DataFrame:
     """Largest sum of exp((confidence - largest) / temperature); ties by best score."""
     c = cand.withColumn("conf", confidence)
-    weight = F.exp((F.col("conf") - F.max("conf").over(QUESTION)) / temperature)
+    weight = F.exp((F.col("conf") - F.max("conf").over(question())) / temperature)
     m = c.withColumn("w", weight).withColumn("cluster", cluster_key()).groupBy("question_uid", "cluster").agg(F.sum("w").alias("mass"), F.max("rm").alias("rm_max"), F.min("candidate_index").alias("first_index"))
     return representative(cand, first_cluster(m, F.desc(F.round("mass", 9)), F.desc("rm_max"), "first_index"))
 
 
 def max_confidence(cand: DataFrame, confidence: Column) -> DataFrame:
-    return cand.withColumn("conf", confidence).withColumn("r", F.row_number().over(QUESTION.orderBy(F.desc("conf"), "candidate_index"))).where("r = 1").select("question_uid", "candidate_index", "label")
+    return cand.withColumn("conf", confidence).withColumn("r", F.row_number().over(question().orderBy(F.desc("conf"), "candidate_index"))).where("r = 1").select("question_uid", "candidate_index", "label")
 
 
 def expand(cand: DataFrame, scores: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -84,7 +84,7 @@ def expand(cand: DataFrame, scores: DataFrame, threshold: float = 0.0) -> DataFr
     that of z(rm)."""
     raw = raw_choice(cand).select("question_uid", cluster_key().alias("raw"))
     s = scores.join(raw, "question_uid")
-    w = QUESTION
+    w = question()
     s = s.withColumns({"top": F.max("cluster_score").over(w), "raw_score": F.max(F.when(F.col("cluster") == F.col("raw"), F.col("cluster_score"))).over(w), "place": F.row_number().over(w.orderBy(F.desc("cluster_score"), "first_index"))})
     s = s.withColumn("proposal_is_raw", F.max(((F.col("place") == 1) & (F.col("cluster") == F.col("raw"))).cast("int")).over(w) == 1)
     gated = ~F.col("proposal_is_raw") & (F.col("top") - F.col("raw_score") <= threshold) & (F.col("cluster") == F.col("raw"))
@@ -146,13 +146,13 @@ def bounded_residual(raw: Column, local: Column, cap: float) -> Column:
 def trust_region(cand: DataFrame, gap_columns: list[str], beta: float, kappa: float) -> DataFrame:
     """Switch from the raw choice to the candidate of largest beta (mean gap - kappa deviation of gaps) - raw margin, if that is
     above 0. A gap is a seed's score less its score of the raw choice."""
-    c = cand.withColumn("r", F.row_number().over(BEST))
-    raw = {f"__{g}": F.max(F.when(F.col("r") == 1, F.col(g))).over(QUESTION) for g in gap_columns}
-    c = c.withColumns({**raw, "raw_rm": F.max(F.when(F.col("r") == 1, F.col("rm"))).over(QUESTION), "raw_index": F.max(F.when(F.col("r") == 1, F.col("candidate_index"))).over(QUESTION)})
+    c = cand.withColumn("r", F.row_number().over(best_first()))
+    raw = {f"__{g}": F.max(F.when(F.col("r") == 1, F.col(g))).over(question()) for g in gap_columns}
+    c = c.withColumns({**raw, "raw_rm": F.max(F.when(F.col("r") == 1, F.col("rm"))).over(question()), "raw_index": F.max(F.when(F.col("r") == 1, F.col("candidate_index"))).over(question())})
     gaps = [F.col(g) - F.col(f"__{g}") for g in gap_columns]
     n = len(gaps)
     mean = sum(gaps[1:], gaps[0]) / n
     var = sum((g - mean) * (g - mean) for g in gaps) / n
     evidence = beta * (mean - kappa * F.sqrt(var)) - (F.col("raw_rm") - F.col("rm"))
-    best = c.where("r > 1").withColumn("evidence", F.round(evidence, 9)).withColumn("k", F.row_number().over(QUESTION.orderBy(F.desc("evidence"), "candidate_index"))).where("k = 1")
+    best = c.where("r > 1").withColumn("evidence", F.round(evidence, 9)).withColumn("k", F.row_number().over(question().orderBy(F.desc("evidence"), "candidate_index"))).where("k = 1")
     return best.select("question_uid", "raw_index", F.col("candidate_index").alias("challenger"), "evidence", F.when(F.col("evidence") > 0, F.col("candidate_index")).otherwise(F.col("raw_index")).alias("choice"))

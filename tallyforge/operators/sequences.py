@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .clusters import BEST, QUESTION, cluster_key
+from .clusters import best_first, question, cluster_key
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,8 +72,8 @@ def nll_features(df: DataFrame, mean: str, last: str) -> DataFrame:
 
 def decayed_change(df: DataFrame, x: str, gate: Column, gamma: float) -> DataFrame:
     """Sum of gamma^(T-2-t) g e / (sum of gamma^(T-2-t) g + 1e-6) over changes e of x along a question's candidates."""
-    w = QUESTION.orderBy("candidate_index")
-    e = df.withColumn("g", gate).select("question_uid", (F.lead(x).over(w) - F.col(x)).alias("e"), "g", (F.row_number().over(w) - 1).alias("t"), F.count("*").over(QUESTION).alias("n"))
+    w = question().orderBy("candidate_index")
+    e = df.withColumn("g", gate).select("question_uid", (F.lead(x).over(w) - F.col(x)).alias("e"), "g", (F.row_number().over(w) - 1).alias("t"), F.count("*").over(question()).alias("n"))
     k = F.pow(F.lit(gamma), (F.col("n") - 2 - F.col("t")).cast("double")) * F.col("g")
     return e.groupBy("question_uid").agg((F.coalesce(F.sum(F.when(F.col("e").isNotNull(), k * F.col("e"))), F.lit(0.0)) / (F.coalesce(F.sum(F.when(F.col("e").isNotNull(), k)), F.lit(0.0)) + 1e-6)).alias("reward"))
 
@@ -90,20 +90,20 @@ def transition_pool(df: DataFrame, weight: Column, x: Column, *by: str) -> DataF
 def support_entropy(cand: DataFrame) -> DataFrame:
     """Entropy of cluster shares over the logarithm of their number, and the lead of the largest share over the next."""
     c = cand.groupBy("question_uid", cluster_key().alias("cluster")).agg(F.count("*").alias("n"))
-    c = c.withColumn("p", F.col("n") / F.sum("n").over(QUESTION)).withColumn("r", F.row_number().over(QUESTION.orderBy(F.desc("n"), "cluster")))
+    c = c.withColumn("p", F.col("n") / F.sum("n").over(question())).withColumn("r", F.row_number().over(question().orderBy(F.desc("n"), "cluster")))
     g = c.groupBy("question_uid").agg(F.count("*").alias("k"), (-F.sum(F.col("p") * F.ln(F.greatest("p", F.lit(1e-12))))).alias("h"), F.max(F.when(F.col("r") == 1, F.col("p"))).alias("p1"), F.max(F.when(F.col("r") == 2, F.col("p"))).alias("p2"))
     return g.select("question_uid", F.when(F.col("k") > 1, F.col("h") / F.ln(F.greatest(F.col("k"), F.lit(2)))).otherwise(0.0).alias("entropy"), F.when(F.col("k") > 1, F.col("p1") - F.col("p2")).otherwise(1.0).alias("support_margin"))
 
 
 def top_margin(df: DataFrame, x: str = "rm") -> DataFrame:
-    t = df.withColumn("r", F.row_number().over(QUESTION.orderBy(F.desc(x), "candidate_index"))).where("r <= 2")
+    t = df.withColumn("r", F.row_number().over(question().orderBy(F.desc(x), "candidate_index"))).where("r <= 2")
     return t.groupBy("question_uid").agg(F.max(F.when(F.col("r") == 1, F.col(x))).alias("top1"), F.max(F.when(F.col("r") == 2, F.col(x))).alias("top2")).withColumn("margin", F.col("top1") - F.col("top2"))
 
 
 def max_of_others(df: DataFrame, x: str = "rm") -> DataFrame:
     """Largest x of a question's other candidates; its own if there is none."""
-    a, b = F.first(x).over(QUESTION.orderBy(F.desc(x), "candidate_index")), F.row_number().over(QUESTION.orderBy(F.desc(x), "candidate_index"))
-    second = F.nth_value(x, 2).over(QUESTION.orderBy(F.desc(x), "candidate_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    a, b = F.first(x).over(question().orderBy(F.desc(x), "candidate_index")), F.row_number().over(question().orderBy(F.desc(x), "candidate_index"))
+    second = F.nth_value(x, 2).over(question().orderBy(F.desc(x), "candidate_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.select("question_uid", "candidate_index", a.alias("__a"), b.alias("__b"), second.alias("__c"), x).select("question_uid", "candidate_index", F.coalesce(F.when(F.col("__b") == 1, F.col("__c")).otherwise(F.col("__a")), F.col(x)).alias("max_other"))
 
 
@@ -129,7 +129,7 @@ def ranking_losses(df: DataFrame, score: str = "score", tau: float = 1.0, tau_ca
     over pairs has no closed form; questions are small."""
     s = F.col(score) / tau
     c = df.withColumn("s", s)
-    c = c.withColumns({"m": F.max("s").over(QUESTION), "mp": F.max(F.when(F.col("label") == 1, F.col("s"))).over(QUESTION)})
+    c = c.withColumns({"m": F.max("s").over(question()), "mp": F.max(F.when(F.col("label") == 1, F.col("s"))).over(question())})
     lists = c.groupBy("question_uid").agg((F.first("m") + F.ln(F.sum(F.exp(F.col("s") - F.col("m")))) - F.first("mp") - F.ln(F.sum(F.when(F.col("label") == 1, F.exp(F.col("s") - F.col("mp")))))).alias("listwise"))
     p, q = df.where("label = 1").select("question_uid", F.col(score).alias("p")), df.where("label = 0").select("question_uid", F.col(score).alias("q"))
     d = F.col("p") - F.col("q")
@@ -139,7 +139,7 @@ def ranking_losses(df: DataFrame, score: str = "score", tau: float = 1.0, tau_ca
 
 def damage_losses(df: DataFrame, score: str = "score", margin: float = 0.1) -> DataFrame:
     """Terms that protect a right raw choice, correct a wrong one, and anchor the scores to the raw ones (smooth L1)."""
-    w = BEST
+    w = best_first()
     c = df.withColumn("r", F.row_number().over(w))
     diff = F.abs(F.col(score) - F.col("rm"))
     g = c.groupBy("question_uid").agg(

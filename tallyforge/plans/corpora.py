@@ -92,7 +92,7 @@ query("jn11_exact_matches", f"WITH e AS (SELECT {SQUEEZE.format('text')} AS k, m
 query("jn12_contamination_contains", f"SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({COLLAPSE.format('d.text')}, {COLLAPSE.format('b.text')})")(
     lambda s, d: corpus.contains_matches(docs(s, d), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text")
 )
-query("jn12_str10_fuzzy_best")(lambda s, d: corpus.fuzzy_best(docs(s, d).where("n_chars < 400"), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text", 60.0))
+query("jn12_str10_fuzzy_best")(lambda s, d: corpus.fuzzy_best(table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.expr("substr(text, 3)").alias("text")), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text", 92.0))
 query("jn13_str10_str11_fuzzy_top5")(lambda s, d: corpus.fuzzy_top(table(s, d, "benchmark").withColumnRenamed("item_id", "q").withColumnRenamed("text", "t"), table(s, d, "benchmark"), "q", "t", "item_id", "text", 5))
 query("jn14_exclusion_reasons", "WITH w AS (SELECT doc_id, 'short' AS reason FROM documents WHERE n_chars < 300 UNION ALL SELECT doc_id, 'spanish' FROM documents WHERE lang = 'es') SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM w GROUP BY 1")(
     lambda s, d: corpus.excluded(docs(s, d).select("doc_id"), docs(s, d).where("n_chars < 300").select("doc_id", F.lit("short").alias("reason")).unionByName(docs(s, d).where("lang = 'es'").select("doc_id", F.lit("spanish").alias("reason"))), "doc_id")[1]

@@ -127,15 +127,19 @@ for _tau, _thr in ((4.0, 0.0), (8.0, 0.5), (16.0, 2.0)):
     query(f"sel09_weighted_vote_tau{_tau:g}_thr{str(_thr).replace('.', 'p')}", f"WITH {SQL_EV}, {VK}, {RAW}, {mass(_tau)} " + rep(weighted_pick(_tau, _thr)))(lambda s, d, t=_tau, h=_thr: select.weighted_vote(EV(s, d), t, h))
 query("sel10_weighted_tau4", f"WITH {SQL_EV}, {VK}, {mass(4.0)} " + rep(top("ms", "mass DESC, rm_max DESC, first_index")))(lambda s, d: select.weighted_vote_tied(EV(s, d)))
 CONF = "exp(-abs(rm) / 100)"
-_conf = F.exp(-F.abs("rm") / 100)
+
+
+def _conf():
+    return F.exp(-F.abs("rm") / 100)
+
 
 
 def conf_pick(t: float) -> str:
     return top(f"(SELECT question_uid, cluster, sum(exp((c - m) / {t})) AS mass, max(rm) AS rm_max, min(candidate_index) AS first_index FROM (SELECT *, {CONF} AS c, max({CONF}) OVER (PARTITION BY question_uid) AS m FROM vk) GROUP BY 1, 2)", "round(mass, 9) DESC, rm_max DESC, first_index")
 
 
-query("sel12_confidence_vote", f"WITH {SQL_EV}, {VK} " + rep(conf_pick(0.5)))(lambda s, d: select.confidence_vote(EV(s, d), _conf, 0.5))
-query("sel13_max_confidence", f"WITH {SQL_EV} SELECT question_uid, candidate_index, label FROM {top(f'(SELECT *, {CONF} AS c FROM v)', 'c DESC, candidate_index')}")(lambda s, d: select.max_confidence(EV(s, d), _conf))
+query("sel12_confidence_vote", f"WITH {SQL_EV}, {VK} " + rep(conf_pick(0.5)))(lambda s, d: select.confidence_vote(EV(s, d), _conf(), 0.5))
+query("sel13_max_confidence", f"WITH {SQL_EV} SELECT question_uid, candidate_index, label FROM {top(f'(SELECT *, {CONF} AS c FROM v)', 'c DESC, candidate_index')}")(lambda s, d: select.max_confidence(EV(s, d), _conf()))
 
 
 def expanded(scores: str, thr: float) -> str:

@@ -53,7 +53,7 @@ query("win06_global_normalisation", f"WITH {SQL_EV} SELECT question_uid, candida
     lambda s, d: (c := EV(s, d)) and c.crossJoin(F.broadcast(c.agg(F.avg("rm").alias("m"), F.greatest(F.stddev_pop("rm"), F.lit(1e-6)).alias("sd")))).select("question_uid", "candidate_index", ((F.col("rm") - F.col("m")) / F.col("sd")).alias("x"))
 )
 query("win10_consecutive_difference", f"WITH {SQL_EV} SELECT question_uid, candidate_index, round(lead(rm) OVER (PARTITION BY question_uid ORDER BY candidate_index) - rm, 6) + 0.0 AS change FROM v")(
-    lambda s, d: EV(s, d).select("question_uid", "candidate_index", (F.lead("rm").over(sequences.QUESTION.orderBy("candidate_index")) - F.col("rm")).alias("change"))
+    lambda s, d: EV(s, d).select("question_uid", "candidate_index", (F.lead("rm").over(sequences.question().orderBy("candidate_index")) - F.col("rm")).alias("change"))
 )
 query("win11_decayed_change", f"WITH {SQL_EV}, e AS (SELECT question_uid, lead(rm) OVER w - rm AS e, 1 / (1 + exp(-rm / 50)) AS g, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY question_uid) AS n FROM v WINDOW w AS (PARTITION BY question_uid ORDER BY candidate_index)) SELECT question_uid, round(coalesce(sum(pow(0.9, n - 2 - t) * g * e) FILTER (e IS NOT NULL), 0) / (coalesce(sum(pow(0.9, n - 2 - t) * g) FILTER (e IS NOT NULL), 0) + 1e-6), 6) + 0.0 AS reward FROM e GROUP BY 1")(
     lambda s, d: sequences.decayed_change(EV(s, d), "rm", sequences.sigmoid(F.col("rm") / 50), 0.9)
@@ -149,11 +149,12 @@ query("smp08_degradation_noise", f"WITH {SQL_EV} SELECT question_uid, candidate_
 
 
 def _gate_table(s, d):
-    c = _seeds(EV(s, d)).withColumns({"a1": F.lit(0.5), "a2": (F.col("candidate_index") % 5) / 5, "chunks": F.col("candidate_index") % 9, "length": F.col("candidate_index") * 3 + 10})
+    i = F.col("candidate_index")
+    c = EV(s, d).withColumns({"s1": F.col("rm") * 0.9 + 0.01 * (i % 7), "s2": F.col("rm") * 1.1 - 0.02 * (i % 5), "s3": F.col("rm") + 4.0 * (i % 3)}).withColumns({"a1": F.lit(0.5), "a2": (F.col("candidate_index") % 5) / 5, "chunks": F.col("candidate_index") % 9, "length": F.col("candidate_index") * 3 + 10})
     return gates.switch_features(c, ["s1", "s2", "s3"], ["a1", "a2"], 3.0, "chunks", "length")
 
 
-_GF = f"""WITH {SQL_EV}, a AS (SELECT *, {SEED_SQL} FROM v), b AS (SELECT *, round(rm + 3.0 * ((s1 - rm) + (s2 - rm) + (s3 - rm)) / 3, 9) AS blend FROM a),
+_GF = f"""WITH {SQL_EV}, a AS (SELECT *, {SEED_SQL.replace('0.03', '4.0')} FROM v), b AS (SELECT *, round(rm + 3.0 * ((s1 - rm) + (s2 - rm) + (s3 - rm)) / 3, 9) AS blend FROM a),
 k AS (SELECT *, row_number() OVER (PARTITION BY question_uid {BEST}) AS r, row_number() OVER (PARTITION BY question_uid ORDER BY blend DESC, candidate_index) AS p FROM b)
 SELECT question_uid, round(max(CASE WHEN r = 1 THEN rm END) - max(CASE WHEN r = 2 THEN rm END), 6) + 0.0 AS raw_margin, round(stddev_pop(rm), 6) AS rm_sd, round(ln(1 + count(*)), 6) AS log_n, round(max(CASE WHEN p = 1 THEN blend END) - max(CASE WHEN r = 1 THEN blend END), 6) + 0.0 AS proposed_margin,
   max(CASE WHEN r = 1 THEN candidate_index END) <> max(CASE WHEN p = 1 THEN candidate_index END) AS switch, max(CASE WHEN p = 1 THEN label END) - max(CASE WHEN r = 1 THEN label END) AS target FROM k GROUP BY 1"""
@@ -176,7 +177,7 @@ def _reliability(s, d):
     for i, m in enumerate(models):
         f = with_z(f.withColumn(f"x{i}", gates.model_margin(m)), f"x{i}", f"m{i}").drop(f"x{i}")
     f = with_z(with_z(f, "rm_max", "rm_z"), "learned", "learned_z").withColumn("hybrid", F.round(F.col("rm_z") + 0.5 * F.col("learned_z"), 9))
-    w = sequences.QUESTION.orderBy(F.desc("hybrid"), "first_index")
+    w = sequences.question().orderBy(F.desc("hybrid"), "first_index")
     f = f.withColumn("is_proposal", F.row_number().over(w) == 1).withColumn("is_raw", F.col("has_raw") == 1)
     return gates.reliability_features(f.select("question_uid", "cluster", "n", "rm_z", "learned_z", "hybrid", "is_raw", "is_proposal", "m0", "m1", "m2"))
 
@@ -234,7 +235,7 @@ query("sel19_temperature_choice", f"""WITH {SQL_EV}, vk AS (SELECT *, {KEY} AS c
 k AS (SELECT temp, question_uid, cluster, round(sum(exp((c - m) / temp)), 9) AS mass, max(rm) AS rm_max, min(candidate_index) AS fi, arg_max(label, (rm, -candidate_index)) AS label FROM t GROUP BY 1, 2, 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY temp, question_uid ORDER BY mass DESC, rm_max DESC, fi) AS r FROM k)
 SELECT temp, round(top1, 6) AS top1 FROM (SELECT temp, avg(label) AS top1 FROM n WHERE r = 1 GROUP BY 1) ORDER BY round(top1, 9) DESC, temp DESC LIMIT 1""")(
-    lambda s, d: EV(s, d).withColumns({"cluster": cluster_key(), "c": F.exp(-F.abs("rm") / 100)}).withColumn("m", F.max("c").over(sequences.QUESTION)).withColumn("temp", F.explode(F.array(*map(F.lit, [0.1, 0.5, 1.0, 2.0]))))
+    lambda s, d: EV(s, d).withColumns({"cluster": cluster_key(), "c": F.exp(-F.abs("rm") / 100)}).withColumn("m", F.max("c").over(sequences.question())).withColumn("temp", F.explode(F.array(*map(F.lit, [0.1, 0.5, 1.0, 2.0]))))
     .groupBy("temp", "question_uid", "cluster").agg(F.round(F.sum(F.exp((F.col("c") - F.col("m")) / F.col("temp"))), 9).alias("mass"), F.max("rm").alias("rm_max"), F.min("candidate_index").alias("fi"), F.max_by("label", F.struct("rm", -F.col("candidate_index"))).alias("label"))
     .withColumn("r", F.row_number().over(sequences.Window.partitionBy("temp", "question_uid").orderBy(F.desc("mass"), F.desc("rm_max"), "fi"))).where("r = 1").groupBy("temp").agg(F.avg("label").alias("top1")).orderBy(F.desc(F.round("top1", 9)), F.desc("temp")).limit(1)
 )

@@ -26,24 +26,32 @@ query("str12_length_ratio", "SELECT a.item_id, round(least(length(a.text), lengt
     lambda s, d: (b := table(s, d, "benchmark")) and b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("u")), "item_id").select("item_id", T.length_ratio(F.col("text"), F.col("u")).alias("ratio"))
 )
 query("str13_render_prompt", "SELECT item_id, 'Solve: ' || text || ' Box the answer.' AS prompt FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", T.render("Solve: {problem} Box the answer.", "{problem}", F.col("text")).alias("prompt")))
-query("txt02_sentences", "SELECT doc_id, n_chars FROM documents WHERE n_chars < 0")(lambda s, d: docs(s, d).select("doc_id", "n_chars", F.size(T.sentences(F.col("text"))).alias("k")).where("k < 0").select("doc_id", "n_chars"))
+_SENT = "regexp_replace(text, '([.!?])\\s+([A-Z0-9#`$\\\\])', '\\1' || chr(1) || '\\2', 'g')"
+query("txt02_sentences", f"SELECT doc_id, CAST(len(list_filter(string_split({_SENT}, chr(1)), lambda x: trim(x, ' ' || chr(10)) <> '')) AS INTEGER) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[.!?]\\s+[A-Z0-9#`$\\\\][.!?]\\s')")(
+    lambda s, d: docs(s, d).where("lang = 'en'").where(~F.col("text").rlike(r"[.!?]\s+[A-Z0-9#`$\\][.!?]\s")).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
+)
 query("txt02_txt04_chunk_ends")(lambda s, d: docs(s, d).select("doc_id", T.chunk_end_places(F.col("text")).alias("ends")))
 query("txt01_lines", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: trim(x) <> '')) AS INTEGER) AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(F.filter(F.split("text", "[\\r\\n]+"), lambda x: F.trim(x) != "")).alias("n")))
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _K = ", ".join(KEY)
 _N = "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
-_n = F.col("l_quantity").cast("bigint").cast("string")
+
+
+def _n():
+    return F.col("l_quantity").cast("bigint").cast("string")
+
+
 _li = lambda s, d: table(s, d, "lineitem")
-query("prs03_hash_marker", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.hash_answer(F.concat(F.lit("step one #### 7\nso total is "), _n, F.lit(" #### "), _n)).alias("answer")))
-query("prs03_answer_phrase", f"SELECT {_K}, {_N} || ' units' AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.phrase_answer(F.concat(F.lit("We add.\nThe answer is "), _n, F.lit(" units"))).alias("answer")))
-query("prs03_last_number", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.last_number(F.concat(F.lit("9 of them\nthat makes 3 and "), _n, F.lit(" in all"))).alias("answer")))
+query("prs03_hash_marker", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.hash_answer(F.concat(F.lit("step one #### 7\nso total is "), _n(), F.lit(" #### "), _n())).alias("answer")))
+query("prs03_answer_phrase", f"SELECT {_K}, {_N} || ' units' AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.phrase_answer(F.concat(F.lit("We add.\nThe answer is "), _n(), F.lit(" units"))).alias("answer")))
+query("prs03_last_number", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.last_number(F.concat(F.lit("9 of them\nthat makes 3 and "), _n(), F.lit(" in all"))).alias("answer")))
 query("prs01_prs02_prs03_answers", f"SELECT {_K}, 'number:' || CAST(CAST(l_quantity AS BIGINT) / gcd(CAST(l_quantity AS BIGINT), 12) AS BIGINT) || '/' || CAST(12 / gcd(CAST(l_quantity AS BIGINT), 12) AS BIGINT) AS answer, 'boxed' AS method FROM lineitem")(
-    lambda s, d: _li(s, d).select(*KEY, P.answer_udf()(F.concat(F.lit("so \\fbox{1} and \\boxed{\\frac{"), _n, F.lit("}{12}}")).substr(F.lit(13), F.lit(80))).alias("x")).select(*KEY, "x.answer", "x.method")
+    lambda s, d: _li(s, d).select(*KEY, P.answer_udf()(F.concat(F.lit("so \\fbox{1} and \\boxed{\\frac{"), _n(), F.lit("}{12}}")).substr(F.lit(13), F.lit(80))).alias("x")).select(*KEY, "x.answer", "x.method")
 )
-query("prs05_prs06_generation_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.generation_udf()(F.concat(F.lit("\\boxed{} \\boxed {"), _n, F.lit("} \\boxed{0}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
-query("prs07_prs08_final_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.final_udf()(F.concat(F.lit("\\boxed{1} **Final Answer** \\boxed{"), _n, F.lit("} \\boxed{2}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
-query("prs04_box_contents", f"SELECT {_K}, '1|' || {_N} AS boxes FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, F.array_join(P.box_contents(F.concat(F.lit("\\boxed{1} \\boxed{ } \\boxed{"), _n, F.lit("}"))), "|").alias("boxes")))
-query("str14_truncate_through_answer", f"SELECT {_K}, 'a #### ' || {_N} AS answer, 'hash' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.truncate_udf()(F.concat(F.lit("a #### "), _n, F.lit("\nmore text"))).alias("x")).select(*KEY, "x.answer", "x.method"))
+query("prs05_prs06_generation_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.generation_udf()(F.concat(F.lit("\\boxed{} \\boxed {"), _n(), F.lit("} \\boxed{0}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
+query("prs07_prs08_final_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.final_udf()(F.concat(F.lit("\\boxed{1} **Final Answer** \\boxed{"), _n(), F.lit("} \\boxed{2}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
+query("prs04_box_contents", f"SELECT {_K}, '1|' || {_N} AS boxes FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, F.array_join(P.box_contents(F.concat(F.lit("\\boxed{1} \\boxed{ } \\boxed{"), _n(), F.lit("}"))), "|").alias("boxes")))
+query("str14_truncate_through_answer", f"SELECT {_K}, 'a #### ' || {_N} AS answer, 'hash' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.truncate_udf()(F.concat(F.lit("a #### "), _n(), F.lit("\nmore text"))).alias("x")).select(*KEY, "x.answer", "x.method"))
 query("prs09_prs10_final_choice", "SELECT DISTINCT l_returnflag, 'choice:' || (list_position(['A', 'N', 'R'], l_returnflag) - 1) AS choice FROM lineitem")(
     lambda s, d: _li(s, d).select("l_returnflag").distinct().select("l_returnflag", P.choices(F.concat(F.lit("maybe \\boxed{zz}, Final answer: \\boxed{("), "l_returnflag", F.lit(")}")), F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.array(F.lit("red"), F.lit("green"), F.lit("blue"))).alias("choice"))
 )

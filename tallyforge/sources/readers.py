@@ -112,4 +112,6 @@ def joined_text(parts: Column) -> Column:
 def attach_scores(rows: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """Scores by key, where every row must have one and every score a row."""
     joined = rows.join(scores.withColumn("__s", F.lit(True)), keys, "left")
-    return joined.withColumn("__s", F.when(F.col("__s").isNull(), F.raise_error(F.lit("a row without a score")).cast("boolean")).otherwise(F.col("__s"))).drop("__s")
+    # in a key, since a column that nobody reads would never be computed
+    key = F.when(F.col("__s").isNull(), F.raise_error(F.lit("a row without a score"))).otherwise(F.col(keys[0]))
+    return joined.withColumn(keys[0], key.cast(rows.schema[keys[0]].dataType)).drop("__s")

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BEST = Window.partitionBy("question_uid").orderBy(F.desc_nulls_last("rm"), "candidate_index")
-
-
 def best(df: DataFrame) -> DataFrame:
-    return df.withColumn("r", F.row_number().over(BEST)).where("r = 1").drop("r")
+    first = Window.partitionBy("question_uid").orderBy(F.desc_nulls_last("rm"), "candidate_index")
+    return df.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
 def upsert(spark: SparkSession, state: str, columns: list[str]):
