@@ -41,22 +41,25 @@ class Book:
             w = words.word_bytes((text or "").encode("utf-8", "surrogatepass"))
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 found.setdefault(tuple(w[i : i + window]), set()).update([] if name is None else [name])
-        self.phrases = list(found)
+        phrases = list(found)
+        self.size = np.array([len(p) for p in phrases], np.int64)
         self.items = [sorted(x) for x in found.values()]
-        every = sorted({x for p in self.phrases for x in p})
-        joined = np.frombuffer(b"".join(every), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(x) for x in every]))).astype(np.int64)
-        hashed = words.words(joined, at)[2]
+        every = sorted({x for p in phrases for x in p})
+        self.bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.length = np.array([len(x) for x in every], np.int64)
+        at = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
+        self.begin = at[:-1]
+        hashed = words.words(self.bytes, at)[2]
         self.letters = len(every) + 1
         order = np.argsort(hashed)
         self.hashes, self.letter_of = hashed[order], (order + 1).astype(np.int32)
         letter = {x: i + 1 for i, x in enumerate(every)}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         groups = defaultdict(list)
-        for i, p in enumerate(self.phrases):
+        for i, p in enumerate(phrases):
             groups[len(p)].append(i)
         for n, ids in sorted(groups.items()):
-            self.by_length[n] = np.array(ids), np.array([[letter[x] for x in self.phrases[i]] for i in ids], np.int64)
+            self.by_length[n] = np.array(ids), np.array([[letter[x] for x in phrases[i]] for i in ids], np.int64)
         self.shortest = min(self.by_length, default=0)
 
     def letters_of(self, h: np.ndarray) -> np.ndarray:
@@ -80,11 +83,12 @@ def long_runs(letters: np.ndarray, text_at: np.ndarray, shortest: int) -> tuple[
     return s[keep], e[keep]
 
 
-def occurrences(book: Book, letters: np.ndarray, text_at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Phrase, its length and the words at which it begins, for all phrases that occur."""
+def occurrences(book: Book, letters: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase and first word of every place where a phrase occurs."""
     s, e = long_runs(letters, text_at, book.shortest)
+    none = np.zeros(0, np.int64)
     if not len(s):
-        return
+        return none, none
     n = e - s
     begin = np.concatenate(([0], np.cumsum(n + 1)))
     text = np.zeros(int(begin[-1]), np.int32)
@@ -93,33 +97,56 @@ def occurrences(book: Book, letters: np.ndarray, text_at: np.ndarray) -> Iterato
     word_at = np.zeros(len(text), np.int64)
     word_at[where] = place
     index = FMIndex(text, book.letters)
-    for length, (ids, phrases) in book.by_length.items():
-        lo, hi = index.search(phrases)
-        for i in np.flatnonzero(lo < hi):
-            yield int(ids[i]), length, word_at[index.locate(np.arange(lo[i], hi[i]))]
+    phrases, places = [none], [none]
+    for ids, wanted in book.by_length.values():
+        lo, hi = index.search(wanted)
+        n = hi - lo
+        rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        phrases.append(np.repeat(ids, n))
+        places.append(word_at[index.locate(rows)])
+    return np.concatenate(phrases), np.concatenate(places)
+
+
+def wrong_words(book: Book, at: np.ndarray, letters: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the words at these places only share a hash with the item's word: equal hashes aren't proof."""
+    n, word = end[at] - first[at], letters[at] - 1
+    bad = n != book.length[word]
+    own = np.flatnonzero(~bad)
+    n, word = n[own], word[own]
+    begin = np.concatenate(([0], np.cumsum(n)))
+    inner = np.arange(int(begin[-1])) - np.repeat(begin[:-1], n)
+    unlike = words.LOWER[data[np.repeat(first[at[own]], n) + inner]] != book.bytes[np.repeat(book.begin[word], n) + inner]
+    if len(own):
+        bad[own] = np.add.reduceat(unlike, begin[:-1], dtype=np.int64) > 0
+    return bad
 
 
 def shard_hits(book: Book, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[tuple]], list[set]]:
     """For each text: its words, removal spans (first and end word, first and end byte) and items."""
     first, end, hashed = words.words(data, at)
     text_at = words.counts(first, at)
-    hit = np.zeros(len(first) + 1, np.int64)
+    letters = book.letters_of(hashed)
+    phrases, places = occurrences(book, letters, text_at)
+    size = book.size[phrases]
+
+    def covered() -> np.ndarray:
+        edge = np.bincount(places, minlength=len(first) + 1) - np.bincount(places + size, minlength=len(first) + 1)
+        return np.cumsum(edge)[:-1] > 0
+
+    inside = covered()
+    hit = np.flatnonzero(inside)
+    if (bad := wrong_words(book, hit, letters, data, first, end)).any():
+        before = np.zeros(len(first) + 1, np.int64)
+        before[hit[bad] + 1] = 1
+        before = np.cumsum(before)
+        true = before[places + size] == before[places]
+        phrases, places, size = phrases[true], places[true], size[true]
+        inside = covered()
     items: list[set] = [set() for _ in range(len(at) - 1)]
-    low = words.LOWER[data] if len(first) else data
-    for phrase, n, places in occurrences(book, book.letters_of(hashed), text_at):
-        want = [np.frombuffer(x, np.uint8) for x in book.phrases[phrase]]
-        true = np.ones(len(places), bool)
-        for i, w in enumerate(want):  # equal hashes aren't proof
-            a = first[places + i]
-            true &= end[places + i] - a == len(w)
-            a = np.where(true, a, 0)
-            for j, byte in enumerate(w):
-                true &= low[np.minimum(a + j, len(low) - 1)] == byte
-        places = places[true]
-        hit += np.bincount(places, minlength=len(hit)) - np.bincount(places + n, minlength=len(hit))
-        for t in np.unique(np.searchsorted(text_at, places, "right") - 1):
+    if len(places):
+        pairs = np.unique((np.searchsorted(text_at, places, "right") - 1) * len(book.items) + phrases)
+        for t, phrase in zip((pairs // len(book.items)).tolist(), (pairs % len(book.items)).tolist(), strict=True):
             items[t].update(book.items[phrase])
-    inside = np.cumsum(hit)[:-1] > 0
     edge = np.zeros(len(inside) + 1, bool)
     edge[text_at] = True
     start, stop = inside.copy(), inside.copy()
@@ -127,8 +154,9 @@ def shard_hits(book: Book, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     spans: list[list[tuple]] = [[] for _ in items]
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    for a, b, t in zip(s, e, np.searchsorted(text_at, s, "right") - 1, strict=True):
-        spans[t].append((int(a - text_at[t]), int(b - text_at[t]), int(first[a] - at[t]), int(end[b - 1] - at[t])))
+    t = np.searchsorted(text_at, s, "right") - 1
+    for k, *span in zip(t.tolist(), (s - text_at[t]).tolist(), (e - text_at[t]).tolist(), (first[s] - at[t]).tolist(), (end[e - 1] - at[t]).tolist(), strict=True):
+        spans[k].append(tuple(span))
     return np.diff(text_at), spans, items
 
 
@@ -179,19 +207,23 @@ def _scan(df: DataFrame, book: Broadcast, text: str, out: tuple[str, str, str])
     return df.mapInArrow(run, schema)
 
 
+def books(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Iterator[Broadcast]:
+    """The windows of all items, by blocks of at most BLOCK bytes or so."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
+    for k in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(Book([(x.id, x.text) for x in part.collect()], window))
+
+
 def find_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """df with n_words, spans (words and bytes to remove, merged) and items (ids as strings, sorted)."""
     spark = df.sparkSession
     common.ship(spark)
     common.small_batches(spark)
     out = tuple(common.free_name(df, x) for x in ("n_words", "spans", "items"))
-    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK))
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        book = Book([(x.id, x.text) for x in part.collect()], window)
-        df = _scan(df, spark.sparkContext.broadcast(book), text, out)
+    for book in books(benchmark, item_id, item_text, window):
+        df = _scan(df, book, text, out)
     return df
 
 
