@@ -37,11 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document of nothing else goes."""
-    found = decontaminate.find_spans(docs, common.read(spark, sf_dir, "benchmark"))
-    n_words, spans, _ = found.columns[-3:]
-    hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x.end_word - x.first_word)
-    left = decontaminate.remove_spans(found.where((hit == 0) | (hit < F.col(n_words))), spans)
-    return left.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(docs.columns)
+    kept = common.free_name(docs, "kept")
+    left = decontaminate.remove_spans(docs.withColumn(kept, F.xxhash64("text")), common.read(spark, sf_dir, "benchmark"))
+    cut = ~F.xxhash64("text").eqNullSafe(F.col(kept))
+    left = left.where(~cut | F.col("text").rlike(common.WORD))
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,25 +227,47 @@ def find_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     return df
 
 
-def remove_spans(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFrame:
-    """Each span cut out of the text; a line feed stands in its place."""
+def without_spans(book: Book, texts: list[bytes]) -> list[bytes]:
+    """Texts without their spans, a line feed in place of each; again, as long as what comes together makes a window."""
+    out, live = list(texts), list(range(len(texts)))
+    while live:
+        at = np.concatenate(([0], np.cumsum([len(out[i]) for i in live]))).astype(np.int64)
+        _, spans, _ = shard_hits(book, np.frombuffer(b"".join(out[i] for i in live), np.uint8), at)
+        changed = [(i, x) for i, x in zip(live, spans, strict=True) if x]
+        for i, found in changed:
+            edges = [0, *(k for x in found for k in x[2:]), len(out[i])]
+            out[i] = b"\n".join(out[i][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        live = [i for i, _ in changed]
+    return out
+
 
+def _cut(df: DataFrame, book: Broadcast, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column(text).to_pylist(), batch.column(spans).to_pylist()
-            for i, found in enumerate(cuts):
-                if found:
-                    raw, left, at = texts[i].encode("utf-8", "surrogatepass"), [], 0
-                    for x in found:
-                        left.append(raw[at : x["first_byte"]])
-                        at = x["end_byte"]
-                    texts[i] = b"\n".join([*left, raw[at:]]).decode("utf-8", "replace")
-            k = batch.schema.get_field_index(text)
-            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        for shard in _shards(batches, text):
+            _, spans, _ = shard_hits(book.value, *words.utf8(shard.column(text)))
+            hit = [i for i, x in enumerate(spans) if x]
+            texts = shard.column(text).to_pylist() if hit else []
+            for i, new in zip(hit, without_spans(book.value, [texts[i].encode("utf-8", "surrogatepass") for i in hit]), strict=True):
+                texts[i] = new.decode("utf-8", "replace")
+            if hit:
+                k = shard.schema.get_field_index(text)
+                shard = shard.set_column(k, shard.schema.field(k), pa.array(texts, shard.schema.field(k).type))
+            yield from shard.to_batches(max_chunksize=1024)
 
     return df.mapInArrow(run, df.schema)
 
 
+def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+    """df with all removal spans cut out of the text; texts without any stay as they are."""
+    spark = df.sparkSession
+    common.ship(spark)
+    common.small_batches(spark)
+    found = list(books(benchmark, item_id, item_text, window))
+    for book in found if len(found) == 1 else [*found, *found]:  # a cut of a later block may bring together a window of an earlier one
+        df = _cut(df, book, text)
+    return df
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_spans(docs, common.read(spark, sf_dir, "benchmark"))
