@@ -26,20 +26,22 @@ class Encoder:
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
+        with open(path) as f:
+            self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
         self.fast, ranks = None, path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
-            with open(path) as f:
-                special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+            self.fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=self.special)
 
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and (text.isascii() or not _FAR.search(text)):
             try:
+                if not any(x in text for x in self.special):
+                    return self.fast.encode_ordinary(text)  # half as fast again as with a search for special strings
                 return self.fast.encode(text, allowed_special="all")
             except BaseException as e:  # a panic of the native encoder on an odd text isn't an Exception
                 if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit):

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        at, stop = begin[part], begin[part + 1]
+        at, stop, press = begin[part], begin[part + 1], zstandard.ZstdCompressor(level=1, write_checksum=False, write_dict_id=False)
         for batch in batches:
             head, body = [], []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -92,7 +93,7 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
                 for a in range(0, len(ids), size):
                     piece = ids[a : a + size]
                     head.append((0, NO_ID if doc is None else doc, a, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
-                    body.append(zlib.compress(piece.astype(kind).tobytes(), 1))
+                    body.append(press.compress(piece.astype(kind).tobytes()))
             heads = np.array(head, HEAD)
             heads["slot"] = feistel(np.arange(at, at + len(head)), n, key)
             at += len(head)
@@ -102,8 +103,9 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
             raise RuntimeError(f"partition {part} had {stop - begin[part]} sequences when they were counted and has {at - begin[part]} now")
 
     def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            full = [r[: HEAD.itemsize] + zlib.decompress(r[HEAD.itemsize :]).ljust(width, b"\0") for r in batch.column(1).to_pylist()]
+            full = [r[: HEAD.itemsize] + press.decompress(r[HEAD.itemsize :]).ljust(width, b"\0") for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"record": pa.array(full, pa.binary())})
 
     shards = -(-n // slots)
