@@ -1,17 +1,19 @@
 """Training-order materialisation: fixed-stride binary shards in the order of a keyed permutation.
 
-Every document's ids (with the end id) are cut into sequences of ``size`` tokens. Sequence number i of N goes to slot P(i),
-where P is a keyed Feistel network over the next even power of two, walked along its cycles until it lands below N. Slots are
-cut into ranges of ``slots``; each range is one shard file of records of equal length, written by Spark's own committer:
+Every document's ids (with the end id) are cut into sequences of ``size`` tokens. A document of n bytes has at most
+ceil((n + 1) / size) of them, since a token has a byte or more; so many numbers are set aside for it, M for all documents. P is a
+keyed Feistel network over the next even power of two, walked along its cycles until it lands below M. Sequence number i comes
+at P(i); unused numbers are skipped, so a sequence's slot is how many sequences come before it. Ranges of ``width`` values of P
+are the partitions; each writes one shard file of records of equal length by Spark's own committer, in order:
 
-    slot, document id, start in the document (int64 each), tokens, CRC-32 (uint32 each), ids (little endian, zero padded), \\n
+    P(i), document id, start in the document (int64 each), tokens, CRC-32 (uint32 each), ids (little endian, zero padded), \\n
 
-so slot s stands in shard s // slots at byte (s % slots) * stride, and a reader resumes anywhere by one seek.
+A shard's first slot follows from the lengths of the files before it, and slot s stands (s - first) strides into its shard: a
+reader resumes anywhere by one seek.
 
-Numbers come from two passes over the same partitions: the first counts each partition's sequences (a number for each
-partition goes to the driver), the second numbers them from there, writes them out, and fails if it counts otherwise. An
-input that isn't a plain scan is first written to the shared folder, so that its partitions stay what they were. Tokenizing
-twice takes less disk than keeping the ids between the passes. Ids are compressed while they are shuffled.
+Texts are tokenized once. Before that, bytes are summed by partition (a number for each partition goes to the driver); the
+pass that writes fails if it meets other sums. An input that isn't a plain scan is first written to the shared folder, so that
+its partitions stay what they were. Ids are compressed while they are shuffled.
 
 Cases: a null or empty text is one sequence of the end id; a null document id is written as the least int64 and read as null;
 repeated rows are sequences of their own; an empty table writes no shard.
@@ -19,6 +21,7 @@ repeated rows are sequences of their own; an empty table writes no shard.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 from . import common
 from .packing import vocabulary
 from .tokens import encoder
+from .words import utf8
 
 NO_ID = -(2**63)
-HEAD = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<u4"), ("ids_crc32", "<u4")])
+HEAD = np.dtype([("order", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<u4"), ("ids_crc32", "<u4")])
 
 
 def feistel(i: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -55,19 +59,11 @@ def feistel(i: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _count(df: DataFrame, path: str, size: int, end: int) -> list[int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, n = encoder(path), 0
-        for batch in batches:
-            for t in batch.column(1):
-                n += -(-(len(enc.ids(t.as_py() or "")) + 1) // size)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    found = {x.part: x.n for x in df.mapInArrow(run, "part int, n bigint").collect()}
-    return [found.get(k, 0) for k in range(max(found, default=-1) + 1)]
+def bound(n_bytes: np.ndarray, size: int) -> np.ndarray:
+    return -(-(n_bytes + 1) // size)
 
 
-def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int = 2, key: int = 20240229, slots: int = 32768, doc_id: str = "doc_id", text: str = "text") -> dict:
+def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int = 2, key: int = 20240229, width: int = 65536, doc_id: str = "doc_id", text: str = "text") -> dict:
     """Writes the shards to out; returns how to read them."""
     spark = df.sparkSession
     common.ship(spark)
@@ -75,78 +71,93 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
     rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     if df._jdf.queryExecution().sparkPlan().collectLeaves().size() != 1 or "FileScan" not in (plan := df._jdf.queryExecution().executedPlan().toString()) or "Exchange" in plan:
         rows = common.kept(rows, "training-order-input")
-    per = _count(rows, path, size, end)
-    begin, n = np.concatenate(([0], np.cumsum(per))).astype(np.int64).tolist(), sum(per)
+    sums = rows.select(F.spark_partition_id().alias("part"), F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / size).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    per = {x.part: x.n for x in sums.collect()}
+    begin = np.concatenate(([0], np.cumsum([per.get(k, 0) for k in range(max(per, default=-1) + 1)]))).astype(np.int64).tolist()
+    m = begin[-1]
     kind = "<u2" if encoder(path).exact.get_vocab_size() <= 1 << 16 else "<u4"
-    width = size * np.dtype(kind).itemsize
-    how = {"size": size, "slots": slots, "stride": HEAD.itemsize + width + 1, "kind": kind, "n": n}
-    if not n:
+    payload = size * np.dtype(kind).itemsize
+    how = {"size": size, "stride": HEAD.itemsize + payload + 1, "kind": kind, "first": [], "n": 0}
+    if not m:
         return how
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        at, stop, press = begin[part], begin[part + 1], zstandard.ZstdCompressor(level=1, write_checksum=False, write_dict_id=False)
+        at, stop, press = begin[part], begin[part + 1] if part + 1 < len(begin) else m, zstandard.ZstdCompressor(level=1, write_checksum=False, write_dict_id=False)
         for batch in batches:
             head, body = [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            _, byte_at = utf8(batch.column(1))
+            number = at + np.concatenate(([0], np.cumsum(bound(np.diff(byte_at), size))))
+            for doc, t, first in zip(batch.column(0).to_pylist(), batch.column(1), number.tolist(), strict=False):
                 ids = enc.array(t.as_py() or "", end)
-                for a in range(0, len(ids), size):
+                for k, a in enumerate(range(0, len(ids), size)):
                     piece = ids[a : a + size]
-                    head.append((0, NO_ID if doc is None else doc, a, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
+                    head.append((first + k, NO_ID if doc is None else doc, a, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
                     body.append(press.compress(piece.astype(kind).tobytes()))
+            at = int(number[-1])
             heads = np.array(head, HEAD)
-            heads["slot"] = feistel(np.arange(at, at + len(head)), n, key)
-            at += len(head)
+            heads["order"] = feistel(heads["order"], m, key)
             raw = heads.tobytes()
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(heads["slot"]), "record": pa.array([raw[i * HEAD.itemsize : (i + 1) * HEAD.itemsize] + b for i, b in enumerate(body)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"order": pa.array(heads["order"].copy()), "record": pa.array([raw[i * HEAD.itemsize : (i + 1) * HEAD.itemsize] + b for i, b in enumerate(body)], pa.binary())})
         if at != stop:
-            raise RuntimeError(f"partition {part} had {stop - begin[part]} sequences when they were counted and has {at - begin[part]} now")
+            raise RuntimeError(f"partition {part} ends at number {at}, not at {stop} as when bytes were summed")
 
     def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            full = [r[: HEAD.itemsize] + press.decompress(r[HEAD.itemsize :]).ljust(width, b"\0") for r in batch.column(1).to_pylist()]
+            full = [r[: HEAD.itemsize] + press.decompress(r[HEAD.itemsize :]).ljust(payload, b"\0") for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"record": pa.array(full, pa.binary())})
 
-    shards = -(-n // slots)
-    numbered = rows.mapInArrow(run, "slot bigint, record binary")
-    dealt = numbered.repartitionById(shards, F.floor(F.col("slot") / slots).cast("int")).sortWithinPartitions("slot")
+    numbered = rows.mapInArrow(run, "order bigint, record binary")
+    dealt = numbered.repartitionById(-(-m // width), F.floor(F.col("order") / width).cast("int")).sortWithinPartitions("order")
     # the text writer writes a record's bytes as they are and a line feed after each
     dealt.mapInArrow(padded, "record binary").select(F.col("record").cast("string").alias("value")).write.text(out)
-    return how
+    first = 0
+    for _, length in sorted((shard_of(x.path), x.length) for x in spark.read.format("binaryFile").load(f"{out}/part-*").select("path", "length").collect()):  # a row for each shard
+        how["first"].append(first)
+        first += length // how["stride"]
+    return how | {"n": first}
+
+
+def shard_of(path: str) -> int:
+    return int(re.search(r"part-(\d+)[^/]*$", path)[1])
 
 
 def read_shards(spark: SparkSession, out: str, how: dict) -> DataFrame:
-    """slot, shard, offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record, read from the files."""
-    stride, slots, kind, width = how["stride"], how["slots"], how["kind"], how["stride"] - HEAD.itemsize - 1
-    schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, start bigint, n_tokens int, ids_crc32 bigint, ids array<int>"
+    """slot, shard (in order), offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record, read from the files."""
+    stride, kind = how["stride"], how["kind"]
+    schema = "slot bigint, shard int, offset bigint, doc_id bigint, start bigint, n_tokens int, ids_crc32 bigint, ids array<int>"
     if not how["n"]:
         return spark.createDataFrame([], schema)
     common.ship(spark)
+    files = spark.read.format("binaryFile").load(f"{out}/part-*")
+    names = sorted(shard_of(x.path) for x in files.select("path").collect())
+    known = spark.sparkContext.broadcast({n: (i, f) for i, (n, f) in enumerate(zip(names, how["first"], strict=True))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.dtype([("head", HEAD), ("ids", kind, (width // np.dtype(kind).itemsize,)), ("end", "S1")])
+        whole = np.dtype([("head", HEAD), ("ids", kind, (how["size"],)), ("end", "S1")])
         for batch in batches:
-            for content in batch.column(0):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard, first = known.value[shard_of(path)]
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
                 if len(raw) % stride:
                     raise ValueError(f"a shard has {len(raw)} bytes, which isn't a multiple of {stride}")
                 found = raw.view(whole)
                 for lo in range(0, len(found), 1024):
                     part = found[lo : lo + 1024]
-                    h, n = part["head"], part["head"]["n_tokens"].astype(np.int64)
+                    h, n, place = part["head"], part["head"]["n_tokens"].astype(np.int64), np.arange(lo, lo + len(part))
                     doc = h["doc_id"].copy()
                     flat = part["ids"][np.arange(part["ids"].shape[1]) < n[:, None]].astype(np.int32)
                     yield pa.RecordBatch.from_pydict({
-                        "slot": pa.array(h["slot"].copy()), "shard": pa.array(h["slot"] // slots), "offset": pa.array(h["slot"] % slots * stride), "doc_id": pa.array(doc, mask=doc == NO_ID), "start": pa.array(h["start"].copy()),
+                        "slot": pa.array(first + place), "shard": pa.array(np.full(len(part), shard, np.int32)), "offset": pa.array(place * stride), "doc_id": pa.array(doc, mask=doc == NO_ID), "start": pa.array(h["start"].copy()),
                         "n_tokens": pa.array(n.astype(np.int32)), "ids_crc32": pa.array(h["ids_crc32"].astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)),
                     })
 
-    return spark.read.format("binaryFile").load(f"{out}/part-*").select("content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def op7_training_order(spark, sf_dir: str) -> DataFrame:
-    """The shards' records as read back from the files, with the CRC-32 of the ids that were read."""
+    """The shards' records as read back from the files."""
     out = common.scratch(spark, "shards")
     how = write_shards(common.read(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
     return read_shards(spark, out, how).drop("ids")

@@ -149,7 +149,7 @@ def test_feistel_is_a_permutation(n, key):
 def test_shards_round_trip(spark, tmp_path):
     rows = ODD + [(100 + i, prose(i, i * 5), "en") for i in range(60)]
     docs = clashing(table(spark, rows)).repartition(5)  # no plain scan: it is written out first
-    how = training_order.write_shards(docs, str(tmp_path / "shards"), BYTE, size=128, slots=50)
+    how = training_order.write_shards(docs, str(tmp_path / "shards"), BYTE, size=128, width=50)
     got = training_order.read_shards(spark, str(tmp_path / "shards"), how).collect()
     assert sorted(x.slot for x in got) == list(range(how["n"]))
     exact = Tokenizer.from_file(BYTE)
@@ -161,16 +161,18 @@ def test_shards_round_trip(spark, tmp_path):
     for x in got:
         have[x.doc_id, x.start, tuple(x.ids)] += 1
         assert x.n_tokens == len(x.ids) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
-        assert x.shard == x.slot // 50 and x.offset == x.slot % 50 * how["stride"]
+        assert x.offset == (x.slot - how["first"][x.shard]) * how["stride"]
     assert have == want
     files = sorted((tmp_path / "shards").glob("part-*"))
-    assert len(files) == -(-how["n"] // 50) and all(f.stat().st_size == how["stride"] * 50 for f in files[:-1])
+    assert sum(f.stat().st_size for f in files) == how["stride"] * how["n"] and len(files) == len(how["first"])
+    order = [np.frombuffer(f.read_bytes(), np.uint8).reshape(-1, how["stride"])[:, :8].copy().view("<i8").ravel() for f in files]
+    assert all((np.diff(np.concatenate(order)) > 0).tolist()) and all(len({int(v) // 50 for v in o}) <= 1 for o in order)
     one = got[7]
     with open(files[one.shard], "rb") as f:  # any slot by one seek
         f.seek(one.offset)
         head = np.frombuffer(f.read(training_order.HEAD.itemsize), training_order.HEAD)[0]
-        assert head["slot"] == one.slot and np.frombuffer(f.read(256), "<u2")[: one.n_tokens].tolist() == one.ids
-    again = training_order.write_shards(docs, str(tmp_path / "again"), BYTE, size=128, slots=50)
+        assert head["start"] == one.start and np.frombuffer(f.read(256), "<u2")[: one.n_tokens].tolist() == one.ids
+    again = training_order.write_shards(docs, str(tmp_path / "again"), BYTE, size=128, width=50)
     assert again == how
 
 
