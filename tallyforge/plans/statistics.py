@@ -199,10 +199,6 @@ query("sel23_beta_curve", f"WITH {SQL_EV}, e AS (SELECT *, round(rm + beta * (s2
 _REGS = {0.001: MODELS, 0.01: [MODELS[0]] * 3, 0.1: [MODELS[1]] * 3, 1.0: [MODELS[2]] * 3, 10.0: [[w * 0.1 for w in MODELS[0]]] * 3}
 
 
-def _small(s, d):
-    return LI(s, d).where("question_uid % 20 = 0")
-
-
 query("sel17_config_grid_100")(lambda s, d: learn.grid(LI(s, d), _REGS, [0.0, 0.25, 0.5, 1.0, 2.0], [0.0, 0.1, 0.25, 0.5]))
 query("sel17_config_choice")(lambda s, d: learn.choose(learn.grid(LI(s, d), _REGS, [0.0, 0.25, 0.5, 1.0, 2.0], [0.0, 0.1, 0.25, 0.5])))
 query("sel20_grid_verification")(lambda s, d: (g := learn.grid(LI(s, d), _REGS, [0.0, 1.0], [0.0, 0.25])) and learn.verify_choice(g, learn.choose(g)))
@@ -247,8 +243,8 @@ _REC = lambda s, d: metrics.question_outcomes(select.majority_scores(LI(s, d)).w
 query("bst01_bst03_bst04_bst05_bootstrap_interval")(lambda s, d: resample.interval(resample.bootstrap(s, _REC(s, d), ["top1_delta", "strict"], {"damage_rate": ("damage", "raw_correct")}, 200, 11), "top1_delta"))
 query("bst02_macro_bootstrap")(lambda s, d: resample.interval(resample.macro_bootstrap(s, [_REC(s, d).where(F.col("question_uid") % 3 == i) for i in range(3)], ["top1_delta"], {}, 100, 13), "top1_delta"))
 query("bst06_pair_bootstrap")(lambda s, d: resample.interval(resample.bootstrap(s, _REC(s, d).where("strict IS NOT NULL"), ["strict"], {}, 100, 17), "strict"))
-query("smp04_lrn01_lrn02_ranker_fit")(lambda s, d: s.createDataFrame([(select.FEATURES[i], float(w)) for i, w in enumerate(learn.fit_ranker(learn.pair_differences(_small(s, d), 3), 0.01))], "feature string, weight double"))
-query("sel33_learned_ranking_pass")(lambda s, d: (m := [learn.fit_ranker(learn.pair_differences(_small(s, d), k), 0.01).tolist() for k in (1, 2, 3)]) and select.fused_scores(LI(s, d).drop("label").withColumn("label", F.lit(None).cast("int")), m, 0.5, 0.1).select("question_uid", "candidate_index", "score"))
+query("smp04_lrn01_lrn02_ranker_fit")(lambda s, d: s.createDataFrame([(select.FEATURES[i], float(w)) for i, w in enumerate(learn.fit_ranker(learn.pair_differences(LI(s, d), 3), 0.01))], "feature string, weight double"))
+query("sel33_learned_ranking_pass")(lambda s, d: (m := [learn.fit_ranker(learn.pair_differences(LI(s, d), k), 0.01).tolist() for k in (1, 2, 3)]) and select.fused_scores(LI(s, d).drop("label").withColumn("label", F.lit(None).cast("int")), m, 0.5, 0.1).select("question_uid", "candidate_index", "score"))
 query("bud05_exact_subsets", f"WITH {SQL_LI}, q AS (SELECT question_uid FROM v GROUP BY 1 HAVING count(*) BETWEEN 4 AND 16), k AS (SELECT v.*, row_number() OVER (PARTITION BY question_uid {BEST}) - 1 AS r, count(*) OVER (PARTITION BY question_uid) AS n FROM v JOIN q USING (question_uid)) SELECT question_uid, round(sum(CASE WHEN label = 1 THEN list_product(list_concat([1.0], list_transform(range(0, 3), lambda i: greatest(n - r - 1 - i, 0) / (n - 1 - i)))) * 4 / n ELSE 0 END), 6) + 0.0 AS raw FROM k GROUP BY 1")(
     lambda s, d: resample.exact_subsets(LI(s, d), 4).select("question_uid", "raw")
 )
