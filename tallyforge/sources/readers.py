@@ -21,7 +21,9 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def tolerant_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records, and a column _bad that holds the text of a line which isn't one."""
-    return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(parsed.alias("x")).select("x.*")
 
 
 def invalid_count(df: DataFrame) -> DataFrame:

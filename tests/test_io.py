@@ -77,3 +77,42 @@ def test_stream_of_scores_keeps_the_best(spark, tmp_path):
     q.awaitTermination(120)
     assert {(x.question_uid, x.candidate_index) for x in spark.read.parquet(f"{state}/version=2").collect()} == {("a", 1), ("b", 0)}
     assert upsert.windowed_counts(stream.withColumn("ts", F.current_timestamp()), "ts", "question_uid").isStreaming
+
+
+def test_model_contracts(spark):
+    from tallyforge.operators import models
+
+    def small_memory():
+        def score(texts):
+            if len(texts) > 3:
+                raise MemoryError
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(20)], "k int, t string")
+    assert {x.k: x.score for x in models.score_texts(df, "t", small_memory, 8).collect()} == {i: float(i) for i in range(20)}
+    with pytest.raises(Exception, match="finite"):
+        models.score_texts(df, "t", lambda: lambda texts: [float("nan")] * len(texts)).collect()
+    head = models.TrajectoryHead(np.array([1.0, -1.0]), 0.0, (np.zeros((1, 5)), np.zeros(1), np.zeros(1), 0.0), (np.zeros((1, 5)), np.zeros(1), np.zeros(1), 0.0), (1.0, 2.0), (0.0, 1.0), (0.0, 1.0), 1.0)
+    assert head.score(np.array([[1.0, 2.0]]), 3.0, 5) == {"score": 1.0, "trajectory": 0.0, "alpha": 1.0}
+    got = head.score(np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]]), 1.0, 5)
+    assert got["alpha"] == 0.5 and got["trajectory"] == pytest.approx((4 * 0.5 + 0) / (1.0 + 1e-6), rel=1e-3) and got["score"] == pytest.approx(got["trajectory"] / 2)
+    assert models.token_places([3, 8, 9], [(0, 3), (4, 8)]) == [0, 1, -1]
+    q = spark.createDataFrame([(1, "p"), (2, "q")], "question_uid int, problem string")
+    made = models.generate(q, lambda: lambda p, s: f"{p}{s % 2}", 8)
+    again = models.recover(made, F.nullif(F.regexp_extract("solution_text", "([1])$", 1), F.lit("")), lambda: lambda p, s: f"{p}{s % 2}").collect()
+    assert len(again) == 16 and all(x.solution_text.endswith("1") for x in again) and {x.stage for x in again} == {"primary", "recovery"}
+    assert all((x.stage == "recovery") == x.primary_solution_text.endswith("0") for x in again)
+
+
+def test_nll_stats_and_probes(spark):
+    from tallyforge.operators import models
+
+    v = [float(i * i % 7) for i in range(13)]
+    x = spark.createDataFrame([(v,)], "v array<double>").select(models.nll_stats(F.col("v")).alias("x")).first().x
+    assert tuple(x) == pytest.approx((np.mean(v), np.quantile(v, 0.9), max(v), np.mean(v[-8:]), np.std(v)))
+    rng = np.random.default_rng(0)
+    rows = [(k, q, int(y), [float(y if k else 0) + rng.normal() * 0.1, rng.normal()]) for k in range(2) for q in range(30) for y in (0, 1, 0, 1)]
+    acc = {(r.layer, r.fold): r.accuracy for r in models.layer_probes(spark.createDataFrame(rows, "layer int, question_uid int, label int, v array<double>")).collect()}
+    assert all(acc[1, f] > 0.99 for f in range(5)) and max(acc[0, f] for f in range(5)) < 0.9
