@@ -6,9 +6,9 @@ A-Z lower-cased; it is held as two 64-bit hashes, so that as many lines as there
 id that has them.
 
 Plan: (key, id) pairs are made distinct before they meet (partial aggregates, then by key and id, then by key), so that a
-line that all documents share is a few rows for each task. Frequent keys join the line places by key; a hot key's places are
-split by AQE, as that join's output needs no order. Of these only places to drop go on, as one array for each document,
-which a join by row key brings to the text. Texts move once; lines never do.
+line that all documents share is a few rows for each task. Frequent keys join the line places by key and one of ``SALTS``
+salts (a hash of the document), so a hot key's places meet in as many tasks. Of these only places to drop go on, as one array
+for each document, which a join by row key brings to the text. Texts move once; lines never do.
 
 Cases: a null or empty text is one empty line; a row whose id is null counts as no document and keeps its lines; rows that
 repeat an id count as one document and are each answered (rows equal in id and text alike); an empty table gives none.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+SALTS = 16
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -41,9 +42,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
         .select("row", F.explode("lines").alias("line"))
         .select(F.col("row.id").alias("id"), F.col("row.a").alias("a"), F.col("row.b").alias("b"), "line.x", "line.y", "line.at")
     )
-    often = places.groupBy("x", "y").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("x", "y", "keeper")
+    often = places.groupBy("x", "y").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("x", "y", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     drops = (
-        places.join(often, ["x", "y"]).where(F.col("id") != F.col("keeper"))
+        places.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(often, ["x", "y", "salt"]).where(F.col("id") != F.col("keeper"))
         .groupBy(F.col("id").alias(doc_id), F.col("a").alias(key_a), F.col("b").alias(key_b)).agg(F.collect_set("at").alias(drop))
     )
     keyed = df.withColumns({key_a: F.xxhash64(whole), key_b: F.xxhash64(F.lit(7), whole)})
