@@ -6,8 +6,9 @@ candidate is given up when its partial squared distance times D/d exceeds the qu
 (1 + eps/sqrt(d))^2, a test that a true neighbour fails with small probability as a random rotation spreads distance evenly.
 What survives all blocks is measured exactly, on the original vectors in double precision.
 
-A list of more than ``CHUNK`` vectors is dealt to several tasks by a hash, and the queries that probe it go to each, so no
-list has to fit one task. Every task gives k candidates for a query; k windows merge them. Centres, rotation and list sizes
+A list's vectors are dealt by a hash to chunks of about ``CHUNK``, the queries that probe it to blocks of about ``QUERIES``, and
+each chunk meets each block in a group of its own, so no list has to fit one task. Every group gives k candidates for a query,
+and a window merges them. Centres, rotation and list sizes
 are small (at most ``LISTS``) and are broadcast; vectors and queries are shuffled.
 
 Cases: vectors that are null, all zero, of another length than most, or with a null or non-finite component take no part;
@@ -29,6 +30,7 @@ from . import common
 SAMPLE = 20_000
 LISTS = 4096
 CHUNK = 8192
+QUERIES = 8192
 BLOCK = 512
 
 
@@ -141,35 +143,40 @@ def search(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
     count = np.zeros(len(centres), np.int64)
     for x in have.groupBy("list").count().collect():  # a row for each list
         count[x["list"]] = x["count"]
-    chunks = -(-np.maximum(count, 1) // CHUNK)
-    known = spark.sparkContext.broadcast((count, chunks))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            of = b["list"].to_numpy()
-            salt = (b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield pd.DataFrame({"list": of, "chunk": (salt % known.value[1][of]).astype(np.int32), "vec_id": b["vec_id"], "v": b["v"], "block": np.int32(0), "asks": False})
-
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             near = np.argsort(distances(np.stack(b["v"].to_numpy()), shared.value[0]), 1, kind="stable")
-            held = np.cumsum(known.value[0][near], 1)
+            held = np.cumsum(count_of.value[near], 1)
             wanted = np.maximum(probes, (held < least).sum(1) + 1).clip(max=near.shape[1])
             at, rank = np.nonzero(np.arange(near.shape[1]) < wanted[:, None])
-            of = near[at, rank]
-            every = np.repeat(np.arange(len(of)), known.value[1][of])
-            chunk = np.arange(len(every)) - np.repeat(np.cumsum(known.value[1][of]) - known.value[1][of], known.value[1][of])
-            at, of = at[every], of[every]
-            yield pd.DataFrame({"list": of.astype(np.int32), "chunk": chunk.astype(np.int32), "vec_id": b["vec_id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "block": np.int32(0), "asks": True})
-
-    form = "list int, chunk int, vec_id bigint, v array<double>, block int, asks boolean"
-    # blocks of queries: however many probe one chunk, a task holds a bounded number of them
-    spread = F.when(F.col("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // 2_000_000)))).otherwise(0).cast("int")
-    blocks = max(1, n // 2_000_000)
-    asked = have.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInPandas(ask, form).withColumn("block", spread)
-    stored = have.select("vec_id", "v", "list").mapInPandas(deal, form).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            yield pd.DataFrame({"list": near[at, rank].astype(np.int32), "vec_id": b["vec_id"].to_numpy()[at], "v": b["v"].to_numpy()[at]})
+
+    count_of = spark.sparkContext.broadcast(count)
+    probing = common.kept(have.where("asks").select("vec_id", "v").dropDuplicates(["vec_id"]).mapInPandas(ask, "list int, vec_id bigint, v array<double>"), "ann-probes")
+    asks = np.zeros(len(centres), np.int64)
+    for x in probing.groupBy("list").count().collect():  # a row for each list
+        asks[x["list"]] = x["count"]
+    # a list's vectors in chunks, its queries in blocks: each pair of a chunk and a block is one group of bounded size
+    chunks, blocks = -(-np.maximum(count, 1) // CHUNK), -(-np.maximum(asks, 1) // QUERIES)
+    known = spark.sparkContext.broadcast((chunks, blocks))
+
+    def deal(own: int, other: int, flag: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                of = b["list"].to_numpy()
+                salt = (b["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                copies = known.value[other][of]
+                at = np.repeat(np.arange(len(of)), copies)
+                parts = {own: (salt % known.value[own][of])[at], other: np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)}
+                yield pd.DataFrame({"list": of[at], "chunk": parts[0].astype(np.int32), "block": parts[1].astype(np.int32), "vec_id": b["vec_id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "asks": flag})
+
+        return run
+
+    form = "list int, chunk int, block int, vec_id bigint, v array<double>, asks boolean"
+    stored = have.select("list", "vec_id", "v").mapInPandas(deal(0, 1, False), form)
+    asked = probing.mapInPandas(deal(1, 0, True), form)
 
     def both(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, q = group[~group["asks"]].drop_duplicates("vec_id"), group[group["asks"]]

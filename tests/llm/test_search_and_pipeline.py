@@ -84,10 +84,14 @@ def test_ann_few_and_none(spark):
 
 def test_ann_splits_a_long_list(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 64)
+    monkeypatch.setattr(ann, "QUERIES", 16)
     x = np.tile(np.arange(8, dtype=float), (500, 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     got = ann.search(df, F.col("vec_id") == 100).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(10)) and {r.score for r in got} == {0.0}
+    got = ann.search(df, F.col("vec_id") % 5 == 0).collect()
+    by = {q: sorted((r.rank, r.vec_id) for r in got if r.query_id == q) for q in range(0, 500, 5)}
+    assert all([i for _, i in v] == [i for i in range(11) if i != q][:10] for q, v in by.items())
 
 
 # Jaccard join
