@@ -127,3 +127,28 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", slack: int =
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(common.read(spark, sf_dir, "documents")).drop("spans")
+
+
+def _sql() -> str:
+    """The same by comparing words, not hashes."""
+    rows = ",\n  ".join(f"({i}, '{label}', {str(base).upper()}, {SHORT if base else LONG}, string_split('{text}', ' '))" for i, (text, label, base) in enumerate([(*x, True) for x in PHRASES] + [(*x, False) for x in NOTICES]))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(template, label, base, k, tw) AS (VALUES
+  {rows}),
+tg AS (SELECT template, label, base, k, n_grams, t_at, array_to_string(tw[t_at + 1:t_at + k], ' ') AS g FROM (SELECT *, len(tw) - k + 1 AS n_grams, unnest(range(0, len(tw) - k + 1)) AS t_at FROM t)),
+dg AS (SELECT doc_id, k, p, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (VALUES ({SHORT}), ({LONG})) x(k) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT doc_id, template, label, base, n_grams, t_at, p - t_at AS diagonal FROM dg JOIN tg USING (k, g)),
+diag AS (SELECT DISTINCT doc_id, template, base, diagonal FROM hit),
+sp AS (SELECT doc_id, template, diagonal, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
+  FROM (SELECT *, CASE WHEN base OR lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) IS NULL OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS fresh FROM diag)),
+m AS (SELECT doc_id, template, span, any_value(label) AS label, any_value(base) AS base, any_value(n_grams) AS n_grams, count(DISTINCT t_at) AS cover, min(diagonal) AS diagonal FROM hit JOIN sp USING (doc_id, template, diagonal) GROUP BY 1, 2, 3),
+f AS (SELECT *, base AND cover = n_grams AS phrase, NOT base AND cover / n_grams >= 0.8 AS notice FROM m)
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, count(*) FILTER (phrase) AS n_base, CAST(min(diagonal) FILTER (phrase) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (phrase) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase OR notice), '') AS labels,
+  coalesce(max(CASE WHEN phrase THEN 1.0::DOUBLE WHEN NOT base THEN cover / n_grams END), 0.0::DOUBLE) AS score
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+OP1_SQL = _sql()

@@ -6,9 +6,9 @@ from .ann import op8_ann
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .html_text import op6_html_extraction
 from .language_id import op2_language_id
-from .license_scan import op1_license_scan
+from .license_scan import OP1_SQL, op1_license_scan
 from .line_dedup import OP5_SQL, op5_line_dedup
-from .ngram_join import op9_ngram_jaccard_join
+from .ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from .packing import op4_best_fit_packing
 from .token_counts import op10_token_counts
 from .training_order import op7_training_order
@@ -20,4 +20,4 @@ QUERIES = {
         op6_html_extraction, op7_training_order, op8_ann, op9_ngram_jaccard_join, op10_token_counts,
     )
 }
-SQL = {"op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL}
+SQL = {"op1_license_scan": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_line_dedup": OP5_SQL, "op9_ngram_jaccard_join": OP9_SQL}

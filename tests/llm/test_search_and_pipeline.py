@@ -233,7 +233,7 @@ def test_pipeline_stages_on_odd_rows(spark, tables, empty):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["op1_license_scan", "op2_language_id", "op4_best_fit_packing", "op6_html_extraction", "op7_training_order", "op8_ann", "op9_ngram_jaccard_join", "op10_token_counts"])
+@pytest.mark.parametrize("name", ["op2_language_id", "op4_best_fit_packing", "op6_html_extraction", "op7_training_order", "op8_ann", "op10_token_counts"])
 def test_queries_run(spark, name):
     from tallyforge.llm import registry
 
@@ -241,7 +241,7 @@ def test_queries_run(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op3_decontaminate", "op5_line_dedup", "op9_ngram_jaccard_join"])
 def test_queries_match_their_sql(spark, name):
     from tallyforge.llm import registry
     from tests.oracle import difference
