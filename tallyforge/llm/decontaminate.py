@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common, words
 from .fm_index import FMIndex
 
-SHARD = 16_000_000
+SHARD = 6_000_000
 BLOCK = 64_000_000
 SPANS = "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>"
 
@@ -245,13 +246,12 @@ def _cut(df: DataFrame, book: Broadcast, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, text):
             _, spans, _ = shard_hits(book.value, *words.utf8(shard.column(text)))
-            hit = [i for i, x in enumerate(spans) if x]
-            texts = shard.column(text).to_pylist() if hit else []
-            for i, new in zip(hit, without_spans(book.value, [texts[i].encode("utf-8", "surrogatepass") for i in hit]), strict=True):
-                texts[i] = new.decode("utf-8", "replace")
-            if hit:
-                k = shard.schema.get_field_index(text)
-                shard = shard.set_column(k, shard.schema.field(k), pa.array(texts, shard.schema.field(k).type))
+            hit = np.array([bool(x) for x in spans])
+            if hit.any():
+                k, old = shard.schema.get_field_index(text), shard.column(text).combine_chunks()
+                new = without_spans(book.value, [old[i].as_py().encode("utf-8", "surrogatepass") for i in np.flatnonzero(hit).tolist()])
+                new = pa.array([x.decode("utf-8", "replace") for x in new], old.type)
+                shard = shard.set_column(k, shard.schema.field(k), pc.replace_with_mask(old, pa.array(hit), new))
             yield from shard.to_batches(max_chunksize=1024)
 
     return df.mapInArrow(run, df.schema)

@@ -16,7 +16,7 @@ _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)[LOWER]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that are tokenized at once; the temporary arrays take about forty times as much.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 def _powers(n: int) -> np.ndarray:
