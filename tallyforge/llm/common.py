@@ -52,9 +52,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: later steps neither recompute it nor lose it with an executor."""
-    at = scratch(df.sparkSession, name)
+    at = at or scratch(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -29,6 +29,8 @@ from .words import _GRAM, mix
 UNKNOWN = "und"
 #: Code points that are scored at once.
 SLICE = 1_000_000
+#: Characters of all languages' samples together, which are collected.
+TOTAL = 64_000_000
 
 
 def letter_table() -> np.ndarray:
@@ -187,12 +189,15 @@ class Model:
 
 
 def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, train_docs: int = 1000, train_chars: int = 2_000_000, z: float = 10.0) -> Model:
-    """Languages are counted over all rows; of each, train_docs documents at most are collected, and train_chars characters in all."""
+    """Languages are counted over all rows; of each, train_docs documents at most are collected, and train_chars characters in all
+    (fewer with more than 32 languages: TOTAL is shared out)."""
     rows = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(11), F.col(key).cast("string")).alias("draw"), F.col(text).alias("text"))
     count = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # a draw below the share that gives half as many again as are wanted: so the sort below sees few rows
     share = F.least(F.lit(1.0), F.lit(1.5 * train_docs) / F.col("n") + 200 / F.col("n"))
-    few = rows.join(F.broadcast(count) if count.count() < 10_000 else count, "lang").where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
+    languages = count.count()
+    train_chars = max(1, min(train_chars, TOTAL // max(languages, 1)))
+    few = rows.join(F.broadcast(count) if languages < 10_000 else count, "lang").where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(12), "draw"), "draw", F.length("text"))
     chars = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     picked = few.withColumn("r", F.row_number().over(by)).withColumn("before", F.coalesce(chars, F.lit(0))).where((F.col("r") <= train_docs) & (F.col("before") + F.length("text") <= train_chars) | (F.col("r") == 1))

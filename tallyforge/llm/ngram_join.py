@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
-from .components import components
+from .components import SALTS, components
 
 BANDS, ROWS, STEP = 40, 6, 16
 HASHES = BANDS * ROWS
@@ -224,8 +224,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
     links = buckets.join(first, "bucket").where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"))
     member = components(links)
     size = member.join(classes, "id").groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
-    size = size.select("root", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"))
-    known = member.join(size, "root").join(classes, "id").select("id", "root", "x", "copies", "n_blocks")
+    size = size.select("root", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(size, ["root", "salt"]).join(classes, "id").select("id", "root", "x", "copies", "n_blocks")
     texts = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).join(known, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     dealt = (
@@ -247,3 +247,18 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(common.read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a gram, and all that links reach: for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS h FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, a.h AS hx, b.h AS hy FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c / (a.n + b.n - c) >= 0.8),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY 1),
+k AS (SELECT x AS doc_id, count(*) AS n_links, count(DISTINCT hy) FILTER (hx <> hy) AS n_class_links FROM l GROUP BY 1)
+SELECT doc_id, class_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(h, CAST(doc_id AS VARCHAR))), doc_id) AS text_id, coalesce(n_links, 0) AS n_links, coalesce(n_class_links, 0) AS n_class_links
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
