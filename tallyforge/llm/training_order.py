@@ -83,7 +83,8 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        at, stop, press = begin[part], begin[part + 1] if part + 1 < len(begin) else m, zstandard.ZstdCompressor(level=1, write_checksum=False, write_dict_id=False)
+        at, stop = (begin[k] if k < len(begin) else m for k in (part, part + 1))  # splits without rows have no sums
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False, write_dict_id=False)
         for batch in batches:
             head, body = [], []
             _, byte_at = utf8(batch.column(1))

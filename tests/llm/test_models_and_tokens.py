@@ -176,6 +176,19 @@ def test_shards_round_trip(spark, tmp_path):
     assert again == how
 
 
+def test_splits_without_rows(spark, tmp_path):
+    rows = [(i, prose(i, 400), "en") for i in range(30)]
+    table(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        docs = spark.read.parquet(str(tmp_path / "in"))
+        assert docs.rdd.getNumPartitions() > 5
+        how = training_order.write_shards(docs, str(tmp_path / "out"), BYTE)
+        assert {x.doc_id for x in training_order.read_shards(spark, str(tmp_path / "out"), how).collect()} == set(range(30))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_no_shards_of_nothing(spark, tmp_path):
     how = training_order.write_shards(table(spark, []), str(tmp_path / "none"), BYTE)
     assert how["n"] == 0 and training_order.read_shards(spark, str(tmp_path / "none"), how).count() == 0
