@@ -28,7 +28,7 @@ from .words import _GRAM, mix
 
 UNKNOWN = "und"
 #: Code points that are scored at once.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Characters of all languages' samples together, which are collected.
 TOTAL = 64_000_000
 
