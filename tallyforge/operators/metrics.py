@@ -24,15 +24,16 @@ def pair_counts(df: DataFrame, score: str = "score", keys: tuple[str, ...] = ("q
 
 
 def question_outcomes(df: DataFrame, score: str = "score") -> DataFrame:
-    """For each question whether the raw and the new choice are right, whether they differ, and the pair shares."""
-    new = question().orderBy(F.desc_nulls_last(score), "candidate_index")
-    c = df.withColumns({"a": F.row_number().over(best_first()), "b": F.row_number().over(new)})
+    """For each question whether the raw and the new choice are right, whether they differ, and the pair shares. Pairs are counted
+    as in pair_counts, by windows of the question, so that the scores are computed and shuffled once."""
+    new, right = question().orderBy(F.desc_nulls_last(score), "candidate_index"), F.col("label")
+    level = F.sum(1 - right).over(Window.partitionBy("question_uid", score))
+    c = df.withColumns({"a": F.row_number().over(best_first()), "b": F.row_number().over(new), "level": level, "upto": F.sum(1 - right).over(question().orderBy(score).rangeBetween(Window.unboundedPreceding, 0))})
     top = c.groupBy("question_uid").agg(
-        F.max(F.when(F.col("a") == 1, F.col("label"))).alias("raw_right"), F.max(F.when(F.col("b") == 1, F.col("label"))).alias("new_right"),
-        F.max(((F.col("a") == 1) & (F.col("b") != 1)).cast("int")).alias("switched"), F.count("*").alias("n"), F.sum("label").alias("c"),
+        F.max(F.when(F.col("a") == 1, right)).alias("raw_right"), F.max(F.when(F.col("b") == 1, right)).alias("new_right"), F.max(((F.col("a") == 1) & (F.col("b") != 1)).cast("int")).alias("switched"),
+        F.count("*").alias("n"), F.sum("label").alias("c"), F.sum(right * (F.col("upto") - F.col("level"))).alias("wins"), F.sum(right * F.col("level")).alias("ties"), (F.sum("label") * F.sum(1 - right)).alias("pairs"),
     )
-    pairs = pair_counts(df, score)
-    return top.join(pairs, "question_uid").select("*", div(F.col("wins"), F.col("pairs")).alias("strict"), div(F.col("wins") + 0.5 * F.col("ties"), F.col("pairs")).alias("half_tie")).drop("wins", "ties", "pairs")
+    return top.select("*", div(F.col("wins"), F.col("pairs")).alias("strict"), div(F.col("wins") + 0.5 * F.col("ties"), F.col("pairs")).alias("half_tie")).drop("wins", "ties", "pairs")
 
 
 def ranking_metrics(outcomes: DataFrame, *by: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from .clusters import best_first, question, cluster_features, cluster_key, clusters, raw_choice, with_z
+from .clusters import best_first, canonical_solution, cluster_key, clusters, question, raw_choice, with_robust_z, with_z
 
 
 def representative(cand: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -93,11 +93,38 @@ def expand(cand: DataFrame, scores: DataFrame, threshold: float = 0.0) -> DataFr
     return c.withColumn("score", F.col("gated_score") + 1e-4 * F.col("rel")).drop("gated_score", "rel", "cluster")
 
 
+def by_cluster() -> WindowSpec:
+    return Window.partitionBy("question_uid", "cluster")
+
+
+def in_clusters(cand: DataFrame) -> DataFrame:
+    """cand with what its cluster has, on every row: all windows begin with the question, so one shuffle serves what follows."""
+    c = cand.withColumn("cluster", cluster_key()).withColumns({"place": F.row_number().over(best_first()), "first_index": F.min("candidate_index").over(by_cluster()), "rm_max": F.max("rm").over(by_cluster())})
+    return c.withColumns({"has_raw": F.max((F.col("place") == 1).cast("int")).over(by_cluster()), "one": (F.col("candidate_index") == F.col("first_index")).cast("int")})
+
+
+def with_cluster_z(c: DataFrame, x: str, out: str) -> DataFrame:
+    """z of a value of clusters among the question's clusters, each counted once."""
+    w = question()
+    c = c.withColumns({"__k": F.sum("one").over(w), "__m": F.sum(F.col(x) * F.col("one")).over(w) / F.sum("one").over(w)})
+    c = c.withColumn("__sd", F.sqrt(F.sum((F.col(x) - F.col("__m")) ** 2 * F.col("one")).over(w) / F.col("__k")))
+    return c.withColumn(out, F.when(F.col("__sd") < 1e-6, F.lit(0.0)).otherwise((F.col(x) - F.col("__m")) / F.when(F.col("__sd") >= 1e-6, F.col("__sd")))).drop("__k", "__m", "__sd")
+
+
+def gated(c: DataFrame, threshold: float, columns: list[str]) -> DataFrame:
+    """As expand, for rows that carry cluster_score themselves."""
+    w = question()
+    c = c.withColumns({"top": F.max("cluster_score").over(w), "raw_score": F.max(F.when(F.col("has_raw") == 1, F.col("cluster_score"))).over(w), "raw_leads": F.first("has_raw").over(w.orderBy(F.desc("cluster_score"), "first_index"))})
+    held = (F.col("raw_leads") == 0) & (F.col("top") - F.col("raw_score") <= threshold) & (F.col("has_raw") == 1)
+    c = with_z(c, "rm", "rel").withColumn("score", F.when(held, F.col("top") + 1e-4).otherwise(F.col("cluster_score")) + 1e-4 * F.col("rel"))
+    return c.select(*columns, "score")
+
+
 def majority_scores(cand: DataFrame) -> DataFrame:
-    """z(log1p distinct solutions) + 1e-4 z(best score) for each cluster, expanded."""
-    c = clusters(cand).withColumn("u", F.log1p("unique_solutions"))
-    c = with_z(with_z(c, "u", "zu"), "rm_max", "zr")
-    return expand(cand, c.select("question_uid", "cluster", "first_index", (F.col("zu") + 1e-4 * F.col("zr")).alias("cluster_score")))
+    """z(log1p distinct solutions) + 1e-4 z(best score) for each cluster, gated at 0 and expanded."""
+    c = in_clusters(cand.withColumn("__s", canonical_solution())).withColumn("u", F.log1p(F.size(F.collect_set("__s").over(by_cluster()))))
+    c = with_cluster_z(with_cluster_z(c, "u", "zu"), "rm_max", "zr")
+    return gated(c.withColumn("cluster_score", F.col("zu") + 1e-4 * F.col("zr")), 0.0, cand.columns)
 
 
 def majority_scores_counted(cand: DataFrame) -> DataFrame:
@@ -107,7 +134,9 @@ def majority_scores_counted(cand: DataFrame) -> DataFrame:
 
 
 def weighted_scores(cand: DataFrame, tau: float = 4.0) -> DataFrame:
-    return expand(cand, masses(cand, tau).select("question_uid", "cluster", "first_index", F.col("mass").alias("cluster_score")))
+    c = in_clusters(cand)
+    top = F.col("rm_max") / tau
+    return gated(c.withColumn("cluster_score", top + F.ln(F.sum(F.exp(F.col("rm") / tau - top)).over(by_cluster()))), 0.0, cand.columns)
 
 
 FEATURES = ["log_size", "share", "log_unique", "z_max", "z_mean", "z_lme", "z_std", "has_raw"]
@@ -122,10 +151,14 @@ def linear_scores(features: DataFrame, models: list[list[float]]) -> DataFrame:
 
 def fused_scores(cand: DataFrame, models: list[list[float]], beta: float, threshold: float) -> DataFrame:
     """z(best score) + beta z(learned score) for each cluster, gated and expanded."""
-    f = linear_scores(cluster_features(cand), models).select("question_uid", "cluster", "first_index", "learned")
-    f = f.join(clusters(cand).select("question_uid", "cluster", "rm_max"), ["question_uid", "cluster"])
-    f = with_z(with_z(f, "rm_max", "zr"), "learned", "zl")
-    return expand(cand, f.select("question_uid", "cluster", "first_index", (F.col("zr") + beta * F.col("zl")).alias("cluster_score")), threshold)
+    w = by_cluster()
+    c = with_robust_z(in_clusters(cand.withColumn("__s", canonical_solution())))
+    c = c.withColumn("z_max", F.max("z").over(w)).withColumns({
+        "log_size": F.log1p(F.count("*").over(w)), "share": F.count("*").over(w) / F.count("*").over(question()), "log_unique": F.log1p(F.size(F.collect_set("__s").over(w))),
+        "z_mean": F.avg("z").over(w), "z_lme": F.col("z_max") + F.ln(F.avg(F.exp(F.col("z") - F.col("z_max"))).over(w)), "z_std": F.stddev_pop("z").over(w),
+    })
+    c = with_cluster_z(with_cluster_z(linear_scores(c, models), "rm_max", "zr"), "learned", "zl")
+    return gated(c.withColumn("cluster_score", F.col("zr") + beta * F.col("zl")), threshold, cand.columns)
 
 
 def residual_blend(raw: Column, learned: list[Column], beta: float, median: bool = False) -> Column:
