@@ -28,20 +28,30 @@ def exact_matches(df: DataFrame, others: DataFrame, key: Column, other_key: Colu
     return df.withColumn("__k", key).join(first, "__k").select(id_, "external_id")
 
 
-def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_id: str, item_text: str, lead: int = 3) -> DataFrame:
-    """(row, item) pairs where the item's normal text stands within the row's. Pairs meet on the item's first words (an equi-join
-    of its first ``lead`` words with every such run of the row), and only then are compared in full."""
+def _joined(words: str, k: int):
+    return lambda i: F.array_join(F.slice(words, i, k), " ")
+
+
+def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(row, item) pairs where the item's normal text stands within the row's. An item may begin and end inside a word of the row,
+    so pairs meet on its second and third words (second, if it has three), by an equi-join, and only then are compared in full.
+    Items of one or two words have no inner word; they are compared with every row, and must be less than 1 MB in all."""
     a = df.select(id_, T.collapse(F.col(text)).alias("t")).withColumn("w", F.split("t", " "))
-    b = items.select(item_id, T.collapse(F.col(item_text)).alias("u")).withColumn("v", F.split("u", " ")).where(F.col("u") != "")
-    first = F.array_join(F.slice("v", 1, lead), " ")
-    few = F.size("v") < lead + 2
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (lead - 2), F.lit(1))), lambda i: F.array_join(F.slice("w", i + 1, lead - 1), " "))
-    # the row's run may begin inside a longer word, so the item's first word is left out of the key
-    inner = F.array_join(F.slice("v", 2, lead - 1), " ")
-    long = a.select(id_, "t", F.explode(F.array_distinct(runs)).alias("k")).join(b.where(~few).select(item_id, "u", inner.alias("k")), "k").where(F.col("t").contains(F.col("u"))).select(id_, item_id).distinct()
-    short = b.where(few).select(item_id, "u")
-    del first
-    return long.unionByName(a.select(id_, "t").join(F.broadcast(short), F.col("t").contains(F.col("u"))).select(id_, item_id)) if short.take(1) else long
+    b = items.select(item_id, T.collapse(F.col(item_text)).alias("u")).where(F.col("u") != "").withColumn("v", F.split("u", " "))
+    out = None
+    for k, which in ((2, F.size("v") > 3), (1, F.size("v") == 3)):
+        n = F.greatest(F.size("w") - (k - 1), F.lit(1))
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), n), _joined("w", k)))
+        keyed = b.where(which).select(item_id, "u", F.array_join(F.slice("v", 2, k), " ").alias("k"))
+        met = a.select(id_, "t", F.explode(runs).alias("k")).join(keyed, "k").where(F.col("t").contains(F.col("u"))).select(id_, item_id)
+        out = met if out is None else out.unionByName(met)
+    short = b.where(F.size("v") < 3).select(item_id, "u")
+    size = short.agg(F.sum(F.octet_length("u"))).first()[0]
+    if size is not None:
+        if size > 1_000_000:
+            raise ValueError(f"{size} bytes of items without an inner word")
+        out = out.unionByName(a.select(id_, "t").join(F.broadcast(short), F.col("t").contains(F.col("u"))).select(id_, item_id))
+    return out.distinct()
 
 
 def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, cutoff: float, width: int = 8) -> DataFrame:

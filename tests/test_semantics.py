@@ -188,3 +188,12 @@ def test_leave_one_out_is_the_correlation_of_the_rest(spark):
 def test_tie_band():
     rows = [{"top1": 0.800, "pair": 0.6, "damage": 0.1}, {"top1": 0.803, "pair": 0.5, "damage": 0.0}, {"top1": 0.798, "pair": 0.6, "damage": 0.05}, {"top1": 0.9, "pair": 0.1, "damage": 0.5}]
     assert learn.tie_band_choice(rows[:3]) == rows[2] and learn.tie_band_choice(rows) == rows[3] and learn.tie_band_choice([]) is None
+
+
+def test_contains_matches_of_any_length(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choices(["ab", "b", "abc", "ca"], k=r.randint(1, 12))) for _ in range(60)]
+    items = [t for t in ("a", "b ca", "b ca ab", "c ab b a", "bc ca b ab c", "", "zz") for t in [t]]
+    a, b = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(items)), "j int, u string")
+    got = {(x.i, x.j) for x in corpus.contains_matches(a, b, "i", "t", "j", "u").collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, u in enumerate(items) if u and u in t} and len(got) > 20
