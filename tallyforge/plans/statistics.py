@@ -160,7 +160,7 @@ SELECT question_uid, round(max(CASE WHEN r = 1 THEN rm END) - max(CASE WHEN r =
   max(CASE WHEN r = 1 THEN candidate_index END) <> max(CASE WHEN p = 1 THEN candidate_index END) AS switch, max(CASE WHEN p = 1 THEN label END) - max(CASE WHEN r = 1 THEN label END) AS target FROM k GROUP BY 1"""
 query("sel25_gate_features", _GF)(lambda s, d: _gate_table(s, d).select("question_uid", "raw_margin", "rm_sd", "log_n", "proposed_margin", "switch", "target"))
 _GC = ["raw_margin", "raw_rm", "prop_rm", "rm_sd", "log_n", "proposed_margin", "gap_mean", "gap_sd", "agreement", "switch_rate", "alpha_raw", "alpha_prop", "log_chunks", "log_chunks_gain", "log_length", "log_length_gain", "sd_mean", "md_sd"]
-query("sel24_utility_gate")(lambda s, d: (t := _gate_table(s, d)) and t.withColumn("utility", gates.utility(_GC, gates.fit_utility_gate(t, _GC))).select("question_uid", "switch", "target", "utility"))
+query("sel24_lrn08_utility_gate")(lambda s, d: (t := _gate_table(s, d)) and t.withColumn("utility", gates.utility(_GC, gates.fit_utility_gate(t, _GC))).select("question_uid", "switch", "target", "utility"))
 query("sel26_crossfit_gate")(lambda s, d: gates.crossfit_utility(_gate_table(s, d), _GC, 5).select("question_uid", "fold", "utility"))
 _D = "SELECT question_uid, avg(rm) AS m, stddev_pop(rm) AS sd, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY 1"
 _OZ = " + ".join(f"pow(greatest(least(({c} - (SELECT quantile_cont({c}, 0.5) FROM x)) / ((SELECT quantile_cont({c}, 0.9) FROM x) - (SELECT quantile_cont({c}, 0.1) FROM x)), 10), -10), 2)" for c in ("m", "sd", "n"))
