@@ -3,8 +3,13 @@
 A page is cut to text blocks; each has the path of the tags (with class and role) from the root to it. For every path of a
 page the text lengths and the punctuation marks of its blocks are summed, and divided by the number of its blocks. Both
 ratios are laid along the page's blocks, smoothed with a Gaussian over neighbouring blocks, and fused: their product, as a
-share of the page's largest. Paths whose fused ratio reaches ``threshold`` select content. Under <article> or <main> that
-evidence is there by itself (the inner one counts), so the threshold decides only on pages without them. Scripts, styles, navigation, headers and
+share of the page's largest. Paths whose fused ratio reaches ``threshold`` select content.
+
+<article> and <main> are a weight in that fusion. The blocks of one path of such elements (of an <article> in <main>, the
+<article>'s own) make a region, and the rest of the page is one more; its mass is the text length of its paths times their
+ratios. A path gains _TAGGED times its region's mass, as a share of the largest, and the more of the mass is in tagged regions,
+the higher all paths are held. So a story in <main> outweighs teasers in <article>, short lines of the story stay with it, and
+a story outside of these tags stays too. Scripts, styles, navigation, headers and
 footers of the page, sidebars, forms, dialogs, and elements whose class, id or role says notice, advert or comment never
 count.
 
@@ -32,6 +37,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _NEVER = frozenset("nav aside form footer button select option dialog menu head fieldset input label optgroup datalist output progress meter canvas audio video".split())
 _ARTICLE = {"article": 2, "main": 1}
+#: What a region of these counts beside the ratio of a path, which is 1 at most.
+_TAGGED = 5.0
 _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _BAD = re.compile(
@@ -45,7 +52,7 @@ _PUNCT = re.compile(r"[,.;:!?¡¿…。、，；：！？]")
 
 
 class _Element:
-    __slots__ = ("name", "label", "never", "article", "path")
+    __slots__ = ("name", "label", "never", "article", "path", "region")
 
     def __init__(self, name: str, attrs: str, parent: _Element | None):
         found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
@@ -60,6 +67,7 @@ class _Element:
         self.article = max(inside, _ARTICLE.get(name, 0))
         self.label = name + "".join("." + h for h in sorted(found.get("class", "").split()))
         self.path = (parent.path if parent else "") + "/" + self.label
+        self.region = self.path if self.article > inside else parent.region if parent else ""
 
 
 def blocks(page: str) -> list[tuple[_Element | None, str]]:
@@ -169,13 +177,21 @@ def ratios(found: list[tuple[_Element | None, str]], width: float = 1.0) -> list
 
 def main_text(page: str | None, threshold: float = 0.2) -> str:
     found = [(e, t) for e, t in blocks(page or "") if not (e and e.never)]
-    inner = max((e.article for e, _ in found if e), default=0)
-    of: dict[str, list[float]] = defaultdict(list)  # a path is in or out as a whole
-    for (e, _), r in zip(found, ratios(found), strict=True):
-        of[e.path if e else ""].append(r)
-    chosen = {p for p, x in of.items() if sum(x) / len(x) >= threshold}
-    keep = [bool(e) and e.article == inner if inner else (e.path if e else "") in chosen for e, _ in found]
-    return "\n\n".join(t for (_, t), k in zip(found, keep, strict=True) if k)
+    places = [(e.region, e.path) if e else ("", "") for e, _ in found]
+    of: dict[tuple[str, str], list[float]] = defaultdict(list)  # a path is in or out as a whole
+    size: dict[tuple[str, str], int] = defaultdict(int)
+    for k, (_, t), r in zip(places, found, ratios(found), strict=True):
+        of[k].append(r)
+        size[k] += len(t)
+    ratio = {k: sum(x) / len(x) for k, x in of.items()}
+    mass: dict[str, float] = defaultdict(float)
+    for k, r in ratio.items():
+        mass[k[0]] += r * size[k]
+    untagged, tagged = mass.pop("", 0.0), max(mass.values(), default=0.0)
+    share = {g: x for g, m in mass.items() if (x := m / max(untagged, tagged)) >= threshold}
+    least = threshold * (1 + _TAGGED * max(0.0, 1 - untagged / tagged) if tagged else 1.0)
+    chosen = {k for k, r in ratio.items() if r + _TAGGED * share.get(k[0], 0.0) >= least}
+    return "\n\n".join(t for k, (_, t) in zip(places, found, strict=True) if k in chosen)
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:

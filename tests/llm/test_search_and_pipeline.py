@@ -32,6 +32,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = ["A long text, with marks; and words. And more words, many, of course, and a clause.", "Another paragraph, with marks; and many words in it, as well as the first. So it is.", "A third one: it ends the story, with some more words, and marks; that is all. Done."]
+_P = "".join(f"<p>{x}</p>" for x in STORY)
+_CARDS = "".join(f"<article class=card><h3>{x}</h3><p>Read on</p></article>" for x in ("One", "Two", "Three"))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><div>{_P}</div><article><h3>Also here</h3><p>Read on</p></article></main>", STORY),
+        (f"<main><div>{_P}</div><section>{_CARDS}</section></main>", STORY),
+        (f"<div>{_P}</div><section>{_CARDS}</section>", STORY),
+        (f"<main><article class=post><h1>T</h1>{_P}<ul><li>1<li>2</ul></article><section>{_CARDS}</section></main>", ["T", *STORY, "1", "2"]),
+        (f"<main><p>Up</p>{''.join(f'<article><h2>{i}</h2><p>{x}</p></article>' for i, x in enumerate(STORY))}</main>", [y for i, x in enumerate(STORY) for y in (str(i), x)]),
+    ],
+)
+def test_ratios_weigh_articles(page, text):
+    assert html_text.main_text(page).split("\n\n") == text
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x é</p></article>"), (1, "u", "<article><p>x é</p></article>"), (None, None, None), (2, "v", "<p>" * 3000 + "deep")], "page_id bigint, url string, html string")
     got = html_text.extract(clashing(pages))
