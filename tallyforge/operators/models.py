@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learn import fit_ranker
+from .metrics import pair_counts
 
 
 def in_halves(score: Callable[[list[str]], list[float]], texts: list[str]) -> list[float]:
@@ -140,35 +141,42 @@ class TrajectoryHead:
         return F.pandas_udf(run, "score double, trajectory double, alpha double")(states, reward, tokens)
 
 
-#: Vectors of one layer that a probe is fitted on, at most, in hash order.
-PROBE_SAMPLE = 20_000
+#: Vectors of one layer that a probe is fitted on, at most, in hash order, and pairs of one question among them, drawn evenly.
+PROBE_SAMPLE, PROBE_PAIRS = 20_000, 4096
 
 
 def layer_probes(df: DataFrame, folds: int = 5, regularization: float = 0.01, seed: int = 1) -> DataFrame:
     """df: layer, question_uid, label, v. For each layer and fold: strict share of right-wrong pairs of held-out questions that a
-    pairwise linear probe, fitted on the other folds, puts in order."""
+    pairwise linear probe, fitted on the other folds, puts in order. Only the fit takes a sample; all held-out pairs count, by
+    running sums over the scores."""
     draw = F.row_number().over(_window("layer").orderBy(F.xxhash64(F.lit(seed), "question_uid"), F.xxhash64("v")))
-    rows = df.withColumn("r", draw).where(F.col("r") <= PROBE_SAMPLE).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(folds)).cast("int"))
+    rows = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(folds)).cast("int"))
 
     def pairs(part: pd.DataFrame) -> np.ndarray:
         out = []
         for _, g in part.groupby("question_uid"):
             x, y = np.stack(g["v"].to_numpy()), g["label"].to_numpy()
             p, q = x[y == 1], x[y == 0]
-            if len(p) and len(q):
-                out.append((p[:, None, :] - q[None, :, :]).reshape(-1, x.shape[1])[:4096])
-        return np.concatenate(out) if out else np.zeros((0, len(part["v"].iloc[0]) if len(part) else 1))
+            if n := len(p) * len(q):
+                i, j = np.divmod(np.random.default_rng(seed).choice(n, min(n, PROBE_PAIRS), replace=False), len(q))
+                out.append(p[i] - q[j])
+        return np.concatenate(out) if out else np.zeros((0, 1))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        out, part = [], part.sort_values("r")
         for k in range(folds):
-            a, b = part[part["fold"] != k], part[part["fold"] == k]
-            if len(a) and len(b) and len(d := pairs(a)) and len(t := pairs(b)):
+            a = part[part["fold"] != k]
+            if len(a) and len(d := pairs(a)):
                 sd = np.maximum(np.stack(a["v"].to_numpy()).std(0), 1e-3)
-                out.append((part["layer"].iloc[0], k, float((t / sd @ fit_ranker(d / sd, regularization, 200) > 0).mean())))
-        return pd.DataFrame(out, columns=["layer", "fold", "accuracy"])
-
-    return rows.select("layer", "question_uid", "label", "v", "fold").groupBy("layer").applyInPandas(run, "layer int, fold int, accuracy double")
+                out.append((part["layer"].iloc[0], k, fit_ranker(d / sd, regularization, 200) / sd))
+        return pd.DataFrame(out, columns=["layer", "fold", "w"])
+
+    drawn = rows.withColumn("r", draw).where(F.col("r") <= PROBE_SAMPLE).select("layer", "question_uid", "label", "v", "fold", "r")
+    weights = drawn.groupBy("layer").applyInPandas(fit, schema := "layer int, fold int, w array<double>").collect()
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    held = rows.where(F.col("label").isin(0, 1)).join(F.broadcast(df.sparkSession.createDataFrame(weights, schema)), ["layer", "fold"])
+    counts = pair_counts(held.select("layer", "fold", "question_uid", "label", score.alias("score")), keys=("layer", "fold", "question_uid"))
+    return counts.groupBy("layer", "fold").agg(F.sum("wins").alias("wins"), F.sum("pairs").alias("pairs")).where("pairs > 0").select(F.col("layer").cast("int"), "fold", (F.col("wins") / F.col("pairs")).alias("accuracy"))
 
 
 def _window(*keys: str):

@@ -116,3 +116,20 @@ def test_nll_stats_and_probes(spark):
     rows = [(k, q, int(y), [float(y if k else 0) + rng.normal() * 0.1, rng.normal()]) for k in range(2) for q in range(30) for y in (0, 1, 0, 1)]
     acc = {(r.layer, r.fold): r.accuracy for r in models.layer_probes(spark.createDataFrame(rows, "layer int, question_uid int, label int, v array<double>")).collect()}
     assert all(acc[1, f] > 0.99 for f in range(5)) and max(acc[0, f] for f in range(5)) < 0.9
+
+
+def test_probes_count_all_held_out_pairs(spark, monkeypatch):
+    from tallyforge.operators import models
+
+    monkeypatch.setattr(models, "PROBE_SAMPLE", 1500)
+    rng = np.random.default_rng(1)
+    rows = [(0, q, i % 2, [float(i % 2 + round(rng.normal(), 1))]) for q in range(12) for i in range(200)]  # 10,000 pairs a question
+    df = spark.createDataFrame(rows, "layer int, question_uid int, label int, v array<double>")
+    fold = dict(df.select("question_uid", F.pmod(F.xxhash64(F.lit(1), "question_uid"), F.lit(5)).cast("int")).distinct().collect())
+    wins, pairs = dict.fromkeys(range(5), 0), dict.fromkeys(range(5), 0)
+    for q in range(12):
+        p, n = (np.array([v[0] for _, x, y, v in rows if x == q and y == k]) for k in (1, 0))
+        wins[fold[q]] += int((p[:, None] > n[None, :]).sum())
+        pairs[fold[q]] += len(p) * len(n)
+    got = {r.fold: r.accuracy for r in models.layer_probes(df).collect()}  # one dimension: any weight above 0 gives this order
+    assert got == {k: wins[k] / n for k, n in pairs.items() if n}
