@@ -1,7 +1,8 @@
 """Language ID by interpolated Kneser-Ney character models.
 
 One model of n-grams up to ``order`` for each language, fitted on at most ``train_docs`` documents and ``train_chars`` letters
-of it (taken in the order of a hash of the key, so the sample is random and stable); a fifth of the sample calibrates. The
+of it (taken in the order of a hash of the key, so the sample is random and stable; of a text longer than a tenth of these
+letters its first tenth, so that no single one ends the sample); a fifth of the sample calibrates. The
 n-grams of all languages stand in one sorted array of hashes for each order, with a column of log probabilities for each
 language: one search finds an n-gram's probability in all of them. A missing n-gram backs off through the sorted array of
 contexts. The language of least cross-entropy for each letter wins. A document is rejected if it has no letter, or if that
@@ -190,7 +191,7 @@ class Model:
 
 def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, train_docs: int = 1000, train_chars: int = 2_000_000, z: float = 10.0) -> Model:
     """Languages are counted over all rows; of each, train_docs documents at most are collected, and train_chars characters in all
-    (fewer with more than 32 languages: TOTAL is shared out)."""
+    (fewer with more than 32 languages: TOTAL is shared out), a tenth of these at most from one text."""
     rows = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(11), F.col(key).cast("string")).alias("draw"), F.col(text).alias("text"))
     count = rows.groupBy("lang").agg(F.count("*").alias("n"))
     # a draw below the share that gives half as many again as are wanted: so the sort below sees few rows
@@ -198,6 +199,7 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     languages = count.count()
     train_chars = max(1, min(train_chars, TOTAL // max(languages, 1)))
     few = rows.join(F.broadcast(count) if languages < 10_000 else count, "lang").where(F.pmod("draw", F.lit(1 << 20)) < share * (1 << 20))
+    few = few.withColumn("text", F.substring("text", 1, max(1, train_chars // 10)))
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(12), "draw"), "draw", F.length("text"))
     chars = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     picked = few.withColumn("r", F.row_number().over(by)).withColumn("before", F.coalesce(chars, F.lit(0))).where((F.col("r") <= train_docs) & (F.col("before") + F.length("text") <= train_chars) | (F.col("r") == 1))

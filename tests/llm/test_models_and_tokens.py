@@ -60,6 +60,15 @@ def test_language_probabilities_sum_to_one(spark):
     assert np.allclose(total, 1, atol=0.06)
 
 
+def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "Model", lambda samples, order, z: samples)
+    order = F.xxhash64(F.lit(12), F.xxhash64(F.lit(11), F.col("id").cast("string")))
+    first = [x.id for x in spark.range(30).orderBy(order).collect()][1]
+    docs = table(spark, [(i, "long " * 1000 if i == first else f"text {i:02}", "aa") for i in range(30)])
+    got = language_id.fit(docs, F.lit(True), train_chars=2000)["aa"]
+    assert sorted(t for t in got if not t.startswith("long")) == [f"text {i:02}" for i in range(30) if i != first] and sum(map(len, got)) <= 2000
+
+
 def test_language_odd_rows_and_no_labels(spark):
     docs = table(spark, [(i, t, None) for i, t, _ in ODD])
     model = language_id.fit(docs, F.lit(True))
