@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyforge.llm import common, decontaminate, language_id, line_dedup, ngram_join, packing
 
@@ -29,10 +30,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word similarity of 0.8 or more connects, the one of least id stays."""
+    """Of documents that five-word similarity of 0.8 or more connects, the one of least id stays; of rows of one id and text, one."""
     classes = ngram_join.join(docs)
     others = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(others, docs["doc_id"] == others["__other"], "left_anti")
+    left, key = docs.join(others, docs["doc_id"] == others["__other"], "left_anti"), ["doc_id", F.xxhash64("text")]
+    if docs.where(F.col("doc_id").isNotNull()).groupBy(*key).count().where("count > 1").isEmpty():  # texts needn't move for it
+        return left
+    place = common.free_name(docs, "place")
+    rows = left.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))))
+    return rows.where((F.col(place) == 1) | F.col("doc_id").isNull()).select(docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

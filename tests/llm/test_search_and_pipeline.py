@@ -239,6 +239,14 @@ def test_pipeline_stages(spark, tables):
     assert {x.doc_id for x in c.run(spark, at).collect()} == set(final)
 
 
+def test_near_duplicates_keep_one_of_repeated_rows(spark, tables):
+    import corpus_pipeline as c
+
+    rows = [(6, "twice the same row " * 5, "en")] * 3 + [(9, "one id", "en"), (9, "another text of that id", "en"), (11, None, "en"), (11, None, "en"), (12, "twice the same row " * 5, "en")] + [(None, "no id", "en")] * 2
+    got = c.near_duplicates(spark, clashing(table(spark, rows)), tables[0])
+    assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter([(6, rows[0][1]), (9, "one id"), (9, "another text of that id"), (11, None), (None, "no id"), (None, "no id")])
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_pipeline_stages_on_odd_rows(spark, tables, empty):
     import corpus_pipeline as c
