@@ -1,8 +1,9 @@
-"""Bootstrap over questions: each replicate draws a Poisson-free multinomial sample by hash, in a distributed way.
+"""Bootstrap over questions: multinomial replicates of small tables, Poisson replicates of large ones.
 
-Replicate b draws question number floor(u n) for each of n draws, u being a hash of (seed, b, draw). The draws of a replicate
-are one Arrow task's work over columns of question records that are broadcast when small; with many questions the same draws
-come as an equi-join (``bootstrap_joined``). Both give the same numbers.
+Up to BROADCAST questions, replicate b picks n questions with replacement by a generator seeded with (seed, b), as one Arrow
+task's work over columns of question records that are broadcast. With more, each question counts a Poisson(1) number of times by
+a hash of (seed, question, replicate) (``bootstrap_joined``). Both estimate the same intervals, but the replicates of a seed differ,
+and a Poisson replicate has n draws only on average.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def bootstrap(spark: SparkSession, records: DataFrame, means: list[str], ratios:
 
 
 def bootstrap_joined(spark: SparkSession, records: DataFrame, means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int) -> DataFrame:
-    """The same estimates with Poisson(1) counts by hash for each (question, replicate): no question table in any one place."""
+    """Estimates of the same kind with Poisson(1) counts by hash for each (question, replicate): no question table in any one place."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "question_uid", "sample"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     count, p, c = F.lit(0), np.exp(-1), np.exp(-1)
     for k in range(1, 12):
