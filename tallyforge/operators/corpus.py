@@ -72,13 +72,17 @@ def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id:
     return pairs.groupBy(id_).agg(F.max_by(F.col(other_id), F.struct("score", -F.col(other_id))).alias("external_id"), F.max("score").alias("score"))
 
 
+#: Bytes of text that fuzzy_top broadcasts at most.
+FUZZY_BROADCAST = 64_000_000
+
+
 def fuzzy_top(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, k: int = 5) -> DataFrame:
-    """Each row's k best others by Indel ratio, with token-set and length ratios. others is broadcast, so it must be small: a
-    benchmark, not a corpus; above 64 MB of text this refuses."""
+    """Each row's k best others by Indel ratio, with token-set and length ratios. others is broadcast up to FUZZY_BROADCAST bytes of
+    text; beyond, parts of both are compared with each other. Either way every pair is: it is meant for a benchmark."""
     size = others.agg(F.sum(F.octet_length(other_text))).first()[0] or 0
-    if size > 64_000_000:
-        raise ValueError("too large to compare with every row; use fuzzy_best with a cutoff")
-    pairs = df.select(id_, F.col(text).alias("t")).crossJoin(F.broadcast(others.select(other_id, F.col(other_text).alias("u"))))
+    right = others.select(other_id, F.col(other_text).alias("u"))
+    right = F.broadcast(right) if size <= FUZZY_BROADCAST else right.hint("shuffle_replicate_nl")
+    pairs = df.select(id_, F.col(text).alias("t")).crossJoin(right)
     scored = pairs.withColumn("score", T.fuzzy("t", "u")).withColumn("r", F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("score"), other_id))).where(F.col("r") <= k)
     return scored.select(id_, other_id, F.col("r").alias("rank"), "score", T.fuzzy_tokens("t", "u").alias("token_score"), T.length_ratio(F.col("t"), F.col("u")).alias("length_ratio"))
 

@@ -197,3 +197,15 @@ def test_contains_matches_of_any_length(spark):
     a, b = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(items)), "j int, u string")
     got = {(x.i, x.j) for x in corpus.contains_matches(a, b, "i", "t", "j", "u").collect()}
     assert got == {(i, j) for i, t in enumerate(texts) for j, u in enumerate(items) if u and u in t} and len(got) > 20
+
+
+def test_fuzzy_top_beyond_the_broadcast(spark, monkeypatch):
+    from tallyforge.operators import corpus
+
+    df = spark.createDataFrame([(i, f"some text {i * 7} of row {i % 5}") for i in range(40)], "q int, t string")
+    others = df.toDF("item_id", "text")
+    top = lambda: corpus.fuzzy_top(df, others, "q", "t", "item_id", "text", 5)
+    want = sorted(top().collect())
+    monkeypatch.setattr(corpus, "FUZZY_BROADCAST", 0)
+    large = top()
+    assert "CartesianProduct" in large._jdf.queryExecution().toString() and sorted(large.collect()) == want and len(want) == 200
