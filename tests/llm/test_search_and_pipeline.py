@@ -117,28 +117,42 @@ def test_ann_splits_a_long_list(spark, monkeypatch):
 
 
 def brute(rows, n=5, threshold=0.8):
-    sets = {}
+    """By (id, set): the least id that it is connected to, and the other (id, set)s of that similarity."""
+    found = set()
     for i, t, _ in rows:
         w = words(t)
         k = min(n, len(w))
-        sets.setdefault(i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set())
-    ids = sorted(i for i in sets if i is not None)
-    up, links = {i: i for i in ids}, Counter()
+        if i is not None:
+            found.add((i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()))
+    found = sorted(found, key=lambda x: (x[0], len(x[1]), sorted(x[1])))
+    up, links = list(range(len(found))), Counter()
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for p, a in enumerate(ids):
-        for b in ids[p + 1 :]:
-            x, y = sets[a], sets[b]
+    for a, (_, x) in enumerate(found):
+        for b in range(a + 1, len(found)):
+            y = found[b][1]
             if x and y and len(x & y) / len(x | y) >= threshold:
                 links[a] += 1
                 links[b] += 1
                 r, s = sorted((top(a), top(b)))
                 up[s] = r
-    return {i: (top(i), links[i]) for i in ids}
+    least = {top(a): min(found[b][0] for b in range(len(found)) if top(b) == top(a)) for a in range(len(found))}
+    return {x: (least[top(a)], links[a]) for a, x in enumerate(found)}
+
+
+def of(want, rows, n=5):
+    """The brute-force answer of each row."""
+    out = Counter()
+    for i, t, _ in rows:
+        w = words(t)
+        k = min(n, len(w))
+        key = (i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset())
+        out[(i, None, 0) if i is None else (i, *want[key])] += 1
+    return out
 
 
 def family(seed, n_families=12, size=6):
@@ -157,22 +171,77 @@ def family(seed, n_families=12, size=6):
 @pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 3)])
 def test_join_against_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    rows = [x for x in ODD if x[0] not in (6, 9)] + family(seed)
+    monkeypatch.setattr(ngram_join, "ONE_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BUCKET", block)
+    rows = ODD + family(seed)
+    rows += [rows[-1], rows[-1], rows[-2], (rows[-1][0], rows[-3][1], "en"), (rows[-9][0], rows[-10][1], "en")]  # repeats, and ids of two texts
     got = ngram_join.join(clashing(table(spark, rows))).collect()
-    want = brute(rows)
-    assert len(got) == len(rows)
-    assert {x.doc_id: (x.class_id, x.n_links) for x in got if x.doc_id is not None} == want
-    assert sum(n for _, n in want.values()) > 50
+    want = of(brute(rows), rows)
+    assert Counter((x.doc_id, x.class_id, x.n_links) for x in got) == want
+    assert sum(n for _, _, n in want) > 50
 
 
 def test_join_of_copies_and_repeats(spark):
     rows = [(i, "one two three four five six seven", "en") for i in range(30)] + [(5, "one two three four five six seven", "en"), (40, None, None), (41, "", None)]
     got = ngram_join.join(table(spark, rows)).collect()
-    assert len(got) == len(rows) and {x.class_id for x in got if x.doc_id < 30} == {0} and all(x.n_class_links == 0 for x in got)
+    assert len(got) == len(rows) and {(x.class_id, x.n_links) for x in got if x.doc_id < 30} == {(0, 29)} and all(x.n_class_links == 0 for x in got)
     assert {x.doc_id: x.class_id for x in got if x.doc_id >= 40} == {40: 40, 41: 41}
     assert ngram_join.join(table(spark, [])).count() == 0
 
 
+def test_join_counts_repeated_rows_once(spark):
+    a = prose(5, 60)
+    b = a + " tail"
+    got = ngram_join.join(table(spark, [(1, a, "en"), (1, a, "en"), (2, b, "en")])).collect()
+    assert {(x.doc_id, x.n_links, x.n_class_links) for x in got} == {(1, 1, 1), (2, 1, 1)} and len(got) == 3
+    got = ngram_join.join(table(spark, [(1, a, "en"), (3, a, "en"), (3, a, "en"), (2, b, "en")])).collect()
+    assert sorted((x.doc_id, x.class_id, x.text_id, x.n_links, x.n_class_links) for x in got) == [(1, 1, 1, 2, 1), (2, 1, 2, 2, 1), (3, 1, 1, 2, 1), (3, 1, 1, 2, 1)]
+
+
+def test_likeness_below_the_threshold_does_not_chain(spark, monkeypatch):
+    """Texts of one form that share buckets but reach 0.8 with few: they fall apart before pairs are taken."""
+    seen = []
+    real = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda links: seen.append(links.count()) or real(links))
+    base, r = prose(77, 400).split(), random.Random(1)
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in r.sample(range(80), 14):
+            w[k * 5] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "en"))
+    rows.append((300, rows[17][1] + " tail", "en"))
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.join(table(spark, rows)).collect()}
+    assert got == {i: (17 if i == 300 else i, int(i in (17, 300))) for i in range(301)}
+    assert seen[0] < 300
+
+
+def test_trees_hold_together_what_survives():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, ngram_join.HASHES), dtype=np.uint8)
+    sig = base[rng.integers(0, 6, 60)].copy()
+    sig[rng.random(sig.shape) < 0.15] = 7
+    size, least = np.full(60, 100), ngram_join.least_matches(0.8, 1e-6)
+    for side in (None, np.arange(60) % 2):
+        p, q = np.triu_indices(60, 1)
+        ok = ngram_join.survive(sig, size, p, q, 0.8, least) & (True if side is None else side[p] != side[q])
+
+        def groups(pairs):
+            up = list(range(60))
+
+            def top(i):
+                while up[i] != i:
+                    i = up[i]
+                return i
+
+            for a, b in pairs:
+                up[max(top(a), top(b))] = min(top(a), top(b))
+            return [top(i) for i in range(60)]
+
+        tree = [(v, int(x)) for v, found in ngram_join.trees(sig, size, side, 0.8, least) for x in found]
+        assert len(tree) < 60 and groups(tree) == groups(zip(p[ok].tolist(), q[ok].tolist(), strict=True))
+
+
 def test_bayes_bound_keeps_what_reaches_the_threshold():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert all(a <= b for a, b in zip(least[:-1], least[1:], strict=True)) and least[-1] < 0.8 * ngram_join.HASHES
@@ -232,7 +301,7 @@ def test_pipeline_stages(spark, tables):
     assert ids - set(seen["language_id"]) == {62, 63, 64}
     assert sum("all of these documents" in (x.text or "") for x in seen["line_dedup"].values()) == 1 and "common" in seen["line_dedup"][74].text
     want = brute([(i, x.text, None) for i, x in seen["line_dedup"].items()])
-    assert set(seen["ngram_jaccard_join"]) == {i for i, (root, _) in want.items() if root == i} and 51 not in seen["ngram_jaccard_join"] and 50 not in seen["ngram_jaccard_join"]
+    assert set(seen["ngram_jaccard_join"]) == {i for (i, _), (root, _) in want.items() if root == i} and 51 not in seen["ngram_jaccard_join"] and 50 not in seen["ngram_jaccard_join"]
     final = seen["decontamination"]
     assert 61 not in final and item not in " ".join(x.text for x in final.values()) and all(x.n_chars == len(x.text) for x in final.values())
     assert set(seen["best_fit_packing"]) == set(final)
