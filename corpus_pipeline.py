@@ -31,9 +31,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word similarity of 0.8 or more connects, the one of least id stays; of rows of one id and text, one."""
-    classes = ngram_join.join(docs)
-    others = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("__other")).distinct()
-    left, key = docs.join(others, docs["doc_id"] == others["__other"], "left_anti"), ["doc_id", F.xxhash64("text")]
+    found = ngram_join.entries(docs)
+    others = found.where(~F.col("first")).select(F.col("doc_id").alias("__other"), F.col("t").alias("__t")).distinct()
+    left, key = docs.join(others, (docs["doc_id"] == others["__other"]) & (F.xxhash64("text") == others["__t"]), "left_anti"), ["doc_id", F.xxhash64("text")]
     if docs.where(F.col("doc_id").isNotNull()).groupBy(*key).count().where("count > 1").isEmpty():  # texts needn't move for it
         return left
     place = common.free_name(docs, "place")
