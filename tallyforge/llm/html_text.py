@@ -1,17 +1,18 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut to text blocks; each has the path of the tags (with class and role) from the root to it. For every path of a
-page the text lengths and the punctuation marks of its blocks are summed, and divided by the number of its blocks. Both
-ratios are laid along the page's blocks, smoothed with a Gaussian over neighbouring blocks, and fused: their product, as a
-share of the page's largest. Paths whose fused ratio reaches ``threshold`` select content.
-
-<article> and <main> are a weight in that fusion. The blocks of one path of such elements (of an <article> in <main>, the
-<article>'s own) make a region, and the rest of the page is one more; its mass is the text length of its paths times their
-ratios. A path gains _TAGGED times its region's mass, as a share of the largest, and the more of the mass is in tagged regions,
-the higher all paths are held. So a story in <main> outweighs teasers in <article>, short lines of the story stay with it, and
-a story outside of these tags stays too. Scripts, styles, navigation, headers and
-footers of the page, sidebars, forms, dialogs, and elements whose class, id or role says notice, advert or comment never
-count.
+A page is cut to text blocks; each has the path of the tags (with class) from the root to it. For every path of a page the
+text lengths and the punctuation marks of its blocks are summed, and divided by the number of its blocks. Both ratios are laid
+along the page's blocks, smoothed with a Gaussian over neighbouring blocks (of one container, or of containers one in the other), and fused: their product, times the weight of the
+path, as a share of the page's largest. The weight holds what the markup says beside the text: <article> and <main> raise it,
+a class, id or role that names an advert, a notice, a menu or comments makes it very small, and one that may mean such things
+or not makes it smaller.
+
+A path's container is its innermost division (<div>, <section>, <article>, table cell and the like). Containers have the mass
+of their own paths, text length times ratio. A path is content if its ratio, or its container's mass as a share of the largest,
+reaches ``threshold``: so short lines between paragraphs stay with them. A heading goes by its container with all that this
+holds, since it stands above it. All of this decides on every page; no tag or class alone makes text content.
+
+Scripts, styles, navigation, headers and footers of the page, sidebars, forms, dialogs and hidden elements never count.
 
 In a block, character references are decoded and white space is one blank; blocks are joined by an empty line. Every page is
 its own unit of work; nothing is shuffled. Cases: null, empty or contentless pages have the empty text; unclosed and
@@ -36,15 +37,17 @@ _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _NEVER = frozenset("nav aside form footer button select option dialog menu head fieldset input label optgroup datalist output progress meter canvas audio video".split())
-_ARTICLE = {"article": 2, "main": 1}
-#: What a region of these counts beside the ratio of a path, which is 1 at most.
-_TAGGED = 5.0
+_CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+_HEADINGS = frozenset("h1 h2 hgroup".split())
+#: Weights of a path: in <article>, in <main>, under a name of what isn't content, under one that may be.
+_WEIGHT = {"article": 6.0, "main": 6.0, "strong": 0.002, "weak": 0.3}
 _P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tbody", "tr", "td", "th")}
-_BAD = re.compile(
-    r"^(?:ads?|advert\w*|adsense|adslot|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?|commentlist|respond|disqus\w*|replies|reply|notice\w*|cookie\w*|consent\w*|gdpr|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|search\w*|form|pagination|pager|toolbar|copyright|legal|disclaimer|skip|tags|alert\w*|navigation|contentinfo|complementary|dialog|tooltip)$",
+_STRONG = re.compile(
+    r"^(?:ads?|advert\w*|adsense|adslot|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|masthead|footer|sidebar\w*|widget\w*|comments?|commentlist|respond|disqus\w*|replies|reply|notice\w*|cookie\w*|consent\w*|gdpr|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|login|pagination|pager|toolbar|contentinfo|complementary|dialog|tooltip)$",
     re.I,
 )
+_WEAK = re.compile(r"^(?:banner\w*|promo\w*|header|foot|side|related\w*|recommend\w*|share\w*|sharing|social\w*|overlay|search\w*|form|copyright|legal|disclaimer|skip|tags|alert\w*)$", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _SPACE = re.compile(r"\s+")
@@ -52,22 +55,28 @@ _PUNCT = re.compile(r"[,.;:!?¡¿…。、，；：！？]")
 
 
 class _Element:
-    __slots__ = ("name", "label", "never", "article", "path", "region")
+    __slots__ = ("name", "label", "never", "inside", "path", "container", "weight")
 
     def __init__(self, name: str, attrs: str, parent: _Element | None):
         found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
         hints = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
-        inside = parent.article if parent else 0
+        inside = parent.inside if parent else ""
         never = name in _NEVER or (name == "header" and not inside) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
         never = never or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if not never and hints and name not in ("body", "html", "main"):
-            never = any(_BAD.match(p) for h in hints for p in (h, *re.split(r"[-_]", h)))
         self.name = name
         self.never = never or bool(parent and parent.never)
-        self.article = max(inside, _ARTICLE.get(name, 0))
+        self.inside = "article" if "article" in (inside, name) else "main" if "main" in (inside, name) else ""
+        self.weight = parent.weight if parent else 1.0
+        if self.inside != inside:
+            self.weight *= _WEIGHT[self.inside] / _WEIGHT.get(inside, 1.0)
         self.label = name + "".join("." + h for h in sorted(found.get("class", "").split()))
+        if hints and name not in ("body", "html", "main"):
+            names = [p for h in hints for p in (h, *re.split(r"[-_]", h))]
+            if kind := "strong" if any(map(_STRONG.match, names)) else "weak" if any(map(_WEAK.match, names)) else "":
+                self.weight *= _WEIGHT[kind]
+                self.label += f"!{kind}"  # an id or role parts paths too, if it says as much
         self.path = (parent.path if parent else "") + "/" + self.label
-        self.region = self.path if self.article > inside else parent.region if parent else ""
+        self.container = self.path if name in _CONTAINERS else parent.container if parent else ""
 
 
 def blocks(page: str) -> list[tuple[_Element | None, str]]:
@@ -151,47 +160,55 @@ def blocks(page: str) -> list[tuple[_Element | None, str]]:
     return out
 
 
-def ratios(found: list[tuple[_Element | None, str]], width: float = 1.0) -> list[float]:
-    """The fused, smoothed tag-path ratio of each block, as a share of the largest."""
+def ratios(paths: list[str], texts: list[str], weights: list[float], containers: list[str], width: float = 1.0) -> list[float]:
+    """The fused, smoothed and weighted tag-path ratio of each block, as a share of the largest."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    paths = [e.path if e else "" for e, _ in found]
-    for p, (_, t) in zip(paths, found, strict=True):
+    for p, t in zip(paths, texts, strict=True):
         size[p] += len(t)
         marks[p] += len(_PUNCT.findall(t))
         count[p] += 1
     reach = math.ceil(2 * width)
-    weights = [math.exp(-(i * i) / (2 * width * width)) for i in range(reach + 1)]
+    bell = [math.exp(-(i * i) / (2 * width * width)) for i in range(reach + 1)]
+
+    def nested(a: str, b: str) -> bool:
+        return a == b or f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/")
 
     def smooth(x: list[float]) -> list[float]:
         out = []
         for i in range(len(x)):
-            near = range(max(0, i - reach), min(len(x), i + reach + 1))
-            total = sum(weights[abs(i - j)] for j in near)
-            out.append(sum(weights[abs(i - j)] * x[j] for j in near) / total)
+            near = [j for j in range(max(0, i - reach), min(len(x), i + reach + 1)) if nested(containers[i], containers[j])]
+            total = sum(bell[abs(i - j)] for j in near)
+            out.append(sum(bell[abs(i - j)] * x[j] for j in near) / total)
         return out
 
-    fused = [a * b for a, b in zip(smooth([size[p] / count[p] for p in paths]), smooth([(1 + marks[p]) / count[p] for p in paths]), strict=True)]
+    lengths, points = smooth([size[p] / count[p] for p in paths]), smooth([(1 + marks[p]) / count[p] for p in paths])
+    fused = [a * b * w for a, b, w in zip(lengths, points, weights, strict=True)]
     top = max(fused, default=1.0)
     return [x / top for x in fused]
 
 
 def main_text(page: str | None, threshold: float = 0.2) -> str:
     found = [(e, t) for e, t in blocks(page or "") if not (e and e.never)]
-    places = [(e.region, e.path) if e else ("", "") for e, _ in found]
-    of: dict[tuple[str, str], list[float]] = defaultdict(list)  # a path is in or out as a whole
-    size: dict[tuple[str, str], int] = defaultdict(int)
-    for k, (_, t), r in zip(places, found, ratios(found), strict=True):
+    keys = [(e.container, e.path, e.weight, e.name in _HEADINGS) if e else ("", "", 1.0, False) for e, _ in found]
+    of: dict[tuple, list[float]] = defaultdict(list)  # a path is in or out as a whole
+    size: dict[tuple, int] = defaultdict(int)
+    for k, (_, t), r in zip(keys, found, ratios([k[1] for k in keys], [t for _, t in found], [k[2] for k in keys], [k[0] for k in keys]), strict=True):
         of[k].append(r)
         size[k] += len(t)
     ratio = {k: sum(x) / len(x) for k, x in of.items()}
     mass: dict[str, float] = defaultdict(float)
+    whole: dict[str, float] = defaultdict(float)
     for k, r in ratio.items():
         mass[k[0]] += r * size[k]
-    untagged, tagged = mass.pop("", 0.0), max(mass.values(), default=0.0)
-    share = {g: x for g, m in mass.items() if (x := m / max(untagged, tagged)) >= threshold}
-    least = threshold * (1 + _TAGGED * max(0.0, 1 - untagged / tagged) if tagged else 1.0)
-    chosen = {k for k, r in ratio.items() if r + _TAGGED * share.get(k[0], 0.0) >= least}
-    return "\n\n".join(t for k, (_, t) in zip(places, found, strict=True) if k in chosen)
+    for c, m in mass.items():  # a container's mass is also that of the containers around it
+        parts = c.split("/")
+        for i in range(2, len(parts) + 1):
+            whole["/".join(parts[:i])] += m
+    most = max(mass.values(), default=1.0)
+    pages = {"", *(c for c in mass if c.count("/") <= 2 and c.rpartition("/")[2].split(".")[0] in ("html", "body"))}
+    share = {k: (whole if k[3] and k[0] not in pages else mass)[k[0]] / most for k in ratio}
+    chosen = {k for k, r in ratio.items() if max(r, share[k]) >= threshold}
+    return "\n\n".join(t for k, (_, t) in zip(keys, found, strict=True) if k in chosen)
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:

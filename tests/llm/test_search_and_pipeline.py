@@ -2,10 +2,13 @@
 
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from .helpers import ODD, clashing, prose, table, words
@@ -51,6 +54,41 @@ def test_ratios_weigh_articles(page, text):
     assert html_text.main_text(page).split("\n\n") == text
 
 
+def test_text_is_the_same_without_article_and_main():
+    """Tags weigh, but the ratios find the text without them; and a doubtful class doesn't cost text."""
+    import pyarrow.parquet as pq
+
+    pages = [f"<html><body><nav><a>m</a></nav><header>Site</header><div class=ad>Buy, now!</div><article><h1>T</h1>{_P}<ul><li>1<li>2</ul></article><aside>s</aside><div id=comments><p>Nice, I say; really.</p></div><footer>f</footer>"]
+    if os.path.isdir(DATA):
+        pages += [x for d in (DATA, DATA.replace("0.001", "0.01")) for x in pq.read_table(f"{d}/pages.parquet").column("html").to_pylist()]
+    for page in pages:
+        text = html_text.main_text(page)
+        assert text and text == html_text.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page))
+        assert html_text.main_text(page.replace("<article>", "<article class=legal>")) == text
+    assert html_text.main_text(pages[0]).split("\n\n") == ["T", *STORY, "1", "2"]
+    assert html_text.main_text(f"<div><h1>T</h1><div class=body>{_P}</div></div><div class=promo>x</div>").split("\n\n") == ["T", *STORY]
+    assert html_text.main_text(f"<section class='legal tags'>{_P}</section><div class=ad>Buy!</div>").split("\n\n") == STORY
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["/a", "/a/b", "/c", "/a/b/d"]), st.text(alphabet="ab ,.", min_size=1, max_size=30), st.sampled_from([1.0, 0.3, 6.0])), min_size=1, max_size=12))
+def test_ratios_as_defined(blocks):
+    """Directly from the definition: per path, then smoothed, fused, weighted, as a share of the largest."""
+    paths, texts, weights = zip(*blocks, strict=True)
+    n = len(blocks)
+
+    def smoothed(values, i):
+        near = [j for j in range(n) if abs(i - j) <= 2 and (paths[i] + "/").startswith(paths[j] + "/") | (paths[j] + "/").startswith(paths[i] + "/")]
+        g = [np.exp(-((i - j) ** 2) / 2) for j in near]
+        return np.dot(g, [values[j] for j in near]) / sum(g)
+
+    own = [[t for p, t in zip(paths, texts, strict=True) if p == q] for q in paths]
+    length = [sum(map(len, x)) / len(x) for x in own]
+    marks = [(1 + sum(c in ",." for t in x for c in t)) / len(x) for x in own]
+    fused = [smoothed(length, i) * smoothed(marks, i) * weights[i] for i in range(n)]
+    assert np.allclose(html_text.ratios(list(paths), list(texts), list(weights), list(paths)), np.array(fused) / max(fused))
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x é</p></article>"), (1, "u", "<article><p>x é</p></article>"), (None, None, None), (2, "v", "<p>" * 3000 + "deep")], "page_id bigint, url string, html string")
     got = html_text.extract(clashing(pages))
