@@ -7,7 +7,8 @@ stands where all its k-grams vote for one diagonal. For notices, diagonals of on
 each other merge (words inserted or left out), and a merged span is a match if it covers ``min_cover`` of the template's
 k-grams. Every hit is verified word by word against the template before it votes.
 
-Only hits and one row for each document are shuffled. Cases: a null or empty text has no words and no labels; rows that
+A text's own hashes that no template has are left out before they are exploded; the words of the others go with them, so work
+follows the length of a text. Only hits and one row for each document are shuffled. Cases: a null or empty text has no words and no labels; rows that
 repeat an id with another text are answered apart, rows equal in id and text alike; an empty table gives none.
 """
 
@@ -77,20 +78,25 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", slack: int =
     docs = docs.withColumn("one", F.transform("words", lambda w: F.xxhash64(w)))
     docs = docs.withColumn("two", rolled(F.col("one"), 1))
     docs = docs.select("id", "a", "words", "two", rolled(F.col("two"), 2).alias("four"))
+    table = templates(spark)
+    have = {k: [x.t_hash for x in table.where(F.col("k") == k).select("t_hash").distinct().collect()] for k in (SHORT, LONG)}  # of the fixed list
+
+    def places(hashes: str, k: int) -> Column:
+        """The places in a text whose hash some template has. words must be a column, not an expression: this reads it by place."""
+        one = lambda h, i: F.when(h.isin(have[k]), F.struct(F.lit(k).alias("k"), i.alias("at"), h.alias("hash"), F.slice("words", i + 1, F.lit(k)).alias("words")))
+        return F.filter(F.transform(hashes, one), lambda x: x.isNotNull())
+
     # one place more, -1, stands for the row itself: so that rows without a hit stay, and texts are read once
-    tagged = F.concat(
-        F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("hash"))),
-        F.transform("two", lambda h, i: F.struct(F.lit(SHORT).alias("k"), i.alias("at"), h.alias("hash"))),
-        F.transform("four", lambda h, i: F.struct(F.lit(LONG).alias("k"), i.alias("at"), h.alias("hash"))),
-    )
-    grams = docs.select("id", "a", "words", F.explode(tagged).alias("g"))
+    none = F.array().cast("array<string>")
+    row = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("hash"), none.alias("words")))
+    grams = docs.select("id", "a", F.size("words").alias("n_words"), F.concat(row, places("two", SHORT), places("four", LONG)).alias("g"))
+    grams = grams.select("id", "a", "n_words", F.explode_outer("g").alias("g"))  # explode() would compute g twice, for a filter on its size, and there with words as an expression
     own = spark.range(1).select(
         F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("length"), F.lit(0).alias("n_grams"),
-        F.lit(0).alias("k"), F.lit(-1).alias("t_at"), F.lit(0).cast("bigint").alias("t_hash"), F.array().cast("array<string>").alias("t_words"),
+        F.lit(0).alias("k"), F.lit(-1).alias("t_at"), F.lit(0).cast("bigint").alias("t_hash"), none.alias("t_words"),
     )
-    table = templates(spark).unionByName(own)
-    same = (F.col("g.hash") == F.col("t_hash")) & (F.col("g.k") == F.col("k")) & ((F.col("k") == 0) | (F.slice("words", F.col("g.at") + 1, F.greatest(F.col("k"), F.lit(1))) == F.col("t_words")))
-    hits = grams.join(F.broadcast(table), same).select("id", "a", F.when(F.col("k") == 0, F.size("words")).alias("n_words"), "template", "label", "base", "length", "n_grams", "t_at", (F.col("g.at") - F.col("t_at")).alias("diagonal"))
+    same = (F.col("g.hash") == F.col("t_hash")) & (F.col("g.k") == F.col("k")) & (F.col("g.words") == F.col("t_words"))
+    hits = grams.join(F.broadcast(table.unionByName(own)), same).select("id", "a", F.when(F.col("k") == 0, F.col("n_words")).alias("n_words"), "template", "label", "base", "length", "n_grams", "t_at", (F.col("g.at") - F.col("t_at")).alias("diagonal"))
     votes = hits.groupBy("id", "a", "template", "label", "base", "length", "n_grams", "diagonal").agg(
         F.max("n_words").alias("n_words"), F.count("*").alias("rows"), F.collect_set("t_at").alias("votes")
     )

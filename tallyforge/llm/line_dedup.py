@@ -32,6 +32,7 @@ def line_key(line: Column) -> Column:
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """df with n_lines, n_dropped and kept (the remaining lines, joined)."""
     key_a, key_b, drop, n_lines, n_dropped, kept_ = (common.free_name(df, x) for x in ("__row_a", "__row_b", "__drop", "n_lines", "n_dropped", "kept"))
+    lines = common.free_name(df, "__lines")
     whole = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(F.col(doc_id).alias("id"), F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(7), whole).alias("b"))
     keys = F.transform(F.split(common.ascii_lower(whole), "\n", -1), line_key)
@@ -39,7 +40,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     places = (
         df.where(F.col(doc_id).isNotNull())
         .select(row.alias("row"), F.filter(hashed, lambda x: x.isNotNull()).alias("lines"))
-        .select("row", F.explode("lines").alias("line"))
+        .select("row", F.explode_outer("lines").alias("line"))  # explode() would compute lines twice, for a filter on their number
+        .where(F.col("line").isNotNull())
         .select(F.col("row.id").alias("id"), F.col("row.a").alias("a"), F.col("row.b").alias("b"), "line.x", "line.y", "line.at")
     )
     often = places.groupBy("x", "y").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("x", "y", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -48,14 +50,15 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
         .groupBy(F.col("id").alias(doc_id), F.col("a").alias(key_a), F.col("b").alias(key_b)).agg(F.collect_set("at").alias(drop))
     )
     keyed = df.withColumns({key_a: F.xxhash64(whole), key_b: F.xxhash64(F.lit(7), whole)})
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     dropped = F.coalesce(F.size(drop), F.lit(0))
+    # lines must be a column: as an expression it would be split again for every place that the lambda reads
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)), lambda i: F.get(lines, i))
-    return keyed.join(drops, [doc_id, key_a, key_b], "left").select(
+    found = keyed.join(drops, [doc_id, key_a, key_b], "left").withColumn(lines, F.split(whole, "\n", -1))
+    return found.select(
         *[keyed[c] for c in df.columns],
         F.size(lines).cast("bigint").alias(n_lines),
         dropped.cast("bigint").alias(n_dropped),
-        F.when(F.col(drop).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(left, "\n")).alias(kept_),
+        F.when(F.col(drop).isNull(), whole).otherwise(F.array_join(left, "\n")).alias(kept_),
     )
 
 

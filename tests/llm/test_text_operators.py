@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -62,6 +63,32 @@ def test_license_empty(spark):
     assert license_scan.scan(table(spark, [])).count() == 0
 
 
+def seconds(run):
+    begin = time.time()
+    run()
+    return time.time() - begin
+
+
+def test_license_scan_is_linear_in_a_text(spark):
+    part = "licensed under the apache license version 2 0 and gnu general public license " + prose(3, 500)
+    many, one = table(spark, [(i, part, "en") for i in range(300)]), table(spark, [(1, " ".join([part] * 300), "en")])
+    run = lambda d: license_scan.scan(d).collect()
+    run(many)
+    assert seconds(lambda: run(one)) < 2 * seconds(lambda: run(many)) + 2
+    x = run(one)[0]
+    assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == licenses(" ".join([part] * 300))
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    lines = [f"line {i} that is long enough to count as one" for i in range(40_000)]
+    many = [(400 * k + i, "\n".join([*lines[100 * i : 100 * i + 100], f"own {k} {i}"]), "en") for k in range(3) for i in range(400)]
+    one = [(k, "\n".join([*lines, f"own {k}"]), "en") for k in range(3)]
+    run = lambda rows: line_dedup.dedup_lines(table(spark, rows)).collect()
+    run(many)
+    assert seconds(lambda: run(one)) < 2 * seconds(lambda: run(many)) + 2
+    assert sorted(((x.doc_id, x.n_lines, x.n_dropped, x.kept) for x in run(one)), key=str) == deduped(one)
+
+
 def test_license_plan_is_native(spark):
     plan = license_scan.scan(table(spark, ODD))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
