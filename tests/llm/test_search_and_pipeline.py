@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +132,42 @@ def test_ann_recall_order_and_ties(spark):
     assert [i for _, i in by[1500]] == list(range(1501, 1511))  # 299 others at distance 0: the smallest ids
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_ann_probes_few_lists_of_many_vectors(spark, clustered):
+    """Measured recall against brute force, and the share of all vectors that the probed lists hold."""
+    rng, n = np.random.default_rng(5), 50_000
+    x = rng.standard_normal((n, 32)) + (rng.standard_normal((200, 32)) * 4)[rng.integers(0, 200, n)] * clustered
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 32), pa.array(x.ravel()))}))
+    got = ann.search(df, F.col("vec_id") % 250 == 0).toPandas()
+    hit, queries = 0, range(0, n, 250)
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 10 and np.allclose(own.score, d[own.vec_id], atol=1e-12, rtol=0)
+        hit += len(set(own.vec_id) & set(np.argsort(d)[:10].tolist()))
+    share = got.groupby("query_id").n_scanned.first().mean() / n
+    assert hit >= 0.9 * 10 * len(queries) and share < (0.02 if clustered else 0.2), (hit, share)
+
+
+def test_ann_counts_a_repeated_id_once(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(8)] + [(5, [0.5, 1.0]), (5, [9.0, 9.0]), (5, [0.5, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(5, 0.5), (1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0), (6, 6.0), (7, 7.0)]
+
+
+def test_scan_gives_up_only_what_is_far():
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((900, 48)), rng.standard_normal((20, 48))
+    of, probed = rng.integers(0, 9, 900), rng.random((20, 9)) < 0.5
+    exact = np.sqrt(((x[None] - q[:, None]) ** 2).sum(2))
+    at, near, score = ann.scan(np.arange(900), x, of, np.arange(2000, 2020), q, np.full(20, np.inf), probed, ann.rotation(48), 10)
+    for i in range(20):
+        d = np.where(probed[i][of], exact[i], np.inf)
+        want = np.argsort(d, kind="stable")[:10]
+        assert len(set(near[at == i]) & set(want)) >= 9 and np.allclose(score[at == i], d[near[at == i]])
+
+
 def test_ann_few_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], schema)
