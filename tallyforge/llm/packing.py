@@ -1,15 +1,15 @@
 """Best-fit packing by sum of squares.
 
-Whole documents are tokenized, and those longer than a sequence are cut into full pieces after a first, shorter one. A piece
-goes where the sum over all residual gaps g of (open sequences with gap g)^2 becomes smallest: into an open sequence whose
-gap it fits, or into a new one; ties go to the smallest gap. Pieces are placed from the longest to the shortest; full pieces
-are sequences of their own. The sums keep gaps of many kinds open till the end; what is then open by 32 tokens or more is
-emptied and placed once more by least gap, which saves about one sequence in a hundred.
-
-Pieces are packed in groups of about ``group`` documents, dealt by a hash, so no task gathers more than a bounded number of
-pieces; each group leaves a few sequences open, which is why groups are large. Texts don't move: only lengths and checksums
-are shuffled. Cases: a null or empty text is one piece of the end id; repeated rows are packed one by one; the order in a
-group is by length, id and piece, so a rerun gives the same sequences.
+Whole documents are tokenized, and those longer than a sequence are cut into full pieces after a first, shorter one. A full
+piece is a sequence of its own, numbered where it is cut, and isn't shuffled. A shorter one goes into the open sequence where
+the sum over all residual gaps g of (open sequences with gap g)^2 becomes smallest; ties go to the smallest gap. A new sequence
+is opened only if no open one has room: weighed by the sum alone, a new one wins too often, and one in a hundred more are made.
+Pieces are placed from the longest to the shortest.
+
+Pieces are packed in groups of about ``group`` short pieces, dealt by a hash of their place in the table of pieces, so no task
+gathers more than a bounded number, whatever ids repeat; each group leaves a few sequences open, which is why groups are large.
+Texts don't move: only lengths and checksums are shuffled. Cases: a null or empty text is one piece of the end id; repeated
+rows are packed one by one; the order in a group is by length, checksum and place.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +46,11 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     stacks: list[list[int]] = [[] for _ in range(size + 1)]
     of, at, n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        # change of the sum if gap g becomes g - s; the last one stands for a new sequence, which has no count to lose
-        change = -2 * open_count[s:] + 1
+        # change of the sum if gap g becomes g - s; none is open with the gap of a whole sequence, which stands for a new one
+        change = 1 - 2 * open_count[s:]
         change[1:] += 2 * open_count[1 : size - s + 1] + 1
-        change[open_count[s:] == 0] = np.iinfo(np.int64).max
-        change[-1] = 2 * open_count[size - s] + 1 if s < size else 0
+        change[open_count[s:] == 0] = np.iinfo(np.int64).max - 1
+        change[-1] = np.iinfo(np.int64).max - 2
         g = s + int(change.argmin())
         if g == size:
             which, n = n, n + 1
@@ -64,34 +64,6 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return of, at, n
 
 
-def settle(lengths: np.ndarray, of: np.ndarray, at: np.ndarray, n: int, size: int, least_gap: int = 32) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequences that the sums left open wide are emptied, and their pieces (longest first) go where the least gap stays."""
-    gap = size - np.bincount(of, lengths, n).astype(np.int64)
-    again = np.flatnonzero(gap[of] >= least_gap)
-    stacks: list[list[int]] = [[] for _ in range(size + 1)]
-    is_open = np.zeros(size + 1, bool)
-    new_of, new_at, made = np.zeros(len(again), np.int64), np.zeros(len(again), np.int64), 0
-    for i, s in enumerate(lengths[again].tolist()):
-        fits = int(is_open[s:size].argmax()) + s if s < size else size
-        if s < size and is_open[fits]:
-            which = stacks[fits].pop()
-            is_open[fits] = bool(stacks[fits])
-        else:
-            fits, which, made = size, made, made + 1
-        new_of[i], new_at[i] = which, size - fits
-        if fits > s:
-            stacks[fits - s].append(which)
-            is_open[fits - s] = True
-    left = np.flatnonzero(gap < least_gap)
-    if made >= n - len(left):
-        return of, at, n
-    number = np.full(n, -1, np.int64)
-    number[left] = np.arange(len(left))
-    of, at = number[of], at.copy()
-    of[again], at[again] = len(left) + new_of, new_at
-    return of, at, len(left) + made
-
-
 def pieces(df: DataFrame, path: str, size: int, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     common.ship(df.sparkSession)
@@ -114,17 +86,21 @@ def pieces(df: DataFrame, path: str, size: int, end: int, doc_id: str = "doc_id"
 
 def pack(df: DataFrame, path: str, size: int = 1024, end: int = 2, doc_id: str = "doc_id", text: str = "text", group: int = 60_000) -> DataFrame:
     """Every piece with its sequence_id and offset."""
-    groups = max(1, -(-df.count() // group))
-    found = pieces(df, path, size, end, doc_id, text).withColumn("pack", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    found = common.kept(pieces(df, path, size, end, doc_id, text).withColumn("place", F.monotonically_increasing_id()), "pieces")
+    full = found.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.col("place"), "offset": F.lit(0).cast("bigint")}).drop("place")
+    short = found.where(F.col("length") < size)
+    groups = max(1, -(-short.count() // group))
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        lengths = rows["length"].to_numpy()
-        of, at, _ = settle(lengths, *place(lengths, size), size)
-        return rows.drop(columns="pack").assign(sequence_id=rows["pack"] * (1 << 40) + of, offset=at)
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.compute.sort_indices(rows, [("length", "descending"), ("ids_crc32", "ascending"), ("place", "ascending")]))
+        of, at, _ = place(rows.column("length").to_numpy(), size)
+        number = rows.column("pack").to_numpy() * (1 << 40) + of
+        return rows.drop_columns(["pack", "place"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(at))
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return found.groupBy("pack").applyInPandas(fill, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    dealt = short.withColumn("pack", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    filled = dealt.groupBy("pack").applyInArrow(fill, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return filled.unionByName(full)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
