@@ -5,8 +5,14 @@ of it (taken in the order of a hash of the key, so the sample is random and stab
 letters its first tenth, so that no single one ends the sample); a fifth of the sample calibrates. The
 n-grams of all languages stand in one sorted array of hashes for each order, with a column of log probabilities for each
 language: one search finds an n-gram's probability in all of them. A missing n-gram backs off through the sorted array of
-contexts. The language of least cross-entropy for each letter wins. A document is rejected if it has no letter, or if that
-cross-entropy is above the calibration mean by more than ``z`` deviations for a text of its length.
+contexts. The language of least cross-entropy for each letter wins.
+
+Rejection is calibrated on the fifth of the sample that the models aren't fitted on. A language's own texts (labelled so and won
+by it, so that wrong labels don't count) give a median and, by medians again, a variance that is left in long texts and one
+that shrinks with length. In these deviations, the language's limit lies halfway between the quantile ``keep`` of its own
+texts and the quantile 1 - ``foreign`` of what other languages' texts get from its model; if these overlap, at the former.
+The shares beyond the limit of both are kept beside it. A document is rejected if it has no letter or if its least
+cross-entropy is beyond the limit of that language.
 
 Whole texts are scored in slices; nothing is shuffled. Cases: null or letterless text is "und" with score 0 and rejected;
 rows are answered one by one, so repeats don't matter; without labelled rows every answer is "und"; ties go to the language
@@ -28,6 +34,7 @@ from . import common
 from .words import _GRAM, mix
 
 UNKNOWN = "und"
+CHI2 = 0.4549
 #: Code points that are scored at once.
 SLICE = 500_000
 #: Characters of all languages' samples together, which are collected.
@@ -82,22 +89,43 @@ def prepared(texts: list[str | None], letters: np.ndarray, order: int) -> tuple[
 
 
 class Model:
-    def __init__(self, samples: dict[str, list[str]], order: int = 4, z: float = 10.0):
-        self.order, self.z, self.letters = order, z, letter_table()
+    def __init__(self, samples: dict[str, list[str]], order: int = 4, keep: float = 0.995, foreign: float = 0.99):
+        self.order, self.letters = order, letter_table()
         table = np.unpackbits(self.letters).astype(bool)
         self.languages = sorted(k for k, v in samples.items() if v)
         fit = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in samples.items()}
         held = {k: [t for i, t in enumerate(v) if not i % 5 or len(v) < 5] for k, v in samples.items()}
         self._fit([fit[k] for k in self.languages], table)
-        self.mean, self.spread, self.noise = (np.zeros(len(self.languages)) for _ in range(3))
-        for k, name in enumerate(self.languages):
-            n, mean, square = self.score(held[name])
-            ok = n > 0
-            if ok.any():
-                h, n = mean[ok, k], n[ok]
-                self.mean[k] = np.average(h, weights=n)
-                self.noise[k] = max(np.average(square[ok, k] - h**2, weights=n), 0.1) * 4
-                self.spread[k] = np.average(np.maximum((h - self.mean[k]) ** 2 - self.noise[k] / n, 0), weights=np.minimum(n, 500)) + 0.01
+        self._calibrate([held[k] for k in self.languages], keep, foreign)
+
+    def _calibrate(self, held: list[list[str]], keep: float, foreign: float) -> None:
+        size = len(self.languages)
+        self.middle, self.spread, self.noise, self.limit, self.false_rejection, self.foreign_rejection = (np.zeros(size) for _ in range(6))
+        n, entropy, label = [np.zeros(0, np.int64)], [np.zeros((0, size))], [np.zeros(0, np.int64)]
+        for k, texts in enumerate(held):
+            length, mean = self.score(texts)
+            own = (length > 0) & (mean.argmin(1) == k)
+            n.append(length[own]), entropy.append(mean[own]), label.append(np.full(int(own.sum()), k))
+        n, entropy, label = np.concatenate(n), np.concatenate(entropy), np.concatenate(label)
+        for k in range(size):
+            own = label == k
+            if not own.any():
+                self.limit[k], self.spread[k] = np.inf, 1.0
+                continue
+            h, length = entropy[own, k], n[own]
+            self.middle[k] = np.median(h)
+            square, long = (h - self.middle[k]) ** 2, length >= np.median(length)
+            self.spread[k] = max(np.median(square[long]) / CHI2, 1e-4)  # the median of a squared normal deviate is CHI2
+            self.noise[k] = np.median((length * np.maximum(square - self.spread[k], 0))[~long]) / CHI2 if (~long).any() else 0.0
+            away = (entropy[:, k] - self.middle[k]) / self.deviation(k, n)
+            most = np.quantile(away[own], keep)
+            least = np.quantile(away[~own], 1 - foreign) if (~own).any() else 2 * most
+            self.limit[k] = max((most + least) / 2, most, 3.0)
+            self.false_rejection[k] = (away[own] > self.limit[k]).mean()
+            self.foreign_rejection[k] = (away[~own] > self.limit[k]).mean() if (~own).any() else 1.0
+
+    def deviation(self, k: int | np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.spread[k] + self.noise[k] / np.maximum(n, 1))
 
     def _fit(self, texts: list[list[str]], table: np.ndarray) -> None:
         grams: list[list[dict[str, np.ndarray]]] = []
@@ -157,21 +185,20 @@ class Model:
         out[live] += self.base
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scored codes of each text, cross-entropy and mean square of -log p in every language."""
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scored codes of each text and its cross-entropy in every language."""
         if not hasattr(self, "_table"):
             self._table = np.unpackbits(self.letters).astype(bool)
         codes, at, begin = prepared(texts, self._table, self.order)
-        sums = np.zeros((2, len(texts), len(self.languages)))
+        sums = np.zeros((len(texts), len(self.languages)))
         of = np.searchsorted(begin, np.arange(0, len(at), 1), "right") - 1 if len(at) else at
         for lo in range(0, len(at), SLICE):
             p = self.log_p(codes, at[lo : lo + SLICE]).astype(np.float64)
             part = of[lo : lo + SLICE]
             cut = np.flatnonzero(np.diff(part, prepend=-1))
-            sums[0, part[cut]] -= np.add.reduceat(p, cut)
-            sums[1, part[cut]] += np.add.reduceat(p * p, cut)
+            sums[part[cut]] -= np.add.reduceat(p, cut)
         n = np.diff(begin)
-        return n, *(sums / np.maximum(n, 1)[None, :, None])
+        return n, sums / np.maximum(n, 1)[:, None]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
@@ -179,17 +206,17 @@ class Model:
     def answer(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        n, entropy, _ = self.score(texts)
+        n, entropy = self.score(texts)
         best = entropy.argmin(1)
         least = entropy[np.arange(len(texts)), best]
         score = 1 / np.exp(-(entropy - least[:, None]) * np.minimum(n, 50)[:, None]).sum(1)
-        limit = self.mean[best] + self.z * np.sqrt(self.spread[best] + self.noise[best] / np.maximum(n, 1))
+        limit = self.middle[best] + self.limit[best] * self.deviation(best, n)
         names = np.array(self.languages, object)[best]
         some = n > 0
         return np.where(some, names, UNKNOWN).tolist(), np.where(some, score, 0.0).tolist(), (~some | (least > limit)).tolist()
 
 
-def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, train_docs: int = 1000, train_chars: int = 2_000_000, z: float = 10.0) -> Model:
+def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, train_docs: int = 1000, train_chars: int = 2_000_000, keep: float = 0.995) -> Model:
     """Languages are counted over all rows; of each, train_docs documents at most are collected, and train_chars characters in all
     (fewer with more than 32 languages: TOTAL is shared out), a tenth of these at most from one text."""
     rows = df.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.lit(11), F.col(key).cast("string")).alias("draw"), F.col(text).alias("text"))
@@ -206,7 +233,7 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     samples: dict[str, list[str]] = {}
     for x in picked.select("lang", "text").orderBy("lang", "r").toLocalIterator():
         samples.setdefault(x.lang, []).append(x.text)
-    return Model(samples, order, z)
+    return Model(samples, order, keep)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

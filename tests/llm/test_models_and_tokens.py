@@ -2,6 +2,7 @@
 
 import os
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -47,22 +48,74 @@ def test_held_out_accuracy_and_rejection(spark, spoken):
     assert out[4].lang_pred == "bb" and not out[4].rejected and out[4].score > 0.99
 
 
-def test_language_probabilities_sum_to_one(spark):
-    model = language_id.Model({"aa": [speech("aa", i) for i in range(20)], "bb": [speech("bb", i) for i in range(20)]}, order=3)
+def kneser_ney(texts, order):
+    """P(code | codes before) of one language, from dicts of counts: plain, recursive, by the formula."""
+    padded = []
+    for t in texts:
+        out, last = [" "] * (order - 1), False
+        for c in t.lower():
+            letter = unicodedata.category(c)[0] in "LM"
+            if letter or last:
+                out.append(c if letter else " ")
+            last = letter
+        padded.append(out)
+    counts = {order: Counter(tuple(p[i - order + 1 : i + 1]) for p in padded for i in range(order - 1, len(p)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut = {}
+    for n, c in counts.items():
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        cut[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(code, before, n, alphabet):
+        if n == 0:
+            return 1 / alphabet
+        before = tuple(before[len(before) - n + 1 :])
+        kinds = {g: v for g, v in counts[n].items() if g[:-1] == before}
+        lower = p(code, before[1:], n - 1, alphabet)
+        total = sum(kinds.values())
+        return lower if not total else max(kinds.get((*before, code), 0) - cut[n], 0) / total + cut[n] * len(kinds) / total * lower
+
+    return p, {g[0] for g in counts[1]}
+
+
+def test_language_model_against_dicts_and_its_sums():
+    samples = {"aa": [speech("aa", i, 12) for i in range(20)], "bb": [speech("bb", i, 9) + " Été, 9!" for i in range(20)]}
+    model = language_id.Model(samples, order=3)
+    plain = [kneser_ney([t for i, t in enumerate(samples[k]) if i % 5], 3) for k in ("aa", "bb")]
+    known = plain[0][1] | plain[1][1]
     table_ = np.unpackbits(model.letters).astype(bool)
-    codes, at, _ = language_id.prepared([speech("aa", 1), speech("bb", 1)], table_, 3)
-    alphabet = sorted({int(c) for c in codes})
-    place = at[10]
-    total = np.zeros(2)
-    for c in [*alphabet, *(0x4E00 + i for i in range(1))]:
-        x = codes.copy()
-        x[place] = c
-        total += np.exp(model.log_p(x, np.array([place]))[0])
-    assert np.allclose(total, 1, atol=0.06)
+    codes, at, _ = language_id.prepared([speech("aa", 77, 5) + " zß", speech("bb", 78, 5)], table_, 3)
+    for place in at[::3]:
+        log_p = model.log_p(codes, np.array([place]))[0]
+        before = [chr(c) for c in codes[place - 2 : place]]
+        want = [p(chr(codes[place]), before, 3, len(known) + 1) for p, _ in plain]
+        assert np.allclose(np.exp(log_p.astype(float)), want, rtol=2e-6, atol=0)
+        total = np.zeros(2)
+        for c in [*map(ord, known), 0x4E00]:  # all codes that are known, and one that stands for all others
+            x = codes.copy()
+            x[place] = c
+            total += np.exp(model.log_p(x, np.array([place]))[0].astype(float))
+        assert np.allclose(total, 1, atol=2e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_rejection_of_languages_left_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    train = ~language_id.held_out()
+    whole = language_id.fit(docs, train)
+    got = language_id.predict(docs, whole).where(language_id.held_out() & (F.col("lang_pred") != "und"))
+    assert got.where(F.col("rejected")).count() <= 0.01 * got.count()
+    assert (whole.false_rejection <= 0.01).all() and (whole.foreign_rejection >= 0.95).all()
+    for lang in whole.languages:
+        model = language_id.fit(docs.where(F.col("lang") != lang), train)
+        strange = language_id.predict(docs.where((F.col("lang") == lang) & (F.length("text") > 100)), model)
+        n, gone = strange.agg(F.count("*"), F.count_if("rejected")).first()
+        assert n > 20 and gone >= 0.9 * n, (lang, gone, n)
 
 
 def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "Model", lambda samples, order, z: samples)
+    monkeypatch.setattr(language_id, "Model", lambda samples, order, keep: samples)
     order = F.xxhash64(F.lit(12), F.xxhash64(F.lit(11), F.col("id").cast("string")))
     first = [x.id for x in spark.range(30).orderBy(order).collect()][1]
     docs = table(spark, [(i, "long " * 1000 if i == first else f"text {i:02}", "aa") for i in range(30)])
