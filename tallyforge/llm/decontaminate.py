@@ -7,7 +7,8 @@ all windows are searched backwards through it at once, their occurrences are loc
 compared with the phrase word by word, and merged to removal spans.
 
 The documents are neither shuffled nor collected. Windows are sent to all executors in blocks of at most ``BLOCK`` bytes of
-item text; more items mean more passes, whose spans are merged.
+item text or so, as arrays of word hashes and numbers (under ten bytes for a byte of text); more items mean more passes, each
+written to the shared folder before the next, whose spans are merged. A single item longer than that is a block of its own.
 
 Cases: a null or empty text has no words; a null or empty item has no windows; an item without an id marks words but isn't
 counted; repeated rows are answered one by one; an empty benchmark leaves all clean; other columns are left alone.
@@ -15,7 +16,6 @@ counted; repeated rows are answered one by one; an empty benchmark leaves all cl
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,9 @@ from . import common, words
 from .fm_index import FMIndex
 
 SHARD = 6_000_000
-BLOCK = 64_000_000
+BLOCK = 16_000_000
+#: Windows that are searched at once.
+ASKED = 1 << 16
 SPANS = "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>"
 
 
@@ -37,38 +39,75 @@ class Book:
     """The windows of some items: their words as letters of a small alphabet, and the items that have each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            w = words.word_bytes((text or "").encode("utf-8", "surrogatepass"))
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).update([] if name is None else [name])
-        phrases = list(found)
-        self.size = np.array([len(p) for p in phrases], np.int64)
-        self.items = [sorted(x) for x in found.values()]
-        every = sorted({x for p in phrases for x in p})
-        self.bytes = np.frombuffer(b"".join(every), np.uint8)
-        self.length = np.array([len(x) for x in every], np.int64)
-        at = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
-        self.begin = at[:-1]
-        hashed = words.words(self.bytes, at)[2]
-        self.letters = len(every) + 1
-        order = np.argsort(hashed)
-        self.hashes, self.letter_of = hashed[order], (order + 1).astype(np.int32)
-        letter = {x: i + 1 for i, x in enumerate(every)}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        groups = defaultdict(list)
-        for i, p in enumerate(phrases):
-            groups[len(p)].append(i)
-        for n, ids in sorted(groups.items()):
-            self.by_length[n] = np.array(ids), np.array([[letter[x] for x in phrases[i]] for i in ids], np.int64)
+        raw = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
+        data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        first, end, h = words.words(data, at)
+        text_at = words.counts(first, at)
+        self.hashes, where, letter = np.unique(h, return_index=True, return_inverse=True)
+        self.letters = len(self.hashes) + 1
+        self.text = (letter + 1).astype(np.int32)
+        self.length = (end - first)[where]
+        self.bytes, self.begin = spelled(data, first[where], self.length)
+        for lo in range(0, len(h), ASKED):  # words of one hash must be one word
+            own = slice(lo, lo + ASKED)
+            if wrong_words(self, np.arange(lo, min(lo + ASKED, len(h))), self.text, data, first, end).any():
+                raise RuntimeError(f"two words of the items share a hash, at {first[own][0]} or later")
+        n = np.diff(text_at)
+        count = np.where(n >= window, n - window + 1, n > 0)
+        start = np.repeat(text_at[:-1] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        size = np.repeat(np.minimum(n, window), count)
+        key = np.stack([size.astype(np.uint64), *(window_hashes(self.text, start, size, base) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))])
+        order = np.lexsort(key[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, order[1:]] != key[:, order[:-1]]).any(0)
+        phrase = np.empty(len(order), np.int64)
+        phrase[order] = np.cumsum(new) - 1
+        self.start, self.size = start[order[new]], size[order[new]]
+        self.names = sorted({x for x, _ in items if x is not None})
+        number = {x: i for i, x in enumerate(self.names)}
+        name = np.repeat(np.array([-1 if x is None else number[x] for x, _ in items], np.int64), count)
+        pair = np.unique(phrase[name >= 0] * max(1, len(self.names)) + name[name >= 0])
+        self.item = (pair % max(1, len(self.names))).astype(np.int32)
+        self.item_at = np.searchsorted(pair // max(1, len(self.names)), np.arange(len(self.start) + 1))
+        self.by_length = {int(k): np.flatnonzero(self.size == k) for k in np.unique(self.size)}
         self.shortest = min(self.by_length, default=0)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
+
     def letters_of(self, h: np.ndarray) -> np.ndarray:
         """0 for a word that no window has."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int32)
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == h, self.letter_of[k], 0).astype(np.int32)
+        return np.where(self.hashes[k] == h, k + 1, 0).astype(np.int32)
+
+    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and letters of the windows, of one length and a bounded number at a time."""
+        for k, ids in self.by_length.items():
+            for lo in range(0, len(ids), ASKED):
+                own = ids[lo : lo + ASKED]
+                yield own, self.text[self.start[own][:, None] + np.arange(k)].astype(np.int64)
+
+    def items_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of all these windows, and how many each has."""
+        n = self.item_at[phrases + 1] - self.item_at[phrases]
+        return self.item[np.repeat(self.item_at[phrases] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
+
+
+def spelled(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes of these words end to end, and where each begins."""
+    begin = np.cumsum(n) - n
+    return words.LOWER[data[np.repeat(first - begin, n) + np.arange(int(n.sum()))]], begin
+
+
+def window_hashes(text: np.ndarray, start: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each window of letters: differences of running sums of letter times base^place, moved to place 0."""
+    back = np.uint64(pow(base, -1, 1 << 64))
+    up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(len(text), b, np.uint64)))) for b in (np.uint64(base), back))
+    total = np.concatenate(([np.uint64(0)], np.cumsum(words.mix(text.astype(np.uint64) * np.uint64(base)) * up[:-1], dtype=np.uint64)))
+    return words.mix((total[start + size] - total[start]) * down[start])
 
 
 def long_runs(letters: np.ndarray, text_at: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +138,7 @@ def occurrences(book: Book, letters: np.ndarray, text_at: np.ndarray) -> tuple[n
     word_at[where] = place
     index = FMIndex(text, book.letters)
     phrases, places = [none], [none]
-    for ids, wanted in book.by_length.values():
+    for ids, wanted in book.phrases():
         lo, hi = index.search(wanted)
         n = hi - lo
         rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -145,9 +184,11 @@ def shard_hits(book: Book, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
         inside = covered()
     items: list[set] = [set() for _ in range(len(at) - 1)]
     if len(places):
-        pairs = np.unique((np.searchsorted(text_at, places, "right") - 1) * len(book.items) + phrases)
-        for t, phrase in zip((pairs // len(book.items)).tolist(), (pairs % len(book.items)).tolist(), strict=True):
-            items[t].update(book.items[phrase])
+        pairs = np.unique((np.searchsorted(text_at, places, "right") - 1) * len(book.size) + phrases)
+        item, n = book.items_of(pairs % len(book.size))
+        pairs = np.unique(np.repeat(pairs // len(book.size), n) * max(1, len(book.names)) + item)
+        for t, k in zip((pairs // max(1, len(book.names))).tolist(), (pairs % max(1, len(book.names))).tolist(), strict=True):
+            items[t].add(book.names[k])
     edge = np.zeros(len(inside) + 1, bool)
     edge[text_at] = True
     start, stop = inside.copy(), inside.copy()
@@ -208,10 +249,13 @@ def _scan(df: DataFrame, book: Broadcast, text: str, out: tuple[str, str, str])
     return df.mapInArrow(run, schema)
 
 
-def books(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> Iterator[Broadcast]:
-    """The windows of all items, by blocks of at most BLOCK bytes or so."""
+def blocks_of(benchmark: DataFrame, item_text: str) -> int:
+    return max(1, -(-(benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) // BLOCK))
+
+
+def books(benchmark: DataFrame, item_id: str, item_text: str, window: int, blocks: int) -> Iterator[Broadcast]:
+    """The windows of all items, by blocks of BLOCK bytes or so."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         yield benchmark.sparkSession.sparkContext.broadcast(Book([(x.id, x.text) for x in part.collect()], window))
@@ -223,8 +267,11 @@ def find_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     common.ship(spark)
     common.small_batches(spark)
     out = tuple(common.free_name(df, x) for x in ("n_words", "spans", "items"))
-    for book in books(benchmark, item_id, item_text, window):
+    blocks = blocks_of(benchmark, item_text)
+    for k, book in enumerate(books(benchmark, item_id, item_text, window, blocks)):
         df = _scan(df, book, text, out)
+        if k + 1 < blocks:  # else all books and passes would meet in one task
+            df = common.kept(df, "decontamination-pass")
     return df
 
 
@@ -262,9 +309,12 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     spark = df.sparkSession
     common.ship(spark)
     common.small_batches(spark)
-    found = list(books(benchmark, item_id, item_text, window))
-    for book in found if len(found) == 1 else [*found, *found]:  # a cut of a later block may bring together a window of an earlier one
-        df = _cut(df, book, text)
+    blocks = blocks_of(benchmark, item_text)
+    for turn in range(1 if blocks == 1 else 2):  # a cut of a later block may bring together a window of an earlier one
+        for k, book in enumerate(books(benchmark, item_id, item_text, window, blocks)):
+            df = _cut(df, book, text)
+            if blocks > 1 and (turn, k) != (1, blocks - 1):
+                df = common.kept(df, "decontamination-pass")
     return df
 
 

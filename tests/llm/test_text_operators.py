@@ -185,7 +185,14 @@ def planted(n=40):
     return rows
 
 
-@pytest.mark.parametrize("block", [64_000_000, 100])
+def test_books_are_small():
+    items = [(str(i % 50), prose(i, 3000, 5000)) for i in range(100)]
+    book = decontaminate.Book(items, 10)
+    assert book.nbytes < 10 * sum(len(t.encode()) for _, t in items)
+    assert len(book.start) == len({tuple(w[i : i + 10]) for _, t in items for w in [words(t)] for i in range(len(w) - 9)})
+
+
+@pytest.mark.parametrize("block", [16_000_000, 200])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     rows = planted()
@@ -198,7 +205,7 @@ def test_decontamination(spark, monkeypatch, block):
     assert sum(x[2] > 0 for x in want) > 10
 
 
-@pytest.mark.parametrize("block", [64_000_000, 100])
+@pytest.mark.parametrize("block", [16_000_000, 200])
 def test_spans_are_cut_out(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     rows = [*planted(), (900, "one and two", "en")]
