@@ -36,10 +36,12 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; one of our own only where the session names none."""
+    """The folder that all machines share; one of our own only where the session names none and runs on one machine."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
     if not (at := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         at = spark.sparkContext.getCheckpointDir()
     return at

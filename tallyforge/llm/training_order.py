@@ -8,19 +8,22 @@ are the partitions; each writes one shard file of records of equal length by Spa
 
     P(i), document id, start in the document (int64 each), tokens, CRC-32 (uint32 each), ids (little endian, zero padded), \\n
 
-A shard's first slot follows from the lengths of the files before it, and slot s stands (s - first) strides into its shard: a
-reader resumes anywhere by one seek.
+A manifest beside the shards (_manifest.json, written last) holds the stride, the number of slots, the key and each shard's
+first slot, and slot s stands (s - first) strides into its shard: a reader of any process resumes anywhere by one seek.
+``width`` grows with M, so that there are about 16,384 shards, as long as a shard stays below about 2^20 numbers.
 
 Texts are tokenized once. Before that, bytes are summed by partition (a number for each partition goes to the driver); the
 pass that writes fails if it meets other sums. An input that isn't a plain scan is first written to the shared folder, so that
 its partitions stay what they were. Ids are compressed while they are shuffled.
 
-Cases: a null or empty text is one sequence of the end id; a null document id is written as the least int64 and read as null;
+Cases: a null or empty text is one sequence of the end id; a null document id is written as 0 with the top bit of the record's
+number of tokens set, and read as null;
 repeated rows are sequences of their own; an empty table writes no shard.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,7 +40,9 @@ from .packing import vocabulary
 from .tokens import encoder
 from .words import utf8
 
-NO_ID = -(2**63)
+#: Set in n_tokens if the document has no id.
+NO_ID = 1 << 31
+MANIFEST = "_manifest.json"
 HEAD = np.dtype([("order", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<u4"), ("ids_crc32", "<u4")])
 
 
@@ -63,8 +68,8 @@ def bound(n_bytes: np.ndarray, size: int) -> np.ndarray:
     return -(-(n_bytes + 1) // size)
 
 
-def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int = 2, key: int = 20240229, width: int = 65536, doc_id: str = "doc_id", text: str = "text") -> dict:
-    """Writes the shards to out; returns how to read them."""
+def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int = 2, key: int = 20240229, width: int | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
+    """Writes the shards and their manifest to out; returns the manifest."""
     spark = df.sparkSession
     common.ship(spark)
     common.small_batches(spark)
@@ -77,8 +82,10 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
     m = begin[-1]
     kind = "<u2" if encoder(path).exact.get_vocab_size() <= 1 << 16 else "<u4"
     payload = size * np.dtype(kind).itemsize
-    how = {"size": size, "stride": HEAD.itemsize + payload + 1, "kind": kind, "first": [], "n": 0}
+    width = width or min(1 << 20, max(1 << 16, -(-m // (1 << 14))))
+    how = {"size": size, "stride": HEAD.itemsize + payload + 1, "kind": kind, "end": end, "key": key, "numbers": m, "width": width, "shards": [], "first": [], "n": 0}
     if not m:
+        write_text(spark, f"{out}/{MANIFEST}", json.dumps(how))
         return how
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
                 ids = enc.array(t.as_py() or "", end)
                 for k, a in enumerate(range(0, len(ids), size)):
                     piece = ids[a : a + size]
-                    head.append((first + k, NO_ID if doc is None else doc, a, len(piece), zlib.crc32(piece.astype("<u4").tobytes())))
+                    head.append((first + k, doc or 0, a, len(piece) | (NO_ID if doc is None else 0), zlib.crc32(piece.astype("<u4").tobytes())))
                     body.append(press.compress(piece.astype(kind).tobytes()))
             at = int(number[-1])
             heads = np.array(head, HEAD)
@@ -113,27 +120,53 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
     dealt = numbered.repartitionById(-(-m // width), F.floor(F.col("order") / width).cast("int")).sortWithinPartitions("order")
     # the text writer writes a record's bytes as they are and a line feed after each
     dealt.mapInArrow(padded, "record binary").select(F.col("record").cast("string").alias("value")).write.text(out)
-    first = 0
-    for _, length in sorted((shard_of(x.path), x.length) for x in spark.read.format("binaryFile").load(f"{out}/part-*").select("path", "length").collect()):  # a row for each shard
-        how["first"].append(first)
-        first += length // how["stride"]
-    return how | {"n": first}
+    files = spark.read.format("binaryFile").load(f"{out}/part-*").select("path", "length").collect()  # a row for each shard
+    for number, length in sorted((shard_of(x.path), x.length) for x in files):
+        if length % how["stride"]:
+            raise RuntimeError(f"shard {number} has {length} bytes, which isn't a multiple of {how['stride']}")
+        how["shards"].append(number)
+        how["first"].append(how["n"])
+        how["n"] += length // how["stride"]
+    write_text(spark, f"{out}/{MANIFEST}", json.dumps(how))
+    return how
+
+
+def _open(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    at, fs = _open(spark, path)
+    stream = fs.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def manifest(spark: SparkSession, out: str) -> dict:
+    """What write_shards() left in out."""
+    at, fs = _open(spark, f"{out}/{MANIFEST}")
+    stream = fs.open(at)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text)
 
 
 def shard_of(path: str) -> int:
     return int(re.search(r"part-(\d+)[^/]*$", path)[1])
 
 
-def read_shards(spark: SparkSession, out: str, how: dict) -> DataFrame:
-    """slot, shard (in order), offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record, read from the files."""
+def read_shards(spark: SparkSession, out: str) -> DataFrame:
+    """slot, shard (in order), offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record, read from the files
+    by their manifest."""
+    how = manifest(spark, out)
     stride, kind = how["stride"], how["kind"]
     schema = "slot bigint, shard int, offset bigint, doc_id bigint, start bigint, n_tokens int, ids_crc32 bigint, ids array<int>"
     if not how["n"]:
         return spark.createDataFrame([], schema)
     common.ship(spark)
     files = spark.read.format("binaryFile").load(f"{out}/part-*")
-    names = sorted(shard_of(x.path) for x in files.select("path").collect())
-    known = spark.sparkContext.broadcast({n: (i, f) for i, (n, f) in enumerate(zip(names, how["first"], strict=True))})
+    known = spark.sparkContext.broadcast({n: (i, f) for i, (n, f) in enumerate(zip(how["shards"], how["first"], strict=True))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.dtype([("head", HEAD), ("ids", kind, (how["size"],)), ("end", "S1")])
@@ -146,11 +179,11 @@ def read_shards(spark: SparkSession, out: str, how: dict) -> DataFrame:
                 found = raw.view(whole)
                 for lo in range(0, len(found), 1024):
                     part = found[lo : lo + 1024]
-                    h, n, place = part["head"], part["head"]["n_tokens"].astype(np.int64), np.arange(lo, lo + len(part))
+                    h, n, place = part["head"], (part["head"]["n_tokens"] & ~np.uint32(NO_ID)).astype(np.int64), np.arange(lo, lo + len(part))
                     doc = h["doc_id"].copy()
                     flat = part["ids"][np.arange(part["ids"].shape[1]) < n[:, None]].astype(np.int32)
                     yield pa.RecordBatch.from_pydict({
-                        "slot": pa.array(first + place), "shard": pa.array(np.full(len(part), shard, np.int32)), "offset": pa.array(place * stride), "doc_id": pa.array(doc, mask=doc == NO_ID), "start": pa.array(h["start"].copy()),
+                        "slot": pa.array(first + place), "shard": pa.array(np.full(len(part), shard, np.int32)), "offset": pa.array(place * stride), "doc_id": pa.array(doc, mask=h["n_tokens"] >= NO_ID), "start": pa.array(h["start"].copy()),
                         "n_tokens": pa.array(n.astype(np.int32)), "ids_crc32": pa.array(h["ids_crc32"].astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)),
                     })
 
@@ -160,5 +193,5 @@ def read_shards(spark: SparkSession, out: str, how: dict) -> DataFrame:
 def op7_training_order(spark, sf_dir: str) -> DataFrame:
     """The shards' records as read back from the files."""
     out = common.scratch(spark, "shards")
-    how = write_shards(common.read(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
-    return read_shards(spark, out, how).drop("ids")
+    write_shards(common.read(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"))
+    return read_shards(spark, out).drop("ids")

@@ -1,5 +1,6 @@
 """Language ID, packing, training order, token counts: held-out accuracy, brute force and round trips."""
 
+import json
 import os
 import random
 import unicodedata
@@ -225,10 +226,11 @@ def test_feistel_is_a_permutation(n, key):
 
 
 def test_shards_round_trip(spark, tmp_path):
-    rows = ODD + [(100 + i, prose(i, i * 5), "en") for i in range(60)]
+    rows = ODD + [(100 + i, prose(i, i * 5), "en") for i in range(60)] + [(-(2**63), "the least id", "en"), (0, "zero", "en")]
     docs = clashing(table(spark, rows)).repartition(5)  # no plain scan: it is written out first
     how = training_order.write_shards(docs, str(tmp_path / "shards"), BYTE, size=128, width=50)
-    got = training_order.read_shards(spark, str(tmp_path / "shards"), how).collect()
+    got = training_order.read_shards(spark, str(tmp_path / "shards")).collect()
+    assert json.loads((tmp_path / "shards" / training_order.MANIFEST).read_text()) == how == training_order.manifest(spark, str(tmp_path / "shards"))
     assert sorted(x.slot for x in got) == list(range(how["n"]))
     exact = Tokenizer.from_file(BYTE)
     want, have = Counter(), Counter()
@@ -261,15 +263,15 @@ def test_splits_without_rows(spark, tmp_path):
     try:
         docs = spark.read.parquet(str(tmp_path / "in"))
         assert docs.rdd.getNumPartitions() > 5
-        how = training_order.write_shards(docs, str(tmp_path / "out"), BYTE)
-        assert {x.doc_id for x in training_order.read_shards(spark, str(tmp_path / "out"), how).collect()} == set(range(30))
+        training_order.write_shards(docs, str(tmp_path / "out"), BYTE)
+        assert {x.doc_id for x in training_order.read_shards(spark, str(tmp_path / "out")).collect()} == set(range(30))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_no_shards_of_nothing(spark, tmp_path):
     how = training_order.write_shards(table(spark, []), str(tmp_path / "none"), BYTE)
-    assert how["n"] == 0 and training_order.read_shards(spark, str(tmp_path / "none"), how).count() == 0
+    assert how["n"] == 0 and training_order.read_shards(spark, str(tmp_path / "none")).count() == 0
 
 
 # token counts
