@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared folder (one of our own only where it names none); it goes when the session ends."""
+    """A new path in the session's shared folder (one of our own only where it names none and runs on one machine); it goes when the session ends."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         at = spark.sparkContext.getCheckpointDir()
     at = f"{at.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
