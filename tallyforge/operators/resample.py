@@ -1,68 +1,54 @@
-"""Bootstrap over questions: multinomial replicates of small tables, Poisson replicates of large ones.
+"""Bootstrap over questions, by Poisson(1) counts from a hash of (seed, question, replicate).
 
-Up to BROADCAST questions, replicate b picks n questions with replacement by a generator seeded with (seed, b), as one Arrow
-task's work over columns of question records that are broadcast. With more, each question counts a Poisson(1) number of times by
-a hash of (seed, question, replicate) (``bootstrap_joined``). Both estimate the same intervals, but the replicates of a seed differ,
-and a Poisson replicate has n draws only on average.
+Every question counts in every replicate as often as its hash says, so a replicate is the same in any order, on any partition
+and at any size, and SQL says the same. Sums are made by replicate on the map side: what is shuffled is a row for each task and
+replicate. A replicate has as many draws as there are questions on average.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records of that many questions are broadcast at most.
-BROADCAST = 200_000
+#: Draws of one hash: sixteen of fifteen bits each.
+DRAWS, BITS = 16, 15
 
 
-def bootstrap(spark: SparkSession, records: DataFrame, means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int, order: str = "question_uid") -> DataFrame:
-    """A row for each replicate: means of columns (NULLs left out), and ratios of sums (denominators of 1 at least)."""
+def poisson_steps() -> list[int]:
+    """A draw of BITS bits counts once for each of these that it reaches."""
+    whole, total, out = 1 << BITS, 0.0, []
+    for k in range(20):
+        total += math.exp(-1) / math.factorial(k)
+        if (step := round(whole * total)) < whole:
+            out.append(step)
+    return out
+
+
+def bootstrap(records: DataFrame, means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int, by: tuple[str, ...] = (), key: str = "question_uid") -> DataFrame:
+    """A row for each replicate (of each group of by): means of columns, NULLs left out, and ratios of sums (denominators of 1
+    at least)."""
     columns = sorted({*means, *(c for r in ratios.values() for c in r)})
-    n = records.count()
-    if n > BROADCAST:
-        return bootstrap_joined(spark, records, means, ratios, samples, seed)
-    rows = records.orderBy(order).select(*[F.col(c).cast("double") for c in columns]).toPandas()
-    table = spark.sparkContext.broadcast({c: rows[c].to_numpy(float) for c in columns})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = table.value
-        for batch in batches:
-            out = []
-            for b in batch["sample"].tolist():
-                pick = np.random.Generator(np.random.PCG64([seed, b])).integers(0, n, n)
-                row = {"sample": b} | {c: np.nanmean(t[c][pick]) for c in means}
-                out.append(row | {k: np.nansum(t[x][pick]) / max(np.nansum(t[y][pick]), 1.0) for k, (x, y) in ratios.items()})
-            yield pd.DataFrame(out)
-
-    schema = ", ".join(["sample bigint", *(f"{c} double" for c in [*means, *ratios])])
-    return spark.range(samples).withColumnRenamed("id", "sample").repartition(max(1, min(samples // 50, 64))).mapInPandas(run, schema)
-
-
-def bootstrap_joined(spark: SparkSession, records: DataFrame, means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int) -> DataFrame:
-    """Estimates of the same kind with Poisson(1) counts by hash for each (question, replicate): no question table in any one place."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "question_uid", "sample"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    count, p, c = F.lit(0), np.exp(-1), np.exp(-1)
-    for k in range(1, 12):
-        count = F.when(u >= c, k).otherwise(count)
-        p /= k
-        c += p
-    drawn = records.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("w", count).where("w > 0")
-    aggs = [F.try_divide(F.sum(F.col(x) * F.col("w")), F.sum(F.when(F.col(x).isNotNull(), F.col("w")))).alias(x) for x in means]
-    aggs += [(F.sum(F.col(x) * F.col("w")) / F.greatest(F.sum(F.col(y) * F.col("w")), F.lit(1))).alias(k) for k, (x, y) in ratios.items()]
-    return drawn.groupBy("sample").agg(*aggs)
-
-
-def macro_bootstrap(spark: SparkSession, per_dataset: list[DataFrame], means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int) -> DataFrame:
+    rows = records.select(*by, F.col(key).cast("string").alias("k"), *columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS))))
+    digits = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), "k", F.col("block").cast("string")), 256)
+    quarter = F.array(*(F.conv(F.substring(digits, 16 * c + 1, 15), 16, 10).cast("bigint") for c in range(4)))
+    rows = rows.select(*by, *columns, "block", F.posexplode(quarter).alias("c", "v"))
+    draws = F.array(*(F.shiftright("v", BITS * d).bitwiseAND((1 << BITS) - 1) for d in range(4)))
+    rows = rows.select(*by, *columns, "block", "c", F.posexplode(draws).alias("d", "u"))
+    times = sum((F.when(F.col("u") >= x, 1).otherwise(0) for x in poisson_steps()), F.lit(0))
+    rows = rows.select(*by, *columns, (F.col("block") * DRAWS + F.col("c") * 4 + F.col("d")).cast("bigint").alias("sample"), times.alias("w")).where((F.col("w") > 0) & (F.col("sample") < samples))
+    aggs = [F.try_divide(F.sum(F.col(x) * F.col("w")).cast("double"), F.sum(F.when(F.col(x).isNotNull(), F.col("w")))).alias(x) for x in means]
+    aggs += [(F.sum(F.col(x) * F.col("w")).cast("double") / F.greatest(F.sum(F.col(y) * F.col("w")), F.lit(1))).alias(k) for k, (x, y) in ratios.items()]
+    return rows.groupBy(*by, "sample").agg(*aggs)
+
+
+def macro_bootstrap(records: DataFrame, dataset: str, means: list[str], ratios: dict[str, tuple[str, str]], samples: int, seed: int) -> DataFrame:
     """Data sets resampled each by itself; replicate b is the mean of their replicates b."""
-    out = None
-    for i, records in enumerate(per_dataset):
-        one = bootstrap(spark, records, means, ratios, samples, seed + i)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("sample").agg(*[F.avg(c).alias(c) for c in [*means, *ratios]])
+    each = bootstrap(records, means, ratios, samples, seed, (dataset,))
+    return each.groupBy("sample").agg(*[F.avg(c).alias(c) for c in [*means, *ratios]])
 
 
 def interval(replicates: DataFrame, column: str) -> DataFrame:

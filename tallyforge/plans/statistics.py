@@ -9,7 +9,7 @@ from ..operators.clusters import cluster_features, cluster_key, clusters, with_z
 from ..sources import views
 from ..sources.views import SQL_EMB, SQL_EV, SQL_LI, table
 from .base import query, r
-from .selection import BEST, CL, KEY, MODELS, RAW, SEED_SQL, _seeds, top, z
+from .selection import _MAJ, BEST, CL, KEY, MODELS, RAW, SEED_SQL, _seeds, top, z
 
 EV, LI = views.event_candidates, views.lineitem_candidates
 item = lambda s, d: table(s, d, "lineitem")
@@ -240,9 +240,39 @@ query("sel32_layer_selection", "WITH g AS (SELECT l_linenumber AS layer, avg(m -
 )
 query("sel21_tie_band")(lambda s, d: s.createDataFrame([learn.tie_band_choice([x.asDict() for x in _weighted_grid(s, d).select(F.col("top1"), (-F.col("threshold")).alias("pair"), F.col("tau").alias("damage")).orderBy("tau", "threshold").collect()])], "top1 double, pair double, damage double"))
 _REC = lambda s, d: metrics.question_outcomes(select.majority_scores(LI(s, d)).withColumn("score", F.round("score", 9))).select("question_uid", (F.col("new_right") - F.col("raw_right")).alias("top1_delta"), "strict", (F.col("raw_right") * (1 - F.col("new_right"))).alias("damage"), F.col("raw_right").alias("raw_correct"))
-query("bst01_bst03_bst04_bst05_bootstrap_interval")(lambda s, d: resample.interval(resample.bootstrap(s, _REC(s, d), ["top1_delta", "strict"], {"damage_rate": ("damage", "raw_correct")}, 200, 11), "top1_delta"))
-query("bst02_macro_bootstrap")(lambda s, d: resample.interval(resample.macro_bootstrap(s, [_REC(s, d).where(F.col("question_uid") % 3 == i) for i in range(3)], ["top1_delta"], {}, 100, 13), "top1_delta"))
-query("bst06_pair_bootstrap")(lambda s, d: resample.interval(resample.bootstrap(s, _REC(s, d).where("strict IS NOT NULL"), ["strict"], {}, 100, 17), "strict"))
+_REC_SQL = f"{_MAJ}, rec AS (SELECT question_uid, question_uid % 3 AS dataset, new_right - raw_right AS top1_delta, strict, raw_right * (1 - new_right) AS damage, raw_right AS raw_correct FROM oc)"
+
+
+def _replicates(prefix: str, samples: int, by: str = "", rows: str = "rec") -> str:
+    """Records with w, how often each counts in each sample; prefix: SQL of what stands before the question in the hash."""
+    times = " + ".join(f"CASE WHEN u >= {x} THEN 1 ELSE 0 END" for x in resample.poisson_steps())
+    return f"""hx AS (SELECT *, sha256({prefix} || '|' || question_uid || '|' || block) AS h FROM {rows}, (SELECT unnest(range(0, {-(-samples // 16)})) AS block)),
+hv AS (SELECT *, CAST('0x' || substr(h, CAST(16 * c + 1 AS BIGINT), 15) AS BIGINT) AS v FROM hx, (SELECT unnest(range(0, 4)) AS c)),
+hu AS (SELECT *, block * 16 + c * 4 + d AS sample, (v >> (15 * d)) & 32767 AS u FROM hv, (SELECT unnest(range(0, 4)) AS d)),
+hw AS (SELECT * FROM (SELECT *, {times} AS w FROM hu) WHERE w > 0 AND sample < {samples})"""
+
+
+def _mean(x: str) -> str:
+    return f"sum({x} * w)::DOUBLE / nullif(sum(CASE WHEN {x} IS NOT NULL THEN w END), 0) AS {x}"
+
+
+def _interval(x: str, table: str) -> str:
+    n, low, high = f"count({x})", f"count(*) FILTER ({x} <= 0)", f"count(*) FILTER ({x} >= 0)"
+    return f"SELECT '{x}' AS metric, round(quantile_cont({x}, 0.025), 6) + 0.0 AS lower, round(quantile_cont({x}, 0.975), 6) + 0.0 AS upper, round(avg(CASE WHEN {x} > 0 THEN 1 ELSE 0 END), 6) AS p_positive, round(least(1.0::DOUBLE, 2 * least(({low} + 1) / ({n} + 1), ({high} + 1) / ({n} + 1))), 6) AS p_two_sided FROM {table}"
+
+
+query("bst01_bst03_bst04_bst05_bootstrap_interval", f"WITH {_REC_SQL}, {_replicates(chr(39) + '11' + chr(39), 200)}, rp AS (SELECT sample, {_mean('top1_delta')} FROM hw GROUP BY 1) {_interval('top1_delta', 'rp')}")(
+    lambda s, d: resample.interval(resample.bootstrap(_REC(s, d), ["top1_delta", "strict"], {"damage_rate": ("damage", "raw_correct")}, 200, 11), "top1_delta")
+)
+query("bst01_bst03_replicates", f"WITH {_REC_SQL}, {_replicates(chr(39) + '11' + chr(39), 40)} SELECT sample, round(avg(top1_delta), 6) + 0.0 AS top1_delta, round(avg(strict), 6) + 0.0 AS strict, round(max(damage_rate), 6) + 0.0 AS damage_rate FROM (SELECT sample, {_mean('top1_delta')}, {_mean('strict')}, sum(damage * w)::DOUBLE / greatest(sum(raw_correct * w), 1) AS damage_rate FROM hw GROUP BY 1) GROUP BY 1")(
+    lambda s, d: resample.bootstrap(_REC(s, d), ["top1_delta", "strict"], {"damage_rate": ("damage", "raw_correct")}, 40, 11)
+)
+query("bst02_macro_bootstrap", f"WITH {_REC_SQL}, {_replicates(chr(39) + '13|' + chr(39) + ' || dataset', 100)}, re AS (SELECT dataset, sample, {_mean('top1_delta')} FROM hw GROUP BY 1, 2), rp AS (SELECT sample, avg(top1_delta) AS top1_delta FROM re GROUP BY 1) {_interval('top1_delta', 'rp')}")(
+    lambda s, d: resample.interval(resample.macro_bootstrap(_REC(s, d).withColumn("dataset", F.col("question_uid") % 3), "dataset", ["top1_delta"], {}, 100, 13), "top1_delta")
+)
+query("bst06_pair_bootstrap", f"WITH {_REC_SQL}, eligible AS (SELECT * FROM rec WHERE strict IS NOT NULL), {_replicates(chr(39) + '17' + chr(39), 100, rows='eligible')}, rp AS (SELECT sample, {_mean('strict')} FROM hw GROUP BY 1) {_interval('strict', 'rp')}")(
+    lambda s, d: resample.interval(resample.bootstrap(_REC(s, d).where("strict IS NOT NULL"), ["strict"], {}, 100, 17), "strict")
+)
 query("smp04_lrn01_lrn02_ranker_fit")(lambda s, d: s.createDataFrame([(select.FEATURES[i], float(w)) for i, w in enumerate(learn.fit_ranker(learn.pair_differences(LI(s, d), 3), 0.01))], "feature string, weight double"))
 query("sel33_learned_ranking_pass")(lambda s, d: (m := [learn.fit_ranker(learn.pair_differences(LI(s, d), k), 0.01).tolist() for k in (1, 2, 3)]) and select.fused_scores(LI(s, d).drop("label").withColumn("label", F.lit(None).cast("int")), m, 0.5, 0.1).select("question_uid", "candidate_index", "score"))
 query("bud05_exact_subsets", f"WITH {SQL_LI}, q AS (SELECT question_uid FROM v GROUP BY 1 HAVING count(*) BETWEEN 4 AND 16), k AS (SELECT v.*, row_number() OVER (PARTITION BY question_uid {BEST}) - 1 AS r, count(*) OVER (PARTITION BY question_uid) AS n FROM v JOIN q USING (question_uid)) SELECT question_uid, round(sum(CASE WHEN label = 1 THEN list_product(list_concat([1.0], list_transform(range(0, 3), lambda i: greatest(n - r - 1 - i, 0) / (n - 1 - i)))) * 4 / n ELSE 0 END), 6) + 0.0 AS raw FROM k GROUP BY 1")(

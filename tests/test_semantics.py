@@ -109,12 +109,18 @@ def test_noise_of_sigma_zero_keeps_the_choice(spark, mixed):
     assert o.where("switched = 1").count() == 0
 
 
-def test_bootstrap_covers_the_mean_and_both_forms_agree(spark):
+def test_bootstrap_covers_the_mean(spark):
     rec = spark.createDataFrame([(i, float(i % 2), 1 if i % 4 == 1 else 0, 1) for i in range(400)], "question_uid int, x double, num int, den int")
-    for f in (resample.bootstrap, resample.bootstrap_joined):
-        i = one(resample.interval(f(spark, rec, ["x"], {"r": ("num", "den")}, 300, 3), "x"))
-        assert i["lower"] < 0.5 < i["upper"] and 0.08 < i["upper"] - i["lower"] < 0.12 and i["p_positive"] == 1
-    assert resample.bootstrap(spark, rec, ["x"], {}, 5, 1).orderBy("sample").collect() == resample.bootstrap(spark, rec, ["x"], {}, 5, 1).orderBy("sample").collect()
+    i = one(resample.interval(resample.bootstrap(rec, ["x"], {"r": ("num", "den")}, 300, 3), "x"))
+    assert i["lower"] < 0.5 < i["upper"] and 0.08 < i["upper"] - i["lower"] < 0.12 and i["p_positive"] == 1
+    a, b = (resample.bootstrap(x, ["x"], {}, 5, 1).orderBy("sample").collect() for x in (rec, rec.repartition(7)))
+    assert a == b and len(a) == 5
+
+
+def test_draws_are_poisson_counts():
+    steps = [0, *resample.poisson_steps(), 1 << resample.BITS]
+    share = [(b - a) / (1 << resample.BITS) for a, b in zip(steps[:-1], steps[1:], strict=True)]
+    assert abs(sum(k * p for k, p in enumerate(share)) - 1) < 1e-3 and abs(sum(k * k * p for k, p in enumerate(share)) - 2) < 5e-3
 
 
 def test_ranker_learns_the_direction():
