@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import metrics
-from .clusters import best_first, cluster_features, cluster_key, clusters
-from .select import FEATURES, fused_scores
+from .clusters import cluster_features, clusters, with_z
+from .select import FEATURES, fused_scores, with_features
 
 #: Cluster pairs that the ranker is fitted on, at most; eight weights need no more.
 PAIRS = 200_000
@@ -48,41 +50,117 @@ def fit_ranker(differences: np.ndarray, regularization: float, steps: int = 400,
     return w
 
 
+def _strict_shares(e: np.ndarray, label: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each question and column of e the share of right-wrong pairs that e puts in order; NaN without such pairs.
+    Questions of one size are compared place by place, all at once; large ones by sorting."""
+    end = np.concatenate((start[1:], [len(e)]))
+    out = np.full((len(start), e.shape[1]), np.nan)
+    for n in np.unique(end - start):
+        own = np.flatnonzero(end - start == n)
+        rows = start[own][:, None] + np.arange(n)
+        right = label[rows] == 1
+        pairs = right.sum(1) * (~right).sum(1)
+        if n > 32:
+            for k in np.flatnonzero(pairs):
+                p, q = e[rows[k][right[k]]], np.sort(e[rows[k][~right[k]]], axis=0)
+                out[own[k]] = [np.searchsorted(q[:, c], p[:, c]).sum() / pairs[k] for c in range(e.shape[1])]
+            continue
+        wins = np.zeros((len(own), e.shape[1]))
+        for i in range(n):
+            for j in range(n):
+                some = np.flatnonzero(right[:, i] & ~right[:, j])
+                wins[some] += e[rows[some, i]] > e[rows[some, j]]
+        out[own[pairs > 0]] = wins[pairs > 0] / pairs[pairs > 0, None]
+    return out
+
+
+def _outcomes(t: pa.Table, weights: np.ndarray, betas: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
+    """Sums over the questions of t, whole and sorted: for each threshold, rows of SUMS by configuration (model, beta)."""
+    c = {x: t.column(x).to_numpy() for x in t.column_names}
+    new = np.concatenate(([True], c["question_uid"][1:] != c["question_uid"][:-1]))
+    start, of = np.flatnonzero(new), np.cumsum(new) - 1
+    new_cluster = new | np.concatenate(([True], c["first_index"][1:] != c["first_index"][:-1]))
+    at, cluster = np.flatnonzero(new_cluster), np.cumsum(new_cluster) - 1
+    own, begin = of[at], np.searchsorted(of[at], np.arange(len(start)))
+    learned = np.stack([c[x][at].astype(float) for x in FEATURES], 1) @ weights.T
+    k = np.bincount(own)[:, None]
+    away = learned - (np.add.reduceat(learned, begin) / k)[own]
+    sd = np.sqrt(np.add.reduceat(away**2, begin) / k)[own]
+    zl = np.where(sd < 1e-6, 0.0, away / np.maximum(sd, 1e-6))
+    score = np.round(c["zr"][at][:, None, None] + betas * zl[:, :, None], 9).reshape(len(at), -1)
+    raw = c["has_raw"][at][:, None] == 1
+    top = np.maximum.reduceat(score, begin)
+    lead = top - np.add.reduceat(np.where(raw, score, 0.0), begin)
+    first = np.where(score == top[own], c["first_index"][at][:, None], np.iinfo(np.int64).max)
+    leads = first == np.minimum.reduceat(first, begin)[own]
+    raw_leads = np.logical_or.reduceat(leads & (score == top[own]) & raw, begin)
+    rel, index, label = 1e-4 * c["rel"][:, None], c["candidate_index"].astype(np.int64), c["label"].astype(np.int64)
+    chosen = c["place"] == 1
+    raw_right, raw_index, found = label[chosen], index[chosen], []
+    for cluster_score in (score, np.where(raw, top[own] + 1e-4, score)):  # as it is, and with the raw choice held on top
+        e = np.round(cluster_score[cluster] + rel, 9)
+        best = np.where(e == np.maximum.reduceat(e, start)[of], index[:, None], np.iinfo(np.int64).max)
+        pick = np.minimum.reduceat(best, start)
+        right = np.add.reduceat((index[:, None] == pick[of]) * label[:, None], start)
+        found.append((right, pick != raw_index[:, None], _strict_shares(e, label, start)))
+    out = []
+    for x in thresholds:
+        held = ~raw_leads & (lead <= x)
+        right, switched, strict = (np.where(held, b, a) for a, b in zip(*found, strict=True))
+        some = ~np.isnan(strict)
+        sums = [np.full(right.shape[1], len(start)), right.sum(0), np.where(some, strict, 0).sum(0), some.sum(0), (raw_right[:, None] * (1 - right)).sum(0), np.full(right.shape[1], raw_right.sum()), switched.sum(0)]
+        out.append(np.stack(sums).astype(float))
+    return out
+
+
+SUMS = ["questions", "right", "strict", "eligible", "damage", "raw_right", "switched"]
+
+
 def grid(cand: DataFrame, models: dict[float, list[list[float]]], betas: list[float], thresholds: list[float]) -> DataFrame:
-    """Ranking metrics of every configuration; the features are computed once and each configuration is a row's factor."""
-    f = cluster_features(cand).join(clusters(cand).select("question_uid", "cluster", "rm_max"), ["question_uid", "cluster"])
+    """Ranking metrics of every configuration. Candidates are shuffled once, by question; all configurations of a question are
+    columns of arrays there, and a task gives a row of sums for each."""
     regs = sorted(models)
-    means = {r: [sum(w[i] for w in models[r]) / len(models[r]) for i in range(len(FEATURES))] for r in regs}
-    learned = F.array(*[F.struct(F.lit(float(r)).alias("reg"), sum((F.col(c) * w for c, w in zip(FEATURES, means[r], strict=True)), F.lit(0.0)).alias("learned")) for r in regs])
-    f = f.select("question_uid", "cluster", "first_index", "rm_max", "has_raw", F.inline(learned))
-    w = Window.partitionBy("reg", "question_uid")
-
-    def z(x: str):
-        sd = F.stddev_pop(x).over(w)
-        return F.when(sd < 1e-6, 0.0).otherwise((F.col(x) - F.avg(x).over(w)) / F.when(sd >= 1e-6, sd))
-
-    f = f.withColumns({"zr": z("rm_max"), "zl": z("learned")})
-    f = f.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas]))).withColumn("score", F.round(F.col("zr") + F.col("beta") * F.col("zl"), 9))
-    wb = Window.partitionBy("reg", "beta", "question_uid")
-    f = f.withColumns({"place": F.row_number().over(wb.orderBy(F.desc("score"), "first_index")), "top": F.max("score").over(wb), "raw_score": F.max(F.when(F.col("has_raw") == 1, F.col("score"))).over(wb)})
-    f = f.where((F.col("place") == 1) | (F.col("has_raw") == 1)).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    keep = (F.col("top") - F.col("raw_score") <= F.col("threshold"))
-    best = f.groupBy("reg", "beta", "threshold", "question_uid").agg(F.max(F.when(F.col("place") == 1, F.col("cluster"))).alias("best"), F.max(F.when(F.col("has_raw") == 1, F.col("cluster"))).alias("raw"), F.bool_or(keep).alias("keep"))
-    chosen = best.select("reg", "beta", "threshold", "question_uid", F.when(F.col("keep"), F.col("raw")).otherwise(F.col("best")).alias("cluster"))
-    own = Window.partitionBy("question_uid", "cluster").orderBy(F.desc_nulls_last("rm"), "candidate_index")
-    c = cand.withColumn("cluster", cluster_key()).withColumns({"r": F.row_number().over(own), "all_r": F.row_number().over(best_first())})
-    reps = c.where("r = 1").select("question_uid", "cluster", F.col("candidate_index").alias("new_i"), F.col("label").alias("new_right"))
-    raw = c.where("all_r = 1").select("question_uid", F.col("candidate_index").alias("raw_i"), F.col("label").alias("raw_right"))
-    o = chosen.join(reps, ["question_uid", "cluster"]).join(raw, "question_uid")
-    damage = F.sum(F.col("raw_right") * (1 - F.col("new_right")))
-    return o.groupBy("reg", "beta", "threshold").agg(F.avg("new_right").alias("top1"), (damage / F.greatest(F.sum("raw_right"), F.lit(1))).alias("damage_rate"), F.avg((F.col("new_i") != F.col("raw_i")).cast("int")).alias("switch_rate"))
+    weights = np.array([np.mean(models[x], 0) for x in regs])
+    rows = with_z(with_features(cand), "rm", "rel").select("question_uid", "candidate_index", F.col("label").cast("int").alias("label"), "first_index", "place", "has_raw", "rel", "zr", *[x for x in FEATURES if x != "has_raw"])
+    rows = rows.sortWithinPartitions("question_uid", "first_index", "candidate_index")
+    names = [(x, b, t) for t in thresholds for x in regs for b in betas]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros((len(thresholds), len(SUMS), len(regs) * len(betas))), []
+
+        def add(parts: list[pa.RecordBatch]) -> None:
+            if parts and (t := pa.Table.from_batches(parts)).num_rows:
+                total[:] += _outcomes(t, weights, np.array(betas), thresholds)
+
+        for batch in batches:
+            q = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(q[1:] != q[:-1])[-1]) + 1 if len(q) > 1 and (q[1:] != q[:-1]).any() else 0
+            if held and len(q) and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
+                add(held)
+                held = []
+            if cut:
+                add([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        add(held)
+        sums = total.transpose(1, 0, 2).reshape(len(SUMS), -1)
+        yield pa.RecordBatch.from_pydict(dict(zip(("reg", "beta", "threshold"), (pa.array(map(float, x)) for x in zip(*names, strict=True)), strict=True)) | {c: pa.array(x) for c, x in zip(SUMS, sums, strict=True)})
+
+    found = rows.mapInArrow(run, "reg double, beta double, threshold double, " + ", ".join(f"{c} double" for c in SUMS))
+    g = found.groupBy("reg", "beta", "threshold").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return g.select(
+        "reg", "beta", "threshold", (F.col("right") / F.col("questions")).alias("top1"), F.try_divide("strict", "eligible").alias("pair_macro_strict"),
+        (F.col("damage") / F.greatest("raw_right", F.lit(1.0))).alias("damage_rate"), (F.col("switched") / F.col("questions")).alias("switch_rate"),
+    )
 
 
 def choose(grid_rows: DataFrame, limit: float = 0.03) -> DataFrame:
-    """The row of damage within the limit (or of least damage) with most top-1, then least damage, then fewest switches."""
+    """The row of damage within the limit (or of least damage) with most top-1, then most pairs in order, then least damage, then
+    fewest switches."""
     least = grid_rows.agg(F.min("damage_rate").alias("least"))
     g = grid_rows.crossJoin(F.broadcast(least)).where((F.col("damage_rate") <= limit) | ((F.col("least") > limit) & (F.col("damage_rate") == F.col("least"))))
-    return g.withColumn("fallback", F.col("least") > limit).drop("least").orderBy(F.desc(F.round("top1", 9)), F.round("damage_rate", 9), F.round("switch_rate", 9), "reg", "beta", "threshold").limit(1)
+    order = [F.desc(F.round("top1", 9)), F.desc(F.round("pair_macro_strict", 9)), F.round("damage_rate", 9), F.round("switch_rate", 9), "reg", "beta", "threshold"]
+    return g.withColumn("fallback", F.col("least") > limit).drop("least").orderBy(*order).limit(1)
 
 
 def verify_choice(grid_rows: DataFrame, chosen: DataFrame, limit: float = 0.03) -> DataFrame:

@@ -149,15 +149,20 @@ def linear_scores(features: DataFrame, models: list[list[float]]) -> DataFrame:
     return features.withColumn("learned", total)
 
 
-def fused_scores(cand: DataFrame, models: list[list[float]], beta: float, threshold: float) -> DataFrame:
-    """z(best score) + beta z(learned score) for each cluster, gated and expanded."""
+def with_features(cand: DataFrame) -> DataFrame:
+    """cand with FEATURES of its cluster and zr (z of the cluster's best score) on every row."""
     w = by_cluster()
     c = with_robust_z(in_clusters(cand.withColumn("__s", canonical_solution())))
     c = c.withColumn("z_max", F.max("z").over(w)).withColumns({
         "log_size": F.log1p(F.count("*").over(w)), "share": F.count("*").over(w) / F.count("*").over(question()), "log_unique": F.log1p(F.size(F.collect_set("__s").over(w))),
         "z_mean": F.avg("z").over(w), "z_lme": F.col("z_max") + F.ln(F.avg(F.exp(F.col("z") - F.col("z_max"))).over(w)), "z_std": F.stddev_pop("z").over(w),
     })
-    c = with_cluster_z(with_cluster_z(linear_scores(c, models), "rm_max", "zr"), "learned", "zl")
+    return with_cluster_z(c, "rm_max", "zr")
+
+
+def fused_scores(cand: DataFrame, models: list[list[float]], beta: float, threshold: float) -> DataFrame:
+    """z(best score) + beta z(learned score) for each cluster, gated and expanded."""
+    c = with_cluster_z(linear_scores(with_features(cand), models), "learned", "zl")
     return gated(c.withColumn("cluster_score", F.col("zr") + beta * F.col("zl")), threshold, cand.columns)
 
 

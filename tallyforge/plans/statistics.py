@@ -9,7 +9,7 @@ from ..operators.clusters import cluster_features, cluster_key, clusters, with_z
 from ..sources import views
 from ..sources.views import SQL_EMB, SQL_EV, SQL_LI, table
 from .base import query, r
-from .selection import _MAJ, BEST, CL, KEY, MODELS, RAW, SEED_SQL, _seeds, top, z
+from .selection import _MAJ, BEST, CL, FEAT, KEY, MODELS, RAW, SEED_SQL, VK, _seeds, top, z
 
 EV, LI = views.event_candidates, views.lineitem_candidates
 item = lambda s, d: table(s, d, "lineitem")
@@ -199,9 +199,30 @@ query("sel23_beta_curve", f"WITH {SQL_EV}, e AS (SELECT *, round(rm + beta * (s2
 _REGS = {0.001: MODELS, 0.01: [MODELS[0]] * 3, 0.1: [MODELS[1]] * 3, 1.0: [MODELS[2]] * 3, 10.0: [[w * 0.1 for w in MODELS[0]]] * 3}
 
 
-query("sel17_config_grid_100")(lambda s, d: learn.grid(LI(s, d), _REGS, [0.0, 0.25, 0.5, 1.0, 2.0], [0.0, 0.1, 0.25, 0.5]))
-query("sel17_config_choice")(lambda s, d: learn.choose(learn.grid(LI(s, d), _REGS, [0.0, 0.25, 0.5, 1.0, 2.0], [0.0, 0.1, 0.25, 0.5])))
-query("sel20_grid_verification")(lambda s, d: (g := learn.grid(LI(s, d), _REGS, [0.0, 1.0], [0.0, 0.25])) and learn.verify_choice(g, learn.choose(g)))
+_BETAS, _GATES = [0.0, 0.25, 0.5, 1.0, 2.0], [0.0, 0.1, 0.25, 0.5]
+_BY_REG = " ".join(f"WHEN reg = {x!r} THEN " + " + ".join(f"({sum(m[i] for m in models) / len(models)!r}) * {c}" for i, c in enumerate(select.FEATURES)) for x, models in _REGS.items())
+_OWN = "PARTITION BY question_uid, reg, beta"
+_GRID_SQL = f"""{SQL_LI}, {VK}, {RAW}, {FEAT},
+gl AS (SELECT *, CASE {_BY_REG} END AS learned FROM ft, (SELECT unnest({sorted(_REGS)}::DOUBLE[]) AS reg)),
+gm AS (SELECT *, avg(rm_max) OVER w AS mr, stddev_pop(rm_max) OVER w AS sr, avg(learned) OVER w AS ml, stddev_pop(learned) OVER w AS sl FROM gl WINDOW w AS (PARTITION BY reg, question_uid)),
+gs AS (SELECT question_uid, cluster, first_index, reg, beta, round(CASE WHEN sr < 1e-6 THEN 0 ELSE (rm_max - mr) / nullif(sr, 0) END + beta * CASE WHEN sl < 1e-6 THEN 0 ELSE (learned - ml) / nullif(sl, 0) END, 9) AS s FROM gm, (SELECT unnest({_BETAS}::DOUBLE[]) AS beta)),
+g1 AS (SELECT gs.*, raw.cluster AS rawc FROM gs JOIN raw USING (question_uid)),
+g2 AS (SELECT *, max(s) OVER ({_OWN}) AS t, max(CASE WHEN cluster = rawc THEN s END) OVER ({_OWN}) AS rs, row_number() OVER ({_OWN} ORDER BY s DESC, first_index) AS place FROM g1),
+g3 AS (SELECT *, max(CASE WHEN place = 1 AND cluster = rawc THEN 1 ELSE 0 END) OVER ({_OWN}) AS same FROM g2),
+gx AS (SELECT x.question_uid, x.candidate_index, x.label, x.rm, reg, beta, held, same, t - rs AS lead, round(CASE WHEN held = 1 AND g3.cluster = rawc THEN t + 1e-4 ELSE s END + 1e-4 * rel, 9) AS score
+  FROM ({z("vk", "rm", "rel")}) x JOIN g3 ON x.question_uid = g3.question_uid AND x.cluster = g3.cluster, (SELECT unnest([0, 1]) AS held)),
+go0 AS (SELECT *, row_number() OVER ({_OWN}, held {BEST}) AS a, row_number() OVER ({_OWN}, held ORDER BY score DESC, candidate_index) AS b FROM gx),
+go1 AS (SELECT question_uid, reg, beta, held, any_value(same) AS same, any_value(lead) AS lead, max(CASE WHEN a = 1 THEN label END) AS raw_right, max(CASE WHEN b = 1 THEN label END) AS new_right, max(CASE WHEN a = 1 AND b <> 1 THEN 1 ELSE 0 END) AS switched FROM go0 GROUP BY ALL),
+go2 AS (SELECT x.question_uid, x.reg, x.beta, x.held, avg(CASE WHEN x.score > y.score THEN 1.0 ELSE 0.0 END) AS strict FROM gx x JOIN gx y ON x.question_uid = y.question_uid AND x.reg = y.reg AND x.beta = y.beta AND x.held = y.held AND x.label = 1 AND y.label = 0 GROUP BY 1, 2, 3, 4),
+gg AS (SELECT reg, beta, threshold, avg(new_right) AS top1, avg(strict) AS pair_macro_strict, sum(raw_right * (1 - new_right)) / greatest(sum(raw_right), 1) AS damage_rate, avg(switched) AS switch_rate
+  FROM go1 LEFT JOIN go2 USING (question_uid, reg, beta, held), (SELECT unnest({_GATES}::DOUBLE[]) AS threshold) WHERE held = CASE WHEN same = 0 AND lead <= threshold THEN 1 ELSE 0 END GROUP BY 1, 2, 3),
+gc AS (SELECT *, least > 0.03 AS fallback FROM (SELECT *, min(damage_rate) OVER () AS least FROM gg) WHERE damage_rate <= 0.03 OR (least > 0.03 AND damage_rate = least)
+  ORDER BY round(top1, 9) DESC, round(pair_macro_strict, 9) DESC, round(damage_rate, 9), round(switch_rate, 9), reg, beta, threshold LIMIT 1)"""
+_GRID_COLUMNS = f"reg, beta, threshold, {r('top1', 'pair_macro_strict', 'damage_rate', 'switch_rate')}"
+_grid = lambda s, d: learn.grid(LI(s, d), _REGS, _BETAS, _GATES)
+query("sel17_config_grid_100", f"WITH {_GRID_SQL} SELECT {_GRID_COLUMNS} FROM gg")(_grid)
+query("sel17_config_choice", f"WITH {_GRID_SQL} SELECT {_GRID_COLUMNS}, fallback FROM gc")(lambda s, d: learn.choose(_grid(s, d)))
+query("sel20_grid_verification", f"WITH {_GRID_SQL} SELECT count(*) = 1 AS verified FROM gc")(lambda s, d: (g := _grid(s, d)) and learn.verify_choice(g, learn.choose(g)))
 _TAU, _THR = [1.0, 2.0, 4.0, 8.0, 16.0], [0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0]
 
 
