@@ -10,8 +10,8 @@ contexts. The language of least cross-entropy for each letter wins.
 Rejection is calibrated on the fifth of the sample that the models aren't fitted on. A language's own texts (labelled so and won
 by it, so that wrong labels don't count) give a median and, by medians again, a variance that is left in long texts and one
 that shrinks with length. In these deviations, the language's limit lies halfway between the quantile ``keep`` of its own
-texts and the quantile 1 - ``foreign`` of what other languages' texts get from its model; if these overlap, at the former.
-The shares beyond the limit of both are kept beside it. A document is rejected if it has no letter or if its least
+texts and the quantile 1 - ``foreign`` of what other languages' texts get from its model (their median, since many texts are
+in two languages); if these overlap, at the former. The shares beyond the limit of both are kept beside it. A document is rejected if it has no letter or if its least
 cross-entropy is beyond the limit of that language.
 
 Whole texts are scored in slices; nothing is shuffled. Cases: null or letterless text is "und" with score 0 and rejected;
@@ -89,7 +89,7 @@ def prepared(texts: list[str | None], letters: np.ndarray, order: int) -> tuple[
 
 
 class Model:
-    def __init__(self, samples: dict[str, list[str]], order: int = 4, keep: float = 0.995, foreign: float = 0.99):
+    def __init__(self, samples: dict[str, list[str]], order: int = 4, keep: float = 0.995, foreign: float = 0.5):
         self.order, self.letters = order, letter_table()
         table = np.unpackbits(self.letters).astype(bool)
         self.languages = sorted(k for k, v in samples.items() if v)
