@@ -325,7 +325,7 @@ def entries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     member = components(_hanging_together(in_blocks(in_buckets, "bucket", parts), threshold, tolerance)).withColumnRenamed("id", "key")
 
     size = member.join(marks.select("key", "grams"), "key").groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
-    by_size = F.when(F.col("m") > ONE_BLOCK, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.sqrt("m") / 4))).otherwise(1)
+    by_size = F.when(F.col("m") > ONE_BLOCK, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.sqrt("m") / 3))).otherwise(1)
     size = size.select("root", F.greatest(by_size, F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     known = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(size, ["root", "salt"]).drop("salt")
     known = known.join(marks.select("key", "id", "t", "copies", "sig"), "key")
