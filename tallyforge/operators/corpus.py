@@ -16,10 +16,26 @@ def first_of_each(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.withColumn("__k", key).withColumn("__r", F.row_number().over(Window.partitionBy("__k").orderBy(order))).where("__r = 1").drop("__k", "__r")
 
 
+#: Tasks among which the rows of one hot key are dealt.
+SALTS = 8
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the one row of groups of the same key, which may not be null. A hot key's rows go to SALTS tasks."""
+    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")
+
+
+def text_key(key: Column) -> Column:
+    """A hash in place of a long key; null keys are equal to each other."""
+    return F.coalesce(F.sha2(key.cast("string"), 256), F.lit(""))
+
+
 def internal_duplicates(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Rows that have an earlier one of the same key, and that one's id."""
-    w = Window.partitionBy("__k")
-    return df.withColumn("__k", key).withColumn("duplicate_of", F.min(order).over(w)).where(F.col(order) > F.col("duplicate_of")).select(order, "duplicate_of")
+    """Rows that have an earlier one of the same key, and that one's id. Only ids and hashes of keys move."""
+    rows = df.select(order, text_key(key).alias("__k"))
+    first = rows.groupBy("__k").agg(F.min(order).alias("duplicate_of"), F.max(order).alias("__last")).where(F.col("duplicate_of") < F.col("__last")).drop("__last")
+    return with_group(rows, first, "__k").where(F.col(order) > F.col("duplicate_of")).select(order, "duplicate_of")
 
 
 def exact_matches(df: DataFrame, others: DataFrame, key: Column, other_key: Column, id_: str, other_id: str) -> DataFrame:
@@ -57,7 +73,8 @@ def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_
 def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, cutoff: float, width: int = 8) -> DataFrame:
     """Each row's best Indel ratio among others of cutoff or more. Only texts that can reach it are compared: 200 LCS / (a + b)
     needs lengths within a factor of (200 - c) / c. The others are bucketed by the logarithm of their length, and each row
-    looks into the buckets within that factor, so the join is by equality."""
+    looks into the buckets within that factor, so the join is by equality. A common subsequence has no more of a letter than
+    either text, so pairs with too few letters in common are left out before any is aligned; this loses none."""
     import math
 
     reach = math.log((200 - cutoff) / cutoff) if cutoff < 200 else 0.0
@@ -67,24 +84,58 @@ def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id:
     a = df.select(id_, F.col(text).alias("t")).where(F.length("t") > 0)
     a = a.withColumn("b", F.explode(F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda i: bucket("t") + i)))
     b = others.select(other_id, F.col(other_text).alias("u")).where(F.length("u") > 0).withColumn("b", bucket("u"))
-    ok = 200.0 * F.least(F.length("t"), F.length("u")) / (F.length("t") + F.length("u")) >= cutoff
+    a, b = a.withColumn("at", T.letter_counts(F.col("t"))), b.withColumn("bu", T.letter_counts(F.col("u")))
+    shared = F.aggregate(F.zip_with("at", "bu", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    ok = 200.0 * shared / (F.length("t") + F.length("u")) >= cutoff
     pairs = a.join(b, "b").where(ok).withColumn("score", T.fuzzy("t", "u")).where(F.col("score") >= cutoff)
     return pairs.groupBy(id_).agg(F.max_by(F.col(other_id), F.struct("score", -F.col(other_id))).alias("external_id"), F.max("score").alias("score"))
 
 
+def contamination(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, cutoff: float = 92.0) -> DataFrame:
+    """Rows that stand among the others: those of equal normal form (latex_key; reason normalized_exact, the least such other), and of the
+    rest those whose normal form has an Indel ratio of cutoff or more to one (reason fuzzy, the best; ties to the least id).
+    Null and blank texts are no match."""
+    a = df.select(F.col(id_), T.latex_key(F.col(text)).alias("t")).where(F.length("t") > 0)
+    b = others.select(F.col(other_id), T.latex_key(F.col(other_text)).alias("u")).where(F.length("u") > 0)
+    exact = exact_matches(a, b, text_key(F.col("t")), text_key(F.col("u")), id_, other_id)
+    near = fuzzy_best(a.join(exact, id_, "left_anti"), b, id_, "t", other_id, "u", cutoff)
+    return exact.select(id_, "external_id", F.lit("normalized_exact").alias("reason"), F.lit(100.0).alias("score")).unionByName(near.select(id_, "external_id", F.lit("fuzzy").alias("reason"), "score"))
+
+
 #: Bytes of text that fuzzy_top broadcasts at most.
 FUZZY_BROADCAST = 64_000_000
 
 
 def fuzzy_top(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, k: int = 5) -> DataFrame:
-    """Each row's k best others by Indel ratio, with token-set and length ratios. others is broadcast up to FUZZY_BROADCAST bytes of
-    text; beyond, parts of both are compared with each other. Either way every pair is: it is meant for a benchmark."""
+    """Each row's k best others by Indel ratio of the compact keys (ties to the least id), with the token-set ratio of the token
+    keys and the ratio of the compact keys' lengths; exact: whether the row's compact key is that other's. Others of one compact
+    key are one, the least, with their number as occurrences; rows and others without a letter, digit or CJK character take no
+    part. others is broadcast up to FUZZY_BROADCAST bytes of text; beyond, parts of both are compared with each other. Either way
+    every pair is: it is meant for a benchmark."""
+    keys = lambda c: (T.compact_key(F.col(c)), T.token_key(F.col(c)))
+    compact, tokens = keys(other_text)
+    right = others.select(other_id, compact.alias("u"), tokens.alias("v")).where(F.length("u") > 0)
+    right = right.groupBy("u").agg(F.min(other_id).alias(other_id), F.min_by("v", other_id).alias("v"), F.count("*").alias("occurrences"))
     size = others.agg(F.sum(F.octet_length(other_text))).first()[0] or 0
-    right = others.select(other_id, F.col(other_text).alias("u"))
     right = F.broadcast(right) if size <= FUZZY_BROADCAST else right.hint("shuffle_replicate_nl")
-    pairs = df.select(id_, F.col(text).alias("t")).crossJoin(right)
+    compact, tokens = keys(text)
+    pairs = df.select(id_, compact.alias("t"), tokens.alias("w")).where(F.length("t") > 0).crossJoin(right)
     scored = pairs.withColumn("score", T.fuzzy("t", "u")).withColumn("r", F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("score"), other_id))).where(F.col("r") <= k)
-    return scored.select(id_, other_id, F.col("r").alias("rank"), "score", T.fuzzy_tokens("t", "u").alias("token_score"), T.length_ratio(F.col("t"), F.col("u")).alias("length_ratio"))
+    return scored.select(
+        id_, other_id, F.col("r").alias("rank"), "score", T.fuzzy_tokens("w", "v").alias("token_score"), T.length_ratio(F.col("t"), F.col("u")).alias("length_ratio"),
+        (F.col("t") == F.col("u")).alias("exact"), "occurrences",
+    )
+
+
+#: Ratios from which a best match is of high risk (with the token-set ratio), and from which it is to be reviewed.
+HIGH_RISK, HIGH_RISK_TOKENS, REVIEW = 92.0, 95.0, 84.0
+
+
+def match_risk(top: DataFrame, id_: str) -> DataFrame:
+    """top: rows of fuzzy_top. For each row: whether a best match is exact, of high risk, or to be reviewed by hand."""
+    best = top.groupBy(id_).agg(F.bool_or("exact").alias("exact_match"), F.max(F.when(F.col("rank") == 1, F.struct("score", "token_score"))).alias("b"))
+    high = F.col("exact_match") | ((F.col("b.score") >= HIGH_RISK) & (F.col("b.token_score") >= HIGH_RISK_TOKENS))
+    return best.select(id_, "exact_match", high.alias("high_risk"), (high | (F.col("b.score") >= REVIEW)).alias("review"), F.col("b.score").alias("score"), F.col("b.token_score").alias("token_score"))
 
 
 def excluded(df: DataFrame, reasons: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
@@ -94,8 +145,11 @@ def excluded(df: DataFrame, reasons: DataFrame, id_: str) -> tuple[DataFrame, Da
 
 
 def duplicate_records(df: DataFrame, signature: Column, id_: str, variant: Column) -> DataFrame:
-    """Signatures of more than one row: how many, their ids, and kinds of the variant."""
-    return df.groupBy(signature.alias("signature")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(id_)), lambda x: x.cast("string")), ",").alias("ids"), F.count_distinct(variant).alias("variants")).where("n > 1")
+    """A row for each id of a signature of more than one row: with it how many rows, and how many kinds of the variant, the
+    signature has. No list of a signature's ids is made, as an empty text may have any number. A null signature is one too."""
+    rows = df.select(signature.alias("signature"), F.col(id_), variant.alias("__v")).withColumn("__k", F.coalesce(F.col("signature").cast("string"), F.lit("")))
+    kinds = rows.groupBy("__k", "__v").agg(F.count("*").alias("n")).groupBy("__k").agg(F.sum("n").alias("n"), F.count("__v").alias("variants")).where("n > 1")
+    return with_group(rows.select("__k", "signature", id_), kinds, "__k").select("signature", id_, "n", "variants")
 
 
 def split_overlap(df: DataFrame, split: str, key: Column) -> DataFrame:
@@ -108,6 +162,18 @@ def hashed(seed: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]), 256)
 
 
+def in_hash_order(df: DataFrame, group: list[str], place: str, h: Column, *ties: str) -> DataFrame:
+    """place: each row's number (from 1) in its group, in the order of the hash h (hexadecimal) and ties. Rows are numbered
+    within the first three digits of their hash, and the numbers of earlier digits go before: a group of any size is sorted in
+    up to 4096 parts. Null is a group like others."""
+    rows = df.withColumns({"__g": F.struct(*group) if group else F.lit(0), "__h": h}).withColumn("__lead", F.substring("__h", 1, 3))
+    part = Window.partitionBy("__g", "__lead")
+    n = rows.groupBy("__g", "__lead").agg(F.count("*").alias("__n"))
+    before = n.withColumn("__before", F.sum("__n").over(Window.partitionBy("__g").orderBy("__lead")) - F.col("__n")).drop("__n")
+    rows = rows.withColumn("__own", F.row_number().over(part.orderBy("__h", *ties))).join(before, ["__g", "__lead"])
+    return rows.withColumn(place, F.col("__before") + F.col("__own")).drop("__g", "__h", "__lead", "__own", "__before")
+
+
 def hash_split(df: DataFrame, id_: str, ratio: float, seed: str) -> DataFrame:
     """in_sample: whether an id is among the round(n ratio) first in hash order (half to even)."""
     ids = df.select(id_).distinct().withColumn("h", hashed(seed, F.col(id_)))
@@ -131,17 +197,15 @@ def stratified_split(df: DataFrame, id_: str, stratum: Column, ratios: dict[str,
     x = x.withColumn("left", F.col("n") - F.sum("floor").over(w)).withColumn("extra", (F.row_number().over(by) <= F.col("left")).cast("bigint"))
     x = x.withColumn("upto", F.sum(F.col("floor") + F.col("extra")).over(w.orderBy("i")))
     bounds = x.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "upto"))), lambda b: b["upto"]).alias("bounds"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(hashed(seed, F.col(id_)), id_))
-    at = s.withColumn("place", place).join(bounds, "stratum")
+    at = in_hash_order(s, ["stratum"], "place", hashed(seed, F.col(id_)), id_).join(bounds, "stratum")
     which = F.size(F.filter("bounds", lambda b: b < F.col("place")))
     return at.withColumn("split", F.get(F.array(*[F.lit(n) for n in names]), which)).drop("place", "bounds")
 
 
 def folds(df: DataFrame, dataset: str, id_: str, k: int, seed: str) -> DataFrame:
     """Fold of each id: its place in hash order within its data set, modulo k."""
-    ids = df.select(dataset, id_).distinct()
-    by = Window.partitionBy(dataset).orderBy(hashed(seed, F.col(dataset), F.col(id_)))
-    return ids.withColumn("fold", ((F.row_number().over(by) - 1) % k).cast("int"))
+    ids = in_hash_order(df.select(dataset, id_).distinct(), [dataset], "__place", hashed(seed, F.col(dataset), F.col(id_)), id_)
+    return ids.withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__place")
 
 
 def sample_groups(df: DataFrame, dataset: str, id_: str, n: int, seed: str) -> DataFrame:
@@ -159,13 +223,16 @@ def capped_pairs(cand: DataFrame, cap: int, seed: str) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= cap).drop("r")
 
 
-def pair_weights(pairs: DataFrame, dataset: Column) -> DataFrame:
-    """0.5 / questions of the data set / pairs of the question, scaled to a mean of 1."""
-    p = pairs.withColumn("dataset", dataset)
-    n = p.groupBy("dataset").agg(F.count_distinct("question_uid").alias("questions"))
-    w = p.groupBy("dataset", "question_uid").agg(F.count("*").alias("pairs")).join(F.broadcast(n), "dataset").withColumn("w", 0.5 / F.col("questions") / F.col("pairs"))
-    mean = w.agg((F.sum(F.col("w") * F.col("pairs")) / F.sum("pairs")).alias("mean"))
-    return w.crossJoin(F.broadcast(mean)).select("dataset", "question_uid", "pairs", (F.col("w") / F.col("mean")).alias("weight"))
+def pair_weights(cand: DataFrame, dataset: Column) -> DataFrame:
+    """0.5 / questions of the data set / pairs of the question, scaled to a mean of 1 over pairs. A question has as many pairs as
+    right times wrong candidates; one without a pair has no weight."""
+    sides = cand.withColumn("dataset", dataset).groupBy("dataset", "question_uid").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    w = sides.where("p > 0 AND q > 0").select("dataset", "question_uid", (F.col("p") * F.col("q")).alias("pairs"))
+    total = w.groupBy("dataset").agg(F.count("*").alias("questions"), F.sum("pairs").alias("all_pairs"))
+    # the weights of a data set's pairs add up to a half, so their mean over all pairs is known from the number of data sets
+    mean = total.agg((F.count("*") * 0.5 / F.sum("all_pairs")).alias("mean"))
+    scale = total.crossJoin(F.broadcast(mean)).select("dataset", (0.5 / F.col("questions") / F.col("mean")).alias("scale"))
+    return w.join(scale, "dataset").select("dataset", "question_uid", "pairs", (F.col("scale") / F.col("pairs")).alias("weight"))
 
 
 def shuffled_epochs(df: DataFrame, id_: str, length: int, seed: str) -> DataFrame:
@@ -173,8 +240,8 @@ def shuffled_epochs(df: DataFrame, id_: str, length: int, seed: str) -> DataFram
     n = df.count()
     epochs = -(-length // n) if n else 0
     e = df.select(id_).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs - 1, 0)))))
-    by = Window.partitionBy("epoch").orderBy(hashed(seed, F.col("epoch"), F.col(id_)), id_)
-    return e.withColumn("position", F.col("epoch") * n + F.row_number().over(by) - 1).where(F.col("position") < length).select("position", id_)
+    e = in_hash_order(e, ["epoch"], "__place", hashed(seed, F.col("epoch"), F.col(id_)), id_)
+    return e.withColumn("position", F.col("epoch") * n + F.col("__place") - 1).where(F.col("position") < length).select("position", id_)
 
 
 def overlap_matrix(sets: dict[str, DataFrame]) -> DataFrame:

@@ -93,14 +93,17 @@ query("jn12_contamination_contains", f"SELECT DISTINCT d.doc_id, b.item_id FROM
     lambda s, d: corpus.contains_matches(docs(s, d), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text")
 )
 query("jn12_str10_fuzzy_best")(lambda s, d: corpus.fuzzy_best(docs(s, d), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text", 50.0))
-query("jn13_str10_str11_fuzzy_top5")(lambda s, d: corpus.fuzzy_top(table(s, d, "benchmark").withColumnRenamed("item_id", "q").withColumnRenamed("text", "t"), table(s, d, "benchmark"), "q", "t", "item_id", "text", 5))
+query("jn12_jn11_contamination")(lambda s, d: corpus.contamination(docs(s, d), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text"))
+_top = lambda s, d: corpus.fuzzy_top(table(s, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("t")), table(s, d, "benchmark"), "q", "t", "item_id", "text", 5)
+query("jn13_str10_str11_fuzzy_top5")(_top)
+query("jn13_match_risk", "SELECT item_id AS q, TRUE AS exact_match, TRUE AS high_risk, TRUE AS review, 100.0::DOUBLE AS score, 100.0::DOUBLE AS token_score FROM benchmark WHERE regexp_matches(lower(text), '[a-z0-9]')")(lambda s, d: corpus.match_risk(_top(s, d), "q"))
 query("jn14_exclusion_reasons", "WITH w AS (SELECT doc_id, 'short' AS reason FROM documents WHERE n_chars < 300 UNION ALL SELECT doc_id, 'spanish' FROM documents WHERE lang = 'es') SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM w GROUP BY 1")(
     lambda s, d: corpus.excluded(docs(s, d).select("doc_id"), docs(s, d).where("n_chars < 300").select("doc_id", F.lit("short").alias("reason")).unionByName(docs(s, d).where("lang = 'es'").select("doc_id", F.lit("spanish").alias("reason"))), "doc_id")[1]
 )
 query("jn14_anti_join_kept", "SELECT doc_id FROM documents WHERE NOT (n_chars < 300 OR lang = 'es')")(
     lambda s, d: corpus.excluded(docs(s, d).select("doc_id"), docs(s, d).where("n_chars < 300 OR lang = 'es'").select("doc_id", F.lit("x").alias("reason")), "doc_id")[0]
 )
-query("agg32_duplicate_records", "SELECT md5(text) AS signature, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(DISTINCT source) AS variants FROM documents GROUP BY 1 HAVING count(*) > 1")(
+query("agg32_duplicate_records", "SELECT md5(text) AS signature, doc_id, count(*) OVER w AS n, v.variants FROM documents JOIN (SELECT md5(text) AS k, count(DISTINCT source) AS variants FROM documents GROUP BY 1) v ON k = md5(text) WINDOW w AS (PARTITION BY md5(text)) QUALIFY n > 1")(
     lambda s, d: corpus.duplicate_records(docs(s, d), F.md5(F.col("text").cast("binary")), "doc_id", F.col("source"))
 )
 query("jn18_set06_split_overlap", f"WITH k AS (SELECT DISTINCT source, {COLLAPSE.format('text')} AS k FROM documents) SELECT a.source AS left_split, b.source AS right_split, count(*) AS shared FROM k a JOIN k b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2")(lambda s, d: corpus.split_overlap(docs(s, d), "source", T.collapse(F.col("text"))))
@@ -126,10 +129,10 @@ query("smp05_capped_pairs", f"WITH {SQL_EV} SELECT question_uid, p, q FROM (SELE
     lambda s, d: corpus.capped_pairs(views.event_candidates(s, d), 16, "s5")
 )
 query("smp06_pair_weights", f"WITH {SQL_LI}, p AS (SELECT question_uid % 2 AS dataset, question_uid, sum(label) * sum(1 - label) AS pairs FROM v GROUP BY 1, 2 HAVING sum(label) * sum(1 - label) > 0), w AS (SELECT *, 0.5 / count(*) OVER (PARTITION BY dataset) / pairs AS w FROM p) SELECT dataset, question_uid, CAST(pairs AS BIGINT) AS pairs, round(w / (SELECT sum(w * pairs) / sum(pairs) FROM w), 6) AS weight FROM w")(
-    lambda s, d: (c := views.lineitem_candidates(s, d)) and corpus.pair_weights(c.where("label = 1").select("question_uid", F.col("candidate_index").alias("p")).join(c.where("label = 0").select("question_uid", F.col("candidate_index").alias("q")), "question_uid"), F.col("question_uid") % 2)
+    lambda s, d: corpus.pair_weights(views.lineitem_candidates(s, d), F.col("question_uid") % 2)
 )
-query("smp07_shuffled_epochs", "WITH n AS (SELECT count(*) AS n FROM nation), e AS (SELECT n_nationkey, unnest(range(0, 3)) AS epoch FROM nation), p AS (SELECT n_nationkey, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY sha256('s6|' || epoch || '|' || n_nationkey), n_nationkey) - 1 AS position FROM e, n) SELECT position, n_nationkey FROM p WHERE position < 60")(
-    lambda s, d: corpus.shuffled_epochs(table(s, d, "nation"), "n_nationkey", 60, "s6").select(F.col("position").cast("bigint"), "n_nationkey")
+query("smp07_shuffled_epochs", "WITH n AS (SELECT count(*) AS n FROM documents), e AS (SELECT doc_id, unnest(range(0, 3)) AS epoch FROM documents), p AS (SELECT doc_id, epoch * n + row_number() OVER (PARTITION BY epoch ORDER BY sha256('s6|' || epoch || '|' || doc_id), doc_id) - 1 AS position FROM e, n) SELECT position, doc_id FROM p, n WHERE position < n * 5 // 2")(
+    lambda s, d: (x := docs(s, d).select("doc_id")) and corpus.shuffled_epochs(x, "doc_id", x.count() * 5 // 2, "s6").select(F.col("position").cast("bigint"), "doc_id")
 )
 query("srt01_srt02_srt03_top_suppliers", "SELECT s_suppkey, round(s_acctbal, 6) AS s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")(lambda s, d: table(s, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10).select("s_suppkey", "s_acctbal"))
 query("srt06_first_groups_first_rows", f"WITH {SQL_EV}, x AS (SELECT *, dense_rank() OVER (ORDER BY question_uid) AS g FROM v) SELECT question_uid, candidate_index FROM x WHERE g <= 5 AND candidate_index < 4")(

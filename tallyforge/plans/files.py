@@ -52,19 +52,23 @@ def nested(s, d):
     return readers.nested_records(s, f"{at}/part-*", "n_name").select(F.from_json("record", "n_nationkey int, n_name string").alias("x")).select("x.*")
 
 
-@query("src07_npy_rows", "SELECT label, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS first FROM embeddings GROUP BY 1", places=4)
+@query("src07_npy_rows", "SELECT label, place, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 4) AS total FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS place FROM embeddings) GROUP BY 1, 2", places=4)
 def npy(s, d):
     at = scratch.path(s, "arrays")
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        np.save(out, np.stack(rows["v"].to_numpy()).astype(np.float32))
-        return pd.DataFrame({"label": [rows["label"].iloc[0]], "data": [out.getvalue()]})
-
-    packed = table(s, d, "embeddings").select("label", F.slice("embedding", 1, 2).alias("v")).groupBy("label").applyInPandas(pack, "label int, data binary")
-    packed.select("label", F.col("data").cast("string").alias("value")).write.partitionBy("label").text(at)  # the line feed that ends a file is beyond the array
-    rows = readers.npy_rows(s, f"{at}/label=*/part-*")
-    return rows.groupBy(F.regexp_extract("path", r"label=(-?\d+)", 1).cast("int").alias("label")).agg(F.count("*").alias("n"), F.sum(F.get("v", F.lit(0))).alias("first"))
+    def pack(batches):
+        for rows in batches:
+            for label, own in rows.groupby("label"):
+                out = io.BytesIO()
+                np.save(out, np.stack(own["v"].to_numpy()).astype(np.float32))
+                yield pd.DataFrame({"label": [label], "value": [out.getvalue()]})
+
+    packed = table(s, d, "embeddings").select("label", F.col("embedding").alias("v")).mapInPandas(pack, "label int, value binary")
+    named = packed.withColumns({"value": F.col("value").cast("string"), "part": F.spark_partition_id(), "n": F.monotonically_increasing_id()})
+    named.write.partitionBy("label", "part", "n").text(at)  # the line feed that ends a file is beyond the array
+    rows = readers.npy_rows(s, f"{at}/label=*/part=*/n=*/part-*")
+    own = rows.select(F.regexp_extract("path", r"label=(-?\d+)", 1).cast("int").alias("label"), F.posexplode("v").alias("place", "x"))
+    return own.groupBy("label", F.col("place").cast("bigint").alias("place")).agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
 @query("snk02_snk09_canonical_manifest", """SELECT sha256('{"counts":{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '},"unknown":null}') AS h FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""")

@@ -27,8 +27,8 @@ query("str12_length_ratio", "SELECT a.item_id, round(least(length(a.text), lengt
 )
 query("str13_render_prompt", "SELECT item_id, 'Solve: ' || text || ' Box the answer.' AS prompt FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", T.render("Solve: {problem} Box the answer.", "{problem}", F.col("text")).alias("prompt")))
 _SENT = "regexp_replace(text, '([.!?])\\s+([A-Z0-9#`$\\\\])', '\\1' || chr(1) || '\\2', 'g')"
-query("txt02_sentences", f"SELECT doc_id, CAST(len(list_filter(string_split({_SENT}, chr(1)), lambda x: trim(x, ' ' || chr(10)) <> '')) AS INTEGER) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[.!?]\\s+[A-Z0-9#`$\\\\][.!?]\\s')")(
-    lambda s, d: docs(s, d).where("lang = 'en'").where(~F.col("text").rlike(r"[.!?]\s+[A-Z0-9#`$\\][.!?]\s")).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
+query("txt02_sentences", f"SELECT doc_id, CAST(len(list_filter(string_split({_SENT}, chr(1)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents")(
+    lambda s, d: docs(s, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 )
 query("txt02_txt04_chunk_ends")(lambda s, d: docs(s, d).select("doc_id", T.chunk_end_places(F.col("text")).alias("ends")))
 query("txt01_lines", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: trim(x) <> '')) AS INTEGER) AS n FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(F.filter(F.split("text", "[\\r\\n]+"), lambda x: F.trim(x) != "")).alias("n")))
