@@ -326,7 +326,7 @@ def entries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
     size = member.join(marks.select("key", "grams"), "key").groupBy("root").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
     by_size = F.when(F.col("m") > ONE_BLOCK, F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.sqrt("m") / 3))).otherwise(1)
-    size = size.select("root", F.greatest(by_size, F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    size = size.select("root", F.greatest(by_size, F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("n_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).repartition("root", "salt")  # else a root's salts stay in its task, and all its members meet there if they are broadcast
     known = member.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(size, ["root", "salt"]).drop("salt")
     known = known.join(marks.select("key", "id", "t", "copies", "sig"), "key")
     texts = df.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(known, ["id", "t"]).dropDuplicates(["id", "t"])
@@ -335,7 +335,7 @@ def entries(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     sums = found.groupBy("key").agg(F.sum("classes").alias("n_class_links"), F.sum("docs").alias("docs"))
     group = components(found.select(F.col("least").alias("a"), F.col("key").alias("b"))).withColumnRenamed("id", "key")
     group = group.join(marks.select("key", "id"), "key")
-    tops = group.groupBy("root").agg(F.min(F.struct("id", "key")).alias("top")).select("root", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tops = group.groupBy("root").agg(F.min(F.struct("id", "key")).alias("top")).select("root", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).repartition("root", "salt")
     group = group.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(tops, ["root", "salt"]).select("key", "top")
     zero = F.lit(0).cast("bigint")
     whole = classes.withColumn("key", F.col("x")).join(sums, "key", "left").join(group, "key", "left").select(
