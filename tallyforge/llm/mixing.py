@@ -65,14 +65,14 @@ def targets(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: t
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     own = common.kept(own.select("source", "words", weight.cast("decimal(38,0)").alias("weight"), (F.col("words").cast("decimal(30,0)") * repeats).cast("decimal(38,0)").alias("most")), "sources")
     total = int(own.agg(F.sum("words")).first()[0] or 0)
-    # in units of 1 / share[1] of a word, so that all is whole numbers; free: at or below the level of words for each unit of weight
-    all_, spent, level = total * share[0], -1, (0, 1)
+    # in units of 1 / share[1] of a word, so that all is whole numbers; level: words for so much weight, of sources that aren't full
+    all_, spent, level = total * share[0], None, (0, 1)
     while True:
         got = own.agg(*[F.sum(F.when(_full(level, share[1]), F.col(c))).alias(c) for c in ("most", "weight")], F.sum("weight").alias("all")).first()
         full, held = int(got.most or 0) * share[1], int(got.weight or 0)
-        if full == spent:
+        if (full, held) == spent:
             break
-        spent, left = full, max(all_ - full, 0)
+        spent, left = (full, held), max(all_ - full, 0)
         level = (left, int(got["all"]) - held) if got["all"] and int(got["all"]) > held else None
     reached = F.col("most").cast("double")
     if level is not None and level[1]:
