@@ -19,8 +19,8 @@ query("str03_compact_key")(lambda s, d: docs(s, d).select("doc_id", T.compact_ke
 query("str04_token_key", r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]'), ' ') AS t FROM documents")(lambda s, d: docs(s, d).select("doc_id", T.token_key(F.col("text"), True).alias("t")))
 query("str07_short_id", "SELECT doc_id, substr(sha256(source || '|' || lang || '|' || doc_id), 1, 16) AS uid FROM documents")(lambda s, d: docs(s, d).select("doc_id", T.short_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("uid")))
 _CH = "'  Option: \\text{(' || l_returnflag || ') ' || l_linestatus || '}. '"
-query("str08_choice_key", r"SELECT DISTINCT l_returnflag, l_linestatus, lower(l_returnflag || ') ' || l_linestatus) AS k FROM lineitem")(
-    lambda s, d: table(s, d, "lineitem").select("l_returnflag", "l_linestatus", T.choice_key(F.concat(F.lit("  Option: \\text{("), "l_returnflag", F.lit(") "), "l_linestatus", F.lit("}. "))).alias("k")).distinct()
+query("str08_choice_key", r"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(l_returnflag || ') ' || l_linestatus || ' ' || strftime(l_shipdate, '%Y-%m-%d')) AS k FROM lineitem")(
+    lambda s, d: table(s, d, "lineitem").select(*KEY, T.choice_key(F.concat(F.lit(" \t Option: \\text{\\mathbf{("), "l_returnflag", F.lit(")} "), "l_linestatus", F.lit("\u00a0 "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" }. "))).alias("k"))
 )
 query("str12_length_ratio", "SELECT a.item_id, round(least(length(a.text), length(b.text)) / greatest(length(a.text), length(b.text)), 6) AS ratio FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")(
     lambda s, d: (b := table(s, d, "benchmark")) and b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("u")), "item_id").select("item_id", T.length_ratio(F.col("text"), F.col("u")).alias("ratio"))
@@ -52,12 +52,37 @@ query("prs05_prs06_generation_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS
 query("prs07_prs08_final_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.final_udf()(F.concat(F.lit("\\boxed{1} **Final Answer** \\boxed{"), _n(), F.lit("} \\boxed{2}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
 query("prs04_box_contents", f"SELECT {_K}, '1|' || {_N} AS boxes FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, F.array_join(P.box_contents(F.concat(F.lit("\\boxed{1} \\boxed{ } \\boxed{"), _n(), F.lit("}"))), "|").alias("boxes")))
 query("str14_truncate_through_answer", f"SELECT {_K}, 'a #### ' || {_N} AS answer, 'hash' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.truncate_udf()(F.concat(F.lit("a #### "), _n(), F.lit("\nmore text"))).alias("x")).select(*KEY, "x.answer", "x.method"))
-query("prs09_prs10_final_choice", "SELECT DISTINCT l_returnflag, 'choice:' || (list_position(['A', 'N', 'R'], l_returnflag) - 1) AS choice FROM lineitem")(
-    lambda s, d: _li(s, d).select("l_returnflag").distinct().select("l_returnflag", P.choices(F.concat(F.lit("maybe \\boxed{zz}, Final answer: \\boxed{("), "l_returnflag", F.lit(")}")), F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.array(F.lit("red"), F.lit("green"), F.lit("blue"))).alias("choice"))
+
+
+#: What a row says, by its line: label, place, text, label and text, a label and another's text, a choice behind a cue after another, none.
+def _said(flag, place, own, other):
+    line = F.col("l_linenumber")
+    box = lambda *x: F.concat(F.lit("so \\boxed{"), *x, F.lit("}"))
+    return (
+        F.when(line == 1, box(F.lit("("), flag, F.lit(")."))).when(line == 2, box(place)).when(line == 3, box(F.lit("Answer: \\text{"), F.upper(own), F.lit("}")))
+        .when(line == 4, box(flag, F.lit(") "), own)).when(line == 5, box(flag, F.lit(". "), other)).when(line == 6, F.concat(box(other), F.lit(" **Final answer** "), box(F.lit("zz")), box(flag)))
+        .otherwise(F.concat(F.lit("choice "), flag))
+    )
+
+
+@query(
+    "prs09_prs10_final_choice",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber IN (5, 7) THEN NULL ELSE 'choice:' || (list_position(['A', 'N', 'R'], l_returnflag) - 1) END AS choice,
+  ['boxed_choice_label', 'boxed_choice_positional_alias', 'boxed_choice_text', 'boxed_choice_label_and_text', 'unparsed', 'boxed_choice_label', 'unparsed'][l_linenumber] AS method FROM lineitem""",
 )
+def final_choice(s, d):
+    labels, texts = F.array(*map(F.lit, "ANR")), F.array(*map(F.lit, ["red", "green", "blue"]))
+    i = F.array_position(labels, F.col("l_returnflag")).cast("int")
+    said = _said(F.col("l_returnflag"), i.cast("string"), F.get(texts, i - 1), F.get(texts, i % 3))
+    rows = _li(s, d).select(*KEY, said.alias("said"), labels.alias("labels"), texts.alias("texts"))
+    return P.final_choices(rows, "said", "labels", "texts").select(*KEY, "choice", "method")
+
+
 query("prs11_choice_index", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber < 3 THEN l_linenumber ELSE CAST(list_position(['A', 'N', 'R'], l_returnflag) - 1 AS INTEGER) END AS i FROM lineitem")(
     lambda s, d: _li(s, d).select(*KEY, P.choice_index(F.col("l_linenumber").cast("string"), F.lower("l_returnflag"), F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("i"))
 )
-query("prs12_frozen_answer", "SELECT DISTINCT lang, 'expr:' || lang AS a, 'number:1/2' AS b FROM documents")(lambda s, d: docs(s, d).select("lang", P.frozen_answer(F.col("lang")).alias("a"), P.frozen_answer(F.lit("number:1/2")).alias("b")).distinct())
+query("prs12_frozen_answer", "SELECT doc_id, 'expr:' || lower(lang || source) AS a, 'number:' || doc_id || '/2' AS b, CASE WHEN doc_id % 2 = 0 THEN 'expr:X ' || lang ELSE 'expr:x' || lower(lang) END AS c FROM documents")(
+    lambda s, d: docs(s, d).select("doc_id", P.frozen_answer(F.concat(F.upper("lang"), F.lit(" \t"), "source")).alias("a"), P.frozen_answer(F.concat(F.lit("number:"), F.col("doc_id").cast("string"), F.lit("/2"))).alias("b"), P.frozen_answer(F.concat(F.when(F.col("doc_id") % 2 == 0, "expr:X ").otherwise("X "), "lang")).alias("c"))
+)
 query("jsn02_json_fields", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int").alias("j")).select("event_id", "j.k"))
 query("dat01_utc_stamp", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp")))
