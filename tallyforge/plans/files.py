@@ -122,19 +122,6 @@ query("mdl04_p_true", f"WITH {SQL_EV} SELECT question_uid, candidate_index, roun
 )
 
 
-def _head(h: int) -> models.TrajectoryHead:
-    rng = np.random.default_rng(0)
-    w = lambda *shape: rng.standard_normal(shape) * 0.1
-    return models.TrajectoryHead(w(h), 0.0, (w(4, 2 * h + 1), w(4), w(4), 0.0), (w(4, 5), w(4), w(4), 2.0), (0.0, 1.0), (1.0, 1.0), (4.0, 1.0))
-
-
-@query("lrn03_trajectory_scores")
-def trajectory(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    states = F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 8).cast("int")), lambda i: F.slice("v", i * 8 + 1, 8))
-    return e.select("vec_id", _head(8).udf(states, F.get("v", F.lit(0)), F.lit(100)).alias("x")).select("vec_id", "x.*")
-
-
 @query("lrn06_lrn07_layer_probes")
 def probes(s, d):
     e = table(s, d, "embeddings").select(F.col("label").alias("question_uid"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
