@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from . import sums
 from .clusters import best_first, question
 from .select import FEATURES
 
@@ -84,13 +91,17 @@ def reliability_features(clus: DataFrame) -> DataFrame:
     )
 
 
+#: A column whose deviation is below this share of its mean is constant but for rounding.
+_FLAT = 1e-12
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, c: float = 0.25, steps: int = 60) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weighted logistic regression with an L2 penalty of 1 / (2 c) on all but the intercept, by Newton steps, on standardised
     columns. Of one class only: a constant probability with half a count added."""
     if not len(x):  # nothing to learn from: even odds
         return np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), np.ones(x.shape[1])
     mean, sd = x.mean(0), x.std(0)
-    sd = np.where(sd > 0, sd, 1.0)
+    sd = np.where(sd > _FLAT * (1 + np.abs(mean)), sd, 1.0)
     if len(np.unique(y)) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1.0)
         return np.zeros(x.shape[1]), float(np.log(p / (1 - p))), mean, sd
@@ -114,19 +125,97 @@ def logistic(columns: list[str], model: tuple) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
 
-SAMPLE = 200_000
-
-
-def training_matrix(df: DataFrame, columns: list[str], target: str, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE rows, the first in hash order of the key: gates have a score of features, so more wouldn't change them."""
-    rows = df.orderBy(F.xxhash64(F.col(key)), key).limit(SAMPLE).select(*[F.col(c).cast("double") for c in columns], target).toPandas()
-    return rows[columns].to_numpy(float), rows[target].to_numpy(int)
-
-
-def fit_utility_gate(df: DataFrame, columns: list[str], key: str = "question_uid") -> tuple[tuple, tuple]:
-    """Models of benefit (target 1, weight 3) and damage (target -1, weight 8) among proposed switches."""
-    x, y = training_matrix(df.where("switch"), columns, "target", key)
-    return tuple(fit_logistic(x, (y == t).astype(float), np.where(y == t, w, 1.0)) for t, w in ((1, 3.0), (-1, 8.0)))
+@dataclass
+class _Moments:
+    """Number, means and sums of squared differences from them, of columns; and the sum of each 0-1 target."""
+
+    n: float
+    mean: np.ndarray
+    away: np.ndarray
+    ones: np.ndarray
+
+    def plus(self, other: _Moments) -> _Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        return _Moments(n, self.mean + gap * other.n / n, self.away + other.away + gap**2 * self.n * other.n / n, self.ones + other.ones)
+
+
+def fit_gates(df: DataFrame, columns: list[str], targets: list[tuple[Column, Column]], fold: Column | None = None, folds: int = 0, c: float = 0.25, steps: int = 60) -> list[list[tuple]]:
+    """Logistic models (as of ``fit_logistic``) of each (0-1 target, weight), over all rows of df, by Newton steps: for each fold the
+    model of the rows outside it, and last the model of all rows. In a step every task adds up the gradients and Gram matrices of all
+    models that aren't done, and the driver gets one sum of them: columns squared numbers for each model, whatever the number of
+    rows. A row with a null in a column, target or weight takes no part."""
+    spark, p, place = df.sparkSession, len(columns), scratch.path(df.sparkSession, "gate")
+    lean = df.select(
+        F.array(*[F.col(x).cast("double") for x in columns]).alias("x"), F.array(*[y.cast("double") for y, _ in targets]).alias("y"), F.array(*[w.cast("double") for _, w in targets]).alias("w"),
+        (F.lit(0) if fold is None else fold).cast("int").alias("fold"),
+    )
+    lean.where("fold IS NOT NULL AND NOT exists(x, a -> a IS NULL OR isnan(a)) AND NOT exists(y, a -> a IS NULL) AND NOT exists(w, a -> a IS NULL)").write.parquet(place)
+    rows = spark.read.schema(lean.schema).parquet(place)
+    at = [F.get("x", F.lit(i)) for i in range(p)]
+    got = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(at)], *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(at)], *[F.sum(F.get("y", F.lit(i))).alias(f"y{i}") for i in range(len(targets))]).collect()  # a row for each fold
+    nothing = _Moments(0, np.zeros(p), np.zeros(p), np.zeros(len(targets)))
+    own = {r.fold: _Moments(r.n, np.array([r[f"m{i}"] for i in range(p)]), r.n * np.array([r[f"v{i}"] for i in range(p)]), np.array([r[f"y{i}"] for i in range(len(targets))])) for r in got}
+    wholes = [reduce(_Moments.plus, [own[f] for f in sorted(own) if f != k], nothing) for k in [*range(folds), None]]
+    raw = [np.sqrt(m.away / max(m.n, 1)) for m in wholes]
+    sds = [np.where(sd > _FLAT * (1 + np.abs(m.mean)), sd, 1.0) for sd, m in zip(raw, wholes, strict=True)]
+    models = [(t, k) for t in range(len(targets)) for k in range(folds + 1)]
+    theta: dict[tuple, np.ndarray] = {}
+    fixed: dict[tuple, tuple] = {}
+    for t, k in models:
+        m, ones = wholes[k], wholes[k].ones[t]
+        if not m.n:
+            fixed[t, k] = np.zeros(p), 0.0, np.zeros(p), np.ones(p)
+        elif ones in (0, m.n):
+            q = (ones + 0.5) / (m.n + 1.0)
+            fixed[t, k] = np.zeros(p), float(np.log(q / (1 - q))), m.mean, sds[k]
+        else:
+            theta[t, k] = np.zeros(p + 1)
+    penalty = np.append(np.full(p, 1 / c), 0.0)
+    running, size = sorted(theta), p + 1
+    for _ in range(steps):
+        if not running:
+            break
+        now = [(t, k, wholes[k].mean, sds[k], theta[t, k]) for t, k in running]
+
+        def part(batches: Iterator[pa.RecordBatch], now: list[tuple] = now) -> np.ndarray:
+            out = np.zeros((len(now), size * (size + 1)))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, y, w = (b.column(n).flatten().to_numpy().reshape(b.num_rows, -1) for n in ("x", "y", "w"))
+                of = b.column("fold").to_numpy()
+                for i, (t, k, mean, sd, th) in enumerate(now):
+                    here = of != k if k < folds else np.ones(len(of), bool)
+                    a = np.column_stack(((x[here] - mean) / sd, np.ones(here.sum())))
+                    q = 1 / (1 + np.exp(-np.clip(a @ th, -40, 40)))
+                    out[i, :size] += a.T @ (w[here, t] * (q - y[here, t]))
+                    out[i, size:] += ((a * (w[here, t] * q * (1 - q))[:, None]).T @ a).ravel()
+            return out.ravel()
+
+        found = sums.vector_sum(rows, part, len(now) * size * (size + 1)).reshape(len(now), -1)
+        going = []
+        for (t, k), total in zip(running, found, strict=True):
+            step = np.linalg.solve(total[size:].reshape(size, size) + np.diag(penalty + 1e-12), total[:size] + penalty * theta[t, k])
+            theta[t, k] = theta[t, k] - step
+            if np.abs(step).max() >= 1e-10:
+                going.append((t, k))
+        running = going
+    done = fixed | {(t, k): (th[:-1], float(th[-1]), wholes[k].mean, sds[k]) for (t, k), th in theta.items()}
+    return [[done[t, k] for k in range(folds + 1)] for t in range(len(targets))]
+
+
+def _benefit_and_damage() -> list[tuple[Column, Column]]:
+    """Targets 1 and -1 of proposed switches; a benefit weighs 3, a damage 8."""
+    return [((F.col("target") == t).cast("int"), F.when(F.col("target") == t, w).otherwise(1.0)) for t, w in ((1, 3.0), (-1, 8.0))]
+
+
+def fit_utility_gate(df: DataFrame, columns: list[str]) -> tuple[tuple, tuple]:
+    """Models of benefit and damage among proposed switches."""
+    benefit, damage = fit_gates(df.where("switch"), columns, _benefit_and_damage())
+    return benefit[0], damage[0]
 
 
 def utility(columns: list[str], gate: tuple[tuple, tuple], damage_cost: float = 3.0) -> Column:
@@ -136,10 +225,10 @@ def utility(columns: list[str], gate: tuple[tuple, tuple], damage_cost: float =
 def crossfit_utility(df: DataFrame, columns: list[str], folds: int = 5, key: str = "question_uid") -> DataFrame:
     """Utility of each question from gates that were fitted without its fold."""
     f = df.withColumn("fold", F.pmod(F.xxhash64(F.lit("gate"), F.col(key)), F.lit(folds)).cast("int"))
+    benefit, damage = fit_gates(f.where("switch"), columns, _benefit_and_damage(), F.col("fold"), folds)
     out = F.lit(None).cast("double")
     for k in range(folds):
-        gate = fit_utility_gate(f.where(F.col("fold") != k), columns, key)
-        out = F.when(F.col("fold") == k, utility(columns, gate)).otherwise(out)
+        out = F.when(F.col("fold") == k, utility(columns, (benefit[k], damage[k]))).otherwise(out)
     return f.withColumn("utility", out)
 
 

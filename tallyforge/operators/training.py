@@ -3,14 +3,13 @@
 Plan: candidates become one row for each question, once, in a table. For each epoch every data set's questions come in a new hash
 order, shorter ones again and again until all are as long as the longest; equal stretches of these orders are the steps. The
 epoch's table has a folder for each step, so that a step reads its own rows only. In a step each task gives the gradient of its
-questions in blocks of ``BLOCK`` numbers; the blocks are shuffled by number and added up by as many tasks as there are blocks, and
-the driver gets one gradient, whatever the number of tasks. Weights and the optimiser's moments are written after each epoch; a
+questions, and these are added up block by block (``sums``): the driver gets one gradient, whatever the number of tasks. Weights and the optimiser's moments are written after each epoch; a
 run begins after the last epoch that is whole on disk, and with the same partitions gives the same weights as one that wasn't
 stopped (with others, the same but for the order of floating-point sums).
 
 Cases: questions without a right or without a wrong candidate teach nothing and are left out, as are candidates without a question,
-label, reward or states. A null data set is one, named by the empty string. A loss that isn't finite is an error. All candidates of a question are in one row: they are as many as were
-generated for it.
+label, reward or states. A null data set is one, named by the empty string. A loss that isn't finite is an error. All candidates of
+a question are in one row: they are as many as were generated for it.
 """
 
 from __future__ import annotations
@@ -22,18 +21,13 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from . import corpus, metrics
+from . import corpus, metrics, sums
 from .nets import Batch, Params
 
-#: Numbers of a gradient that go together.
-BLOCK = 8192
-
-
 @dataclass(frozen=True)
 class Scale:
     """Means and deviations that standardise rewards and the logarithms of chunks and tokens, from the training candidates."""
@@ -93,7 +87,7 @@ def gradient(rows: DataFrame, head, weights: Params, loss, scale: Scale, seed: i
     names = sorted(weights)
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         p = shared.value
         total, size, grads = 0.0, 0.0, {k: np.zeros_like(v) for k, v in p.items()}
         for b in batches:
@@ -104,23 +98,10 @@ def gradient(rows: DataFrame, head, weights: Params, loss, scale: Scale, seed: i
                 total, size = total + own, size + weight
                 for k, v in back(d).items():
                     grads[k] += v
-        flat = np.concatenate([[total, size], *[grads[k].ravel() for k in names]])
-        at = range(0, len(flat), BLOCK)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([x // BLOCK for x in at], pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(at), pa.int32()), "x": pa.array([flat[x : x + BLOCK] for x in at], pa.list_(pa.float64()))})
+        return np.concatenate([[total, size], *[grads[k].ravel() for k in names]])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, x in zip(b.column("block").to_pylist(), b.column("x"), strict=True):
-                own = x.values.to_numpy()
-                sums[block] = sums[block] + own if block in sums else own.copy()
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "x": pa.array(list(sums.values()), pa.list_(pa.float64()))})
-
-    parts = rows.mapInArrow(run, "block int, part int, x array<double>")
-    got = parts.repartition("block").sortWithinPartitions("block", "part").mapInArrow(add, "block int, x array<double>").collect()  # one gradient
+    flat = sums.vector_sum(rows, part, 2 + sum(v.size for v in weights.values()))
     shared.unpersist()
-    flat = np.concatenate([np.array(r.x) for r in sorted(got, key=lambda r: r.block)]) if got else np.zeros(2 + sum(v.size for v in weights.values()))
     total, size, at, out = flat[0], max(flat[1], 1.0), 2, {}
     for k in names:
         out[k] = flat[at : at + weights[k].size].reshape(weights[k].shape) / size

@@ -154,12 +154,32 @@ def _gate_table(s, d):
     return gates.switch_features(c, ["s1", "s2", "s3"], ["a1", "a2"], 3.0, "chunks", "length")
 
 
-_GF = f"""WITH {SQL_EV}, a AS (SELECT *, {SEED_SQL.replace('0.03', '4.0')} FROM v), b AS (SELECT *, round(rm + 3.0 * ((s1 - rm) + (s2 - rm) + (s3 - rm)) / 3, 9) AS blend FROM a),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_uid {BEST}) AS r, row_number() OVER (PARTITION BY question_uid ORDER BY blend DESC, candidate_index) AS p FROM b)
-SELECT question_uid, round(max(CASE WHEN r = 1 THEN rm END) - max(CASE WHEN r = 2 THEN rm END), 6) + 0.0 AS raw_margin, round(stddev_pop(rm), 6) AS rm_sd, round(ln(1 + count(*)), 6) AS log_n, round(max(CASE WHEN p = 1 THEN blend END) - max(CASE WHEN r = 1 THEN blend END), 6) + 0.0 AS proposed_margin,
-  max(CASE WHEN r = 1 THEN candidate_index END) <> max(CASE WHEN p = 1 THEN candidate_index END) AS switch, max(CASE WHEN p = 1 THEN label END) - max(CASE WHEN r = 1 THEN label END) AS target FROM k GROUP BY 1"""
-query("sel25_gate_features", _GF)(lambda s, d: _gate_table(s, d).select("question_uid", "raw_margin", "rm_sd", "log_n", "proposed_margin", "switch", "target"))
-_GC = ["raw_margin", "raw_rm", "prop_rm", "rm_sd", "log_n", "proposed_margin", "gap_mean", "gap_sd", "agreement", "switch_rate", "alpha_raw", "alpha_prop", "log_chunks", "log_chunks_gain", "log_length", "log_length_gain", "sd_mean", "md_sd"]
+def _both(*xs: str) -> tuple[str, str]:
+    """Mean and population deviation of expressions, as SQL."""
+    m = f"(({' + '.join(xs)}) / {len(xs)})"
+    return m, f"sqrt(greatest(({' + '.join(f'pow({x} - {m}, 2)' for x in xs)}) / {len(xs)}, 0))"
+
+
+_GAP, _GAP_SD = _both(*[f"(pd{i} - rd{i})" for i in (1, 2, 3)])
+_RA, _RA_SD = _both("ra1", "ra2")
+_PA, _PA_SD = _both("pa1", "pa2")
+_PICKS = ", ".join(f"max(CASE WHEN {place} = 1 THEN {x} END) AS {p}{n}" for place, p in (("r", "r"), ("p", "p")) for n, x in (("d1", "d1"), ("d2", "d2"), ("d3", "d3"), ("a1", "a1"), ("a2", "a2"), ("c", "chunks"), ("l", "length"), ("_rm", "rm"), ("_blend", "blend"), ("_i", "candidate_index"), ("_ok", "label")))
+_GATE_FEATURES = {
+    "raw_margin": "r_rm - r2_rm", "raw_rm": "r_rm", "prop_rm": "p_rm", "rm_sd": "rm_sd", "log_n": "ln(1 + n)", "proposed_margin": "p_blend - r_blend", "gap_mean": _GAP, "gap_sd": _GAP_SD,
+    "agreement": "((t1 = p_i)::INT + (t2 = p_i)::INT + (t3 = p_i)::INT) / 3", "switch_rate": "((t1 <> r_i)::INT + (t2 <> r_i)::INT + (t3 <> r_i)::INT) / 3",
+    "alpha_raw": _RA, "alpha_raw_sd": _RA_SD, "alpha_prop": _PA, "alpha_prop_sd": _PA_SD, "log_chunks": "ln(1 + rc)", "log_chunks_gain": "ln(1 + pc) - ln(1 + rc)",
+    "log_length": "ln(1 + rl)", "log_length_gain": "ln(1 + pl) - ln(1 + rl)", "sd_mean": "sd_mean", "md_sd": "md_sd", "beta": "3.0",
+}
+_GC = list(_GATE_FEATURES)
+_GF = f"""WITH {SQL_EV}, a AS (SELECT *, {SEED_SQL.replace('0.03', '4.0')}, 0.5::DOUBLE AS a1, (candidate_index % 5) / 5.0::DOUBLE AS a2, candidate_index % 9 AS chunks, candidate_index * 3 + 10 AS length FROM v),
+b AS (SELECT *, s1 - rm AS d1, s2 - rm AS d2, s3 - rm AS d3 FROM a), c AS (SELECT *, (d1 + d2 + d3) / 3 AS md FROM b),
+e AS (SELECT *, sqrt((pow(d1 - md, 2) + pow(d2 - md, 2) + pow(d3 - md, 2)) / 3) AS sd, round(rm + 3.0 * md, 9) AS blend FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_uid {BEST}) AS r, row_number() OVER (PARTITION BY question_uid ORDER BY blend DESC, candidate_index) AS p,
+  {", ".join(f"row_number() OVER (PARTITION BY question_uid ORDER BY round(rm + 3.0 * d{i}, 9) DESC, candidate_index) AS o{i}" for i in (1, 2, 3))} FROM e),
+q AS (SELECT question_uid, count(*) AS n, stddev_pop(rm) AS rm_sd, avg(sd) AS sd_mean, stddev_pop(md) AS md_sd, max(CASE WHEN r = 2 THEN rm END) AS r2_rm, {_PICKS},
+  {", ".join(f"max(CASE WHEN o{i} = 1 THEN candidate_index END) AS t{i}" for i in (1, 2, 3))} FROM k GROUP BY 1 HAVING count(*) > 1)
+SELECT question_uid, {", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in _GATE_FEATURES.items())}, r_i <> p_i AS switch, p_ok - r_ok AS target FROM q"""
+query("sel25_gate_features", _GF)(_gate_table)
 query("sel24_lrn08_utility_gate")(lambda s, d: (t := _gate_table(s, d)) and t.withColumn("utility", gates.utility(_GC, gates.fit_utility_gate(t, _GC))).select("question_uid", "switch", "target", "utility"))
 query("sel26_crossfit_gate")(lambda s, d: gates.crossfit_utility(_gate_table(s, d), _GC, 5).select("question_uid", "fold", "utility"))
 _D = "SELECT question_uid, avg(rm) AS m, stddev_pop(rm) AS sd, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY 1"
@@ -182,12 +202,44 @@ def _reliability(s, d):
     return gates.reliability_features(f.select("question_uid", "cluster", "n", "rm_z", "learned_z", "hybrid", "is_raw", "is_proposal", "m0", "m1", "m2"))
 
 
-query("sel29_reliability_features", f"WITH {SQL_EV}, c AS (SELECT question_uid, {KEY} AS cluster, count(*) AS n FROM v GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY question_uid) AS p FROM c) SELECT question_uid, round(max(p), 6) AS most, round(ln(1 + count(*)), 6) AS log_k FROM p GROUP BY 1")(lambda s, d: _reliability(s, d).select("question_uid", "most", "log_k"))
-query("sel29_reliability_gate")(
-    lambda s, d: (x := _reliability(s, d).join(_changed(s, d).select("question_uid", (F.col("raw_right") > F.col("new_right")).cast("int").alias("harm")), "question_uid")) and (
-        m := gates.fit_logistic(*gates.training_matrix(x, ["raw_lead", "hybrid_gain", "share_gain", "entropy"], "harm", "question_uid"))
-    ) and x.select("question_uid", gates.logistic(["raw_lead", "hybrid_gain", "share_gain", "entropy"], m).alias("p_harm"))
-)
+_RELIABLE = {
+    "raw_lead": "raw_z - coalesce(rest_rm, raw_z)", "hybrid_gain": "prop_h - raw_h", "hybrid_lead": "prop_h - coalesce(rest_h, prop_h)", "learned_gain": "prop_l - raw_l", "rm_gain": "prop_z - raw_z",
+    "p_share": "p_share", "r_share": "r_share", "share_gain": "p_share - r_share", "most": "most", "support_margin": "CASE WHEN k = 1 THEN 1 ELSE shares[1] - shares[2] END", "entropy": "CASE WHEN k = 1 THEN 0 ELSE h / ln(k) END",
+    "raw_is_most": "(r_share = most)::DOUBLE", "prop_is_most": "(p_share = most)::DOUBLE", "log_k": "ln(1 + k)", "model_spread": _both(*[f"(pm{i} - rm{i})" for i in range(3)])[1],
+}
+_RC = list(_RELIABLE)
+
+
+def _reliable_sql() -> str:
+    """Clusters with z of their best reward, of the ensemble and of each model alone; then one row for each question."""
+    from .selection import MODELS as models
+
+    of = lambda flag, x: f"max(CASE WHEN {flag} THEN {x} END)"
+    single = ", ".join(f"{' + '.join(f'({w!r}) * {c}' for w, c in zip(m, select.FEATURES, strict=True))} AS x{i}" for i, m in enumerate(models))
+    steps, last = [f"y0 AS (SELECT *, {single} FROM ln1)", "y1 AS (SELECT y0.*, n FROM y0 JOIN (SELECT question_uid, cluster, count(*) AS n FROM vk GROUP BY 1, 2) USING (question_uid, cluster))"], "y1"
+    for i, (x, out) in enumerate([("rm_max", "rm_z"), ("learned", "learned_z"), ("x0", "m0"), ("x1", "m1"), ("x2", "m2")]):
+        steps.append(f"y{i + 2} AS ({z(last, x, out)})")
+        last = f"y{i + 2}"
+    return f"""{VK}, {FEAT}, {", ".join(steps)}, w0 AS (SELECT *, round(rm_z + 0.5 * learned_z, 9) AS hybrid, n / sum(n) OVER (PARTITION BY question_uid) AS share, has_raw = 1 AS is_raw FROM {last}),
+w1 AS (SELECT *, row_number() OVER (PARTITION BY question_uid ORDER BY hybrid DESC, first_index) = 1 AS is_prop FROM w0),
+w2 AS (SELECT question_uid, count(*) AS k, -sum(share * ln(greatest(share, 1e-12))) AS h, max(share) AS most, list(share ORDER BY share DESC) AS shares, {of("is_raw", "rm_z")} AS raw_z, {of("NOT is_raw", "rm_z")} AS rest_rm, {of("is_prop", "rm_z")} AS prop_z,
+  {of("is_prop", "hybrid")} AS prop_h, {of("is_raw", "hybrid")} AS raw_h, {of("NOT is_prop", "hybrid")} AS rest_h, {of("is_prop", "learned_z")} AS prop_l, {of("is_raw", "learned_z")} AS raw_l, {of("is_prop", "share")} AS p_share, {of("is_raw", "share")} AS r_share,
+  {", ".join(f"{of('is_prop', f'm{i}')} AS pm{i}, {of('is_raw', f'm{i}')} AS rm{i}" for i in range(3))} FROM w1 GROUP BY 1)
+SELECT question_uid, {", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in _RELIABLE.items())} FROM w2"""
+
+
+query("sel29_reliability_features", f"WITH {SQL_EV}, {_reliable_sql()}")(_reliability)
+
+
+@query("sel29_reliability_gate")
+def reliability_gate(s, d):
+    """Probability of harm of each proposed switch, by all 15 features, fitted on all questions."""
+    harm = _changed(s, d).select("question_uid", (F.col("raw_right") > F.col("new_right")).cast("int").alias("harm"))
+    x = _reliability(s, d).join(harm, "question_uid")
+    ((model,),) = gates.fit_gates(x, _RC, [(F.col("harm"), F.lit(1.0))])
+    return x.select("question_uid", gates.logistic(_RC, model).alias("p_harm"))
+
+
 _GRID = [0.0, 0.5, 1.0]
 _CAPS = [0.5, 1.0, 2.0]
 query("sel31_cap_sweep", f"WITH {SQL_EV}, e AS (SELECT *, round(rm + cap * (exp(2 * sin(candidate_index)) - 1) / (exp(2 * sin(candidate_index)) + 1), 9) AS sc FROM v, (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS cap)), k AS (SELECT *, row_number() OVER (PARTITION BY cap, question_uid ORDER BY sc DESC, candidate_index) AS r FROM e) SELECT cap, round(avg(label), 6) AS top1 FROM k WHERE r = 1 GROUP BY 1")(

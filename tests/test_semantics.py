@@ -145,6 +145,31 @@ def test_logistic_matches_gradient_zero():
     assert gates.fit_logistic(x, np.zeros(300))[1] < -5 and gates.fit_logistic(x[:0], y[:0])[1] == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_gates_over_partitions_equal_one_matrix(spark, parts):
+    """All folds and targets at once, by sums over tasks, against a fit of the collected rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 4)) * [1, 100, 1e-3, 0] + [0, 5e5, 1, 0.1]
+    y = (x[:, 0] + rng.standard_normal(400) > 0.5).astype(int)
+    fold = rng.integers(0, 3, 400)
+    rows = [(*map(float, v), int(t), int(f)) for v, t, f in zip(x, y, fold, strict=True)] + [(None, 1.0, 1.0, 0.1, 1, 0), (float("nan"), 1.0, 1.0, 0.1, 1, 0), (1.0, 1.0, 1.0, 0.1, None, 1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y int, fold int").repartition(parts)
+    targets = [(F.col("y"), F.when(F.col("y") == 1, 3.0).otherwise(1.0)), (1 - F.col("y"), F.lit(1.0)), (F.col("y") * 0, F.lit(1.0))]
+    got = gates.fit_gates(df, ["a", "b", "c", "d"], targets, F.col("fold"), 3)
+    for t, (own, w) in enumerate([(y, np.where(y == 1, 3.0, 1.0)), (1 - y, np.ones(400)), (y * 0, np.ones(400))]):
+        for k in range(4):
+            some = fold != k
+            want = gates.fit_logistic(x[some], own[some].astype(float), w[some])
+            for a, b in zip(got[t][k], want, strict=True):
+                assert np.allclose(a, b, rtol=1e-9, atol=1e-9), (t, k)
+    alone = gates.fit_gates(df, ["a", "b", "c", "d"], targets[:1])
+    assert len(alone[0]) == 1 and np.allclose(alone[0][0][0], got[0][3][0], rtol=1e-9, atol=1e-9)
+    empty = gates.fit_gates(df.where("false"), ["a", "b"], targets[:1], F.col("fold"), 2)
+    assert [m[1] for m in empty[0]] == [0.0, 0.0, 0.0]
+
+
 def test_stratified_split_sizes_and_disjointness(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2] if i < 30 else "c") for i in range(40)], "id int, s string")
     got = corpus.stratified_split(df, "id", F.col("s"), {"train": 0.65, "a": 0.1, "b": 0.1, "test": 0.15}, "x")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import models, nets, training
+from tallyforge.operators import models, nets, sums, training
 from tallyforge.sources import scratch
 
 H = 6
@@ -112,11 +112,24 @@ def close(a, b, within):
     return set(a) == set(b) and all(np.abs(a[k] - b[k]).max() <= within for k in a)
 
 
-def test_gradient_is_that_of_one_process(spark, questions, monkeypatch):
-    monkeypatch.setattr(training, "BLOCK", 16)  # many blocks; the tasks import it afresh, the number of blocks is theirs
+def test_sums_of_long_vectors(spark):
+    rows, size = spark.range(1000).repartition(7), 3 * sums.BLOCK + 5
+
+    def part(batches):
+        out = np.zeros(size)
+        for b in batches:
+            np.add.at(out, (b.column("id").to_numpy() * 977) % size, 1.0)
+        return out
+
+    got = sums.vector_sum(rows, part, size)
+    assert len(got) == size and (got == np.bincount(np.arange(1000) * 977 % size, minlength=size)).all()
+    assert (sums.vector_sum(rows.where("false"), part, size) == 0).all()
+
+
+def test_gradient_is_that_of_one_process(spark, questions):
     head, loss = HEADS[0], nets.QuestionLoss()
     p, scale = warm(head), training.scale_of(questions)
-    sums, total, n = {k: np.zeros_like(v) for k, v in p.items()}, 0.0, 0
+    added, total, n = {k: np.zeros_like(v) for k, v in p.items()}, 0.0, 0
     import pyarrow as pa
 
     for b in pa.Table.from_pandas(questions.toPandas(), preserve_index=False).to_batches(max_chunksize=1):
@@ -125,10 +138,10 @@ def test_gradient_is_that_of_one_process(spark, questions, monkeypatch):
         value, _, d = loss.of(score, label, one.raw, 0)
         total, n = total + value, n + 1
         for k, g in back(d).items():
-            sums[k] += g
+            added[k] += g
     for parts in (1, 7):
         value, grads = training.gradient(questions.repartition(parts), head, p, loss, scale)
-        assert value == pytest.approx(total / n, rel=1e-12) and close(grads, {k: g / n for k, g in sums.items()}, 1e-12)
+        assert value == pytest.approx(total / n, rel=1e-12) and close(grads, {k: g / n for k, g in added.items()}, 1e-12)
     value, grads = training.gradient(questions.where("false"), head, p, loss, scale)
     assert value == 0 and all((g == 0).all() for g in grads.values())
 
