@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import scratch
 
 
 def first_of_each(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -175,14 +176,42 @@ def in_hash_order(df: DataFrame, group: list[str], place: str, h: Column, *ties:
     return rows.withColumn(place, F.col("__before") + F.col("__own")).drop("__g", "__h", "__lead", "__own", "__before")
 
 
+#: Rows of one group that are put in order in one task, at most, when a sample's last hash is looked for (more only if their hashes are equal).
+_EDGE = 4096
+
+
+def hash_edges(df: DataFrame, group: list[str], take: Column, h: Column) -> DataFrame:
+    """group and edge: in the order of the hash h (hexadecimal, digits of one length), the hash of each group's take-th row (the last,
+    of fewer). Counts by leading digits narrow it down, three digits a round, until few rows are left between; no group is sorted or
+    sent to one task. A group of which nothing is to be taken has no row."""
+    rows = df.select(F.struct(*group).alias("g") if group else F.struct(F.lit(0).alias("all")).alias("g"), h.alias("h"), take.cast("bigint").alias("take"))
+    # what is left to look at: digits known of each group's edge, rows to take within them, rows there are
+    open_ = rows.groupBy("g").agg(F.max("take").alias("left"), F.count("*").alias("n")).where("left > 0").select("g", F.lit("").alias("lead"), F.least("left", "n").alias("left"), "n")
+    spark, digits = df.sparkSession, 0
+    while digits < 64:
+        place = scratch.path(spark, "edges")
+        open_.write.parquet(place)
+        open_ = spark.read.schema(open_.schema).parquet(place)
+        if (open_.agg(F.max("n")).first()[0] or 0) <= _EDGE:
+            break
+        digits += 3
+        inside = rows.join(open_, "g").where(F.col("h").startswith(F.col("lead")))
+        bins = inside.groupBy("g", F.substring("h", 1, digits).alias("next"), "left").agg(F.count("*").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy("g").orderBy("next"))  # 4096 bins of a group at most
+        bins = bins.withColumn("upto", upto).where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("m") < F.col("left")))
+        open_ = bins.select("g", F.col("next").alias("lead"), (F.col("left") - F.col("upto") + F.col("m")).alias("left"), F.col("m").alias("n"))
+    inside = rows.join(open_.select("g", "lead", "left"), "g").where(F.col("h").startswith(F.col("lead")))
+    last = inside.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("place") == F.col("left"))
+    return last.select(*[F.col(f"g.{c}").alias(c) for c in group], F.col("h").alias("edge"))
+
+
 def hash_split(df: DataFrame, id_: str, ratio: float, seed: str) -> DataFrame:
     """in_sample: whether an id is among the round(n ratio) first in hash order (half to even)."""
-    ids = df.select(id_).distinct().withColumn("h", hashed(seed, F.col(id_)))
-    n = ids.count()
-    take = round(n * ratio)
-    # the take-th hash bounds the sample: the ids aren't numbered one by one in a single task
-    edge = ids.orderBy("h").limit(take).agg(F.max("h")).first()[0] if take else ""
-    return df.join(ids, id_).withColumn("in_sample", F.col("h") <= F.lit(edge)).drop("h")
+    h = hashed(seed, F.col(id_))
+    ids = df.select(id_).distinct()
+    take = round(ids.count() * ratio)
+    edge = hash_edges(ids, [], F.lit(take), h).first()
+    return df.where(F.col(id_).isNotNull()).withColumn("in_sample", h <= F.lit(edge.edge if edge else ""))
 
 
 def stratified_split(df: DataFrame, id_: str, stratum: Column, ratios: dict[str, float], seed: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import hash_edges
 from .learn import fit_ranker
 from .metrics import pair_counts
 
@@ -145,12 +146,19 @@ class TrajectoryHead:
 PROBE_SAMPLE, PROBE_PAIRS = 20_000, 4096
 
 
+def _digits(x: Column) -> Column:
+    """A long as 16 hexadecimal digits in the order of its size."""
+    return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+
+
 def layer_probes(df: DataFrame, folds: int = 5, regularization: float = 0.01, seed: int = 1) -> DataFrame:
     """df: layer, question_uid, label, v. For each layer and fold: strict share of right-wrong pairs of held-out questions that a
-    pairwise linear probe, fitted on the other folds, puts in order. Only the fit takes a sample; all held-out pairs count, by
-    running sums over the scores."""
-    draw = F.row_number().over(_window("layer").orderBy(F.xxhash64(F.lit(seed), "question_uid"), F.xxhash64("v")))
-    rows = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(folds)).cast("int"))
+    pairwise linear probe, fitted on the other folds, puts in order. Only the fit takes a sample, the first vectors of each layer in
+    hash order up to an edge that ``corpus.hash_edges`` finds; each layer and fold is fitted in a task of its own. All held-out pairs
+    count, by running sums over the scores."""
+    h = F.concat(_digits(F.xxhash64(F.lit(seed), "question_uid")), _digits(F.xxhash64("v")))
+    rows = df.withColumns({"fold": F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(folds)).cast("int"), "h": h})
+    edges = hash_edges(df, ["layer"], F.lit(PROBE_SAMPLE), h)
 
     def pairs(part: pd.DataFrame) -> np.ndarray:
         out = []
@@ -162,29 +170,23 @@ def layer_probes(df: DataFrame, folds: int = 5, regularization: float = 0.01, se
                 out.append(p[i] - q[j])
         return np.concatenate(out) if out else np.zeros((0, 1))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        out, part = [], part.sort_values("r")
-        for k in range(folds):
-            a = part[part["fold"] != k]
-            if len(a) and len(d := pairs(a)):
-                sd = np.maximum(np.stack(a["v"].to_numpy()).std(0), 1e-3)
-                out.append((part["layer"].iloc[0], k, fit_ranker(d / sd, regularization, 200) / sd))
-        return pd.DataFrame(out, columns=["layer", "fold", "w"])
-
-    drawn = rows.withColumn("r", draw).where(F.col("r") <= PROBE_SAMPLE).select("layer", "question_uid", "label", "v", "fold", "r")
-    weights = drawn.groupBy("layer").applyInPandas(fit, schema := "layer int, fold int, w array<double>").collect()
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out, part = [], part.sort_values("h")
+        if len(d := pairs(part)):
+            sd = np.maximum(np.stack(part["v"].to_numpy()).std(0), 1e-3)
+            out.append((*key, fit_ranker(d / sd, regularization, 200) / sd))
+        return pd.DataFrame(out, columns=["layer", "left_out", "w"])
+
+    drawn = rows.join(F.broadcast(edges), "layer").where(F.col("h") <= F.col("edge"))  # edges: a row for each layer
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))
+    weights = drawn.select("layer", "question_uid", "label", "v", "h", F.explode(others).alias("left_out")).groupBy("layer", "left_out").applyInPandas(fit, schema := "layer int, left_out int, w array<double>").collect()
     score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    held = rows.where(F.col("label").isin(0, 1)).join(F.broadcast(df.sparkSession.createDataFrame(weights, schema)), ["layer", "fold"])
+    known = F.broadcast(df.sparkSession.createDataFrame(weights, schema).withColumnRenamed("left_out", "fold"))
+    held = rows.where(F.col("label").isin(0, 1)).join(known, ["layer", "fold"])
     counts = pair_counts(held.select("layer", "fold", "question_uid", "label", score.alias("score")), keys=("layer", "fold", "question_uid"))
     return counts.groupBy("layer", "fold").agg(F.sum("wins").alias("wins"), F.sum("pairs").alias("pairs")).where("pairs > 0").select(F.col("layer").cast("int"), "fold", (F.col("wins") / F.col("pairs")).alias("accuracy"))
 
 
-def _window(*keys: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys)
-
-
 def token_places(ends: list[int], spans: list[tuple[int, int]]) -> list[int]:
     """Index of the token that holds the last character before each end; -1 where none does."""
     starts = np.array([a for a, _ in spans])

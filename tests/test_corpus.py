@@ -84,3 +84,33 @@ def test_nearest_texts_and_their_risk(spark):
     assert rows[2, 1].score == pytest.approx(indel_ratio("findthesumof1and3", "findthesumof1and2")) and not rows[2, 1].exact
     risk = {x.q: (x.exact_match, x.high_risk, x.review) for x in corpus.match_risk(top, "q").collect()}
     assert risk == {1: (True, True, True), 2: (False, rows[2, 1].token_score >= 95, True), 4: (False, False, False)}
+
+
+def test_hash_edges_are_those_of_a_sort(spark, monkeypatch):
+    """Narrowed down by digits (few rows may be sorted), with ties, null groups, and groups of fewer rows than are taken."""
+    import hashlib
+
+    monkeypatch.setattr(corpus, "_EDGE", 5)
+    rows = [(None if i % 3 == 2 else "ab"[i % 3], i // 2 if i % 7 == 0 else i) for i in range(3000)] + [("few", 1), ("few", 2), ("same", 9), ("same", 9), ("same", 9), ("none", 1)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(4)
+    take = F.when(F.col("g") == "a", 700).when(F.col("g") == "few", 10).when(F.col("g") == "none", 0).when(F.col("g") == "same", 2).otherwise(1)
+    want = {}
+    for g in {g for g, _ in rows} - {"none"}:
+        h = sorted(hashlib.sha256(f"s|{i}".encode()).hexdigest() for x, i in rows if x == g)
+        want[g] = h[min({"a": 700, "few": 10, "same": 2}.get(g, 1), len(h)) - 1]
+    got = corpus.hash_edges(df, ["g"], take, corpus.hashed("s", F.col("i"))).collect()
+    assert {r.g: r.edge for r in got} == want and len(got) == len(want)
+    assert corpus.hash_edges(df.where("false"), ["g"], take, F.col("g")).collect() == []
+    whole = sorted(hashlib.sha256(f"s|{i}".encode()).hexdigest() for _, i in rows)[99]
+    assert corpus.hash_edges(df, [], F.lit(100), corpus.hashed("s", F.col("i"))).first().edge == whole
+
+
+def test_split_takes_the_first_in_hash_order(spark):
+    import hashlib
+
+    ids = [f"u{i}" for i in range(333)]
+    df = spark.createDataFrame([(i,) for i in ids + ids[:50]], "u string")
+    first = set(sorted(ids, key=lambda i: hashlib.sha256(f"x|{i}".encode()).hexdigest())[: round(333 * 0.1)])
+    got = corpus.hash_split(df, "u", 0.1, "x").collect()
+    assert {r.u for r in got if r.in_sample} == first and len(got) == 383
+    assert not any(r.in_sample for r in corpus.hash_split(df, "u", 0.0, "x").collect())
