@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import models, select, sequences
-from ..sources import readers, scratch, sinks, views
+from ..sources import arrays, readers, scratch, sinks, views
 from ..sources.views import SQL_EV, table
 from .base import query
 
@@ -71,6 +71,25 @@ def npy(s, d):
     return own.groupBy("label", F.col("place").cast("bigint").alias("place")).agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
+@query(
+    "src07_snk08_array_slots",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id AS place, len(v) AS width, round(v[1], 4) + 0.0 AS first, round(list_sum(v), 4) + 0.0 AS total, (SELECT count(*) FILTER (vec_id % 3 = 2) FROM e) AS pending_once FROM e""",
+    places=4,
+)
+def array_slots(s, d):
+    """Vectors as slots of one array by their id, filled in two goes; the second fills what the first left."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("place"), F.col("embedding").cast("array<double>").alias("v"))
+    n, width = e.agg(F.max("place") + 1, F.max(F.size("v"))).first()
+    at = scratch.path(s, "slots")
+    arrays.write_slots(e.where("place % 3 < 2"), at, n, width, 1024)
+    left = arrays.pending_slots(s, at)
+    pending = left.join(e.select("place"), "place", "left_semi").count()
+    arrays.write_slots(e.join(left, "place", "left_semi"), at, n, width)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return arrays.read_slots(s, at, 1 << 20).where(~F.isnan(F.get("v", F.lit(0)))).select("place", F.size("v").cast("bigint").alias("width"), F.get("v", F.lit(0)).alias("first"), total.alias("total"), F.lit(pending).cast("bigint").alias("pending_once"))
+
+
 @query("snk02_snk09_canonical_manifest", """SELECT sha256('{"counts":{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '},"unknown":null}') AS h FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""")
 def manifest(s, d):
     counts = {x["lang"]: x["count"] for x in _docs(s, d).groupBy("lang").count().collect()}  # a row for each language

@@ -76,7 +76,7 @@ def npy_rows(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
                 a = np.load(io.BytesIO(bytes(c)), allow_pickle=False)
-                a = a.reshape(len(a), -1).astype(float)
+                a = a.reshape(len(a), int(np.prod(a.shape[1:]))).astype(float)
                 for lo in range(0, len(a), 4096):
                     part = a[lo : lo + 4096]
                     yield pd.DataFrame({"path": p, "place": np.arange(lo, lo + len(part)), "v": list(part)})
