@@ -2,15 +2,15 @@
 
 Every word of a piece begins a suffix of at most max_n words. Suffixes are shuffled by language and words and sorted in reverse
 order of words, so that all suffixes with a common beginning stand together, longer ones first; one pass with a stack of the max_n
-open beginnings counts them all. Words that don't occur ``least`` times in their language are in no frequent phrase: suffixes end
-before them. The parts of a phrase, all as frequent as itself or more, are joined to it afterwards.
+open beginnings counts them all. Words that don't occur ``least`` times in their language are in no frequent phrase, nor are pairs of
+words that don't: suffixes end before them. The parts of a phrase, all as frequent as itself or more, are joined to it afterwards.
 
 Plan: a task counts equal suffixes before they move. Range partitions by (language, first word, following words) keep a first word
 together where it fits, and split one that is too frequent (a third of all suffixes, say) over as many partitions as it fills; only
 the beginnings of a partition's first and last suffix can go on in another one, so these few counts are added up afterwards, and all
-others are whole. Frequent words reach the tasks as a map of ``_BITS`` bits (2^25: 4 MB, at any size; a word that shares its bit
-with a frequent one is kept, which costs a row and changes nothing). The first of each language are found in two steps, among the
-first of ``_SALTS`` parts.
+others are whole. Frequent words and pairs (64-bit hashes, counted together if they are equal, which only keeps more) reach the tasks
+as maps of ``_BITS`` bits (2^25: 4 MB, at any size; one that shares its bit with a frequent one is kept, which costs a row and
+changes nothing). The first of each language are found in two steps, among the first of ``_SALTS`` parts.
 
 Cases: a null or empty text has no words; a null language is `und`, together with a real `und`. Repeated rows count each. Words are
 compared as bytes, with A-Z lower-cased. A text of any length is taken in blocks. No documents: no rows.
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .words import LOWER, utf8
+from .words import LOWER, mix, utf8
 
 _BITS = 1 << 25
 _SALTS = 64
-#: Words that a task looks at together, and counted rows that it holds before it counts them together.
-_BLOCK = 1 << 20
-_HELD = 1 << 20
+#: Words that a task looks at together, and bytes of counted rows that it holds before it counts them together.
+_BLOCK = 1 << 18
+_HELD = 128 << 20
 _BYTE = np.arange(256)
 _PIECE = np.isin(_BYTE, [ord(x) for x in ".,;:!?\n\x0b\x0c\r"])
 _GAP = _PIECE | np.isin(_BYTE, [0x20, 0x09])
@@ -93,9 +93,9 @@ def _together(tables: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.Record
     held: list[pa.Table] = []
     for t in tables:
         held.append(t)
-        if sum(x.num_rows for x in held) > _HELD:
+        if sum(x.nbytes for x in held) > _HELD:
             held = [_counted(held, keys)]
-            if held[0].num_rows > _HELD // 2:  # few are equal: no use to hold them
+            if held[0].nbytes > _HELD // 2:  # few are equal: no use to hold them
                 yield from held.pop().to_batches(max_chunksize=1 << 16)
     if held:
         yield from _counted(held, keys).to_batches(max_chunksize=1 << 16)
@@ -117,42 +117,73 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_map(counts: DataFrame, least: int) -> np.ndarray:
-    """Bits of the hashes of the words that occur least times; at most _BITS / 64 rows come to the driver, whatever there is."""
-    bit = F.pmod(F.xxhash64("lang", "w"), F.lit(_BITS)).alias("bit")
-    slots = counts.where(F.col("n") >= least).select(bit).select(F.shiftright("bit", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("b"))
+    """counts (h, n): bits of the hashes h that n reaches least times; at most _BITS / 64 rows come to the driver, whatever there is."""
+    slots = counts.where(F.col("n") >= least).select(F.pmod("h", F.lit(_BITS)).alias("bit")).select(F.shiftright("bit", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("b"))
     got = slots.groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(_BITS // 64, np.int64)
     out[got.column("at").to_numpy()] = got.column("b").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
 
 
-def _is_frequent(known: np.ndarray, code: np.ndarray, word: pa.Array, of: np.ndarray, langs: pa.Array) -> np.ndarray:
-    """Whether each word (code) of a language (of) has its bit in known: Spark's xxhash64(lang, word)."""
+def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h % np.uint64(_BITS)  # _BITS divides 2^64: as pmod of the signed hash
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _hashes(code: np.ndarray, word: pa.Array, of: np.ndarray, langs: pa.Array) -> np.ndarray:
+    """Spark's xxhash64(lang, word) of each word (code) of a language (of)."""
     pairs, back = np.unique(of * len(word) + code, return_inverse=True)
     seeds, word = [xxhash.xxh64_intdigest(x, 42) for x in langs.cast(pa.binary()).to_pylist()], word.cast(pa.binary()).to_pylist()
     at = zip((pairs // len(word)).tolist(), (pairs % len(word)).tolist(), strict=True)
-    h = np.fromiter((xxhash.xxh64_intdigest(word[w], seeds[x]) for x, w in at), np.uint64, len(pairs))
-    return known[(h % np.uint64(_BITS)).astype(np.int64)][back]  # _BITS divides 2^64: as pmod of the signed hash
+    return np.fromiter((xxhash.xxh64_intdigest(word[w], seeds[x]) for x, w in at), np.uint64, len(pairs))[back]
+
+
+def _pairs(h: np.ndarray, goes_on: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word (hashes h) the hash of it and the next, and whether both are known and in one piece."""
+    fits = _known(words, h)
+    pair = np.zeros(len(h), np.uint64)
+    pair[:-1] = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    both = np.zeros(len(h), bool)
+    both[:-1] = fits[:-1] & fits[1:] & goes_on[:-1]
+    return pair, both
+
+
+def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """docs (text, lang) -> h, n: occurrences of pairs of known words in a piece, by hash."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tables() -> Iterator[pa.Table]:
+            for b in batches:
+                for code, word, of, langs, goes_on, n in _blocks(b, 1):
+                    pair, both = _pairs(_hashes(code, word, of, langs), goes_on, shared.value)
+                    h, times = np.unique(pair[:n][both[:n]], return_counts=True)
+                    yield pa.table({"h": pa.array(h.view(np.int64)), "n": pa.array(times, pa.int64())})
+
+        yield from _together(tables(), ["h"])
+
+    return docs.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def suffixes(docs: DataFrame, known: np.ndarray, max_n: int) -> DataFrame:
+def suffixes(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, max_n: int) -> DataFrame:
     """docs (text, lang) -> lang, w1 … (null beyond the suffix's end), n: suffixes of two words or more, counted within each task."""
     spark, names = docs.sparkSession, [f"w{i}" for i in range(1, max_n + 1)]
-    shared = spark.sparkContext.broadcast(np.packbits(known))
+    shared = spark.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        words, pairs = shared.value
 
         def tables() -> Iterator[pa.Table]:
             for b in batches:
                 for code, word, of, langs, goes_on, n in _blocks(b, max_n - 1):
                     size, m = len(word), len(code)
-                    fits = _is_frequent(bits, code, word, of, langs)
-                    alive, columns = fits, [of[:n], np.where(fits, code + 1, 0)[:n]]  # code + 1 of each word of a suffix, 0 beyond its end
+                    pair, both = _pairs(_hashes(code, word, of, langs), goes_on, words)
+                    both &= _known(pairs, pair)
+                    alive, columns = np.ones(m, bool), [of[:n], (code + 1)[:n]]  # code + 1 of each word of a suffix, 0 beyond its end
                     for i in range(1, max_n):
                         w = max(m - i, 0)
                         alive, before = np.zeros(m, bool), alive
-                        alive[:w] = before[:w] & goes_on[i - 1 : i - 1 + w] & fits[i : i + w]
+                        alive[:w] = before[:w] & both[i - 1 : i - 1 + w]
                         column = np.zeros(m, np.int64)
                         column[:w] = np.where(alive[:w], code[i : i + w] + 1, 0)
                         columns.append(column[:n])
@@ -233,7 +264,8 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, least: int = 30) -> tuple[Dat
     """docs (text, lang) -> f (lang, phrase, k, n), occurrences of every phrase of 1 to max_n words that occurs least times, and
     totals (lang, n), all words."""
     words = common.kept(word_counts(docs), "words")
-    rows = common.kept(suffixes(docs, frequent_map(words, least), max_n), "suffixes")
+    known = frequent_map(words.select(F.xxhash64("lang", "w").alias("h"), "n"), least)
+    rows = common.kept(suffixes(docs, known, frequent_map(pair_counts(docs, known), least), max_n), "suffixes")
     order = [F.col(x).desc_nulls_last() for x in ("lang", *(f"w{i}" for i in range(1, max_n + 1)))]
     found = common.kept(prefix_counts(rows.repartitionByRange(*order).sortWithinPartitions(*order), max_n, least), "prefixes")
     parts = found.where(~F.col("whole")).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -67,7 +67,7 @@ def test_phrases_nothing(spark):
 def test_one_beginning_over_many_partitions(spark):
     """A first word of most suffixes, split by range: partial counts add up."""
     rows = [(i, " . ".join(f"hot {a} {b}" for a, b in zip(zipf(i, 300).split(), zipf(-i - 1, 300).split(), strict=False)), "en") for i in range(20)]
-    suffixes = phrases.suffixes(table(spark, rows).select("text", F.lit("en").alias("lang")), np.ones(phrases._BITS, bool), 4)
+    suffixes = phrases.suffixes(table(spark, rows).select("text", F.lit("en").alias("lang")), *[np.full(phrases._BITS // 8, 255, np.uint8)] * 2, 4)
     order = [F.col(c).desc_nulls_last() for c in ("lang", "w1", "w2", "w3", "w4")]
     found = phrases.prefix_counts(suffixes.repartitionByRange(40, *order).sortWithinPartitions(*order), 4, 1)
     own, brute = Counter(), Counter()
@@ -101,10 +101,18 @@ def test_blocks_of_a_long_text(spark, monkeypatch):
 
 
 def test_frequent_words_by_spark_and_by_task(spark):
-    known = phrases.frequent_map(spark.createDataFrame([("en", "ünï", 30), ("de", "b", 99), ("en", "c", 29)], "lang string, w string, n bigint"), 30)
+    counts = spark.createDataFrame([("en", "ünï", 30), ("de", "b", 99), ("en", "c", 29)], "lang string, w string, n bigint")
+    known = phrases.frequent_map(counts.select(F.xxhash64("lang", "w").alias("h"), "n"), 30)
     words, langs = pa.array(["ünï", "b", "c"]), pa.array(["en", "de"])
-    assert known.sum() == 2
-    assert phrases._is_frequent(known, np.array([0, 1, 2, 1]), words, np.array([0, 1, 0, 0]), langs).tolist() == [True, True, False, False]
+    assert np.unpackbits(known).sum() == 2
+    h = phrases._hashes(np.array([0, 1, 2, 1]), words, np.array([0, 1, 0, 0]), langs)
+    assert phrases._known(known, h).tolist() == [True, True, False, False]
+
+
+def test_pairs_are_counted_in_pieces(spark):
+    every = np.full(phrases._BITS // 8, 255, np.uint8)
+    docs = spark.createDataFrame([("a b. a b a, b", "x"), ("b a", "x"), ("a b", "y"), (None, "x"), ("a", "x")], "text string, lang string").repartition(3)
+    assert sorted(r.n for r in phrases.pair_counts(docs, every).collect()) == [1, 2, 2]
 
 
 # mixing
