@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import models, select, sequences
-from ..sources import arrays, readers, scratch, sinks, views
+from ..sources import arrays, ledger, readers, scratch, sinks, views
 from ..sources.views import SQL_EV, table
 from .base import query
 
@@ -34,22 +34,25 @@ def tolerant(s, d):
     return readers.invalid_count(readers.tolerant_json_lines(s, at, "doc_id bigint").select("doc_id", "_bad"))
 
 
-def _nations(s, d, wrap):
+def _document(s, d, wrap):
+    """All documents as one JSON array in one file; a null at its end stands for the comma before it."""
     at = scratch.path(s, "document")
-    record = F.to_json(F.struct("n_nationkey", "n_name"))
-    table(s, d, "nation").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(wrap(record))), ","), F.lit("]")).alias("value")).coalesce(1).write.text(at)
-    return at
+    record = F.to_json(F.struct("doc_id", "lang", "text"))
+    rows = _docs(s, d).select(F.lit(1).alias("kind"), F.concat(wrap(record), F.lit(",")).alias("value"))
+    ends = s.createDataFrame([(0, "["), (2, "null]")], "kind int, value string")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("kind").select("value").write.text(at)
+    return f"{at}/part-*"
 
 
-@query("src03_json_document", "SELECT n_nationkey, n_name FROM nation")
+@query("src03_json_document", "SELECT doc_id, lang, text FROM documents")
 def json_document(s, d):
-    return readers.json_document(s, _nations(s, d, lambda r: r), "n_nationkey int, n_name string")
+    return readers.json_elements(s, _document(s, d, lambda r: r), "doc_id bigint, lang string, text string")
 
 
-@query("src04_nested_records", "SELECT n_nationkey, n_name FROM nation")
+@query("src04_nested_records", "SELECT doc_id, lang FROM documents")
 def nested(s, d):
-    at = _nations(s, d, lambda r: F.concat(F.lit('{"deep": [{"er": '), r, F.lit("}]}")))
-    return readers.nested_records(s, f"{at}/part-*", "n_name").select(F.from_json("record", "n_nationkey int, n_name string").alias("x")).select("x.*")
+    at = _document(s, d, lambda r: F.concat(F.lit('{"deep": [{"er": '), r, F.lit("}, 3]}")))
+    return readers.nested_records(s, at, "doc_id").select(F.from_json("record", "doc_id bigint, lang string").alias("x")).select("x.*")
 
 
 @query("src07_npy_rows", "SELECT label, place, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 4) AS total FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS place FROM embeddings) GROUP BY 1, 2", places=4)
@@ -108,6 +111,18 @@ def refuse(s, d):
     return readers.json_lines(s, at).agg(F.lit(refused).alias("refused"), F.count("*").alias("n"))
 
 
+@query("snk02_snk07_ledger_parts", "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n, CAST('lost, missing' AS VARCHAR) AS again FROM documents")
+def ledger_parts(s, d):
+    """Work on all documents in parts; a part and another's entry get lost, and only these two are done again."""
+    at, docs = scratch.path(s, "parts"), _docs(s, d).select("doc_id", "text")
+    work = lambda rows: rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n"))
+    ledger.run_parts(docs, at, ["doc_id"], work, 12, {"work": "length"})
+    scratch.drop(s, f"{at}/part-000003")
+    scratch.drop(s, f"{at}/ledger/000007.json")
+    again = ledger.run_parts(docs, at, ["doc_id"], work, 12, {"work": "length"})
+    return ledger.read_parts(s, at).select("doc_id", "n").withColumn("again", F.lit(", ".join(again[k] for k in sorted(again))))
+
+
 query("srt05_length_sorted", "SELECT doc_id, n_chars FROM documents")(lambda s, d: _docs(s, d).sortWithinPartitions(F.length("text")).select("doc_id", "n_chars"))
 query("sel30_bounded_residual", f"WITH {SQL_EV} SELECT question_uid, candidate_index, round(rm + 1.5 * (exp(2 * sin(rm)) - 1) / (exp(2 * sin(rm)) + 1), 6) + 0.0 AS score FROM v")(
     lambda s, d: views.event_candidates(s, d).select("question_uid", "candidate_index", select.bounded_residual(F.col("rm"), F.sin("rm"), 1.5).alias("score"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .documents import elements
+
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """One record for each line that isn't blank; a bad line is an error."""
@@ -36,8 +38,15 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str | Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def json_elements(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of files that are each one JSON array (or one object), read by ranges of bytes; one that isn't JSON is an error."""
+    parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return elements(spark, path).select(parsed.alias("x")).select("x.*")
+
+
 def nested_records(spark: SparkSession, path: str, needs: str) -> DataFrame:
-    """Every object at any depth of JSON files that has the key needs, as JSON text, with its file."""
+    """Every object at any depth of JSON files that has the key needs, as JSON text, with its file. The elements of a file's outermost
+    array are searched by as many tasks as it has ranges of bytes; a file that is one object, by one."""
 
     def walk(value) -> Iterator[dict]:
         if isinstance(value, dict):
@@ -51,10 +60,10 @@ def nested_records(spark: SparkSession, path: str, needs: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(p, json.dumps(x, ensure_ascii=False, sort_keys=True)) for p, c in zip(b["path"], b["content"], strict=True) for x in walk(json.loads(bytes(c)))]
+            found = [(p, json.dumps(x, ensure_ascii=False, sort_keys=True)) for p, c in zip(b["path"], b["value"], strict=True) for x in walk(json.loads(c))]
             yield pd.DataFrame(found, columns=["path", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, record string")
+    return elements(spark, path).mapInPandas(run, "path string, record string")
 
 
 def records(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

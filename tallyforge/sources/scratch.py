@@ -20,3 +20,8 @@ def path(spark: SparkSession, name: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return at
+
+
+def drop(spark: SparkSession, at: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +15,45 @@ def write_json_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def _named(spark: SparkSession, path: str):
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
+
+
+def publish(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> str:
+    """A small file that appears at once, on any file system that Spark can open: written under another name, then renamed. Returns
+    its hash."""
+    store, name = _named(spark, path)
+    if store.exists(name) and not overwrite:
+        raise FileExistsError(path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name.getParent(), f".{name.getName()}.{uuid.uuid4().hex}.new")
+    out = store.create(new)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if overwrite:
+        store.delete(name, False)
+    if not store.rename(new, name):
+        store.delete(new, False)
+        raise FileExistsError(path)  # another writer was faster
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def stored(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, if it is there."""
+    store, name = _named(spark, path)
+    if not store.exists(name):
+        return None
+    source = store.open(name)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()
+
+
 def write_manifest(value: dict, path: str, overwrite: bool = False) -> str:
     """A small JSON file that appears at once; returns its hash."""
-    if os.path.exists(path) and not overwrite:
-        raise FileExistsError(path)
-    text = json.dumps(plain(value), ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        f.write(text + "\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temporary, path)
-    return hashlib.sha256((text + "\n").encode()).hexdigest()
+    spark = SparkSession.getActiveSession()
+    return publish(spark, str(path), json.dumps(plain(value), ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n", overwrite)
 
 
 def plain(value):
