@@ -2,27 +2,66 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import scratch
+
+
+def _same(a: DataFrame, b: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """a with the columns of b of the same group; null is a group, and without by all rows are one."""
+    own = b.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
+    return (a.join(own, on, how) if by else a.join(F.broadcast(own), on, how)).drop(*[f"__of_{c}" for c in by])
+
+
+def value_places(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """Each distinct value of x that isn't null, by group: how many rows have it (n), how many of the group are below (below) and how many
+    the group has (total). Values are counted, then put in order by ranges of (group, value), so that a group of any size is spread
+    over as many ranges as it fills; no task or buffer holds a group."""
+    spark, at = df.sparkSession, scratch.path(df.sparkSession, "values")
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    values.repartitionByRange(*by, x).withColumn("part", F.spark_partition_id()).write.parquet(at)  # so that parts stay as they are
+    cut = spark.read.parquet(at)
+    group = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
+    parts = cut.groupBy("part", *by).agg(F.sum("n").alias("own"))
+    starts = parts.select("part", *by, F.sum("own").over(group).alias("total"), (F.sum("own").over(group.orderBy("part")) - F.col("own")).alias("start"))  # a row for each part and group
+    inside = F.sum("n").over(Window.partitionBy("part", *by).orderBy(x)) - F.col("n")
+    found = _same(cut.withColumn("inside", inside), starts, ("part", *by))
+    return found.select(*by, x, "n", (F.col("start") + F.col("inside")).alias("below"), "total")
+
+
+def quantiles(df: DataFrame, x: str, wanted: dict[str, float], *by: str) -> DataFrame:
+    """Exact quantiles of each group, linear between the two nearest values."""
+    rows, aggs, out = value_places(df, x, *by), [], []
+    for name, q in wanted.items():
+        at = (F.col("total") - 1) * F.lit(float(q))
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(x))).alias(f"{end}_{name}"))
+        at = (F.col("__total") - 1) * F.lit(float(q))
+        out.append((F.col(f"lo_{name}") + (at - F.floor(at)) * (F.col(f"hi_{name}") - F.col(f"lo_{name}"))).alias(name))
+    got = rows.groupBy(*by).agg(F.max("total").alias("__total"), F.count("*").alias("__kinds"), *aggs)
+    return got.select(*by, *out, F.col("__kinds").alias("kinds"))
+
 
 def describe(df: DataFrame, x: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.min(x).alias("least"), F.percentile(x, F.lit(0.05)).alias("p05"), F.median(x).alias("median"), F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.95)).alias("p95"), F.max(x).alias("most"), F.stddev_pop(x).alias("sd"), F.count_distinct(x).alias("kinds"),
-    )
+    own = df.groupBy(*by).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.avg(x).alias("mean"), F.max(x).alias("most"), F.stddev_pop(x).alias("sd"))
+    got = _same(own, quantiles(df, x, {"p05": 0.05, "median": 0.5, "p95": 0.95}, *by), by, "left")
+    return got.select(*by, "n", "least", "p05", "median", "mean", "p95", "most", "sd", F.coalesce("kinds", F.lit(0)).cast("bigint").alias("kinds"))
 
 
 def quartiles(df: DataFrame, x: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(x).alias("n"), *[F.percentile(x, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    own = df.groupBy(*by).agg(F.count(x).alias("n"))
+    return _same(own, quantiles(df, x, {f"q{int(q * 100)}": q for q in (0.0, 0.25, 0.5, 0.75, 1.0)}, *by), by, "left").drop("kinds")
 
 
 def nearest_rank(df: DataFrame, x: str, q: float, *by: str) -> DataFrame:
     """The value at place round((n - 1) q), half to even, of the sorted values."""
-    w = Window.partitionBy(*by).orderBy(x)
-    at = F.bround((F.count("*").over(Window.partitionBy(*by)) - 1) * q, 0).cast("bigint")
-    return df.where(F.col(x).isNotNull()).withColumn("at", at).withColumn("r", F.row_number().over(w) - 1).where("r = at").select(*by, F.col(x).alias("value"))
+    at = F.bround((F.col("total") - 1) * q, 0).cast("bigint")
+    return value_places(df, x, *by).where((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(*by, F.col(x).alias("value"))
 
 
 def average_rank(x: str, *by: str) -> tuple[Column, Column]:
@@ -37,11 +76,23 @@ def with_average_ranks(df: DataFrame, columns: list[str], *by: str) -> DataFrame
     return df
 
 
+#: Tasks among which the rows of one value are dealt.
+SALTS = 8
+
+
 def correlations(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Pearson and Spearman of each group; NULL where a side doesn't vary."""
-    r = with_average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], *by)
-    varies = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(varies, F.corr(x, y)).alias("pearson"), F.when(varies, F.corr(f"rank_{x}", f"rank_{y}")).alias("spearman"))
+    """Pearson and Spearman of each group; NULL where a side doesn't vary. Ranks come from ``value_places``: equal pairs of values are
+    counted first, and meet the rank of either value."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = df.groupBy(*by, x, y).agg(F.count("*").alias("__m"))
+    for i, (c, other) in enumerate(((x, y), (y, x))):
+        ranks = value_places(df, c, *by).select(*by, c, (F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias(f"__r{i}"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        pairs = _same(pairs.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")), ranks, (*by, c, "__salt")).drop("__salt")
+    m, a, b = F.col("__m"), F.col("__r0"), F.col("__r1")
+    ranked = pairs.groupBy(*by).agg(F.try_divide(F.sum(m * a * b), F.sqrt(F.sum(m * a * a)) * F.sqrt(F.sum(m * b * b))).alias("spearman"), (F.sum(m * a * a) > 0).alias("__x"), (F.sum(m * b * b) > 0).alias("__y"))
+    own = df.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("pearson"))
+    varies = F.col("__x") & F.col("__y")
+    return _same(own, ranked, by).select(*by, "n", F.when(varies, F.col("pearson")).alias("pearson"), F.when(varies, F.col("spearman")).alias("spearman"))
 
 
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -76,8 +127,10 @@ def by_level(df: DataFrame, level: str, x: str) -> DataFrame:
 
 
 def reproduction_error(df: DataFrame, x: str, y: str) -> DataFrame:
-    d = F.abs(F.col(x) - F.col(y))
-    return df.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.avg(d).alias("mae"), F.median(d).alias("median_ae"), F.max(d).alias("max_ae"), F.avg((F.signum(x) == F.signum(y)).cast("int")).alias("sign_agreement"), F.avg((d == 0).cast("int")).alias("exact"))
+    rows = df.withColumn("__d", F.abs(F.col(x) - F.col(y)))
+    d = F.col("__d")
+    own = rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.avg(d).alias("mae"), F.max(d).alias("max_ae"), F.avg((F.signum(x) == F.signum(y)).cast("int")).alias("sign_agreement"), F.avg((d == 0).cast("int")).alias("exact"))
+    return _same(own, quantiles(rows, "__d", {"median_ae": 0.5}), (), "left").select("n", "pearson", "mae", "median_ae", "max_ae", "sign_agreement", "exact")
 
 
 def standard_error(df: DataFrame, x: str, *by: str) -> DataFrame:

@@ -191,6 +191,30 @@ def test_fuzzy_best_misses_nothing_within_the_cutoff(spark):
         assert got.get(i) == (pytest.approx(best) if best >= 70 else None)
 
 
+def test_fuzzy_best_of_prose_and_odd_texts(spark):
+    """Near copies among texts of like words, at the cutoff of an audit; short texts, other scripts, equal texts."""
+    from tallyforge.functions.text import indel_ratio
+
+    r = random.Random(4)
+    words = ["".join(r.choices("etaoinshr", k=r.randint(2, 7))) for _ in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randint(5, 60))) for _ in range(60)] + ["a", "ab", "abc", "日本語の文", "日本語の文章", "🙂🙂🙂", "x" * 50, "x" * 48]
+
+    def changed(t):
+        out = list(t)
+        for _ in range(r.randint(0, max(1, len(t) // 18))):
+            i = r.randrange(len(out) + 1)
+            out[i : i + r.randint(0, 1)] = r.choice(["", "q", "e "])
+        return "".join(out)
+
+    others = [changed(t) for t in texts] + texts[:3]
+    a, b = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(others)), "j int, u string")
+    got = {x.i: (x.score, x.external_id) for x in corpus.fuzzy_best(a, b, "i", "t", "j", "u", 92.0).collect()}
+    for i, t in enumerate(texts):
+        best = max((indel_ratio(t, u), -j) for j, u in enumerate(others) if t and u)
+        assert got.get(i) == ((pytest.approx(best[0]), -best[1]) if best[0] >= 92 else None)
+    assert len(got) > 30
+
+
 def test_contract_and_require(spark):
     good = cand(spark, [("A", 1.0, 1), ("B", 2.0, 0)])
     audit.require(audit.candidate_contract(good))
