@@ -8,6 +8,9 @@ replicate. A replicate has as many draws as there are questions on average.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -72,39 +75,105 @@ def group_noise(df: DataFrame, sigma: float, seed: int) -> DataFrame:
     return z.withColumn("noisy", F.col("z") + sigma * F.sqrt(-2 * F.ln(uniform("a"))) * F.cos(2 * np.pi * uniform("b")))
 
 
-def exact_subsets(cand: DataFrame, k: int, tau: float = 4.0, largest: int = 16) -> DataFrame:
-    """Share of a question's k-subsets in which each rule picks a right candidate, by enumeration, for questions of k to largest
-    candidates: a rule over clusters depends on the subset, so no closed form holds."""
-    from itertools import combinations
-
-    def pick(idx, answer, rm, label, rule):
-        if rule == "raw":
-            return label[max(idx, key=lambda i: (rm[i], -i))]
-        groups: dict = {}
-        for i in idx:
-            groups.setdefault(answer[i] if answer[i] is not None else ("", i), []).append(i)
-        if rule == "majority":
-            g = max(groups.values(), key=lambda x: (len(x), max(rm[i] for i in x), -min(x)))
-        else:
-            def mass(x):
+def _times(a: list[int], b: list[int], k: int) -> list[int]:
+    """Product of two polynomials, given by their coefficients, up to x^k."""
+    out = [0] * (k + 1)
+    for i, x in enumerate(a):
+        if x:
+            for j, y in enumerate(b[: k + 1 - i]):
+                out[i + j] += x * y
+    return out
+
+
+def _others(lost: list[list[int]], but: int, k: int) -> list[int]:
+    """How many ways all clusters but one can have so many members in all, if each loses."""
+    out = [1]
+    for h, ways in enumerate(lost):
+        if h != but:
+            out = _times(out, ways, k)
+    return out
+
+
+def raw_share(clusters: list[list[int]], rm: list[float], label: list[int], k: int) -> int:
+    """Number of k-subsets whose best candidate is right."""
+    order = sorted((i for g in clusters for i in g), key=lambda i: (-rm[i], i))
+    return sum(comb(len(order) - r - 1, k - 1) for r, i in enumerate(order) if label[i] == 1)
+
+
+def majority_share(clusters: list[list[int]], rm: list[float], label: list[int], k: int) -> int:
+    """Number of k-subsets whose largest cluster (then of the best reward, then of the first index) has a right best candidate. For each
+    cluster, size, best reward and first index that it may win with, the others' losing subsets are counted by size, and the counts
+    multiplied as polynomials; no subset is ever made."""
+    total, shared = 0, Counter(rm[i] for g in clusters for i in g)
+    for at, g in enumerate(clusters):
+        for r in {rm[i] for i in g}:
+            below, level = sum(rm[i] < r for i in g), sorted(i for i in g if rm[i] == r)
+            # the first index of the subset matters only where another cluster may have the same best reward
+            firsts = sorted(i for i in g if rm[i] <= r) if shared[r] > len(level) else [None]
+            for m in range(1, min(k, len(g)) + 1):
+                for first in firsts:
+                    own = 0  # subsets of g of m members, best reward r, that first index, and a right best candidate (the first of reward r)
+                    for n, t in enumerate(level):
+                        if label[t] != 1:
+                            continue
+                        later = len(level) - n - 1
+                        if first is None:
+                            own += comb(below + later, m - 1)
+                        elif t == first:
+                            own += comb(sum(i > first for i in g if rm[i] < r) + later, m - 1)
+                        elif t > first and rm[first] < r and m > 1:
+                            own += comb(sum(i > first for i in g if rm[i] < r) + later, m - 2)
+                    if not own:
+                        continue
+                    lost = []
+                    for h in clusters:
+                        less = sum(rm[i] < r for i in h)
+                        tied = comb(less, m)
+                        if first is not None:
+                            behind = [rm[i] for i in h if i > first]
+                            tied += comb(sum(x <= r for x in behind), m) - comb(sum(x < r for x in behind), m)
+                        lost.append([comb(len(h), s) for s in range(m)] + [tied])
+                    ways = _others(lost, at, k - m)
+                    total += own * (ways[k - m] if len(ways) > k - m else 0)
+    return total
+
+
+def weighted_share(clusters: list[list[int]], rm: list[float], label: list[int], k: int, tau: float) -> int:
+    """The same for the cluster of most mass, tau x log-sum-exp of rewards / tau (to nine places; then as before). The mass depends on
+    the very members, so the subsets of each cluster are made, in order of their mass; those of different clusters never meet."""
+    events = []
+    for at, g in enumerate(clusters):
+        for m in range(1, min(k, len(g)) + 1):
+            for x in combinations(g, m):
                 top = max(rm[i] for i in x) / tau
-                return tau * (top + np.log(sum(np.exp(rm[i] / tau - top) for i in x)))
+                mass = tau * (top + math.log(sum(math.exp(rm[i] / tau - top) for i in x)))
+                events.append((round(mass, 9), max(rm[i] for i in x), -min(x), at, m, label[max(x, key=lambda i: (rm[i], -i))]))
+    total, lost, known = 0, [[1] + [0] * k for _ in clusters], {}
+    for *_, at, m, right in sorted(events):
+        if right == 1:
+            ways = known.get(at) or known.setdefault(at, _others(lost, at, k - 1))
+            total += ways[k - m] if len(ways) > k - m else 0
+        lost[at][m] += 1
+        known = {at: known[at]} if at in known else {}  # what the others can lose with has grown, but not for this cluster
+    return total
 
-            g = max(groups.values(), key=lambda x: (round(mass(x), 9), max(rm[i] for i in x), -min(x)))
-        return label[max(g, key=lambda i: (rm[i], -i))]
+
+def exact_subsets(cand: DataFrame, k: int, tau: float = 4.0, largest: int = 16) -> DataFrame:
+    """Share of a question's k-subsets in which each rule picks a right candidate, for questions of k candidates or more: counted by
+    cluster, not by subset (raw and majority at any size). weighted is null where a cluster has more than largest candidates: its
+    subsets are as many as two to that power."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("candidate_index")
         n = len(rows)
-        if not k <= n <= largest:
+        if n < k:
             return rows[["question_uid"]].head(0).assign(raw=0.0, majority=0.0, weighted=0.0)
-        a, s, y = rows["answer"].tolist(), rows["rm"].tolist(), rows["label"].tolist()
-        total, hit = 0, dict.fromkeys(("raw", "majority", "weighted"), 0)
-        for idx in combinations(range(n), k):
-            total += 1
-            for rule in hit:
-                hit[rule] += int(pick(idx, a, s, y, rule) == 1)
-        return rows[["question_uid"]].head(1).assign(**{r: h / total for r, h in hit.items()})
+        a, s, y, groups = rows["answer"].tolist(), rows["rm"].tolist(), rows["label"].tolist(), {}
+        for i in range(n):
+            groups.setdefault(a[i] if a[i] is not None else ("", i), []).append(i)
+        own, every = (list(groups.values()), s, y, k), comb(n, k)
+        weighted = weighted_share(*own, tau) / every if max(map(len, own[0])) <= largest else None
+        return rows[["question_uid"]].head(1).assign(raw=raw_share(*own) / every, majority=majority_share(*own) / every, weighted=weighted)
 
     kind = cand.schema["question_uid"].dataType.simpleString()
     return cand.select("question_uid", "candidate_index", "answer", "rm", "label").groupBy("question_uid").applyInPandas(run, f"question_uid {kind}, raw double, majority double, weighted double")

@@ -351,4 +351,10 @@ query("sel33_learned_ranking_pass")(lambda s, d: (m := [learn.fit_ranker(learn.p
 query("bud05_exact_subsets", f"WITH {SQL_LI}, q AS (SELECT question_uid FROM v GROUP BY 1 HAVING count(*) BETWEEN 4 AND 16), k AS (SELECT v.*, row_number() OVER (PARTITION BY question_uid {BEST}) - 1 AS r, count(*) OVER (PARTITION BY question_uid) AS n FROM v JOIN q USING (question_uid)) SELECT question_uid, round(sum(CASE WHEN label = 1 THEN list_product(list_concat([1.0], list_transform(range(0, 3), lambda i: greatest(n - r - 1 - i, 0) / (n - 1 - i)))) * 4 / n ELSE 0 END), 6) + 0.0 AS raw FROM k GROUP BY 1")(
     lambda s, d: resample.exact_subsets(LI(s, d), 4).select("question_uid", "raw")
 )
-query("bud05_exact_subsets_rules")(lambda s, d: resample.exact_subsets(LI(s, d), 3))
+_TRIPLES = f"""{SQL_LI}, {VK}, s AS (SELECT a.question_uid, [a.candidate_index, b.candidate_index, c.candidate_index] AS s FROM v a JOIN v b ON a.question_uid = b.question_uid AND a.candidate_index < b.candidate_index JOIN v c ON a.question_uid = c.question_uid AND b.candidate_index < c.candidate_index),
+m AS (SELECT vk.*, s FROM (SELECT question_uid, s, unnest(s) AS candidate_index FROM s) JOIN vk USING (question_uid, candidate_index)),
+t AS (SELECT *, max(rm / 4) OVER (PARTITION BY question_uid, s, cluster) AS t FROM m),
+g AS (SELECT question_uid, s, cluster, count(*) AS n, max(rm) AS top, min(candidate_index) AS first, round(4 * (max(t) + ln(sum(exp(rm / 4 - t)))), 9) AS mass, arg_max(label, (rm, -candidate_index)) AS label FROM t GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY question_uid, s ORDER BY top DESC, first) AS a, row_number() OVER (PARTITION BY question_uid, s ORDER BY n DESC, top DESC, first) AS b, row_number() OVER (PARTITION BY question_uid, s ORDER BY mass DESC, top DESC, first) AS c FROM g)"""
+_OF = lambda x, n: f"round(avg(CASE WHEN {x} = 1 THEN label END), 6) + 0.0 AS {n}"
+query("bud05_exact_subsets_rules", f"WITH {_TRIPLES} SELECT question_uid, {_OF('a', 'raw')}, {_OF('b', 'majority')}, {_OF('c', 'weighted')} FROM p GROUP BY 1")(lambda s, d: resample.exact_subsets(LI(s, d), 3))

@@ -94,6 +94,45 @@ def test_auc_is_the_share_of_ordered_pairs(spark, mixed):
     assert one(metrics.auc(df))["auc"] == pytest.approx(sum((x > y) + 0.5 * (x == y) for x in p for y in n) / len(p) / len(n))
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_counted_subsets_are_those_made_one_by_one(ties):
+    """Clusters of any size, rewards with and without ties across clusters."""
+    r = random.Random(8)
+    for _ in range(60):
+        n = r.randint(1, 10)
+        rm = [float(r.choice([1, 2, 3])) if ties else r.gauss(0, 2) for _ in range(n)]
+        label, of = [r.randint(0, 1) for _ in range(n)], [r.randint(0, 3) for _ in range(n)]
+        groups = [[i for i in range(n) if of[i] == g] for g in sorted(set(of))]
+        for k in range(1, n + 1):
+            want = dict.fromkeys(("raw", "majority", "weighted"), 0)
+            for x in combinations(range(n), k):
+                own = [[i for i in g if i in x] for g in groups]
+                own = [g for g in own if g]
+                best = lambda g: label[max(g, key=lambda i: (rm[i], -i))]
+                mass = lambda g: round(4 * (max(rm[i] for i in g) / 4 + math.log(sum(math.exp(rm[i] / 4 - max(rm[j] for j in g) / 4) for i in g))), 9)
+                top = lambda g: (max(rm[i] for i in g), -min(g))
+                want["raw"] += best(x)
+                want["majority"] += best(max(own, key=lambda g: (len(g), *top(g))))
+                want["weighted"] += best(max(own, key=lambda g: (mass(g), *top(g))))
+            assert resample.raw_share(groups, rm, label, k) == want["raw"]
+            assert resample.majority_share(groups, rm, label, k) == want["majority"]
+            assert resample.weighted_share(groups, rm, label, k, 4.0) == want["weighted"]
+
+
+def test_many_candidates_are_counted_at_once():
+    import time
+
+    r = random.Random(9)
+    rm, label = [r.gauss(0, 1) for _ in range(64)], [r.randint(0, 1) for _ in range(64)]
+    groups = [list(range(g, 64, 8)) for g in range(8)]
+    began = time.perf_counter()
+    share = resample.majority_share(groups, rm, label, 16) / math.comb(64, 16)
+    assert 0 < share < 1 and time.perf_counter() - began < 2  # 5e14 subsets
+    drawn = [sorted(r.sample(range(64), 16)) for _ in range(4000)]
+    best = [max(([i for i in g if i in set(x)] for g in groups), key=lambda g: (len(g), max((rm[i] for i in g), default=-9))) for x in drawn]
+    assert abs(share - sum(label[max(g, key=lambda i: rm[i])] for g in best) / 4000) < 0.04
+
+
 def test_exact_subsets_of_raw_rule_is_best_at_k(spark, mixed):
     df, _ = mixed
     a = {x.question_uid: x.raw for x in resample.exact_subsets(df, 3).collect()}
