@@ -84,16 +84,14 @@ def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id:
     step = max(reach, 0.01) / max(1, width // 4)
     bucket = lambda c: F.floor(F.ln(F.greatest(F.length(c), F.lit(1))) / step).cast("int")
     near = math.ceil(reach / step)
-    a = df.select(id_, F.col(text).alias("t")).where(F.length("t") > 0).withColumns({"at": T.letter_counts(F.col("t")), "rt": T.run_counts(F.col("t")), "salt": F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")})
+    a = df.select(id_, F.col(text).alias("t")).where(F.length("t") > 0).withColumns({"at": T.letter_counts(F.col("t")), "salt": F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")})
     a = a.withColumn("b", F.explode(F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda i: bucket("t") + i)))
-    b = others.select(other_id, F.col(other_text).alias("u")).where(F.length("u") > 0).withColumns({"b": bucket("u"), "bu": T.letter_counts(F.col("u")), "ru": T.run_counts(F.col("u"))})
+    b = others.select(other_id, F.col(other_text).alias("u")).where(F.length("u") > 0).withColumns({"b": bucket("u"), "bu": T.letter_counts(F.col("u"))})
     b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    apart = F.aggregate(F.zip_with("rt", "ru", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    few = apart <= 5 * F.floor((1 - cutoff / 100) * (F.length("t") + F.length("u")) + 1e-9)
     near_enough = 200.0 * F.least(F.length("t"), F.length("u")) / (F.length("t") + F.length("u")) >= cutoff
     shared = F.aggregate(F.zip_with("at", "bu", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     ok = 200.0 * shared / (F.length("t") + F.length("u")) >= cutoff
-    pairs = a.join(b, ["b", "salt"]).where(near_enough & ok & few).withColumn("score", T.fuzzy("t", "u")).where(F.col("score") >= cutoff)
+    pairs = a.join(b, ["b", "salt"]).where(near_enough & ok).withColumn("score", T.fuzzy_within("t", "u", cutoff)).where(F.col("score").isNotNull())
     return pairs.groupBy(id_).agg(F.max_by(F.col(other_id), F.struct("score", -F.col(other_id))).alias("external_id"), F.max("score").alias("score"))
 
 

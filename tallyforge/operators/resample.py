@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,17 +164,19 @@ def exact_subsets(cand: DataFrame, k: int, tau: float = 4.0, largest: int = 16)
     cluster, not by subset (raw and majority at any size). weighted is null where a cluster has more than largest candidates: its
     subsets are as many as two to that power."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("candidate_index")
-        n = len(rows)
-        if n < k:
-            return rows[["question_uid"]].head(0).assign(raw=0.0, majority=0.0, weighted=0.0)
-        a, s, y, groups = rows["answer"].tolist(), rows["rm"].tolist(), rows["label"].tolist(), {}
-        for i in range(n):
-            groups.setdefault(a[i] if a[i] is not None else ("", i), []).append(i)
-        own, every = (list(groups.values()), s, y, k), comb(n, k)
-        weighted = weighted_share(*own, tau) / every if max(map(len, own[0])) <= largest else None
-        return rows[["question_uid"]].head(1).assign(raw=raw_share(*own) / every, majority=majority_share(*own) / every, weighted=weighted)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rows in b.column("c").to_pylist():
+                groups: dict = {}
+                for i, x in enumerate(rows):
+                    groups.setdefault(x["answer"] if x["answer"] is not None else ("", i), []).append(i)
+                own, every = (list(groups.values()), [x["rm"] for x in rows], [x["label"] for x in rows], k), comb(len(rows), k)
+                weighted = weighted_share(*own, tau) / every if max(map(len, own[0])) <= largest else None
+                out.append((raw_share(*own) / every, majority_share(*own) / every, weighted))
+            yield pa.RecordBatch.from_arrays([b.column("question_uid"), *[pa.array([x[i] for x in out], pa.float64()) for i in range(3)]], names=["question_uid", "raw", "majority", "weighted"])
 
     kind = cand.schema["question_uid"].dataType.simpleString()
-    return cand.select("question_uid", "candidate_index", "answer", "rm", "label").groupBy("question_uid").applyInPandas(run, f"question_uid {kind}, raw double, majority double, weighted double")
+    one = F.struct("candidate_index", "answer", F.col("rm").cast("double").alias("rm"), "label")
+    rows = cand.groupBy("question_uid").agg(F.array_sort(F.collect_list(one)).alias("c")).where(F.size("c") >= k)
+    return rows.mapInArrow(run, f"question_uid {kind}, raw double, majority double, weighted double")
