@@ -10,13 +10,15 @@ or not makes it smaller.
 A path's container is its innermost division (<div>, <section>, <article>, table cell and the like). Containers have the mass
 of their own paths, text length times ratio. A path is content if its ratio, or its container's mass as a share of the largest,
 reaches ``threshold``: so short lines between paragraphs stay with them. A heading goes by its container with all that this
-holds, since it stands above it. All of this decides on every page; no tag or class alone makes text content.
+holds, since it stands above it. What a chosen container holds stays, short sections and tables too, unless a name below it
+lowers its weight or most of it is links. All of this decides on every page; no tag or class alone makes text content.
 
 Scripts, styles, navigation, headers and footers of the page, sidebars, forms, dialogs and hidden elements never count.
 
 In a block, character references are decoded and white space is one blank; blocks are joined by an empty line. Every page is
-its own unit of work; nothing is shuffled. Cases: null, empty or contentless pages have the empty text; unclosed and
-stray end tags are tolerated; repeated rows are answered one by one.
+its own unit of work; nothing is shuffled. The time grows with a page's length, whatever it holds: tags are found in one pass,
+paths are numbers in a tree, and open elements are found by name. Cases: null, empty or contentless pages have the empty text;
+unclosed and stray end tags are tolerated; a < that begins no tag is text; repeated rows are answered one by one.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import html
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,89 +50,174 @@ _STRONG = re.compile(
     re.I,
 )
 _WEAK = re.compile(r"^(?:banner\w*|promo\w*|header|foot|side|related\w*|recommend\w*|share\w*|sharing|social\w*|overlay|search\w*|form|copyright|legal|disclaimer|skip|tags|alert\w*)$", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME, _NAME_END, _MARK = re.compile(r"/?[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile(r"[>\"']")
+_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[,.;:!?¡¿…。、，；：！？]")
 
 
+class _Paths:
+    """Paths of labels as numbers: each has its parent's; a parent's number is smaller. 0 is the page."""
+
+    def __init__(self) -> None:
+        self.parent, self.label, self._known = [0], [""], {}
+
+    def under(self, parent: int, label: str) -> int:
+        if (found := self._known.get((parent, label))) is None:
+            found = self._known[parent, label] = len(self.parent)
+            self.parent.append(parent)
+            self.label.append(label)
+        return found
+
+    def spans(self) -> tuple[list[int], list[int]]:
+        """First and last place of what each path holds, in an order in which that is one stretch."""
+        n = len(self.parent)
+        size = [1] * n
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        first, used = [0] * n, [1] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            first[i] = first[up] + used[up]
+            used[up] += size[i]
+        return first, [a + b - 1 for a, b in zip(first, size, strict=True)]
+
+
 class _Element:
-    __slots__ = ("name", "label", "never", "inside", "path", "container", "weight")
+    __slots__ = ("name", "never", "inside", "path", "container", "weight")
 
-    def __init__(self, name: str, attrs: str, parent: _Element | None):
+    def __init__(self, name: str, attrs: str, parent: _Element | None, paths: _Paths):
         found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
-        hints = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
+        hints = " ".join(found.get(k, "") for k in ("class", "id", "role")).split() if found else []
         inside = parent.inside if parent else ""
-        never = name in _NEVER or (name == "header" and not inside) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        never = never or "display:none" in found.get("style", "").replace(" ", "").lower()
+        never = name in _NEVER or (name == "header" and not inside)
+        if found:
+            never = never or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         self.name = name
         self.never = never or bool(parent and parent.never)
         self.inside = "article" if "article" in (inside, name) else "main" if "main" in (inside, name) else ""
         self.weight = parent.weight if parent else 1.0
         if self.inside != inside:
             self.weight *= _WEIGHT[self.inside] / _WEIGHT.get(inside, 1.0)
-        self.label = name + "".join("." + h for h in sorted(found.get("class", "").split()))
+        label = name + "".join("." + h for h in sorted(found.get("class", "").split())) if found else name
         if hints and name not in ("body", "html", "main"):
             names = [p for h in hints for p in (h, *re.split(r"[-_]", h))]
             if kind := "strong" if any(map(_STRONG.match, names)) else "weak" if any(map(_WEAK.match, names)) else "":
                 self.weight *= _WEIGHT[kind]
-                self.label += f"!{kind}"  # an id or role parts paths too, if it says as much
-        self.path = (parent.path if parent else "") + "/" + self.label
-        self.container = self.path if name in _CONTAINERS else parent.container if parent else ""
+                label += f"!{kind}"  # an id or role parts paths too, if it says as much
+        self.path = paths.under(parent.path if parent else 0, label)
+        self.container = self.path if name in _CONTAINERS else parent.container if parent else 0
 
 
-def blocks(page: str) -> list[tuple[_Element | None, str]]:
-    """The page's text blocks in order, each with the element that its text begins in."""
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, name (with / for an end tag; ! for a comment or declaration, [ for character data) and attributes of each tag. A tag
+    ends at the first > outside of quotes; one that has none is text. Where a search has failed or will end is kept, so that no
+    stretch is searched twice from two beginnings."""
+    n, last, at = len(page), page.rfind(">"), 0
+    name_end = mark = -1  # the next end of a name, and the next mark, from where they were looked for last
+    looked_name = looked_mark = 0
+    failed: set[int] = set()  # quotes outside of any other that open and are never closed on the way to a >
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = n if end < 0 else end + 3
+            yield i, at, "!", ""
+        elif page.startswith("![CDATA[", at):
+            end = page.find("]]>", at + 8)
+            yield i, (n if end < 0 else end + 3), "[", page[at + 8 : n if end < 0 else end]
+            at = n if end < 0 else end + 3
+        elif page.startswith(("!", "?"), at):
+            at = n if i > last else page.find(">", at) + 1
+            yield i, at, "!", ""
+        elif i < last and _NAME.match(page, at):
+            if not looked_name <= at + 1 <= name_end:
+                m = _NAME_END.search(page, at + 1 + (page[at] == "/"))
+                looked_name, name_end = at + 1, m.start() if m else n
+            seen, pos, found = [], name_end, -1
+            while True:
+                if not looked_mark <= pos <= mark:
+                    m = _MARK.search(page, pos)
+                    looked_mark, mark = pos, m.start() if m else n
+                if mark >= n or mark in failed:
+                    break
+                if page[mark] == ">":
+                    found = mark
+                    break
+                seen.append(mark)
+                close = page.find(page[mark], mark + 1)
+                if close < 0:
+                    break
+                pos = close + 1
+            if found < 0:
+                failed.update(seen)
+                continue
+            at = found + 1
+            yield i, at, page[i + 1 : name_end].lower(), page[name_end:found]
+
+
+def blocks(page: str, paths: _Paths) -> list[tuple[_Element | None, str, float]]:
+    """The page's text blocks in order: the element that the text begins in, the text, and the share of it within links."""
     stack: list[_Element] = []
-    out: list[tuple[_Element | None, str]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by name
+    solid: list[int] = []  # of those that aren't inline
+    out: list[tuple[_Element | None, str, float]] = []
     text: list[str] = []
     owner: _Element | None = None
+    size = linked = 0
 
     def flush() -> None:
-        nonlocal owner
+        nonlocal owner, size, linked
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append((owner, joined))
+                out.append((owner, joined, linked / max(size, 1)))
             text.clear()
-        owner = None
+        owner, size, linked = None, 0, 0
 
     def add(part: str) -> None:
-        nonlocal owner
+        nonlocal owner, size, linked
         if part:
-            if owner is None and not part.isspace():
+            blank = part.isspace()
+            if owner is None and not blank:
                 owner = stack[-1] if stack else None
             text.append(part)
+            if not blank:
+                size += len(part)
+                linked += len(part) if places["a"] else 0
+
+    def close(i: int) -> None:
+        for e in reversed(stack[i:]):
+            places[e.name].pop()
+            if e.name not in _INLINE:
+                solid.pop()
+        del stack[i:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            add(html.escape(m["cdata"]))
-        if not m["name"]:
+    at, skip = 0, 0
+    for start, end, name, attrs in tags(page):
+        if start < skip:  # in a script or the like
             continue
-        name = m["name"].lower()
-        if m["end"]:
-            if name == "p" and not any(e.name == "p" for e in stack):
+        add(page[at:start])
+        at = end
+        if name == "[":
+            add(html.escape(attrs))
+        if name in ("[", "!"):
+            continue
+        if name.startswith("/"):
+            name = name[1:]
+            if name == "p" and not places["p"]:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    gone = stack[i:]
-                    if name not in _INLINE or any(e.never for e in gone) != bool(i and stack[i - 1].never) or any(e.name not in _INLINE for e in gone):
-                        flush()
-                    del stack[i:]
-                    break
-                if name in _INLINE and stack[i].name not in _INLINE:
-                    break
+            i = places[name][-1] if places[name] else -1
+            if i >= 0 and not (name in _INLINE and solid and solid[-1] > i):
+                gone = stack[i:]
+                if name not in _INLINE or any(e.never for e in gone) != bool(i and stack[i - 1].never) or any(e.name not in _INLINE for e in gone):
+                    flush()
+                close(i)
             continue
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            m = _END[name].search(page, at, page.rfind(">") + 1) if at < len(page) else None
+            at = skip = m.end() if m else len(page)
             continue
         if name == "br":
             add(" ")
@@ -142,25 +229,30 @@ def blocks(page: str) -> list[tuple[_Element | None, str]]:
         if name in _P_CLOSERS or name in _SELF_CLOSERS:
             flush()
             closing = ("p",) if name in _P_CLOSERS else _SELF_CLOSERS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in closing:
-                    del stack[i:]
-                    break
-                if stack[i].name not in _INLINE and stack[i].name not in closing:
-                    break
+            if solid and stack[solid[-1]].name in closing:
+                close(solid[-1])
         elif name not in _INLINE:
             flush()
         parent = stack[-1] if stack else None
-        element = _Element(name, m["attrs"], parent)
+        element = _Element(name, attrs, parent, paths)
         if element.never and not (parent and parent.never):
             flush()
-        if not m["attrs"].endswith("/"):
+        if not attrs.endswith("/"):
+            places[name].append(len(stack))
+            if name not in _INLINE:
+                solid.append(len(stack))
             stack.append(element)
+    add(page[at:])
     flush()
     return out
 
 
-def ratios(paths: list[str], texts: list[str], weights: list[float], containers: list[str], width: float = 1.0) -> list[float]:
+def _holds(a: str, b: str) -> bool:
+    """Whether one of two paths, written as /a/b, is or holds the other."""
+    return a == b or f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/")
+
+
+def ratios(paths: list, texts: list[str], weights: list[float], containers: list, width: float = 1.0, nested: Callable = _holds) -> list[float]:
     """The fused, smoothed and weighted tag-path ratio of each block, as a share of the largest."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for p, t in zip(paths, texts, strict=True):
@@ -170,9 +262,6 @@ def ratios(paths: list[str], texts: list[str], weights: list[float], containers:
     reach = math.ceil(2 * width)
     bell = [math.exp(-(i * i) / (2 * width * width)) for i in range(reach + 1)]
 
-    def nested(a: str, b: str) -> bool:
-        return a == b or f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/")
-
     def smooth(x: list[float]) -> list[float]:
         out = []
         for i in range(len(x)):
@@ -187,28 +276,50 @@ def ratios(paths: list[str], texts: list[str], weights: list[float], containers:
     return [x / top for x in fused]
 
 
+#: More of a container's text than this within links: a list of links, not content.
+_LINKS = 0.5
+
+
 def main_text(page: str | None, threshold: float = 0.2) -> str:
-    found = [(e, t) for e, t in blocks(page or "") if not (e and e.never)]
-    keys = [(e.container, e.path, e.weight, e.name in _HEADINGS) if e else ("", "", 1.0, False) for e, _ in found]
+    paths = _Paths()
+    found = [x for x in blocks(page or "", paths) if not (x[0] and x[0].never)]
+    first, last = paths.spans()
+    keys = [(e.container, e.path, e.weight, e.name in _HEADINGS) if e else (0, 0, 1.0, False) for e, _, _ in found]
     of: dict[tuple, list[float]] = defaultdict(list)  # a path is in or out as a whole
     size: dict[tuple, int] = defaultdict(int)
-    for k, (_, t), r in zip(keys, found, ratios([k[1] for k in keys], [t for _, t in found], [k[2] for k in keys], [k[0] for k in keys]), strict=True):
+    links: dict[tuple, float] = defaultdict(float)
+    shares = ratios([k[1] for k in keys], [t for _, t, _ in found], [k[2] for k in keys], [k[0] for k in keys], nested=lambda a, b: first[a] <= first[b] <= last[a] or first[b] <= first[a] <= last[b])
+    for k, (_, t, linked), r in zip(keys, found, shares, strict=True):
         of[k].append(r)
         size[k] += len(t)
+        links[k] += len(t) * linked
     ratio = {k: sum(x) / len(x) for k, x in of.items()}
-    mass: dict[str, float] = defaultdict(float)
-    whole: dict[str, float] = defaultdict(float)
+    mass = [0.0] * len(paths.parent)
     for k, r in ratio.items():
         mass[k[0]] += r * size[k]
-    for c, m in mass.items():  # a container's mass is also that of the containers around it
-        parts = c.split("/")
-        for i in range(2, len(parts) + 1):
-            whole["/".join(parts[:i])] += m
-    most = max(mass.values(), default=1.0)
-    pages = {"", *(c for c in mass if c.count("/") <= 2 and c.rpartition("/")[2].split(".")[0] in ("html", "body"))}
+    whole = mass.copy()  # a container's mass is also that of the containers around it
+    for i in range(len(whole) - 1, 0, -1):
+        whole[paths.parent[i]] += whole[i]
+    most = max(mass, default=0.0) or 1.0
+    up = paths.parent
+    pages = {0, *(i for i in {k[0] for k in ratio} if up[up[i]] == 0 and paths.label[i].split(".")[0] in ("html", "body"))}
     share = {k: (whole if k[3] and k[0] not in pages else mass)[k[0]] / most for k in ratio}
     chosen = {k for k, r in ratio.items() if max(r, share[k]) >= threshold}
-    return "\n\n".join(t for k, (_, t) in zip(keys, found, strict=True) if k in chosen)
+    # what chosen containers hold, in the order of places: the weight below which a name has spoken against it
+    weight: dict[int, float] = {}
+    for k in chosen:
+        if k[0] not in pages and share[k] >= threshold:
+            weight[k[0]] = min(weight.get(k[0], k[2]), k[2])
+    held: dict[int, float | None] = {}
+    own, linked = defaultdict(int), defaultdict(float)
+    for k in ratio:
+        own[k[0]] += size[k]
+        linked[k[0]] += links[k]
+    for i in range(len(up)):  # parents come first
+        around = held.get(up[i]) if i else None
+        held[i] = weight.get(i, around)
+    chosen |= {k for k in ratio if held[k[0]] is not None and k[0] not in weight and k[2] >= held[k[0]] and linked[k[0]] <= _LINKS * own[k[0]]}
+    return "\n\n".join(t for k, (_, t, _) in zip(keys, found, strict=True) if k in chosen)
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:

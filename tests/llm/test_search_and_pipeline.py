@@ -71,6 +71,56 @@ def test_text_is_the_same_without_article_and_main():
     assert html_text.main_text(f"<section class='legal tags'>{_P}</section><div class=ad>Buy!</div>").split("\n\n") == STORY
 
 
+#: What a tag is, as one pattern; it takes the square of a page's length where tags don't end.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", '"', "'", " ", "a", "p", "!--", "-->", "![CDATA[", "]]>", "!", "?", "<a", "</p", "x=", "<b>", "\n", "é"]), max_size=24).map("".join))
+def test_tags_as_one_pattern_finds_them(page):
+    want = []
+    for m in _TAG.finditer(page):
+        name = "[" if m["cdata"] is not None else (m["end"] + m["name"].lower()) if m["name"] else "!"
+        want.append((m.start(), m.end(), name, m["cdata"] if name == "[" else m["attrs"] or ""))
+    assert list(html_text.tags(page)) == want
+
+
+#: Pages that a search from every tag, or a walk over all open ones, takes the square of the length for.
+BROKEN = {
+    "tags without end": "<a ", "quotes without end": '<a "', "names without end": "<a", "both quotes": "<a '\" ", "open divisions": "<div><p>x", "strays": "<b>x</p>", "scripts": "<script>", "cut ends of scripts": "</script ",
+    "classes": "<div class='c d'>t", "items": "<ul><li>x", "comments": "<!", "data": "<![CDATA[", "attributes": "<a x=1 y='", "inline over solid": "<i><div></i>",
+}
+
+
+@pytest.mark.parametrize("part", BROKEN.values(), ids=BROKEN)
+def test_broken_pages_take_time_by_their_length(part):
+    import time
+
+    spent = []
+    for size in (40_000, 320_000):
+        page = (part * (size // len(part) + 1))[:size]
+        began = time.process_time()
+        html_text.main_text(page)
+        spent.append(time.process_time() - began)
+    assert spent[1] < max(24 * spent[0], 2.0)  # eight times the length
+
+
+def test_stray_inline_ends_over_many_open_ones():
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text("<i><div>" + "<b>" * 50_000 + "t" + "</i>" * 50_000) == "t"
+    assert time.process_time() - began < 10
+
+
+def test_what_an_article_holds_stays():
+    """Short sections and tables of a chosen container; not what a name speaks against, nor lists of links."""
+    inner = "<section><h3>Part</h3><p>Short.</p></section><table><tr><td>a1</td><td>b2</td></tr></table>"
+    out = "<div class=ad>Buy</div><div><a href=x>one</a> <a href=y>two</a></div><section id=comments><p>Nice!</p></section>"
+    for name in ("article", "div"):
+        assert html_text.main_text(f"<body><{name}>{_P}{inner}{out}</{name}></body>").split("\n\n") == [*STORY, "Part", "Short.", "a1", "b2"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["/a", "/a/b", "/c", "/a/b/d"]), st.text(alphabet="ab ,.", min_size=1, max_size=30), st.sampled_from([1.0, 0.3, 6.0])), min_size=1, max_size=12))
 def test_ratios_as_defined(blocks):
