@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import models, select, sequences
+from ..operators import chunks, models, select, sequences
 from ..sources import arrays, ledger, readers, scratch, sinks, views
 from ..sources.views import SQL_EV, table
 from .base import query
@@ -175,3 +175,11 @@ def places(s, d):
             yield pd.DataFrame(out, columns=["doc_id", "n_chunks", "places"])
 
     return _docs(s, d).select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_chunks int, places array<int>")
+
+
+@query("txt03_txt05_token_offsets")
+def token_offsets(s, d):
+    """Chunk ends of all documents as tokens of a byte-level vocabulary: the text is the solution, its source the problem."""
+    import public_tokenizers
+
+    return chunks.chunk_tokens(_docs(s, d).select("doc_id", "source", "text"), "doc_id", "source", "text", public_tokenizers.path("byte_bpe_50k.json"))
