@@ -52,6 +52,33 @@ def masses(cand: DataFrame, tau: float) -> DataFrame:
     )
 
 
+def weighted_grid(cand: DataFrame, taus: list[float], thresholds: list[float]) -> DataFrame:
+    """Every (tau, threshold): top-1, and the shares of right raw choices that are lost (damage), of wrong ones that are mended
+    (correction) and of questions with another choice (switch). Masses are made once for each tau; a threshold only says whether the
+    raw choice stays. One shuffle, by question."""
+    c = cand.withColumn("cluster", cluster_key()).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    of = Window.partitionBy("question_uid", "tau")
+    own = Window.partitionBy("question_uid", "tau", "cluster")
+    best = [F.desc_nulls_last("rm"), F.col("candidate_index")]
+    c = c.withColumns({"top": F.max(F.col("rm") / F.col("tau")).over(own), "k": F.row_number().over(own.orderBy(*best)), "a": F.row_number().over(of.orderBy(*best))})
+    mass = F.round(F.first("top") + F.ln(F.sum(F.exp(F.col("rm") / F.col("tau") - F.col("top")))), 9)
+    m = c.groupBy("question_uid", "tau", "cluster").agg(mass.alias("mass"), F.min("candidate_index").alias("first_index"), F.max(F.when(F.col("k") == 1, F.col("label"))).alias("label"), F.max((F.col("a") == 1).cast("int")).alias("raw"))
+    at_raw = lambda x: F.max(F.when(F.col("raw") == 1, F.col(x))).over(of)
+    m = m.withColumns({"r": F.row_number().over(of.orderBy(F.desc("mass"), "first_index")), "raw_mass": at_raw("mass"), "raw_right": at_raw("label")}).where("r = 1")
+    m = m.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("switched", (F.col("raw") == 0) & (F.col("mass") - F.col("raw_mass") > F.col("threshold")))
+    right, was = F.when(F.col("switched"), F.col("label")).otherwise(F.col("raw_right")), F.col("raw_right")
+    rate = lambda x, n: F.sum(x) / F.greatest(F.sum(n), F.lit(1))
+    return m.groupBy("tau", "threshold").agg(F.avg(right).alias("top1"), rate(was * (1 - right), was).alias("damage_rate"), rate((1 - was) * right, 1 - was).alias("correction_rate"), F.avg(F.col("switched").cast("int")).alias("switch_rate"))
+
+
+def within_band(rows: DataFrame, band: float = 0.005) -> DataFrame:
+    """Of the rows (tau, threshold) whose top-1 is within band of the best, the one of least damage, then most top-1, then fewest
+    switches."""
+    top = rows.agg(F.max(F.round("top1", 9)).alias("best"))
+    order = [F.round("damage_rate", 9), F.desc(F.round("top1", 9)), F.round("switch_rate", 9), F.col("tau"), F.col("threshold")]
+    return rows.crossJoin(F.broadcast(top)).where(F.round("top1", 9) >= F.col("best") - band).drop("best").orderBy(*order).limit(1)
+
+
 def weighted_vote(cand: DataFrame, tau: float, threshold: float) -> DataFrame:
     """The cluster of largest mass, unless its lead over the raw choice's cluster is at most threshold."""
     m = masses(cand, tau)

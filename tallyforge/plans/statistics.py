@@ -278,28 +278,16 @@ query("sel20_grid_verification", f"WITH {_GRID_SQL} SELECT count(*) = 1 AS verif
 _TAU, _THR = [1.0, 2.0, 4.0, 8.0, 16.0], [0.0, 0.1, 0.25, 0.5, 1.0, 2.0, 4.0]
 
 
-def _weighted_grid(s, d):
-    """top-1 of every (tau, threshold): masses once for each tau, the gate for each threshold."""
-    c = EV(s, d).withColumn("cluster", cluster_key()).withColumn("tau", F.explode(F.array(*map(F.lit, _TAU))))
-    W = sequences.Window
-    own = W.partitionBy("tau", "question_uid", "cluster")
-    c = c.withColumns({"top": F.max(F.col("rm") / F.col("tau")).over(own), "k": F.row_number().over(own.orderBy(F.desc("rm"), "candidate_index")), "a": F.row_number().over(W.partitionBy("tau", "question_uid").orderBy(F.desc("rm"), "candidate_index"))})
-    m = c.groupBy("tau", "question_uid", "cluster").agg(F.round(F.first("top") + F.ln(F.sum(F.exp(F.col("rm") / F.col("tau") - F.col("top")))), 9).alias("mass"), F.min("candidate_index").alias("first_index"), F.max(F.when(F.col("k") == 1, F.col("label"))).alias("label"), F.max((F.col("a") == 1).cast("int")).alias("raw"))
-    w = W.partitionBy("tau", "question_uid")
-    m = m.withColumns({"r": F.row_number().over(w.orderBy(F.desc("mass"), "first_index")), "raw_mass": F.max(F.when(F.col("raw") == 1, F.col("mass"))).over(w), "raw_label": F.max(F.when(F.col("raw") == 1, F.col("label"))).over(w)}).where("r = 1")
-    m = m.withColumn("threshold", F.explode(F.array(*map(F.lit, _THR))))
-    pick = F.when((F.col("raw") == 0) & (F.col("mass") - F.col("raw_mass") <= F.col("threshold")), F.col("raw_label")).otherwise(F.col("label"))
-    return m.groupBy("tau", "threshold").agg(F.avg(pick).alias("top1"))
-
-
-query(
-    "sel18_weighted_grid",
-    f"""WITH {SQL_EV}, vk AS (SELECT *, {KEY} AS cluster FROM v), t AS (SELECT vk.*, tau FROM vk, (SELECT unnest({_TAU}::DOUBLE[]) AS tau)),
+_WGRID = f"""{SQL_EV}, vk AS (SELECT *, {KEY} AS cluster FROM v), t AS (SELECT vk.*, tau FROM vk, (SELECT unnest({_TAU}::DOUBLE[]) AS tau)),
 w AS (SELECT *, max(rm / tau) OVER (PARTITION BY tau, question_uid, cluster) AS t, row_number() OVER (PARTITION BY tau, question_uid, cluster {BEST}) AS k, row_number() OVER (PARTITION BY tau, question_uid {BEST}) AS a FROM t),
 m AS (SELECT tau, question_uid, cluster, round(max(t) + ln(sum(exp(rm / tau - t))), 9) AS mass, min(candidate_index) AS fi, max(CASE WHEN k = 1 THEN label END) AS label, max(CASE WHEN a = 1 THEN 1 ELSE 0 END) AS raw FROM w GROUP BY 1, 2, 3),
-n AS (SELECT *, row_number() OVER (PARTITION BY tau, question_uid ORDER BY mass DESC, fi) AS r, max(CASE WHEN raw = 1 THEN mass END) OVER (PARTITION BY tau, question_uid) AS rmass, max(CASE WHEN raw = 1 THEN label END) OVER (PARTITION BY tau, question_uid) AS rl FROM m)
-SELECT tau, threshold, round(avg(CASE WHEN raw = 0 AND mass - rmass <= threshold THEN rl ELSE label END), 6) AS top1 FROM n, (SELECT unnest({_THR}::DOUBLE[]) AS threshold) WHERE r = 1 GROUP BY 1, 2""",
-)(_weighted_grid)
+n AS (SELECT *, row_number() OVER (PARTITION BY tau, question_uid ORDER BY mass DESC, fi) AS r, max(CASE WHEN raw = 1 THEN mass END) OVER (PARTITION BY tau, question_uid) AS rmass, max(CASE WHEN raw = 1 THEN label END) OVER (PARTITION BY tau, question_uid) AS rl FROM m),
+p AS (SELECT *, raw = 0 AND mass - rmass > threshold AS moved FROM n, (SELECT unnest({_THR}::DOUBLE[]) AS threshold) WHERE r = 1),
+q AS (SELECT *, CASE WHEN moved THEN label ELSE rl END AS hit FROM p),
+wg AS (SELECT tau, threshold, avg(hit) AS top1, sum(rl * (1 - hit)) / greatest(sum(rl), 1) AS damage_rate, sum((1 - rl) * hit) / greatest(sum(1 - rl), 1) AS correction_rate, avg(moved::INT) AS switch_rate FROM q GROUP BY 1, 2)"""
+_WCOLS = f"tau, threshold, {r('top1', 'damage_rate', 'correction_rate', 'switch_rate')}"
+query("sel18_weighted_grid", f"WITH {_WGRID} SELECT {_WCOLS} FROM wg")(lambda s, d: select.weighted_grid(EV(s, d), _TAU, _THR))
+query("sel18_weighted_choice", f"WITH {_WGRID} SELECT {_WCOLS} FROM wg WHERE round(top1, 9) >= (SELECT max(round(top1, 9)) FROM wg) - 0.005 ORDER BY round(damage_rate, 9), round(top1, 9) DESC, round(switch_rate, 9), tau, threshold LIMIT 1")(lambda s, d: select.within_band(select.weighted_grid(EV(s, d), _TAU, _THR)))
 query("sel19_temperature_choice", f"""WITH {SQL_EV}, vk AS (SELECT *, {KEY} AS cluster, exp(-abs(rm) / 100) AS c FROM v), t AS (SELECT vk.*, temp, max(c) OVER (PARTITION BY question_uid) AS m FROM vk, (SELECT unnest([0.1, 0.5, 1.0, 2.0]::DOUBLE[]) AS temp)),
 k AS (SELECT temp, question_uid, cluster, round(sum(exp((c - m) / temp)), 9) AS mass, max(rm) AS rm_max, min(candidate_index) AS fi, arg_max(label, (rm, -candidate_index)) AS label FROM t GROUP BY 1, 2, 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY temp, question_uid ORDER BY mass DESC, rm_max DESC, fi) AS r FROM k)
@@ -311,7 +299,21 @@ SELECT temp, round(top1, 6) AS top1 FROM (SELECT temp, avg(label) AS top1 FROM n
 query("sel32_layer_selection", "WITH g AS (SELECT l_linenumber AS layer, avg(m - b) AS gain, min(m - b) AS worst FROM (SELECT l_linenumber, l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2) JOIN (SELECT l_returnflag, avg(l_quantity) AS b FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) USING (l_returnflag) GROUP BY 1) SELECT layer, round(gain, 6) AS gain, round(worst, 6) AS worst FROM g WHERE gain > -5 AND worst >= -9 ORDER BY round(gain, 9) DESC, layer LIMIT 1")(
     lambda s, d: learn.guarded_layer(item(s, d).groupBy(F.col("l_linenumber").alias("layer"), F.col("l_returnflag").alias("dataset")).agg(F.avg("l_quantity").alias("score")).join(item(s, d).where("l_linenumber = 1").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.avg("l_quantity").alias("baseline")), "dataset"), -5.0, 9.0)
 )
-query("sel21_tie_band")(lambda s, d: s.createDataFrame([learn.tie_band_choice([x.asDict() for x in _weighted_grid(s, d).select(F.col("top1"), (-F.col("threshold")).alias("pair"), F.col("tau").alias("damage")).orderBy("tau", "threshold").collect()])], "top1 double, pair double, damage double"))
+_NEW = "CASE WHEN abs(o.top1 - w.top1) > 0.005 THEN o.top1 > w.top1 WHEN o.pair <> w.pair THEN o.pair > w.pair ELSE o.damage < w.damage END"
+_BAND = f"""WITH RECURSIVE {_GRID_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY reg, beta, threshold) AS i FROM (SELECT reg, beta, threshold, round(top1, 9) AS top1, round(pair_macro_strict, 9) AS pair, round(damage_rate, 9) AS damage FROM gg)),
+w AS (SELECT * FROM o WHERE i = 1 UNION ALL SELECT {", ".join(f"CASE WHEN {_NEW} THEN o.{c} ELSE w.{c} END" for c in ("reg", "beta", "threshold", "top1", "pair", "damage"))}, o.i FROM w JOIN o ON o.i = w.i + 1)
+SELECT reg, beta, threshold, {r("top1", "pair", "damage")} FROM w ORDER BY i DESC LIMIT 1"""
+
+
+@query("sel21_tie_band", _BAND)
+def tie_band(s, d):
+    """The configurations in their order, each against the best so far: 100 rows."""
+    names = ["reg", "beta", "threshold", "top1", "pair", "damage"]
+    columns = ["reg", "beta", "threshold", *[F.round(c, 9).alias(n) for c, n in (("top1", "top1"), ("pair_macro_strict", "pair"), ("damage_rate", "damage"))]]
+    rows = _grid(s, d).select(*columns).orderBy("reg", "beta", "threshold").collect()
+    return s.createDataFrame([tuple(learn.tie_band_choice([x.asDict() for x in rows])[n] for n in names)], ", ".join(f"{n} double" for n in names))
+
+
 _REC = lambda s, d: metrics.question_outcomes(select.majority_scores(LI(s, d)).withColumn("score", F.round("score", 9))).select("question_uid", (F.col("new_right") - F.col("raw_right")).alias("top1_delta"), "strict", (F.col("raw_right") * (1 - F.col("new_right"))).alias("damage"), F.col("raw_right").alias("raw_correct"))
 _REC_SQL = f"{_MAJ}, rec AS (SELECT question_uid, question_uid % 3 AS dataset, new_right - raw_right AS top1_delta, strict, raw_right * (1 - new_right) AS damage, raw_right AS raw_correct FROM oc)"
 
