@@ -10,7 +10,8 @@ are the partitions; each writes one shard file of records of equal length by Spa
 
 A manifest beside the shards (_manifest.json, written last) holds the stride, the number of slots, the key and each shard's
 first slot, and slot s stands (s - first) strides into its shard: a reader of any process resumes anywhere by one seek.
-``width`` grows with M, so that there are about 16,384 shards, as long as a shard stays below about 2^20 numbers.
+``read_shards`` reads from any slot to any other, and opens only the shards between. ``width`` grows with M, so that there are about
+16,384 shards, as long as a shard stays below ``MOST`` bytes: a shard is one row where Spark reads it.
 
 Texts are tokenized once. Before that, bytes are summed by partition (a number for each partition goes to the driver); the
 pass that writes fails if it meets other sums. An input that isn't a plain scan is first written to the shared folder, so that
@@ -43,6 +44,8 @@ from .words import utf8
 #: Set in n_tokens if the document has no id.
 NO_ID = 1 << 31
 MANIFEST = "_manifest.json"
+#: Bytes of a shard, at most.
+MOST = 256 << 20
 HEAD = np.dtype([("order", "<i8"), ("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<u4"), ("ids_crc32", "<u4")])
 
 
@@ -82,8 +85,9 @@ def write_shards(df: DataFrame, out: str, path: str, size: int = 512, end: int =
     m = begin[-1]
     kind = "<u2" if encoder(path).exact.get_vocab_size() <= 1 << 16 else "<u4"
     payload = size * np.dtype(kind).itemsize
-    width = width or min(1 << 20, max(1 << 16, -(-m // (1 << 14))))
-    how = {"size": size, "stride": HEAD.itemsize + payload + 1, "kind": kind, "end": end, "key": key, "numbers": m, "width": width, "shards": [], "first": [], "n": 0}
+    stride = HEAD.itemsize + payload + 1
+    width = width or min(max(1, MOST // stride), max(1 << 16, -(-m // (1 << 14))))
+    how = {"size": size, "stride": stride, "kind": kind, "end": end, "key": key, "numbers": m, "width": width, "shards": [], "first": [], "n": 0}
     if not m:
         write_text(spark, f"{out}/{MANIFEST}", json.dumps(how))
         return how
@@ -156,16 +160,21 @@ def shard_of(path: str) -> int:
     return int(re.search(r"part-(\d+)[^/]*$", path)[1])
 
 
-def read_shards(spark: SparkSession, out: str) -> DataFrame:
-    """slot, shard (in order), offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record, read from the files
-    by their manifest."""
+def read_shards(spark: SparkSession, out: str, begin: int = 0, end: int | None = None) -> DataFrame:
+    """slot, shard (in order), offset (bytes in it), doc_id, start, n_tokens, ids_crc32 and ids of every record from slot begin to before
+    slot end (all, if not said), read from the files by their manifest. Shards that have no such slot aren't opened."""
     how = manifest(spark, out)
     stride, kind = how["stride"], how["kind"]
+    begin, end = max(begin, 0), how["n"] if end is None else min(end, how["n"])
     schema = "slot bigint, shard int, offset bigint, doc_id bigint, start bigint, n_tokens int, ids_crc32 bigint, ids array<int>"
-    if not how["n"]:
+    if begin >= end:
         return spark.createDataFrame([], schema)
     common.ship(spark)
-    files = spark.read.format("binaryFile").load(f"{out}/part-*")
+    stops = [*how["first"][1:], how["n"]]
+    wanted = {n for n, a, b in zip(how["shards"], how["first"], stops, strict=True) if a < end and b > begin}
+    at, fs = _open(spark, out)
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    files = spark.read.format("binaryFile").load([f"{out}/{x}" for x in names if x.startswith("part-") and shard_of(x) in wanted])
     known = spark.sparkContext.broadcast({n: (i, f) for i, (n, f) in enumerate(zip(how["shards"], how["first"], strict=True))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +186,9 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
                 if len(raw) % stride:
                     raise ValueError(f"a shard has {len(raw)} bytes, which isn't a multiple of {stride}")
                 found = raw.view(whole)
-                for lo in range(0, len(found), 1024):
-                    part = found[lo : lo + 1024]
+                last = min(len(found), end - first)
+                for lo in range(max(0, begin - first), last, 1024):
+                    part = found[lo : min(lo + 1024, last)]
                     h, n, place = part["head"], (part["head"]["n_tokens"] & ~np.uint32(NO_ID)).astype(np.int64), np.arange(lo, lo + len(part))
                     doc = h["doc_id"].copy()
                     flat = part["ids"][np.arange(part["ids"].shape[1]) < n[:, None]].astype(np.int32)

@@ -277,6 +277,24 @@ def test_no_shards_of_nothing(spark, tmp_path):
 # token counts
 
 
+def test_reading_goes_on_from_any_slot(spark, tmp_path):
+    """What is read up to a slot and from it on is all, once each; shards without such slots aren't opened."""
+    docs, out = table(spark, [(i, prose(i, 150), "en") for i in range(40)]), str(tmp_path / "shards")
+    how = training_order.write_shards(docs, out, BYTE, size=32, width=60)
+    slots = lambda *at: sorted(x.slot for x in training_order.read_shards(spark, out, *at).collect())
+    every = {x.slot: (x.doc_id, x.start, x.ids) for x in training_order.read_shards(spark, out).collect()}
+    assert sorted(every) == list(range(how["n"])) and len(how["shards"]) > 5
+    for stop in (1, how["first"][2], how["first"][3] + 5, how["n"] - 1):
+        assert slots(0, stop) + slots(stop) == list(range(how["n"]))
+    begin, end = how["first"][2] + 3, how["first"][4] + 2
+    for name in sorted(tmp_path.joinpath("shards").glob("part-*")):
+        if training_order.shard_of(str(name)) in (how["shards"][0], how["shards"][5]):
+            name.write_bytes(b"not a shard")
+    got = {x.slot: (x.doc_id, x.start, x.ids) for x in training_order.read_shards(spark, out, begin, end).collect()}
+    assert got == {k: v for k, v in every.items() if begin <= k < end}
+    assert slots(how["n"]) == [] and slots(5, 5) == [] and slots(how["n"] - 2, 10**9) == [how["n"] - 2, how["n"] - 1]
+
+
 @pytest.fixture(scope="module")
 def counter():
     return token_counts.Counter(WORDS)
