@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,10 +53,14 @@ def _joined(words: str, k: int):
     return lambda i: F.array_join(F.slice(words, i, k), " ")
 
 
+#: Bytes of items without an inner word that are broadcast at a time.
+SHORT_ITEMS = 1 << 20
+
+
 def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_id: str, item_text: str) -> DataFrame:
     """(row, item) pairs where the item's normal text stands within the row's. An item may begin and end inside a word of the row,
     so pairs meet on its second and third words (second, if it has three), by an equi-join, and only then are compared in full.
-    Items of one or two words have no inner word; they are compared with every row, and must be less than 1 MB in all."""
+    Items of one or two words have no inner word; they are compared with every row, in blocks of about SHORT_ITEMS bytes."""
     a = df.select(id_, T.collapse(F.col(text)).alias("t")).withColumn("w", F.split("t", " "))
     b = items.select(item_id, T.collapse(F.col(item_text)).alias("u")).where(F.col("u") != "").withColumn("v", F.split("u", " "))
     out = None
@@ -64,10 +72,10 @@ def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_
         out = met if out is None else out.unionByName(met)
     short = b.where(F.size("v") < 3).select(item_id, "u")
     size = short.agg(F.sum(F.octet_length("u"))).first()[0]
-    if size is not None:
-        if size > 1_000_000:
-            raise ValueError(f"{size} bytes of items without an inner word")
-        out = out.unionByName(a.select(id_, "t").join(F.broadcast(short), F.col("t").contains(F.col("u"))).select(id_, item_id))
+    blocks = -(-size // SHORT_ITEMS) if size is not None else 0
+    for block in range(blocks):
+        some = F.broadcast(short.where(F.pmod(F.xxhash64("u", item_id), F.lit(blocks)) == block))
+        out = out.unionByName(a.select(id_, "t").join(some, F.col("t").contains(F.col("u"))).select(id_, item_id))
     return out.distinct()
 
 
@@ -248,11 +256,21 @@ def sample_groups(df: DataFrame, dataset: str, id_: str, n: int, seed: str) -> D
 
 
 def capped_pairs(cand: DataFrame, cap: int, seed: str) -> DataFrame:
-    """At most cap (right, wrong) pairs of each question, the first in hash order."""
-    p, q = cand.where("label = 1").select("question_uid", F.col("candidate_index").alias("p")), cand.where("label = 0").select("question_uid", F.col("candidate_index").alias("q"))
-    pairs = p.join(q, "question_uid")
-    by = Window.partitionBy("question_uid").orderBy(hashed(seed, F.col("question_uid"), F.col("p"), F.col("q")))
-    return pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= cap).drop("r")
+    """At most cap (right, wrong) pairs of each question, the first in hash order. A question's candidates meet in one row, and of its
+    pairs only cap are held at a time; no other pair becomes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, p, q = [], [], []
+            for i, (name, right, wrong) in enumerate(zip(b.column("name").to_pylist(), b.column("right").to_pylist(), b.column("wrong").to_pylist(), strict=True)):
+                pairs = ((hashlib.sha256(f"{seed}|{name}|{x}|{y}".encode()).digest(), x, y) for x in right for y in wrong)
+                for _, x, y in heapq.nsmallest(cap, pairs):
+                    of.append(i), p.append(x), q.append(y)
+            yield pa.RecordBatch.from_arrays([b.column("question_uid").take(pa.array(of, pa.int64())), pa.array(p, pa.int64()), pa.array(q, pa.int64())], names=["question_uid", "p", "q"])
+
+    sides = cand.groupBy("question_uid").agg(*[F.collect_list(F.when(F.col("label") == y, F.col("candidate_index").cast("bigint"))).alias(n) for n, y in (("right", 1), ("wrong", 0))])
+    rows = sides.where((F.size("right") > 0) & (F.size("wrong") > 0)).withColumn("name", F.col("question_uid").cast("string"))
+    return rows.mapInArrow(run, f"question_uid {cand.schema['question_uid'].dataType.simpleString()}, p bigint, q bigint")
 
 
 def pair_weights(cand: DataFrame, dataset: Column) -> DataFrame:

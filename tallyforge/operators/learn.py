@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from ..sources import scratch
+from . import metrics, resample
 from .clusters import cluster_features, clusters, with_z
 from .select import FEATURES, fused_scores, with_features
 
@@ -27,9 +29,11 @@ def pair_differences(cand: DataFrame, seed: int) -> np.ndarray:
     """Standardised features of mostly right clusters less those of mostly wrong ones of the same question, for questions drawn
     with replacement (Poisson counts by hash); PAIRS pairs at most, the first in hash order."""
     f = cluster_features(cand).join(clusters(cand).select("question_uid", "cluster", (F.col("label_share") >= 0.5).alias("right")), ["question_uid", "cluster"])
+    f.write.parquet(at := scratch.path(cand.sparkSession, "features"))  # read for the statistics and for either side of the pairs
+    f = cand.sparkSession.read.schema(f.schema).parquet(at)
     mean, sd = feature_stats(f)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    times = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).otherwise(3)
+    u = F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(1 << resample.BITS))
+    times = reduce(lambda x, y: x + y, [(u >= step).cast("int") for step in resample.poisson_steps()])
     z = f.select("question_uid", "cluster", "right", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(FEATURES, mean, sd, strict=True)]).withColumn("times", times).where("times > 0")
     p, q = z.where("right").drop("right"), z.where("NOT right").drop("right", "times")
     q = q.toDF("question_uid", "other", *[f"o_{c}" for c in FEATURES])

@@ -114,3 +114,24 @@ def test_split_takes_the_first_in_hash_order(spark):
     got = corpus.hash_split(df, "u", 0.1, "x").collect()
     assert {r.u for r in got if r.in_sample} == first and len(got) == 383
     assert not any(r.in_sample for r in corpus.hash_split(df, "u", 0.0, "x").collect())
+
+
+def test_short_items_in_blocks(spark, monkeypatch):
+    """Items without an inner word, in more than one block."""
+    monkeypatch.setattr(corpus, "SHORT_ITEMS", 40)
+    texts = [(i, f"alpha{i} beta gamma{i % 7} Delta") for i in range(40)] + [(99, None), (98, "")]
+    items = [(j, f"a{j}" if j % 2 else f"{j} beta") for j in range(30)] + [(50, "lph"), (51, "TA GAM"), (52, ""), (53, None), (54, "one two three")]
+    got = {tuple(r) for r in corpus.contains_matches(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(items, "j int, u string"), "i", "t", "j", "u").collect()}
+    assert got == {(i, j) for i, t in texts for j, u in items if t and u and u.lower() in t.lower()}
+
+
+def test_capped_pairs_are_the_first_in_hash_order(spark):
+    import hashlib
+
+    rows = [("a", i, i % 3 == 0) for i in range(40)] + [("b", 0, True), ("c", 0, False), (None, 0, True), (None, 1, False)]
+    df = spark.createDataFrame([(q, i, None if i == 39 else int(y)) for q, i, y in rows], "question_uid string, candidate_index int, label int")
+    got = sorted((r.p, r.q) for r in corpus.capped_pairs(df, 25, "s").where("question_uid = 'a'").collect())
+    right, wrong = [i for i in range(39) if i % 3 == 0], [i for i in range(39) if i % 3]
+    want = sorted(((p, q) for p in right for q in wrong), key=lambda x: hashlib.sha256(f"s|a|{x[0]}|{x[1]}".encode()).hexdigest())[:25]
+    assert got == sorted(want)
+    assert corpus.capped_pairs(df, 25, "s").where("question_uid IN ('b', 'c')").count() == 0 and corpus.capped_pairs(df.where("false"), 3, "s").count() == 0
