@@ -156,6 +156,20 @@ def excluded(df: DataFrame, reasons: DataFrame, id_: str) -> tuple[DataFrame, Da
     return df.join(why, id_, "left_anti"), df.join(why, id_)
 
 
+def audited_split(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, stratum: Column, ratios: dict[str, float], seed: str, flagged: float = 92.0, removed: float = 96.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole way from raw rows to splits: rows that stand among the others (``contamination``, from the ratio flagged on), of these
+    the exact ones and those of ratio removed or more go, as do later rows of one normal form; the rest is split by stratum. Returns
+    the split rows (stratum, split), the rows that went (reasons, in order) and what was found (for review)."""
+    spark, at = df.sparkSession, scratch.path(df.sparkSession, "audit")
+    contamination(df, others, id_, text, other_id, other_text, flagged).write.parquet(at)
+    found = spark.read.parquet(at)
+    exact = F.col("reason") == "normalized_exact"
+    external = found.where(exact | (F.col("score") >= removed)).select(id_, F.when(exact, "external_exact").otherwise("external_fuzzy").alias("reason"))
+    internal = internal_duplicates(df, T.latex_key(F.col(text)), id_).select(id_, F.lit("internal_duplicate").alias("reason"))
+    clean, out = excluded(df, external.unionByName(internal), id_)
+    return stratified_split(clean, id_, stratum, ratios, seed), out, found
+
+
 def duplicate_records(df: DataFrame, signature: Column, id_: str, variant: Column) -> DataFrame:
     """A row for each id of a signature of more than one row: with it how many rows, and how many kinds of the variant, the
     signature has. No list of a signature's ids is made, as an empty text may have any number. A null signature is one too."""

@@ -100,6 +100,14 @@ query("jn13_match_risk", "SELECT item_id AS q, TRUE AS exact_match, TRUE AS high
 query("jn14_exclusion_reasons", "WITH w AS (SELECT doc_id, 'short' AS reason FROM documents WHERE n_chars < 300 UNION ALL SELECT doc_id, 'spanish' FROM documents WHERE lang = 'es') SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM w GROUP BY 1")(
     lambda s, d: corpus.excluded(docs(s, d).select("doc_id"), docs(s, d).where("n_chars < 300").select("doc_id", F.lit("short").alias("reason")).unionByName(docs(s, d).where("lang = 'es'").select("doc_id", F.lit("spanish").alias("reason"))), "doc_id")[1]
 )
+@query("jn12_jn14_smp03_audited_split")
+def audited_split(s, d):
+    """All documents against the benchmark: a split, or the reasons why not."""
+    ratios = {"train": 0.65, "calibration": 0.1, "pilot": 0.1, "test": 0.15}
+    split, out, _ = corpus.audited_split(docs(s, d), table(s, d, "benchmark"), "doc_id", "text", "item_id", "text", F.concat_ws("|", "source", "lang"), ratios, "s3")
+    return split.select("doc_id", "stratum", "split", F.lit(None).cast("string").alias("reasons")).unionByName(out.select("doc_id", F.lit(None).cast("string").alias("stratum"), F.lit(None).cast("string").alias("split"), "reasons"))
+
+
 query("jn14_anti_join_kept", "SELECT doc_id FROM documents WHERE NOT (n_chars < 300 OR lang = 'es')")(
     lambda s, d: corpus.excluded(docs(s, d).select("doc_id"), docs(s, d).where("n_chars < 300 OR lang = 'es'").select("doc_id", F.lit("x").alias("reason")), "doc_id")[0]
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -45,9 +47,29 @@ _li = lambda s, d: table(s, d, "lineitem")
 query("prs03_hash_marker", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.hash_answer(F.concat(F.lit("step one #### 7\nso total is "), _n(), F.lit(" #### "), _n())).alias("answer")))
 query("prs03_answer_phrase", f"SELECT {_K}, {_N} || ' units' AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.phrase_answer(F.concat(F.lit("We add.\nThe answer is "), _n(), F.lit(" units"))).alias("answer")))
 query("prs03_last_number", f"SELECT {_K}, {_N} AS answer FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.last_number(F.concat(F.lit("9 of them\nthat makes 3 and "), _n(), F.lit(" in all"))).alias("answer")))
-query("prs01_prs02_prs03_answers", f"SELECT {_K}, 'number:' || CAST(CAST(l_quantity AS BIGINT) / gcd(CAST(l_quantity AS BIGINT), 12) AS BIGINT) || '/' || CAST(12 / gcd(CAST(l_quantity AS BIGINT), 12) AS BIGINT) AS answer, 'boxed' AS method FROM lineitem")(
-    lambda s, d: _li(s, d).select(*KEY, P.answer_udf()(F.concat(F.lit("so \\fbox{1} and \\boxed{\\frac{"), _n(), F.lit("}{12}}")).substr(F.lit(13), F.lit(80))).alias("x")).select(*KEY, "x.answer", "x.method")
-)
+
+
+def _branches(n):
+    """A solution for each way to find an answer, by line: ####, a box with a fraction, a phrase, the last number, a box with text macros, none, a decimal in a box."""
+    line = F.col("l_linenumber")
+    says = [
+        F.concat(F.lit("so \\boxed{1}\n#### "), n, F.lit(",000 ")), F.concat(F.lit("\\fbox{\\dfrac{"), n, F.lit("}{12}} \\boxed{3}")), F.concat(F.lit("Add. The final answer is "), n, F.lit(" Units.")),
+        F.concat(F.lit("7 of them\nthat makes 3 and "), n, F.lit("/7 in all")), F.concat(F.lit("\\boxed{2} x{1} \\boxed{\\left(\\text{ "), n, F.lit(" }\\right)}"))
+    ]
+    rest = F.when(line == 6, F.lit("no digits here")).otherwise(F.concat(F.lit("first \\boxed{9} then \\boxed{= $\u2212"), n, F.lit(".5$.}")))
+    return reduce(lambda out, i: F.when(line == i + 1, says[i]).otherwise(out), range(len(says)), rest)
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"'number:' || CAST(({a}) // gcd({a}, {b}) AS BIGINT) || '/' || CAST(({b}) // gcd({a}, {b}) AS BIGINT)"
+
+
+query(
+    "prs01_prs02_prs03_answers",
+    f"""WITH x AS (SELECT {_K}, CAST(l_quantity AS BIGINT) AS n FROM lineitem)
+SELECT {_K}, CASE l_linenumber WHEN 1 THEN 'number:' || n * 1000 || '/1' WHEN 2 THEN {_ratio("n", "12")} WHEN 3 THEN 'expr:' || n || 'units' WHEN 4 THEN {_ratio("n", "7")} WHEN 5 THEN 'number:' || n || '/1' WHEN 7 THEN 'number:-' || (2 * n + 1) || '/2' END AS answer,
+  ['hash', 'boxed', 'final_phrase', 'last_number', 'boxed', 'unparsed', 'boxed'][l_linenumber] AS method FROM x""",
+)(lambda s, d: _li(s, d).select(*KEY, P.answer_udf()(_branches(_n())).alias("x")).select(*KEY, "x.answer", "x.method"))
 query("prs05_prs06_generation_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.generation_udf()(F.concat(F.lit("\\boxed{} \\boxed {"), _n(), F.lit("} \\boxed{0}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
 query("prs07_prs08_final_answer", f"SELECT {_K}, {_N} AS answer, 'boxed' AS method FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, P.final_udf()(F.concat(F.lit("\\boxed{1} **Final Answer** \\boxed{"), _n(), F.lit("} \\boxed{2}"))).alias("x")).select(*KEY, "x.answer", "x.method"))
 query("prs04_box_contents", f"SELECT {_K}, '1|' || {_N} AS boxes FROM lineitem")(lambda s, d: _li(s, d).select(*KEY, F.array_join(P.box_contents(F.concat(F.lit("\\boxed{1} \\boxed{ } \\boxed{"), _n(), F.lit("}"))), "|").alias("boxes")))

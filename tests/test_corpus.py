@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import indel_ratio
+from tallyforge.functions import text as T
 from tallyforge.operators import corpus
 
 
@@ -135,3 +136,50 @@ def test_capped_pairs_are_the_first_in_hash_order(spark):
     want = sorted(((p, q) for p in right for q in wrong), key=lambda x: hashlib.sha256(f"s|a|{x[0]}|{x[1]}".encode()).hexdigest())[:25]
     assert got == sorted(want)
     assert corpus.capped_pairs(df, 25, "s").where("question_uid IN ('b', 'c')").count() == 0 and corpus.capped_pairs(df.where("false"), 3, "s").count() == 0
+
+
+def test_audited_split_step_by_step(spark):
+    """Exact and near copies of the others, later rows of one form, and the rest, by plain Python over normal forms."""
+    import hashlib
+    import math
+    import random
+
+    r = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "sum", "of", "three", "numbers", "is", "find", "x"]
+    base = [" ".join(r.choices(words, k=r.randint(12, 20))) for _ in range(60)]
+    others = [(100 + i, t) for i, t in enumerate(base[:12])] + [(200, None), (201, "")]
+    texts = base + [t.upper() for t in base[:3]] + [t[:-1] for t in base[3:8]] + [t[: len(t) // 2] for t in base[8:12]] + [base[30], base[30], None, "", "  "]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, t string, s string")
+    ratios = {"train": 0.65, "a": 0.1, "b": 0.1, "test": 0.15}
+    split, out, found = corpus.audited_split(df, spark.createDataFrame(others, "j int, u string"), "i", "t", "j", "u", F.col("s"), ratios, "x")
+    key = {x.i: x.k for x in df.select("i", T.latex_key(F.col("t")).alias("k")).collect()}
+    other = {x.j: x.k for x in spark.createDataFrame(others, "j int, u string").select("j", T.latex_key(F.col("u")).alias("k")).collect()}
+    why, seen, marks = {}, {}, {}
+    for i, _, _ in rows:
+        k, own = key[i], []
+        if k and k in other.values():
+            own.append("external_exact")
+        elif k:
+            best = max((T.indel_ratio(k, u) for u in other.values() if u), default=0)
+            if best >= 92:
+                marks[i] = best
+            if best >= 96:
+                own.append("external_fuzzy")
+        if k in seen:
+            own.append("internal_duplicate")
+        seen.setdefault(k, i)
+        if own:
+            why[i] = ",".join(sorted(own))
+    assert {x.i: x.reasons for x in out.collect()} == why and "external_fuzzy" in why.values()
+    assert {x.i for x in found.where("reason = 'fuzzy'").collect()} == set(marks)
+    want = {}
+    for s in "ab":
+        ids = sorted((i for i, _, g in rows if g == s and i not in why), key=lambda i: hashlib.sha256(f"x|{i}".encode()).hexdigest())
+        n = {k: math.floor(len(ids) * v) for k, v in ratios.items()}
+        order = sorted(ratios, key=lambda k: (-round(len(ids) * ratios[k] - n[k], 9), hashlib.sha256(f"x|{k}|{s}".encode()).hexdigest()))
+        for k in order[: len(ids) - sum(n.values())]:
+            n[k] += 1
+        names = [k for k in ratios for _ in range(n[k])]
+        want |= dict(zip(ids, names, strict=True))
+    assert {x.i: x.split for x in split.collect()} == want
