@@ -26,7 +26,7 @@ query("src05_dispatch_scan", "SELECT doc_id, n_chars FROM documents")(lambda s,
 query("src08_src10_checked_count", "SELECT count(*) AS n FROM documents")(lambda s, d: readers.checked(docs(s, d), docs(s, d).count()).agg(F.count("*").alias("n")))
 query("src09_unique_key_violations", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")(lambda s, d: readers.repeated_keys(table(s, d, "conversations"), "conv_id"))
 query("src11_ragged_slice", "SELECT vec_id, [round(x, 6) FOR x IN CAST(embedding[vec_id % 8 + 1 : vec_id % 8 + 4] AS DOUBLE[])] AS part FROM embeddings")(
-    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(F.slice(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 8 + 1).cast("int"), 4), lambda x: F.round(x, 6)).alias("part"))
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(F.slice(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 8 + 1).cast("int"), 4), lambda x: F.signum(x) * F.round(F.abs(x), 6)).alias("part"))  # -0.0 stays, as in the SQL
 )
 query("prj01_prj02_flatten_roles", "SELECT conv_id, turn, role, 'train' AS data_role, 'conversations' AS source_dataset, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS candidate_index FROM conversations")(
     lambda s, d: views.indexed(table(s, d, "conversations"), "conv_id", ["turn"]).select("conv_id", "turn", "role", F.lit("train").alias("data_role"), F.lit("conversations").alias("source_dataset"), "candidate_index")

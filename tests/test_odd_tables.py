@@ -13,3 +13,9 @@ def test_exact_subsets_leaves_out_large_questions(spark, tmp_path):
     name = "bud05_exact_subsets"
     assert sorted(x.question_uid for x in QUERIES[name](spark, str(tmp_path)).collect()) == [2, 3]  # of 4 and 16 candidates
     assert difference(spark, QUERIES[name], SQL[name], str(tmp_path)) == ""
+
+
+def test_ragged_slice_keeps_the_sign_of_zero(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT i AS vec_id, [-1e-9, 1e-9, -2.5e-7, 2.5, -7.0, -0.25, 0.0, -4e-7]::FLOAT[] AS embedding FROM range(8) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    name = "src11_ragged_slice"
+    assert difference(spark, QUERIES[name], SQL[name], str(tmp_path)) == ""
