@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -17,6 +17,8 @@ from .select import FEATURES, fused_scores, with_features
 
 #: Cluster pairs that the ranker is fitted on, at most; eight weights need no more.
 PAIRS = 200_000
+#: Leading bits of a pair's hash by which pairs are counted first.
+LEAD = 14
 
 
 def feature_stats(features: DataFrame) -> tuple[list[float], list[float]]:
@@ -25,21 +27,39 @@ def feature_stats(features: DataFrame) -> tuple[list[float], list[float]]:
     return [row[f"m_{c}"] for c in FEATURES], [row[f"s_{c}"] for c in FEATURES]
 
 
-def pair_differences(cand: DataFrame, seed: int) -> np.ndarray:
-    """Standardised features of mostly right clusters less those of mostly wrong ones of the same question, for questions drawn
-    with replacement (Poisson counts by hash); PAIRS pairs at most, the first in hash order."""
+def pair_features(cand: DataFrame) -> DataFrame:
+    """Features of every cluster and whether it is mostly right, written once for all seeds, statistics and either side of the pairs."""
     f = cluster_features(cand).join(clusters(cand).select("question_uid", "cluster", (F.col("label_share") >= 0.5).alias("right")), ["question_uid", "cluster"])
-    f.write.parquet(at := scratch.path(cand.sparkSession, "features"))  # read for the statistics and for either side of the pairs
-    f = cand.sparkSession.read.schema(f.schema).parquet(at)
+    f.write.parquet(at := scratch.path(cand.sparkSession, "features"))
+    return cand.sparkSession.read.schema(f.schema).parquet(at)
+
+
+def first_pairs(pairs: DataFrame, h: Column, *ties: str) -> DataFrame:
+    """The PAIRS first rows in the order of the hash h and ties. Counts by its leading bits say how far to look, so that a task gives out
+    no more than are looked for: of an order with a limit each task gives out PAIRS, and the driver or one task takes them all."""
+    lead = F.shiftright(h, 64 - LEAD)
+    edge, before = None, 0
+    for edge, n in sorted(tuple(x) for x in pairs.groupBy(lead.alias("lead")).count().collect()):  # 2 ** LEAD rows at most
+        before += n
+        if before >= PAIRS:
+            break
+    return pairs.where(lead <= F.lit(edge)).orderBy(h, *ties).limit(PAIRS)
+
+
+def pair_differences(cand: DataFrame, seed: int, features: DataFrame | None = None) -> np.ndarray:
+    """Standardised features of mostly right clusters less those of mostly wrong ones of the same question, for questions drawn
+    with replacement (Poisson counts by hash); PAIRS pairs at most, the first in hash order. features: pair_features of cand."""
+    f = pair_features(cand) if features is None else features
     mean, sd = feature_stats(f)
     u = F.pmod(F.xxhash64(F.lit(seed), "question_uid"), F.lit(1 << resample.BITS))
     times = reduce(lambda x, y: x + y, [(u >= step).cast("int") for step in resample.poisson_steps()])
     z = f.select("question_uid", "cluster", "right", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(FEATURES, mean, sd, strict=True)]).withColumn("times", times).where("times > 0")
     p, q = z.where("right").drop("right"), z.where("NOT right").drop("right", "times")
     q = q.toDF("question_uid", "other", *[f"o_{c}" for c in FEATURES])
-    pairs = p.join(q, "question_uid").orderBy(F.xxhash64(F.lit(seed), "question_uid", "cluster", "other"), "question_uid", "cluster", "other").limit(PAIRS)
-    rows = pairs.select("times", *[(F.col(c) - F.col(f"o_{c}")).alias(c) for c in FEATURES]).toPandas()
-    return np.repeat(rows[FEATURES].to_numpy(float), rows["times"].to_numpy(int), axis=0)
+    pairs = first_pairs(p.join(q, "question_uid"), F.xxhash64(F.lit(seed), "question_uid", "cluster", "other"), "question_uid", "cluster", "other")
+    rows = pairs.select("times", *[(F.col(c) - F.col(f"o_{c}")).alias(c) for c in FEATURES]).toArrow()
+    differences = np.stack([rows.column(c).to_numpy() for c in FEATURES], 1).astype(float)
+    return np.repeat(differences, rows.column("times").to_numpy().astype(int), axis=0)
 
 
 def fit_ranker(differences: np.ndarray, regularization: float, steps: int = 400, rate: float = 0.05) -> np.ndarray:
