@@ -62,6 +62,12 @@ def pair_differences(cand: DataFrame, seed: int, features: DataFrame | None = No
     return np.repeat(differences, rows.column("times").to_numpy().astype(int), axis=0)
 
 
+def ranker_models(cand: DataFrame, seeds: tuple[int, ...], regularization: float) -> list[list[float]]:
+    """The ranker's weights for each seed."""
+    f = pair_features(cand)
+    return [fit_ranker(pair_differences(cand, k, f), regularization).tolist() for k in seeds]
+
+
 def fit_ranker(differences: np.ndarray, regularization: float, steps: int = 400, rate: float = 0.05) -> np.ndarray:
     """Weights from zero by Adam on mean softplus(-difference . w) + regularization x mean square of w."""
     w = np.zeros(differences.shape[1])

@@ -349,7 +349,7 @@ query("bst06_pair_bootstrap", f"WITH {_REC_SQL}, eligible AS (SELECT * FROM rec
     lambda s, d: resample.interval(resample.bootstrap(_REC(s, d).where("strict IS NOT NULL"), ["strict"], {}, 100, 17), "strict")
 )
 query("smp04_lrn01_lrn02_ranker_fit")(lambda s, d: s.createDataFrame([(select.FEATURES[i], float(w)) for i, w in enumerate(learn.fit_ranker(learn.pair_differences(LI(s, d), 3), 0.01))], "feature string, weight double"))
-query("sel33_learned_ranking_pass")(lambda s, d: (m := [learn.fit_ranker(learn.pair_differences(LI(s, d), k), 0.01).tolist() for k in (1, 2, 3)]) and select.fused_scores(LI(s, d).drop("label").withColumn("label", F.lit(None).cast("int")), m, 0.5, 0.1).select("question_uid", "candidate_index", "score"))
+query("sel33_learned_ranking_pass")(lambda s, d: (m := learn.ranker_models(LI(s, d), (1, 2, 3), 0.01)) and select.fused_scores(LI(s, d).drop("label").withColumn("label", F.lit(None).cast("int")), m, 0.5, 0.1).select("question_uid", "candidate_index", "score"))
 query("bud05_exact_subsets", f"WITH {SQL_LI}, q AS (SELECT question_uid FROM v GROUP BY 1 HAVING count(*) BETWEEN 4 AND 16), k AS (SELECT v.*, row_number() OVER (PARTITION BY question_uid {BEST}) - 1 AS r, count(*) OVER (PARTITION BY question_uid) AS n FROM v JOIN q USING (question_uid)) SELECT question_uid, round(sum(CASE WHEN label = 1 THEN list_product(list_concat([1.0], list_transform(range(0, 3), lambda i: greatest(n - r - 1 - i, 0) / (n - 1 - i)))) * 4 / n ELSE 0 END), 6) + 0.0 AS raw FROM k GROUP BY 1")(
     lambda s, d: resample.exact_subsets(LI(s, d).withColumn("n", F.count("*").over(sequences.question())).where("n <= 16"), 4).select("question_uid", "raw")  # the SQL's questions: 4 to 16 candidates
 )

@@ -21,3 +21,9 @@ def test_first_pairs_are_those_of_an_order(spark, monkeypatch):
 def test_fewer_pairs_than_asked_for_all_count(spark):
     assert sorted(x.id for x in learn.first_pairs(spark.range(50), F.xxhash64("id"), "id").collect()) == list(range(50))
     assert learn.first_pairs(spark.range(0), F.xxhash64("id"), "id").count() == 0
+
+
+def test_models_of_all_seeds_share_the_features(spark):
+    rows = [(q, i, "ab"[(q + i) % 2], float((q * 7 + i * 5) % 11), (i + q // 3) % 2, str(i)) for q in range(30) for i in range(5)]
+    cand = spark.createDataFrame(rows, "question_uid int, candidate_index int, answer string, rm double, label int, solution string")
+    assert learn.ranker_models(cand, (1, 2), 0.01) == [learn.fit_ranker(learn.pair_differences(cand, k), 0.01).tolist() for k in (1, 2)]
