@@ -79,28 +79,59 @@ def contains_matches(df: DataFrame, items: DataFrame, id_: str, text: str, item_
     return out.distinct()
 
 
+#: Characters of a block of texts that are compared with another block's, on average.
+FUZZY_BLOCK = 1 << 15
+
+
 def fuzzy_best(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, cutoff: float, width: int = 8) -> DataFrame:
     """Each row's best Indel ratio among others of cutoff or more. Only texts that can reach it are compared: 200 LCS / (a + b)
-    needs lengths within a factor of (200 - c) / c. The others are bucketed by the logarithm of their length, and each row
-    looks into the buckets within that factor, so the join is by equality; a bucket's rows are dealt to SALTS tasks. A common
-    subsequence has no more of a letter than either text, and each letter that is put in or taken out changes the numbers of
-    three-letter runs by five in all: pairs with too few letters in common, or whose runs differ by more than the cutoff allows,
-    are left out before any is aligned. Neither loses a pair."""
+    needs lengths within a factor of (200 - c) / c. Texts of both sides are bucketed by the logarithm of their length, and the
+    rows look into the buckets within that factor, so the join is by equality. A bucket's texts come in blocks, and what is joined
+    is blocks, dealt to SALTS tasks: texts move once for many pairs. Within a pair of blocks a text is aligned with many others in the
+    same steps (T.packed_lcs). A common subsequence has no more of a letter than either text, and each letter that is put in or
+    taken out changes the numbers of three-letter runs by five in all: pairs with too few letters in common, or (where the cutoff
+    is high) whose runs differ by more than it allows, are left out before any is aligned. Neither loses a pair."""
     import math
 
+    spark = df.sparkSession
     reach = math.log((200 - cutoff) / cutoff) if cutoff < 200 else 0.0
     step = max(reach, 0.01) / max(1, width // 4)
     bucket = lambda c: F.floor(F.ln(F.greatest(F.length(c), F.lit(1))) / step).cast("int")
     near = math.ceil(reach / step)
-    a = df.select(id_, F.col(text).alias("t")).where(F.length("t") > 0).withColumns({"at": T.letter_counts(F.col("t")), "salt": F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")})
-    a = a.withColumn("b", F.explode(F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda i: bucket("t") + i)))
-    b = others.select(other_id, F.col(other_text).alias("u")).where(F.length("u") > 0).withColumns({"b": bucket("u"), "bu": T.letter_counts(F.col("u"))})
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near_enough = 200.0 * F.least(F.length("t"), F.length("u")) / (F.length("t") + F.length("u")) >= cutoff
-    shared = F.aggregate(F.zip_with("at", "bu", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    ok = 200.0 * shared / (F.length("t") + F.length("u")) >= cutoff
-    pairs = a.join(b, ["b", "salt"]).where(near_enough & ok).withColumn("score", T.fuzzy_within("t", "u", cutoff)).where(F.col("score").isNotNull())
-    return pairs.groupBy(id_).agg(F.max_by(F.col(other_id), F.struct("score", -F.col(other_id))).alias("external_id"), F.max("score").alias("score"))
+
+    def written(rows: DataFrame) -> DataFrame:
+        rows.write.parquet(at := scratch.path(spark, "texts"))
+        return spark.read.schema(rows.schema).parquet(at)
+
+    # of equal others the least id is the answer anyway
+    b = written(others.select(other_id, F.col(other_text).alias("u")).where(F.length("u") > 0).groupBy("u").agg(F.min(other_id).alias("other")).withColumn("b", bucket("u")))
+    low, high = b.agg(F.min(F.length("u")), F.max(F.length("u"))).first()
+    reaches = lambda m, n: 200.0 * F.least(m, n) / (m + n) >= cutoff
+    n = F.length("t")
+    a = written(df.select(F.col(id_).alias("id"), F.col(text).alias("t")).where(n > 0).where(((n >= F.lit(low)) | reaches(n, F.lit(low))) & ((n <= F.lit(high)) | reaches(n, F.lit(high)))).withColumn("b", bucket("t")))
+
+    def blocks(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, dict[int, int]]:
+        """A row for each block: its bucket b, its number, its texts; and the number of blocks of each bucket, of which there are few."""
+        sizes = [tuple(x) for x in rows.groupBy("b").agg(F.ceil(F.sum(F.length(value)) / FUZZY_BLOCK).cast("int")).collect()]
+        dealt = rows.join(F.broadcast(spark.createDataFrame(sizes, "b int, blocks int")), "b").withColumn("block", F.pmod(F.xxhash64(key), "blocks").cast("int"))
+        return dealt.groupBy("b", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(value).alias("text"))).alias(f"{value}s")), dict(sizes)
+
+    (left, m), (right, n) = blocks(a, "id", "t"), blocks(b, "other", "u")
+    pairs = sum(x * n.get(k + i, 0) for k, x in m.items() for i in range(-near, near + 1))
+    left = left.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).select(F.explode(F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda i: F.col("b") + i)).alias("b"), "salt", "ts")
+    right = right.select("b", "us", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, pairs // 64)
+    met = left.join(right, ["b", "salt"]).select("ts", "us").repartition(tasks, F.xxhash64("ts.id", "us.id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for k in range(batch.num_rows) for x in T.best_within(*([(r["id"], r["text"]) for r in batch.column(c)[k].as_py()] for c in (0, 1)), cutoff)]
+            ids, external, score = zip(*found, strict=True) if found else ([],) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type.value_type[0].type), pa.array(external, batch.schema.field(1).type.value_type[0].type), pa.array(score, pa.float64())], names=["id", "other", "score"])
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((df, id_), (others, other_id))]
+    best = met.mapInArrow(run, f"id {kinds[0]}, other {kinds[1]}, score double").groupBy("id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("external_id"), F.max("score").alias("score"))
+    return best.withColumnRenamed("id", id_)
 
 
 def contamination(df: DataFrame, others: DataFrame, id_: str, text: str, other_id: str, other_text: str, cutoff: float = 92.0) -> DataFrame:
