@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -68,6 +70,14 @@ def drop_scratch(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of tables that nobody holds any more go from the executors' disks. Spark's cleaner removes them once the
+    driver's JVM has collected its garbage, which by itself may take half an hour (spark.cleaner.periodicGC.interval)."""
+    gc.collect()
+    time.sleep(1.5)  # the JVM hears within a second of what Python has let go
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() is faster and does just that on pure ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -8,9 +8,10 @@ words that don't: suffixes end before them. The parts of a phrase, all as freque
 Plan: a task counts equal suffixes before they move. Range partitions by (language, first word, following words) keep a first word
 together where it fits, and split one that is too frequent (a third of all suffixes, say) over as many partitions as it fills; only
 the beginnings of a partition's first and last suffix can go on in another one, so these few counts are added up afterwards, and all
-others are whole. Frequent words and pairs (64-bit hashes, counted together if they are equal, which only keeps more) reach the tasks
+others are whole. Frequent words and pairs (by hash, pairs by 40 bits of it, counted together if they are equal, which only keeps more) reach the tasks
 as maps of ``_BITS`` bits (2^25: 4 MB, at any size; one that shares its bit with a frequent one is kept, which costs a row and
-changes nothing). The first of each language are found in two steps, among the first of ``_SALTS`` parts.
+changes nothing). The first of each language are found in two steps, among the first of ``_SALTS`` parts. The shuffles of words and of pairs leave the disks
+before the next one begins, and the suffixes once they are counted.
 
 Cases: a null or empty text has no words; a null language is `und`, together with a real `und`. Repeated rows count each. Words are
 compared as bytes, with A-Z lower-cased. A text of any length is taken in blocks. No documents: no rows.
@@ -32,6 +33,8 @@ from . import common
 from .words import LOWER, mix, utf8
 
 _BITS = 1 << 25
+#: Bits of a pair's hash by which it is counted (the last _BITS look it up): fewer bytes to move, and 2^40 are far more than pairs.
+_PAIR = np.uint64((1 << 40) - 1)
 _SALTS = 64
 #: Words that a task looks at together, and bytes of counted rows that it holds before it counts them together.
 _BLOCK = 1 << 18
@@ -157,7 +160,7 @@ def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
             for b in batches:
                 for code, word, of, langs, goes_on, n in _blocks(b, 1):
                     pair, both = _pairs(_hashes(code, word, of, langs), goes_on, shared.value)
-                    h, times = np.unique(pair[:n][both[:n]], return_counts=True)
+                    h, times = np.unique(pair[:n][both[:n]] & _PAIR, return_counts=True)
                     yield pa.table({"h": pa.array(h.view(np.int64)), "n": pa.array(times, pa.int64())})
 
         yield from _together(tables(), ["h"])
@@ -263,11 +266,17 @@ def prefix_counts(rows: DataFrame, max_n: int, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, max_n: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """docs (text, lang) -> f (lang, phrase, k, n), occurrences of every phrase of 1 to max_n words that occurs least times, and
     totals (lang, n), all words."""
+    spark = docs.sparkSession
     words = common.kept(word_counts(docs), "words")
+    common.free_shuffles(spark)
     known = frequent_map(words.select(F.xxhash64("lang", "w").alias("h"), "n"), least)
-    rows = common.kept(suffixes(docs, known, frequent_map(pair_counts(docs, known), least), max_n), "suffixes")
+    pairs = frequent_map(pair_counts(docs, known), least)
+    common.free_shuffles(spark)  # of the pairs: as large as all that follows
+    at = common.scratch(spark, "suffixes")
+    rows = common.kept(suffixes(docs, known, pairs, max_n), "suffixes", at)
     order = [F.col(x).desc_nulls_last() for x in ("lang", *(f"w{i}" for i in range(1, max_n + 1)))]
     found = common.kept(prefix_counts(rows.repartitionByRange(*order).sortWithinPartitions(*order), max_n, least), "prefixes")
+    common.drop_scratch(spark, at)
     parts = found.where(~F.col("whole")).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     singles = words.where(F.col("n") >= least).select("lang", F.col("w").alias("phrase"), F.lit(1).alias("k"), "n")
     f = common.kept(found.where("whole").drop("whole").unionByName(parts).unionByName(singles), "phrases")
